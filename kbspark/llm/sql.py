@@ -1,5 +1,23 @@
 """DuckDB SQL with the same rows as the queries that SQL can express."""
 
+OP2 = r"""
+with d as (
+  select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents
+), l as (
+  select r, doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as pos from d
+), k as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l
+), bad as (
+  select key, max(doc_id) as stay from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3
+), m as (
+  select k.*, bad.key is not null and k.doc_id <> bad.stay as gone from k left join bad using (key)
+)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from m group by r, doc_id
+"""
+
 OP4 = """
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
        coalesce(doc_id = max(doc_id) over g, false) as kept, sha256(coalesce(text, '')) as text_sha256
@@ -35,4 +53,4 @@ select doc_id, size::bigint as size, source_size, target, source,
 from c
 """
 
-SQL = {"op4_exact_dedup": OP4, "op9_mix_sources": OP9}
+SQL = {"op2_line_dedup": OP2, "op4_exact_dedup": OP4, "op9_mix_sources": OP9}
