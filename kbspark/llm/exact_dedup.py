@@ -56,3 +56,25 @@ def exact_dedup(
         (F.col("id").eqNullSafe(F.col("keep_id")) & (again == 1)).alias("kept"),
         "text_sha256",
     )
+
+
+def distinct_texts(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: str = "smallest",
+    hash_fn: Callable[[Column], Column] = md5_128,
+) -> DataFrame:
+    """The rows of docs that exact_dedup() keeps, with all their columns, in one shuffle.
+
+    The group's key is the hash and the text itself, so the bytes are compared as above; of
+    rows that repeat the staying id one stays, whichever.
+    """
+    pick = {"smallest": F.min_by, "largest": F.max_by}[keep]
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col], F.col(text_col).isNull().alias("none"))
+    # Structs compare null ids as lowest; so that a known id is preferred, smallest puts them last.
+    order = F.struct(F.col(id_col).isNull() if keep == "smallest" else F.lit(False), F.col(id_col))
+    rows = docs.select(row.alias("row"), order.alias("order"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    stay = rows.withColumn("h", hash_fn(F.col("body"))).groupBy("h", "body").agg(pick("row", "order").alias("row"))
+    text = F.when(~F.col("row.none"), F.col("body")).alias(text_col)
+    return stay.select(*[text if c == text_col else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -40,12 +40,25 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: floa
     s = s.withColumn("total", F.sum("source_size").over(whole)).withColumn("weight", F.sum("w").over(whole))
     s = s.withColumn("level", (F.col("total") - F.coalesce(F.sum("source_size").over(before), F.lit(0)) * F.lit(float(most))) / (F.col("weight") - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
     s = s.withColumn("open", F.when(F.col("ratio") > F.col("level"), F.col("level")))
-    s = s.withColumn("level", F.min("open").over(whole))
+    s = s.withColumn("level", F.max("open").over(whole))  # later rows would stop a source that stays below its limit
     # Without an open source every limit is reached exactly.
     limit = F.col("source_size") * F.lit(float(most))
     return s.select("source", "source_size", F.coalesce(F.least(limit, F.col("level") * F.col("w")), limit).alias("target"))
 
 
+def source_rates(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3, text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(s, source_size, target, rate) for each source, null being one; rate = target / source_size, 0 for size 0."""
+    sizes = docs.select(F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    found = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    return materialise(found.select(F.col("source").alias("s"), "source_size", "target", rate.alias("rate")))
+
+
+def copies_of(seed: str, key: Column, rate: Column) -> Column:
+    """floor(rate) copies, and one more when the key's draw is below the rest of the rate."""
+    return (F.floor(rate) + (unit_draw(seed, key) < rate - F.floor(rate)).cast("long")).cast("long")
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[int, ...] = (5, 2, 1),
@@ -62,16 +75,26 @@ def mix_sources(
     rows that repeat an id share it. Null source is a source of its own; null or blank text
     has size 0, and a source of size 0 has rate and target 0. No rows give no rows.
     """
-    sizes = materialise(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    )
-    per_source = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    per_source = per_source.select(F.col("source").alias("s"), "source_size", "target")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    out = sizes.join(per_source, F.col("source").eqNullSafe(F.col("s")))
-    out = out.withColumn("rate", rate).withColumn("whole", F.floor("rate"))
-    extra = (unit_draw(seed, F.col("id")) < F.col("rate") - F.col("whole")).cast("long")
-    out = out.withColumn("copies", F.col("whole") + extra)
+    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    out = sizes.join(source_rates(docs, weights, most, text_col, source_col), F.col("source").eqNullSafe(F.col("s")))
+    out = out.withColumn("copies", copies_of(seed, F.col("id"), F.col("rate")))
     return out.select(
         F.col("id").alias(id_col), "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+def emit_mix(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (5, 2, 1),
+    most: float = 3,
+    seed: str = "mix-1",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mixed documents themselves: every row of docs as often as mix_sources() takes it."""
+    rates = source_rates(docs, weights, most, text_col, source_col).select(F.struct("s", "rate").alias("mixed"))
+    rows = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), F.col(source_col).cast("string").alias("source"), F.col(id_col).alias("id"))
+    out = rows.join(rates, F.col("source").eqNullSafe(F.col("mixed.s"))).withColumn("copies", copies_of(seed, F.col("id"), F.col("mixed.rate")))
+    out = out.where("copies > 0").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -125,14 +125,24 @@ def _scorer(model: Model):
     return run
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` of every row and its score in [0, 1], higher for likelier label 1.
+def _scored(docs: DataFrame, model: Model, columns: list[str], text_col: str) -> DataFrame:
+    """row (a struct of the columns as c0, c1, ...) and score."""
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    rows = docs.select(row.alias("row"), F.col(text_col).alias("body"))
+    return rows.mapInArrow(_scorer(model), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and score in [0, 1] of every row, higher for likelier label 1.
 
     A text's whole bytes are compressed with either dictionary; the size differences, by
     length and by compressed size, go through the calibration. Null and empty texts have a
     score like any other, equal texts equal scores, no rows give no rows. No shuffle.
     """
-    row = F.struct(*[F.col(c).alias(c) for c in keep])
-    rows = docs.select(row.alias("row"), F.col(text_col).alias("body"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, score double"
-    return rows.mapInArrow(_scorer(model), schema).select("row.*", "score")
+    return _scored(docs, model, [id_col], text_col).select(F.col("row.c0").alias(id_col), "score")
+
+
+def keep_good(docs: DataFrame, model: Model, least: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score at least `least`, with all their columns."""
+    good = _scored(docs, model, docs.columns, text_col).where(F.col("score") >= least)
+    return good.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

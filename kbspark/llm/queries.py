@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import exact_dedup, line_dedup, media, mixing, packing, quality, sql, token_counts
+from kbspark.llm import exact_dedup, jaccard, line_dedup, media, mixing, packing, quality, sql, token_counts
 from kbspark.session import table
 
 
@@ -32,6 +32,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents")).drop("text_hash", "stays")
+
+
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), ["doc_id"])
     return packing.pack(pieces, ["doc_id"])
@@ -40,7 +44,7 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(quality.remainder(F.col("doc_id"), 4) != 2))
-    scored = quality.score(docs, model, ["doc_id"])
+    scored = quality.score(docs, model)
     return scored.select("doc_id", (quality.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 

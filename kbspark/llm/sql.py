@@ -38,7 +38,7 @@ with d as (
   select *, (total - coalesce(sum(source_size) over b, 0) * 3.0::double) / (weight - coalesce(sum(w) over b, 0)) as level
   from r window b as (order by ratio, source nulls last rows between unbounded preceding and 1 preceding)
 ), o as (
-  select min(level) as level from l where ratio > level
+  select max(level) as level from l where ratio > level
 ), t as (
   select l.source, source_size, coalesce(least(source_size * 3.0::double, o.level * w), source_size * 3.0::double) as target from l, o
 ), c as (
