@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import exact_dedup, jaccard, line_dedup, media, mixing, packing, quality, sql, token_counts
+from kbspark.llm import exact_dedup, jaccard, line_dedup, media, mixing, packing, pitman_yor, quality, sql, token_counts
 from kbspark.session import table
 
 
@@ -53,6 +53,12 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), pitman_yor.held_out(F.col("doc_id"))
+    scored = pitman_yor.score_texts(docs, ~held_out)
+    return scored.withColumn("held_out", held_out)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
