@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from kbspark.plans import source_queries
+
+MODULES: list = [source_queries]
 
 
 def queries() -> dict:
