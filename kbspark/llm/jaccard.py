@@ -149,6 +149,22 @@ def _verify(threshold: float, tolerance: float):
     return run
 
 
+SIEVE_BITS = 25
+
+
+def _sieve(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """rows whose long `key` may be among `wanted` (one long column): one hash, 2 ** SIEVE_BITS bits.
+
+    What is broadcast is at most 2 ** (SIEVE_BITS - 6) words, 8 MB, whatever the data. More
+    wanted keys let more rows through to the exact join that follows, never fewer.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SIEVE_BITS))
+    bits = wanted.select(place(F.col(wanted.columns[0])).alias("p"))
+    bits = bits.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+    out = rows.withColumn("p", place(F.col(key))).withColumn("word", F.shiftright("p", 6)).join(F.broadcast(bits), "word")
+    return out.where(F.expr("shiftright(bits, cast(p % 64 as int)) & 1 = 1")).select(*rows.columns)
+
+
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, class_id, n_links, n_copies, class_size, text_hash, stays.
 
@@ -175,15 +191,17 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-
     sketch = materialise(texts.mapInArrow(_sketch, f"id {kind}, text_hash binary, node binary, shingles long, keys array<long>"))
     nodes = materialise(sketch.where("shingles > 0").groupBy("node").agg(F.min(F.struct("text_hash", "shingles", "keys")).alias("s")).select("node", "s.*"))
     keys = nodes.select("node", F.explode("keys").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    stars = keys.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = materialise(keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
+    stars = _sieve(keys, "key", hubs.select("key")).join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     member = components(stars).join(nodes.select("node", "text_hash", "shingles"), "node")
     member = materialise(member)
     sizes = member.groupBy("component").agg(F.sum("shingles").alias("shingles"), F.count("*").alias("sets"))
     blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int")
     member = member.drop("shingles").join(sizes.select("component", blocks.alias("blocks")), "component")
     member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    wanted = texts.select("text_hash", "body").join(member.select("text_hash"), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    short = F.xxhash64("text_hash")
+    wanted = _sieve(texts.select("text_hash", "body", short.alias("short")), "short", member.select(short)).select("text_hash", "body")
+    wanted = wanted.join(member.select("text_hash"), "text_hash", "left_semi").dropDuplicates(["text_hash"])
     placed = member.join(wanted, "text_hash").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "body")
     dealt = placed.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
