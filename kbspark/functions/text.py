@@ -27,15 +27,20 @@ def as_list(scalar: Column, items: Column) -> Column:
     return F.when(items.isNotNull(), items).when(scalar != "", F.array(scalar)).otherwise(F.array().cast("array<string>"))
 
 
-@F.pandas_udf("string")
-def _nfkd(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
+def _nfkd(text: Column) -> Column:
+    def each(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
 
+    return F.pandas_udf(each, "string")(text)
 
-@F.pandas_udf("string")
-def normalise_value(value: pd.Series) -> pd.Series:
+
+def normalise_value(value: Column) -> Column:
     """NFKC, case folded, stripped, white space runs as one blank; Unicode rules, hence no built-in."""
-    return value.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", v).casefold().split()))
+
+    def each(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
+
+    return F.pandas_udf(each, "string")(value)
 
 
 def slugify(title: Column) -> Column:

@@ -14,7 +14,10 @@ VOCAB = [("term", "[A-Za-z]{14,17}", "long word"), ("email", r"[^@\s]+@[^@\s]+",
 def raw(spark: SparkSession, sf: str) -> DataFrame:
     """documents as fetched sources; arrival is doc_id."""
     configure(spark)
-    docs = table(spark, sf, "documents")
+    return raw_of(table(spark, sf, "documents"))
+
+
+def raw_of(docs: DataFrame) -> DataFrame:
     kinds = F.array(*[F.lit(x) for x in ("text/html; charset=UTF-8", "text/plain", " Application/PDF", "image/PNG")], F.lit(None).cast("string"))
     job = F.coalesce("source", F.lit("none"))
     host = F.concat(F.lit("https://"), job, F.lit(".example.org/d/"), F.col("doc_id"))
