@@ -220,6 +220,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-
 def drop_near_copies(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows of a class that do not stay, all columns kept.
 
+    Rows that repeat both id and text are one document and stay or go together.
+
     The ids and text hashes that go are anti-joined; only where they are few does Spark
     broadcast them, by their size.
     """
