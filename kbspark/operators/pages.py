@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FIELD = "struct<scalar:string,list:array<string>>"
+from kbspark.session import configure
+
+def _strip(text: Column) -> Column:
+    """Without white space at both ends, by Unicode and the four separator controls."""
+    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
 def decode(content: Column) -> Column:
@@ -22,6 +26,7 @@ def parse_pages(texts: DataFrame, id_col: str = "name", text_col: str = "text")
     colon or has an empty key makes the page unparseable, as does a missing end. [a, b] is a
     list; a repeated key's last value wins. All in array expressions: no shuffle, no Python.
     """
+    configure(texts.sparkSession)  # a map's repeated key: the last wins
     lines = F.split(F.col(text_col), "\n")
     end = F.array_position(F.slice(F.col("lines"), 2, F.greatest(F.size("lines") - 1, F.lit(0))), "---")
     step = F.col("lines")[0] == "---"
@@ -31,14 +36,14 @@ def parse_pages(texts: DataFrame, id_col: str = "name", text_col: str = "text")
     start = F.struct(F.array().cast(f"array<{entry}>").alias("done"), F.lit(False).alias("open"), F.lit(True).alias("ok"))
 
     def rest_of(x: Column) -> Column:
-        return F.trim(F.regexp_replace(x, "^[^:]*:", ""))
+        return _strip(F.regexp_replace(x, "^[^:]*:", ""))
 
     def add(s: Column, x: Column) -> Column:
         done, is_open = s["done"], s["open"]
-        key, rest = F.trim(F.substring_index(x, ":", 1)), rest_of(x)
-        inner = F.trim(F.regexp_replace(F.regexp_replace(rest, r"^\[", ""), r"\]$", ""))
+        key, rest = _strip(F.substring_index(x, ":", 1)), rest_of(x)
+        inner = _strip(F.regexp_replace(F.regexp_replace(rest, r"^\[", ""), r"\]$", ""))
         inline = rest.startswith("[") & rest.endswith("]") & (F.length(rest) >= 2)
-        items = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(inner, ","), lambda v: F.trim(v)))
+        items = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(inner, ","), lambda v: _strip(v)))
         fresh = F.struct(key.alias("key"), F.when(~inline, rest).alias("scalar"), F.when(inline, items).alias("list"), (rest == "").alias("open")).cast(entry)
         last = F.element_at(done, -1)
         grown = F.struct(last["key"].alias("key"), F.lit(None).cast("string").alias("scalar"), F.concat(F.coalesce(last["list"], F.array().cast("array<string>")), F.array(F.substring(x, 5, 1 << 30))).alias("list"), last["open"].alias("open")).cast(entry)
@@ -46,7 +51,7 @@ def parse_pages(texts: DataFrame, id_col: str = "name", text_col: str = "text")
         good_head = head(x) & (key != "") & ~x.rlike("^[ \t]")
         state = lambda d, o, ok: F.struct(d.alias("done"), o.alias("open"), ok.alias("ok"))
         return (
-            F.when(F.trim(x) == "", state(done, F.lit(False), s["ok"]))
+            F.when(_strip(x) == "", state(done, F.lit(False), s["ok"]))
             .when(item(x) & is_open, state(more, F.lit(True), s["ok"]))
             .when(good_head, state(F.concat(done, F.array(fresh)), rest == "", s["ok"]))
             .otherwise(state(done, F.lit(False), F.lit(False)))

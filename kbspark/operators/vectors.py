@@ -85,14 +85,14 @@ def _nearest(ids: list, kinds: list, block: np.ndarray, k: int):
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query, name, score, rank): the k vectors nearest each query, of the query's kind if it has one.
 
-    Queries (query string, kind string or null, embedding) go out in blocks of QUERY_BLOCK,
-    a fixed size, and a task multiplies its batches by a block and keeps k rows a query (and
+    Queries (query string, kind string or null, embedding) go out in hashed blocks of about
+    QUERY_BLOCK, whatever their number, and a task multiplies its batches by a block and keeps k rows a query (and
     ties) before anything is shuffled. The kind is a filter before k. Ties go by name.
     """
     found = None
-    for block in range(max(1, -(-queries.count() // QUERY_BLOCK))):
-        w = Window.orderBy("query")
-        part = queries.withColumn("n", F.row_number().over(w)).where((F.col("n") > block * QUERY_BLOCK) & (F.col("n") <= (block + 1) * QUERY_BLOCK))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    for block in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block)
         rows = part.select("query", "kind", "embedding").collect()
         matrix = _unit(np.array([r.embedding for r in rows], np.float64).reshape(len(rows), -1))
         near = vectors.select("name", "kind", "embedding").mapInArrow(_nearest([r.query for r in rows], [r.kind for r in rows], matrix, k), "query string, name string, score double")

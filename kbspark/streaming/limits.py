@@ -88,13 +88,13 @@ def limit_log(log: DataFrame, kind: type, limit: int, window: float) -> DataFram
 
 
 class LimitProcessor(StatefulProcessor):
-    """The same for streams: one row of state a client, kept until it has been idle for `ttl_ms`."""
+    """The same for streams: one row of state a client, kept for good or until it has been idle for `ttl_ms`."""
 
-    def __init__(self, kind: type, limit: int, window: float, ttl_ms: int = 86_400_000) -> None:
+    def __init__(self, kind: type, limit: int, window: float, ttl_ms: int | None) -> None:
         self.make, self.ttl_ms = (lambda: kind(limit, window)), ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("limit", "started double, held array<double>", self.ttl_ms)
+        self.state = handle.getValueState("limit", "started double, held array<double>", self.ttl_ms)  # None: no expiry
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         limit = self.make()
@@ -111,6 +111,11 @@ class LimitProcessor(StatefulProcessor):
         pass
 
 
-def limit_stream(log: DataFrame, kind: type, limit: int, window: float) -> DataFrame:
-    """A streaming log (client long, ts seconds): each micro-batch is put in time order per client."""
-    return log.groupBy("client").transformWithStateInPandas(LimitProcessor(kind, limit, window), OUT, "Append", "ProcessingTime")
+def limit_stream(log: DataFrame, kind: type, limit: int, window: float, ttl_ms: int | None = 86_400_000) -> DataFrame:
+    """A streaming log (client long, ts seconds): each micro-batch is put in time order per client.
+
+    Idle clients are forgotten after ttl_ms of processing time. Expiry keeps a query running
+    batches without input, so a run that should end (availableNow) passes None.
+    """
+    mode = "None" if ttl_ms is None else "ProcessingTime"
+    return log.groupBy("client").transformWithStateInPandas(LimitProcessor(kind, limit, window, ttl_ms), OUT, "Append", mode)
