@@ -201,7 +201,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-
     member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     short = F.xxhash64("text_hash")
     wanted = _sieve(texts.select("text_hash", "body", short.alias("short")), "short", member.select(short)).select("text_hash", "body")
-    wanted = wanted.join(member.select("text_hash"), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    # Not a semi join, which the optimiser would move before the sieve; the join below is exact.
+    wanted = wanted.dropDuplicates(["text_hash"])
     placed = member.join(wanted, "text_hash").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "body")
     dealt = placed.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
