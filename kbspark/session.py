@@ -13,11 +13,13 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
+    # What a Python worker holds at a time: rows may be long texts or whole packed buckets.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Put the settings that results depend on; speed settings stay the caller's."""
+    """Put the settings that results and the workers' memory depend on; speed settings stay the caller's."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
@@ -40,7 +42,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    ship(configure(spark))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
