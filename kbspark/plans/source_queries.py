@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as t
 from kbspark.operators import pages as pg
 from kbspark.plans import views as v
 from kbspark.plans.views import with_views
-from kbspark.session import materialise, scratch, table
+from kbspark.session import scratch, table
 from kbspark.sources import store
 
 QUERIES: dict = {}
@@ -26,7 +26,7 @@ def query(sql: str | None = None):
     return add
 
 
-@query(with_views("select digest, arrival, octet_length(data::blob)::bigint as size from sources".replace("octet_length(data::blob)", "strlen(data)"), "sources"))
+@query(with_views("select digest, arrival, strlen(data) as size from sources", "sources"))
 def source_scan(spark: SparkSession, sf: str) -> DataFrame:
     return v.sources(spark, sf).select("digest", "arrival", F.octet_length("data").cast("long").alias("size"))
 
@@ -88,8 +88,6 @@ wanted as (select g.job, g.mode, i.url, 'https://' || i.feed_id || '.example.org
 
 
 def _jobs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    from pyspark.sql import Window
-
     docs = table(spark, sf, "documents").where("source is not null")
     host = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/"))
     items = docs.select(F.col("source").alias("feed_id"), F.concat(host, F.lit("d/"), "doc_id", F.lit("?b="), F.col("doc_id") % 7, F.lit("&gclid=1#f")).alias("url"))

@@ -171,9 +171,6 @@ def vector_gate(spark: SparkSession, sf: str) -> DataFrame:
     return near.crossJoin(F.broadcast(jobs)).where("judged")  # two settings, a fixed size
 
 
-CORPORA = "c as (select *, case when rank <= 3 then 1 end as ok from r), named as (select distinct kind as corpus from vectors)"
-
-
 @query(with_views(", " + ASK + ", p as (select q.query, v.kind as corpus, v.name, row_number() over (partition by q.query, v.kind order by list_cosine_similarity(q.embedding::double[], v.embedding::double[]) desc, v.name) as rank from q join vectors v on true where v.kind <> 'k3') select corpus, query, name, rank::int as rank from p where rank <= 3", "vectors"))
 def rank_in_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return _per_corpus(spark, sf).where("corpus <> 'k3'")
