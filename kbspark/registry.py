@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kbspark.plans import eval_queries, page_queries, source_queries, story_queries, vector_queries
+from kbspark.plans import eval_queries, model_queries, page_queries, source_queries, story_queries, vector_queries
 
-MODULES: list = [source_queries, page_queries, vector_queries, story_queries, eval_queries]
+MODULES: list = [source_queries, page_queries, vector_queries, story_queries, eval_queries, model_queries]
 
 
 def queries() -> dict:
