@@ -44,7 +44,9 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     blank = _BLANK[b]
     start = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
     end = np.flatnonzero(~blank & np.r_[blank[1:], True])
-    total = np.cumsum(_BYTE[_LOWER[b]] * _held["up"][: len(b)])
+    total = _BYTE[_LOWER[b]]  # eight bytes a byte of text: worked on in place
+    total *= _held["up"][: len(b)]
+    np.cumsum(total, out=total)
     sums = total[end] - np.where(start > 0, total[start - 1], np.uint64(0))
     words = mix(sums * _held["down"][start] + (end - start + 1).astype(np.uint64))
     return words, np.diff(np.searchsorted(start, np.r_[0, ends]))
