@@ -1,15 +1,17 @@
 """Hierarchical Pitman-Yor language model: word restaurants by context, sharing one parent.
 
-A word that makes up at least 1 / CONTEXTS of the training tokens opens a restaurant of its own
-for what follows it, and so does the start of a text; what follows any other word is served in
-the parent itself. Seatings are sampled by Gibbs sweeps, predictive probabilities averaged over
-samples. Words are dealt to buckets by their hash, so all restaurants' seats of one word are in
-one bucket; buckets exchange only the tables and customers of each context, a few thousand sums.
+Every word opens a restaurant of its own for what follows it, and so does the start of a text.
+Seatings are sampled by Gibbs sweeps, predictive probabilities averaged over samples. Words are
+dealt to buckets by their hash; of the words that make up 1 / CONTEXTS of the training tokens
+(heavy ones, a matter of layout alone) the seats in other words' restaurants are dealt by context.
+Buckets exchange the tables and customers of each context: of heavy ones as arrays of fixed size,
+of the others through shards by the context's hash.
 """
 
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from kbspark.llm.quality import remainder
 from kbspark.llm.shingles import word_hashes
-from kbspark.session import materialise
+from kbspark.session import materialise, scratch
 
 CONTEXTS = 1024
 BUCKET_BYTES = 20 << 20
@@ -35,9 +37,9 @@ STRENGTH = 0.5
 
 @dataclass(frozen=True)
 class Totals:
-    """What buckets know of one another. c and t have a place for every context, the last for the start."""
+    """What buckets know of one another. c and t have a place for every heavy context, the last for the start."""
 
-    heavy: np.ndarray  # hashes of the words with restaurants of their own, sorted, END among them
+    heavy: np.ndarray  # hashes of the heavy words, sorted, END among them
     tokens: int = 0
     words: int = 0
     c: np.ndarray | None = None
@@ -46,12 +48,16 @@ class Totals:
     root_t: float = 0.0
     discount: float = 0.75
     root_discount: float = 0.75
+    # Of heavy words, whose seats are in several buckets: training count, customers and tables in the parent.
+    heavy_n: np.ndarray | None = None
+    heavy_c: np.ndarray | None = None
+    heavy_t: np.ndarray | None = None
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.savez(out, **arrays)
-    return zstandard.compress(out.getvalue(), 3)
+    return zstandard.compress(out.getbuffer(), 3)
 
 
 def _unpack(data: bytes) -> dict[str, np.ndarray]:
@@ -123,24 +129,30 @@ def _deal(heavy: np.ndarray, buckets: int):
                 slice_id += 1
                 # The texts' keys travel once; buckets know a text by its slice and place.
                 out = [(slice_id % buckets, _pack(kind=np.array(2), slice=np.array(slice_id), keys=keys[start:end]))]
-                # Heavy words: only the slice's counts by (context, word) of training texts leave it.
-                use = (place >= 0) & learnt
+                # Heavy words after heavy ones: only the slice's counts by (context, word) of training texts leave it.
+                often = (place >= 0) & (context >= 0)
+                use = often & learnt
                 pair, n = np.unique(place[use].astype(np.int64) * 4096 + (context[use] + 1), return_counts=True)
                 w, u = heavy[pair // 4096], (pair % 4096 - 1).astype(np.int16)
                 home = (w % np.uint64(buckets)).astype(np.int64)
                 for b in np.unique(home):
                     m = home == b
                     out.append((int(b), _pack(kind=np.array(0), w=w[m], u=u[m], n=n[m])))
-                # Other words: every occurrence with its text.
-                w, u, text = (x[place < 0] for x in (word, context, text))
-                home = (w % np.uint64(buckets)).astype(np.int64)
+                # Others: every occurrence with its text; heavy words go to their context's bucket.
+                w, u, place, before, text = (x[~often] for x in (word, context, place, before, text))
+                home = (np.where(place < 0, w, before) % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((w, home))
                 cuts = np.searchsorted(home[order], np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(cuts)):
                     m = order[cuts[b] : cuts[b + 1]]
                     values, index = np.unique(w[m], return_inverse=True)
                     docs, doc = np.unique(text[m], return_inverse=True)
-                    out.append((int(b), _pack(kind=np.array(1), w=values, index=np.diff(index, prepend=0).astype(np.uint8 if len(values) < 2 else np.uint32), u=u[m], doc=doc.astype(np.uint16 if len(docs) <= 65536 else np.uint32), slice=np.array(slice_id), docs=np.diff(docs, prepend=0).astype(np.uint32), train=train[start:end][docs])))
+                    # Contexts by number: the heavy ones' places, then those of this blob.
+                    codes, rare = u[m].astype(np.int64), u[m] < 0
+                    hashes, at = np.unique(before[m][rare], return_inverse=True)
+                    codes[rare] = len(heavy) + 1 + at
+                    codes = codes.astype(np.uint16 if len(heavy) + 1 + len(hashes) <= 65536 else np.uint32)
+                    out.append((int(b), _pack(kind=np.array(1), w=values, index=np.diff(index, prepend=0).astype(np.uint8 if len(values) < 2 else np.uint32), u=codes, ctx=hashes, doc=doc.astype(np.uint16 if len(docs) <= 65536 else np.uint32), slice=np.array(slice_id), docs=np.diff(docs, prepend=0).astype(np.uint32), train=train[start:end][docs])))
                 if out:
                     b, blobs = zip(*out)
                     yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
@@ -148,23 +160,55 @@ def _deal(heavy: np.ndarray, buckets: int):
     return run
 
 
-def _merge(contexts: int):
+def _groups(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[int, list]]:
+    """Rows come ordered by the first column: its value, and the rows' other values, blobs still packed."""
+    now, held = None, []
+    for batch in batches:
+        columns = [batch.column(c) for c in names]
+        for key, *row in zip(*columns):
+            if (key := key.as_py()) != now and held:
+                yield now, held
+                held = []
+            now = key
+            held.append([x.as_py() for x in row])
+    if held:
+        yield now, held
+
+
+SUMS = ("stats", "c", "t", "heavy_n", "heavy_c", "heavy_t")
+MERGED = "bucket int, data binary, seen binary, " + ", ".join(f"{c} array<long>" for c in SUMS)
+SENT = "bucket int, shard int, blob binary"
+SETTLED = SENT + ", " + ", ".join(f"{c} array<long>" for c in SUMS)
+
+
+def _batch(schema: str, rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    columns = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kinds[k]) for c, k in columns], [c for c, _ in columns])
+
+
+def _merge(heavy: np.ndarray, buckets: int):
     """Blobs come ordered by bucket. Out: one row a bucket with its pairs, their texts and first sums."""
+    contexts = len(heavy) + 1
 
-    def one(bucket: int, blobs: list[dict]) -> tuple:
-        w, u, n, doc, places, slices, cuts, heavy_w, heavy_u, heavy_n, keys, key_slices = [], [], [], [], [], [], [0], [], [], [], [], []
+    def one(bucket: int, blobs: list[list]) -> dict:
+        w, u, n, doc, places, slices, cuts, heavy_w, heavy_u, heavy_n, keys, key_slices, ctx, ctx_n = [], [], [], [], [], [], [0], [], [], [], [], [], [], 0
         while blobs:
-            x = blobs.pop()
+            x = _unpack(*blobs.pop())
             if x["kind"] == 0:
                 heavy_w.append(x["w"])
-                heavy_u.append(x["u"])
+                heavy_u.append(x["u"].astype(np.int32))
                 heavy_n.append(x["n"].astype(np.int64))
             elif x["kind"] == 2:
                 keys.append(x["keys"])
                 key_slices.append(np.full(len(x["keys"]), x["slice"]))
             else:
                 w.append(x["w"][np.cumsum(x["index"], dtype=np.int64)])
-                u.append(x["u"])
+                codes = x["u"].astype(np.int32)
+                codes[codes >= contexts] += ctx_n
+                u.append(codes)
+                ctx.append(x["ctx"])
+                ctx_n += len(x["ctx"])
                 n.append(x["train"][x["doc"]].astype(np.int64))
                 doc.append(x["doc"].astype(np.int32) + cuts[-1])
                 places.append(np.cumsum(x["docs"], dtype=np.uint32))
@@ -172,8 +216,17 @@ def _merge(contexts: int):
                 cuts.append(cuts[-1] + len(x["docs"]))
         join = lambda parts, kind: np.concatenate([*parts, np.empty(0, kind)])
         one_each, doc = sum(map(len, w)), join(doc, np.int32)
-        every_w, every_u, n = join(w + heavy_w, np.uint64), join(u + heavy_u, np.int16), join(n + heavy_n, np.int64)
-        del w, u
+        del blobs
+        every_w, every_u, n = join(w + heavy_w, np.uint64), join(u + heavy_u, np.int32), join(n + heavy_n, np.int64)
+        del w, u, heavy_w, heavy_u, heavy_n
+        # Contexts of this bucket by shard and hash, numbered after the heavy ones.
+        ctx, at = np.unique(join(ctx, np.uint64), return_inverse=True)
+        order = np.lexsort((ctx, ctx % np.uint64(buckets)))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        ctx, rare = ctx[order], every_u >= contexts
+        every_u[rare] = contexts + rank[at][every_u[rare] - contexts]
+        del order, rank, at, rare
         order = np.lexsort((every_u, every_w))
         sw, su = every_w[order], every_u[order]
         del every_w, every_u
@@ -185,36 +238,68 @@ def _merge(contexts: int):
         del sw, su, new
         c = np.bincount(pair, n, len(pw)).astype(np.int64)
         pair = pair[:one_each].copy()
-        words, start = np.unique(pw, return_index=True)
-        per_word = np.add.reduceat(c, start) if len(c) else c
-        seated = (c > 0) & (pu >= 0)
-        sums_c, sums_t = (np.bincount(pu[seated], x[seated], contexts).astype(np.int64) for x in (c, np.ones(len(c))))
-        root = np.where(pu >= 0, np.minimum(c, 1), c)
-        root = np.add.reduceat(root, start) if len(c) else root
-        known = per_word > 0
-        stats = [int(c.sum()), int(known.sum()), int(root.sum()), int(known.sum()), *(int((x == k).sum()) for x in (c[seated], root[known]) for k in (1, 2))]
-        data = _pack(w=words, start=start.astype(np.int32), u=pu, c=c, pair=pair, doc=doc, places=join(places, np.uint32), slices=np.array(slices, np.int64), cuts=np.array(cuts), keys=np.concatenate([*keys, np.empty((0, 2), np.int64)]), key_slices=join(key_slices, np.int64))
-        return bucket, data, stats, sums_c, sums_t
+        seen = _pack(pair=pair, doc=doc, places=join(places, np.uint32), slices=np.array(slices, np.int64), cuts=np.array(cuts), keys=np.concatenate([*keys, np.empty((0, 2), np.int64)]), key_slices=join(key_slices, np.int64))
+        del pair, doc, n, keys, key_slices, places
+        # A heavy word is among the words of its own bucket even if all its seats are in others.
+        words = np.union1d(pw, heavy[heavy % np.uint64(buckets) == bucket])
+        start = np.searchsorted(pw, words)
+        word = np.repeat(np.arange(len(words)), np.diff(np.r_[start, len(pw)]))
+        tables, place = np.bincount(word, c > 0, len(words)).astype(np.int64), _place(heavy, words)
+        light, often = tables[place < 0], pu < contexts
+        sums = {k: np.bincount(pu[often], x[often], contexts) for k, x in (("c", c), ("t", c > 0))}
+        sums |= {k: np.bincount(place[place >= 0], x[place >= 0], len(heavy)) for k, x in (("heavy_n", np.bincount(word, c, len(words))), ("heavy_c", tables))}
+        sums["stats"] = np.array([c.sum(), tables.sum(), (light > 0).sum(), (light == 1).sum(), (light == 2).sum(), (c == 1).sum(), (c == 2).sum()])
+        return {"bucket": bucket, "data": _pack(w=words, start=start.astype(np.int32), u=pu, c=c, ctx=ctx), "seen": seen} | {k: x.astype(np.int64) for k, x in sums.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(bucket: int, blobs: list[dict]) -> pa.RecordBatch:
-            columns = zip(one(bucket, blobs), (pa.int32(), pa.large_binary(), *[pa.list_(pa.int64())] * 3))
-            return pa.RecordBatch.from_arrays([pa.array([x], t).cast(pa.binary()) if t == pa.large_binary() else pa.array([x], t) for x, t in columns], ["bucket", "data", "stats", "c", "t"])
+        for bucket, blobs in _groups(batches, "bucket", "blob"):
+            yield _batch(MERGED, [one(bucket, blobs)])
+
+    return run
+
+
+def _by_shard(bucket: int, buckets: int, contexts: int, data: dict[str, np.ndarray], t: np.ndarray) -> list[dict]:
+    """A bucket's customers and tables in its lighter contexts, a row for every shard of contexts."""
+    rare = data["u"] >= contexts
+    c, t = (np.bincount(data["u"][rare] - contexts, x[rare], len(data["ctx"])).astype(np.uint32) for x in (data["c"], t))
+    cuts = np.searchsorted(data["ctx"] % np.uint64(buckets), np.arange(buckets + 1))
+    return [{"bucket": bucket, "shard": k, "blob": _pack(ctx=data["ctx"][i:j], c=c[i:j], t=t[i:j])} for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+
 
-        now, held = None, []
+def _first_sums(buckets: int, contexts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
-                if bucket != now and held:
-                    yield out(now, held)
-                    held = []
-                now = bucket
-                held.append(_unpack(blob.as_py()))
-        if held:
-            yield out(now, held)
+            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data")):
+                a = _unpack(data.as_py())
+                yield _batch(SENT, _by_shard(bucket, buckets, contexts, a, a["c"] > 0))
 
     return run
 
 
+def _sum_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come ordered by shard. Out: for every row its contexts' sums over all buckets, in its order."""
+    for shard, rows in _groups(batches, "shard", "bucket", "blob"):
+        rows = [(bucket, _unpack(x)) for bucket, x in rows]
+        at = np.unique(np.concatenate([x["ctx"] for _, x in rows]), return_inverse=True)[1]
+        c, t = (np.bincount(at, np.concatenate([x[k] for _, x in rows])).astype(np.uint32)[at] for k in ("c", "t"))
+        end = 0
+        for bucket, x in rows:
+            start, end = end, end + len(x["ctx"])
+            yield _batch(SENT, [{"bucket": bucket, "shard": shard, "blob": _pack(shard=np.array(shard), c=c[start:end], t=t[start:end])}])
+
+
+def _told(data: dict[str, np.ndarray], blobs: list[bytes]) -> dict[str, np.ndarray]:
+    """A bucket's arrays with what was sent to it: sums of its contexts (ctx_c, ctx_t) and its state."""
+    told, shards = dict(data), []
+    for x in map(_unpack, blobs):
+        if "shard" in x:
+            shards.append(x)
+        else:
+            told |= x
+    shards.sort(key=lambda x: int(x["shard"]))
+    return told | {f"ctx_{k}": np.concatenate([*(x[k] for x in shards), np.empty(0, np.uint32)]).astype(np.int64) for k in ("c", "t")}
+
+
 def _stirling(discount: float, most: int) -> np.ndarray:
     """log of the generalised Stirling numbers S(c, t), the weight of seating c at t tables."""
     out = np.full((most + 1, most + 1), -np.inf)
@@ -259,29 +344,52 @@ def _seat(rng: np.random.Generator, c: np.ndarray, x: np.ndarray, discount: floa
 class _Bucket:
     """The seats of one bucket's words, and sweeps over them with the other buckets' sums held still."""
 
-    def __init__(self, bucket: int, data: dict[str, np.ndarray], totals: Totals) -> None:
+    def __init__(self, bucket: int, data: dict[str, np.ndarray], totals: Totals, buckets: int = 1) -> None:
         self.a, self.g = data, totals
-        self.rng = np.random.default_rng([11, bucket])
-        u, c = data["u"], data["c"]
+        self.rng = np.random.default_rng([12 if "state_t" in data else 11, bucket])
+        u, c, none = data["u"], data["c"], np.empty(0, np.int64)
         self.word = np.repeat(np.arange(len(data["w"])), np.diff(np.r_[data["start"], len(u)]))
         self.own = u >= 0
-        self.t = np.where(self.own, np.minimum(c, 1), 0)
+        self.t = data.get("state_t", np.where(self.own, np.minimum(c, 1), 0)).astype(np.int64)
         self.direct = np.bincount(self.word, np.where(self.own, 0, c), len(data["w"])).astype(np.int64)
-        self.root_c = self.direct + np.bincount(self.word, self.t, len(data["w"])).astype(np.int64)
-        self.root_t = np.minimum(self.root_c, 1)
         self.base = 1.0 / (totals.words + 1)
-        # The sums of the others: all sums less what this bucket put into them at its first seating.
-        self.rest_t = totals.t - self._by_context(self.t) if totals.t is not None else None
-        self.rest_root_c, self.rest_root_t = totals.root_c - self.root_c.sum(), totals.root_t - self.root_t.sum()
+        # The sums of the others: all sums less what this bucket has put into them.
+        self.customers = np.r_[totals.c, data.get("ctx_c", none)]
+        self.rest_t = np.r_[totals.t, data.get("ctx_t", none)]
+        self.rest_t = self.rest_t - self._by_context(self.t)
+        own_c = self.tables_of_words()
+        self.place, self.rest_c = np.full(len(own_c), -1), np.zeros(len(own_c), np.int64)
+        self.home = data["w"] % np.uint64(buckets) == np.uint64(bucket % buckets)
+        if totals.heavy_c is not None:
+            self.place = _place(totals.heavy, data["w"])
+            self.home |= self.place < 0
+            split = self.place >= 0
+            self.rest_c[split] = totals.heavy_c[self.place[split]] - own_c[split]
+        self.root_c = own_c + self.rest_c
+        self.root_t = np.minimum(self.root_c, 1)
+        if "state_root" in data:
+            self.root_t = data["state_root"].astype(np.int64)
+        away = ~self.home
+        if away.any():
+            self.root_t[away] = totals.heavy_t[self.place[away]]
+        self.rest_root_c, self.rest_root_t = totals.root_c - own_c.sum(), totals.root_t - self.root_t[self.home].sum()
         self.tables = _stirling(totals.discount, EXACT), _stirling(totals.root_discount, EXACT)
 
     def _by_context(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.a["u"][self.own], x[self.own], len(self.g.heavy) + 1)
+        return np.bincount(self.a["u"][self.own], x[self.own], len(self.rest_t))
+
+    def tables_of_words(self) -> np.ndarray:
+        """What this bucket's seats put into the parent."""
+        return self.direct + np.bincount(self.word, self.t, len(self.direct)).astype(np.int64)
+
+    def sums(self) -> tuple[float, float]:
+        """Customers and tables of the whole parent."""
+        return self.rest_root_c + (self.root_c - self.rest_c).sum(), self.rest_root_t + self.root_t[self.home].sum()
 
     def parent(self) -> np.ndarray:
         """Predictive probability of each word in the parent restaurant."""
         g = self.g
-        c, t = self.rest_root_c + self.root_c.sum(), self.rest_root_t + self.root_t.sum()
+        c, t = self.sums()
         return (self.root_c - g.root_discount * self.root_t + (STRENGTH + g.root_discount * t) * self.base) / (STRENGTH + c)
 
     def contexts(self) -> np.ndarray:
@@ -293,63 +401,65 @@ class _Bucket:
         rows = np.flatnonzero(self.own & (c > 1))
         x = np.log(STRENGTH + g.discount * self.contexts()[u[rows]]) + np.log(p[self.word[rows]])
         self.t[rows] = _seat(self.rng, c[rows], x, g.discount, self.tables[0])
-        self.root_c = self.direct + np.bincount(self.word, self.t, len(p)).astype(np.int64)
-        x = np.full(len(p), np.log(STRENGTH + g.root_discount * (self.rest_root_t + self.root_t.sum())) + np.log(self.base))
-        self.root_t = _seat(self.rng, self.root_c, x, g.root_discount, self.tables[1])
+        self.root_c = self.tables_of_words() + self.rest_c
+        home = np.flatnonzero(self.home)
+        x = np.full(len(home), np.log(STRENGTH + g.root_discount * self.sums()[1]) + np.log(self.base))
+        self.root_t[home] = _seat(self.rng, self.root_c[home], x, g.root_discount, self.tables[1])
 
     def predictive(self) -> tuple[np.ndarray, np.ndarray]:
         """Of every pair, given its context; and of every word in the parent."""
         g, c, u, p = self.g, self.a["c"], self.a["u"], self.parent()
-        total, tables = g.c[u], self.contexts()[u]
+        total, tables = self.customers[u], self.contexts()[u]
         own = (c - g.discount * self.t + (STRENGTH + g.discount * tables) * p[self.word]) / (STRENGTH + total)
         return np.where(self.own & (total > 0), own, p[self.word]), p
 
 
-def _settle(totals: Totals):
-    """First chain: burn in and report the sums it ends with."""
+def _settle(totals: Totals, buckets: int):
+    """Burn in, and report the seats and the sums this ends with."""
+    contexts = len(totals.heavy) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data")):
-                b = _Bucket(bucket, _unpack(data.as_py()), totals)
+            for bucket, data, told in zip(batch.column("bucket").to_pylist(), batch.column("data"), batch.column("told")):
+                a = _told(_unpack(data.as_py()), told.as_py() or [])
+                b = _Bucket(bucket, a, totals, buckets)
                 for _ in range(BURN):
                     b.sweep()
-                sums = [[int(b.root_c.sum()), int(b.root_t.sum())], b._by_context(b.t).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.int64())) for x in sums], ["stats", "t"])
+                own_c, heavy = b.root_c - b.rest_c, b.place >= 0
+                sums = {"stats": [int(own_c.sum()), int(b.root_t[b.home].sum())], "t": b._by_context(b.t)[:contexts].astype(np.int64)}
+                for k, x in (("heavy_c", own_c), ("heavy_t", np.where(b.home, b.root_t, 0))):
+                    sums[k] = np.bincount(b.place[heavy], x[heavy], len(totals.heavy)).astype(np.int64)
+                state = {"bucket": bucket, "shard": -1, "blob": _pack(state_t=b.t.astype(np.uint32), state_root=b.root_t.astype(np.uint32))}
+                yield _batch(SETTLED, [state | sums, *_by_shard(bucket, buckets, contexts, a, b.t)])
 
     return run
 
 
-SCORES = "slice long, word int, context int, n long, base double, score double, blob binary"
+SCORES = "slice long, word int, context int, score double, blob binary"
 
 
-def _score(totals: Totals, first: Totals):
-    """Second chain: averaged predictive probabilities, summed by text; heavy words as a table."""
+def _score(totals: Totals, buckets: int):
+    """The chain goes on: averaged predictive probabilities, summed by text; heavy words after heavy ones as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCORES.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.binary()]
 
         def rows(**columns) -> pa.RecordBatch:
             n = len(next(iter(columns.values())))
             return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds)], names)
 
         for batch in batches:
-            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data")):
-                a = _unpack(data.as_py())
-                b = _Bucket(bucket, a, first)
-                # The others' sums are those their first chains ended with, not their first seating.
-                for _ in range(BURN):
-                    b.sweep()
-                b.rest_t, b.g = totals.t - b._by_context(b.t), totals
-                b.rest_root_c, b.rest_root_t = totals.root_c - b.root_c.sum(), totals.root_t - b.root_t.sum()
+            for bucket, data, seen, told in zip(batch.column("bucket").to_pylist(), batch.column("data"), batch.column("seen"), batch.column("told")):
+                a = _told(_unpack(data.as_py()) | _unpack(seen.as_py()), told.as_py() or [])
+                b = _Bucket(bucket, a, totals, buckets)
                 pairs, words = np.zeros(len(a["u"])), np.zeros(len(a["w"]))
                 for _ in range(SAMPLES):
                     b.sweep()
                     p, q = b.predictive()
                     pairs += p / SAMPLES
                     words += q / SAMPLES
-                count = np.bincount(b.word, a["c"], len(a["w"]))
+                count = np.where(b.place < 0, np.bincount(b.word, a["c"], len(a["w"])), totals.heavy_n[b.place])
                 base = np.log10(count + 1)
                 doc, w, k = a["doc"], b.word[a["pair"]], len(a["places"])
                 sums = {"n": np.bincount(doc, minlength=k).astype(np.uint32), "known": np.bincount(doc, count[w] > 0, k).astype(np.uint32), "base": np.bincount(doc, base[w], k), "score": np.bincount(doc, np.log10(pairs)[a["pair"]], k)}
@@ -360,15 +470,13 @@ def _score(totals: Totals, first: Totals):
                 ends = np.flatnonzero(np.r_[np.diff(a["key_slices"]) != 0, True])[: len(a["keys"])]
                 if len(ends):
                     yield rows(slice=a["key_slices"][ends], blob=[_pack(keys=a["keys"][i:j]) for i, j in zip(np.r_[0, ends[:-1] + 1], ends + 1)])
-                place = _place(totals.heavy, a["w"])
-                pick, hw = np.flatnonzero(place[b.word] >= 0), np.flatnonzero(place >= 0)
+                hw = np.flatnonzero((b.place >= 0) & b.home)
+                pick = np.flatnonzero((b.place[b.word] >= 0) & (a["u"] <= len(totals.heavy)))
                 # Heavy words: a row for each pair, and one for each word in the parent (context -2).
                 if len(hw):
                     yield rows(
-                        word=np.r_[place[b.word[pick]], place[hw]],
+                        word=np.r_[b.place[b.word[pick]], b.place[hw]],
                         context=np.r_[a["u"][pick].astype(np.int32), np.full(len(hw), -2, np.int32)],
-                        n=np.r_[a["c"][pick], count[hw].astype(np.int64)],
-                        base=np.r_[base[b.word[pick]], base[hw]],
                         score=np.r_[pairs[pick], words[hw]],
                     )
 
@@ -400,7 +508,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _heavy_part(heavy: np.ndarray, log_p: np.ndarray, base: np.ndarray, known: np.ndarray):
-    """Of every text: its tokens, and the sums over its heavy tokens from the table log_p[context, word]."""
+    """Of every text: its tokens, and the sums over its heavy tokens after heavy ones from the table log_p[context, word]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -408,15 +516,22 @@ def _heavy_part(heavy: np.ndarray, log_p: np.ndarray, base: np.ndarray, known: n
             for start, end in _slices(texts):
                 word, before, text = _tokens(texts[start:end])
                 place, context = _place(heavy, word), _context(heavy, before)
-                k, at = end - start, place >= 0
+                k, at = end - start, (place >= 0) & (context >= 0)
                 w, u, d = place[at], context[at], text[at]
                 n = np.bincount(text, minlength=k)
-                sums = [n, n - np.bincount(d, minlength=k), np.bincount(d, known[w], k).astype(np.int64), np.bincount(d, base[w], k), np.bincount(d, log_p[u, w], k)]
+                sums = [n, n - np.bincount(d, minlength=k), np.bincount(d, known[w], k).astype(np.int64), *(np.bincount(d, x, k).astype(np.float64) for x in (base[w], log_p[u, w]))]
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(start, k), *map(pa.array, sums)], ["row", "n", "rare", "known", "base", "score"])
 
     return run
 
 
+def _kept_by_bucket(df: DataFrame, parts: int) -> DataFrame:
+    """As materialise(), with rows filed by bucket, so that joins on it leave them where they are."""
+    name = f"kb_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts, "bucket").sortBy("bucket").option("path", scratch(df.sparkSession)).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def _sum_lists(df: DataFrame, *names: str) -> list[np.ndarray]:
     """Sums by place of array columns; as many rows reach the driver as an array has places."""
     out = []
@@ -441,10 +556,11 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     empty, which is one end. Rows that repeat id and text share sums and get the same score.
     Without training rows every token has probability 1. No rows give no rows.
 
-    Text is read three times and never shuffled: occurrences of words below 1 / CONTEXTS go
-    to their bucket as packed arrays, buckets of about BUCKET_BYTES of text each, and sums by
-    text come back; more frequent words send counts only and are scored beside the text from
-    a table bounded by CONTEXTS squared. Draws depend on bucket and seed alone.
+    Text is read three times and never shuffled: occurrences of words below 1 / CONTEXTS, or
+    after such words, go to their bucket as packed arrays, buckets of about BUCKET_BYTES of
+    text each, and sums by text come back; frequent words after frequent ones send counts only
+    and are scored beside the text from a table bounded by CONTEXTS squared. Buckets keep their
+    rows: only sums by context travel between rounds. Draws depend on bucket and seed alone.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text_col), F.lit(""))
@@ -459,29 +575,43 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     contexts = len(heavy) + 1
     blobs = rows.mapInArrow(_deal(heavy, buckets), "bucket int, blob binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
-    merged = blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge(contexts), "bucket int, data binary, stats array<long>, c array<long>, t array<long>")
-    merged = materialise(merged)
-    stats, c, t = _sum_lists(merged, "stats", "c", "t")
+    merged = blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge(heavy, buckets), MERGED)
+    merged = _kept_by_bucket(merged, parts)
+
+    def told(sent: DataFrame, *more: DataFrame) -> DataFrame:
+        """Buckets beside what shards, or they themselves before, have sent them."""
+        replies = sent.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_sum_shards, SENT).select("bucket", "blob")
+        for x in more:
+            replies = replies.unionByName(x)
+        replies = replies.repartition(parts, "bucket").groupBy("bucket").agg(F.collect_list("blob").alias("told"))
+        return merged.select("bucket", "data", "seen").join(replies.hint("merge"), "bucket", "left")
+
+    stats, c, t, heavy_n, heavy_c = _sum_lists(merged, "stats", "c", "t", "heavy_n", "heavy_c")
     if not len(stats):
-        stats, c, t = np.zeros(8), np.zeros(contexts), np.zeros(contexts)
-    first = Totals(heavy, int(stats[0]), int(stats[1]), c, t, stats[2], stats[3], _discount(*stats[4:6]), _discount(*stats[6:8]))
-    seats = merged.select("bucket", "data")
-    root, t = _sum_lists(materialise(seats.mapInArrow(_settle(first), "stats array<long>, t array<long>")), "stats", "t")
-    settled = replace(first, t=t, root_c=root[0], root_t=root[1]) if len(root) else first
-    sums = materialise(seats.mapInArrow(_score(settled, first), SCORES))
-    table = sums.where("word is not null").select("word", "context", "n", "base", "score").collect()  # at most CONTEXTS * (CONTEXTS + 3) rows
-    p, base, count = np.full(len(heavy), 1.0 / (first.words + 1)), np.zeros(len(heavy)), np.zeros(len(heavy))
+        stats, c, t, heavy_n, heavy_c = np.zeros(7), np.zeros(contexts), np.zeros(contexts), np.zeros(len(heavy)), np.zeros(len(heavy))
+    words = int(stats[2] + (heavy_c > 0).sum())
+    root_discount = _discount(*(stats[2 + k] + (heavy_c == k).sum() for k in (1, 2)))
+    first = Totals(heavy, int(stats[0]), words, c, t, stats[1], words, _discount(*stats[5:7]), root_discount, heavy_n, heavy_c, np.minimum(heavy_c, 1))
+    sent = merged.select("bucket", "data").mapInArrow(_first_sums(buckets, contexts), SENT)
+    state = materialise(told(sent).select("bucket", "data", "told").mapInArrow(_settle(first, buckets), SETTLED))
+    root, t, heavy_c, heavy_t = _sum_lists(state, "stats", "t", "heavy_c", "heavy_t")
+    settled = replace(first, t=t, root_c=root[0], root_t=root[1], heavy_c=heavy_c, heavy_t=heavy_t) if len(root) else first
+    seats = told(state.where("shard >= 0").select("bucket", "shard", "blob"), state.where("shard < 0").select("bucket", "blob"))
+    sums = materialise(seats.mapInArrow(_score(settled, buckets), SCORES))
+    table = sums.where("word is not null").select("word", "context", "score").collect()  # at most CONTEXTS * (CONTEXTS + 3) rows
+    p = np.full(len(heavy), 1.0 / (first.words + 1))
     for r in table:
         if r.context == -2:
-            p[r.word], base[r.word], count[r.word] = r.score, r.base, r.n
+            p[r.word] = r.score
+    base = np.log10(heavy_n + 1)
     back = np.where(c > 0, (STRENGTH + first.discount * settled.t) / (STRENGTH + c), 1.0)
-    prob = np.vstack([back[:, None] * p[None, :], p[None, :]])  # the last row, place -1, is the parent itself
+    prob = back[:, None] * p[None, :]
     for r in table:
         if r.context != -2:
             prob[r.context, r.word] = r.score
     kind = docs.schema[id_col].dataType.simpleString()
     light = rows.select(F.struct("own", "id", "text_hash").alias("row"), "body")
-    light = light.mapInArrow(_heavy_part(heavy, np.log10(prob), base, (count > 0).astype(float)), f"row struct<own:{kind},id:long,text_hash:long>, n long, rare long, known long, base double, score double")
+    light = light.mapInArrow(_heavy_part(heavy, np.log10(prob), base, (heavy_n > 0).astype(float)), f"row struct<own:{kind},id:long,text_hash:long>, n long, rare long, known long, base double, score double")
     rare = sums.where("blob is not null").select("slice", "blob").repartition("slice").sortWithinPartitions("slice").mapInArrow(_gather, "id long, text_hash long, n long, known long, base double, score double")
     rare = rare.groupBy("id", "text_hash").agg(F.sum("n").alias("all"), F.sum("known").alias("k"), F.sum("base").alias("b"), F.sum("score").alias("s"))
     out = light.select("row.own", "row.id", "row.text_hash", "n", "rare", "known", "base", "score").join(rare, ["id", "text_hash"], "left")

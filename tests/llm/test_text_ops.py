@@ -204,3 +204,17 @@ def test_predictive_probabilities_sum_to_one():
         p = b.parent()
         unknown = (0.5 + totals.root_discount * b.root_t.sum()) * b.base / (0.5 + b.root_c.sum())
         assert abs(p.sum() + unknown - 1) < 1e-9
+
+
+def test_pitman_yor_learns_what_follows_rare_words(spark):
+    """Each of 3000 words, all under the frequent words' share, is always followed by its own one."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(6000)]
+    rng.shuffle(words)
+    follows = dict(zip(words[::2], words[1::2]))
+    text = lambda: " ".join(x for w in rng.choices(words[::2], k=100) for x in (w, follows[w], "the"))
+    rows = [(i, text()) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pitman_yor.score_texts(docs, ~pitman_yor.held_out(F.col("doc_id"))).where(pitman_yor.held_out(F.col("doc_id"))).collect()
+    # A pair is one draw of 3000 and two sure tokens; unigrams pay for each of the two rare words.
+    assert len(got) > 100 and sum(r.score for r in got) / sum(r.n_tokens for r in got) > 0.55 * math.log10(1 / 3000)
