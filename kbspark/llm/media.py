@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -115,20 +116,35 @@ def _bmp(b: memoryview) -> int:
     return size if header in (12, 40, 108, 124) and 14 + header <= start <= size <= len(b) else 0
 
 
+def _zip_ends(b: memoryview) -> Iterator[tuple[int, int, int]]:
+    """Where each end record says that its archive starts, where its directory stands (none: -1), and the archive's end."""
+    for m in re.finditer(rb"PK\x05\x06", b):
+        if m.start() + 22 <= len(b):
+            size, start, note = struct.unpack_from("<IIH", b, m.start() + 12)
+            yield m.start() - size - start, m.start() - size if size else -1, m.start() + 22 + note
+
+
 def _zip(b: memoryview) -> int:
-    data = bytes(b)
-    end = data.find(b"PK\x05\x06")
-    if end < 0 or end + 22 > len(data):
-        return 0
-    size, start, note = struct.unpack_from("<IIH", data, end + 12)
-    ok = start + size == end and (size == 0 or data[start : start + 4] == b"PK\x01\x02")
-    return end + 22 + note if ok and end + 22 + note <= len(data) else 0
+    # Stored archives have end records of their own; the right one counts from this start.
+    for start, directory, end in _zip_ends(b):
+        if start == 0 and end <= len(b) and (directory < 0 or b[directory : directory + 4] == b"PK\x01\x02"):
+            return end
+    return 0
 
 
 def _pdf(b: memoryview) -> int:
-    data = bytes(b)
-    end = data.find(b"%%EOF")
-    return end + 5 if end > 0 and data.find(b"startxref", 0, end) > 0 else 0
+    # Each save adds a section that ends in the place of its cross-references, from this file's start.
+    last = first = before = 0
+    header = next((m.start() for m in re.finditer(rb"%PDF-", b) if m.start()), len(b))
+    for m in re.finditer(rb"startxref\s+([0-9]{1,15})\s+%%EOF", b):
+        # Behind another file's header only a place behind it too is this file's own.
+        place = int(m[1])
+        if (m.end() <= header or header < place < len(b)) and re.compile(rb"xref\b|[0-9]+\s+[0-9]+\s+obj\b").match(b, min(place, len(b))):
+            last = m.end()
+        first = first or m.end()
+        before = m.end() if m.end() <= header else before
+    # Where no place holds: the last end before another file's header, or else the first one.
+    return last or before or first
 
 
 def _gzip(b: memoryview) -> int:
@@ -174,16 +190,26 @@ VALIDATORS = {
 
 
 def sniff(data: bytes) -> list[tuple[str, int, int]]:
-    """(type, offset, length) of every media in data whose structure and length hold, outermost first."""
-    found, free = [], 0
+    """(type, offset, length) of every media in data whose structure and length hold, by offset; those inside others too."""
+    found, around, archives = [], [], None
     view = memoryview(data)
     for end, (back, kind) in _automaton().iter(data.decode("latin-1")):
         at = end + 1 - back
-        if at < free or at < 0:
+        if at < 0:
+            continue
+        while around and around[-1][1] <= at:
+            around.pop()
+        # Members of an archive and pages of a stream have its signature; they are no media of their own.
+        if kind == "application/zip":
+            archives = {start for start, _, _ in _zip_ends(view)} if archives is None else archives
+            if at not in archives:
+                continue
+        if kind == "audio/ogg" and around and around[-1][0] == kind:
             continue
-        if length := VALIDATORS[kind](view[at:]):
+        # What lies inside another media ends there at the latest.
+        if length := VALIDATORS[kind](view[at : around[-1][1]] if around else view[at:]):
             found.append((kind, at, length))
-            free = at + length
+            around.append((kind, at + length))
     return found
 
 
@@ -221,8 +247,8 @@ def sniff_media(media: DataFrame, id_col: str = "id", data_col: str = "data", de
     """One row per input row: id, data, type, corrected, carved array<type, offset, length, sha256>.
 
     One automaton pass over the bytes finds the magic bytes of all formats, and a format's
-    validator walks its structure (chunks, checksums, lengths) before a span counts. A span
-    inside a valid one is part of it. type is that of the media at offset 0; without one a
+    validator walks its structure (chunks, checksums, lengths) before a span counts. Spans
+    inside valid ones are carved too and follow them. type is that of the media at offset 0; without one a
     declared type of a known format becomes application/octet-stream and any other declared
     type stays. Null or empty bytes have no spans. A map over the rows: no shuffle.
     """

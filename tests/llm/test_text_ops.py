@@ -218,3 +218,22 @@ def test_pitman_yor_learns_what_follows_rare_words(spark):
     got = pitman_yor.score_texts(docs, ~pitman_yor.held_out(F.col("doc_id"))).where(pitman_yor.held_out(F.col("doc_id"))).collect()
     # A pair is one draw of 3000 and two sure tokens; unigrams pay for each of the two rare words.
     assert len(got) > 100 and sum(r.score for r in got) / sum(r.n_tokens for r in got) > 0.55 * math.log10(1 / 3000)
+
+
+def test_sniffing_inside_media_and_whole_lengths(spark):
+    found = samples()
+    png, gif, inner = found["image/png"], found["image/gif"], found["application/zip"]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("inner.zip", inner)
+        z.writestr("a.png", png)
+    assert [(k, n) for k, _, n in media.sniff(out.getvalue())] == [("application/zip", len(out.getvalue())), ("application/zip", len(inner)), ("image/png", len(png))]
+    first = b"%PDF-1.4\nxref\n0 1\nstartxref\n9\n%%EOF\n"
+    saved = first + b"xref\n0 1\nstartxref\n%d\n%%%%EOF" % len(first)
+    assert media.sniff(saved + b" junk " + first) == [("application/pdf", 0, len(saved)), ("application/pdf", len(saved) + 6, len(first) - 1)]
+    held = b"%PDF-1.4\n" + first + gif + b"\nxref\n0 1\nstartxref\n%d\n%%%%EOF" % (10 + len(first) + len(gif))
+    assert [(k, n) for k, _, n in media.sniff(held)] == [("application/pdf", len(held)), ("application/pdf", len(first) - 1), ("image/gif", len(gif))]
+    page = lambda flag: b"OggS\0" + bytes([flag]) + bytes(20) + b"\1\4abcd"
+    assert media.sniff(page(2) + page(0) + page(4)) == [("audio/ogg", 0, 3 * len(page(0)))]
+    rows = media.document_media(docs_of(spark, ["plain", first.decode()])).collect()
+    assert sorted(r.feature.split()[-1] for r in rows) == ["embedded=0", "embedded=1"]
