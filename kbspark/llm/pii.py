@@ -39,9 +39,9 @@ NUMBERED = re.compile(
         [
             r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24})",
             r"(?P<key>\bAKIA[0-9A-Z]{16}\b)",
-            r"(?:\b(?:token|secret|password|passwd|api_?key|access_?key)\b\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9_/+-]{16,128})",
+            r"(?:\b(?i:token|secret|password|passwd|api_?key|access_?key)\b\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9_/+-]{16,})",
             r"(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
-            r"(?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-]))",
+            r"(?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,12}(?:[ .-][0-9]{1,12}){0,7}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-]))",
             r"(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))",
             r"(?P<ip>(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9]))",
             r"(?P<card>(?<![0-9])(?:[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|[0-9]{13,19})(?![0-9]))",
@@ -54,7 +54,8 @@ PERSON = re.compile(
 )
 # Quick looks that most texts fail, before the patterns above.
 _DIGIT = re.compile("[0-9@]")
-_WORDS = ("AKIA", "token", "secret", "passw", "key")
+_WORDS = ("akia", "token", "secret", "passw", "key")
+_ALONE = re.compile(rf"(?<!\w){_CAPITAL}(?!\w)")
 
 
 @lru_cache(maxsize=1)
@@ -82,19 +83,43 @@ def luhn(digits: str) -> int:
     return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10
 
 
+def _named_secret(text: str) -> bool:
+    return any(w in text for w in _WORDS)
+
+
+def _digits(value: str) -> str:
+    return ("+" if value[0] == "+" else "") + re.sub("[^0-9]", "", value)
+
+
+def _phone(value: str) -> str:
+    """A number without the groups behind it: those over 15 digits, and single digits after 10."""
+    while value[0] == "+" and (cut := re.search("[ .-][0-9]+$", value)):
+        n = len(_digits(value)) - 1
+        single = len(cut.group()) == 2 and cut.group()[0] != "-" and n > 10
+        if n <= 15 and not single:
+            break
+        value = value[: cut.start()]
+    return value
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, normal form) of the entities of a text; mentions of one entity share the last two."""
     out = []
-    if _DIGIT.search(text) or any(w in text for w in _WORDS):
-        for m in NUMBERED.finditer(text):
+    if _DIGIT.search(text) or _named_secret(text.lower()):
+        at = 0
+        while m := NUMBERED.search(text, at):
             kind = "card" if m.lastgroup == "gap" else m.lastgroup
+            start, at = m.span(kind)
             value = m.group(kind)
+            if kind == "phone":
+                value = _phone(value)
+                at = start + len(value)
             if kind in ("phone", "card", "ssn"):
-                form = ("+" if value[0] == "+" else "") + re.sub("[^0-9]", "", value)
+                form = _digits(value)
                 if kind != "phone" or 7 <= len(form.lstrip("+")) <= 15:
-                    out.append((*m.span(kind), kind, form))
+                    out.append((start, at, kind, form))
             else:
-                out.append((*m.span(kind), kind, value.lower() if kind == "email" else value.replace(" ", "")))
+                out.append((start, at, kind, value.lower() if kind == "email" else value.replace(" ", "")))
     if _may_name(text):
         for m in PERSON.finditer(text):
             kind = "titled" if m.group("titled") else "named"
@@ -109,8 +134,15 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 else:
                     form = f"family-{_script(w)}"
                 out.append((at + word.start(), at + word.end(), form, w))
-        out.sort()
-        out = [x for i, x in enumerate(out) if i == 0 or x[0] >= max(y[1] for y in out[max(0, i - 4) : i])]
+        # A surname stands for its person in the rest of the text as well.
+        families = {w: form for *_, form, w in out if form.startswith("family-")}
+        if families:
+            out += [(*m.span(), families[m.group()], m.group()) for m in _ALONE.finditer(text) if m.group() in families]
+        every, out, end = sorted(set(out), key=lambda x: (x[0], -x[1])), [], 0
+        for x in every:
+            if x[0] >= end:
+                out.append(x)
+                end = x[1]
     return out
 
 
@@ -247,7 +279,7 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
 
     Emails, phone numbers, card, social security and account numbers, IP addresses, access
     keys and secrets, and names of persons (after a title, or a known given name before a
-    surname) are replaced; what no pattern finds is left as it is, byte for byte. An entity
+    surname, and that surname alone elsewhere in the text) are replaced; what no pattern finds is left as it is, byte for byte. An entity
     has one surrogate in all documents and forms of writing, and different entities have
     different ones. Surrogates keep shape, separators, letter case, country code, card
     check and issuer digit, private networks, and a name's script and gender. The same key

@@ -237,3 +237,24 @@ def test_sniffing_inside_media_and_whole_lengths(spark):
     assert media.sniff(page(2) + page(0) + page(4)) == [("audio/ogg", 0, 3 * len(page(0)))]
     rows = media.document_media(docs_of(spark, ["plain", first.decode()])).collect()
     assert sorted(r.feature.split()[-1] for r in rows) == ["embedded=0", "embedded=1"]
+
+
+def test_pii_long_secrets_short_phone_groups_and_bare_surnames(spark):
+    rng = random.Random(3)
+    secret = "".join(rng.choice("abcdefghij0123456789") for _ in range(400))
+    texts = [
+        f"API_KEY={secret}. Token: {secret[:40]}",
+        "call +33 1 23 45 67 89 or +1 (726) 555-7857 3 times, +46 8 123 456 78",
+        "Mr. Walker came. Then Walker said: Walker's dog, walkers, Walkerton",
+        "Walker@mail.example.com wrote to Mr. Walker",
+        "PASSWORD = Abcdefghijklmnopqrst",
+        "+1 726 555 7857 4325 4048 9316 7225",
+    ]
+    got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), b"k").collect()}
+    assert not any(secret[i : i + 12] in got[0].text for i in range(len(secret) - 12)) and len(got[0].text) == len(texts[0]) and got[0].n_entities == 2
+    assert re.fullmatch(r"call \+33( \d+){5} or \+1 \(\d{3}\) \d{3}-\d{4} 3 times, \+46 \d( \d{2,3}){3}", got[1].text) and "23 45 67" not in got[1].text and "123 456" not in got[1].text
+    name = re.match(r"Mr\. (\w+) came", got[2].text)[1]
+    assert name != "Walker" and got[2].text == f"Mr. {name} came. Then {name} said: {name}'s dog, walkers, Walkerton"
+    assert "Walker" not in got[3].text and "mail.example" not in got[3].text and got[3].text.endswith(name)
+    assert "Abcdefgh" not in got[4].text and got[4].n_entities == 1
+    assert "555 7857" not in got[5].text
