@@ -2,7 +2,7 @@
 
 embed_fn      Callable[[pd.Series], pd.Series]: texts to vectors, in order, one dimension.
 summarize_fn  Callable[[Column], Column]: a source's text to a page reply (or a pandas UDF).
-judge_fn      Callable[[str, list[str]], str | None]: a digest and its candidate stories to one or none.
+judge_fn      Callable[[Page, list[Story]], str | None]: a summary and its candidates in order, with texts, to one name or none.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ def default_summarize(text: Column, sentences: int = 2) -> Column:
     """An extract as a reply: the first words as title, long words as identifiers, the first sentences as body."""
     flat = F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
     title = F.trim(F.regexp_replace(F.substring(flat, 1, 40), "[^A-Za-z0-9 .,]", ""))
-    terms = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("([A-Za-z]{14,17})"), F.lit(1)))), 1, 5)
+    terms = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("([A-Za-z]{14,17})"), F.lit(1))))
     listed = F.array_join(F.transform(terms, lambda w: F.concat(F.lit("\n  - term:"), w)), "")
     ids = F.when(F.size(terms) == 0, " []").otherwise(listed)
     lead = F.array_join(F.slice(F.split(flat, r"\. "), 1, sentences), ". ")

@@ -75,9 +75,14 @@ def is_url(text: Column) -> Column:
     return F.coalesce(text.rlike("(?i)^https?:"), F.lit(False))
 
 
+def _decoded(part: Column) -> Column:
+    """Percent-decoded, plus as blank; a percent sign that starts no escape stands for itself."""
+    return F.url_decode(F.regexp_replace(part, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def _recode(part: Column) -> Column:
-    """Percent-decode and encode again, blanks as plus; unlike url_encode, ~ stays and * does not."""
-    return F.replace(F.replace(F.url_encode(F.url_decode(part)), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+    """Decode and encode again, blanks as plus; unlike url_encode, ~ stays and * does not."""
+    return F.replace(F.replace(F.url_encode(_decoded(part)), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
 
 def clean_url(url: Column) -> Column:
@@ -85,7 +90,7 @@ def clean_url(url: Column) -> Column:
     base = F.regexp_extract(url, r"^([^?#]*)", 1)
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     pairs = F.filter(F.split(query, "&"), lambda p: p != "")
-    keys = lambda p: F.lower(F.url_decode(F.substring_index(p, "=", 1)))
+    keys = lambda p: F.lower(_decoded(F.substring_index(p, "=", 1)))
     kept = F.filter(pairs, lambda p: ~(keys(p).startswith("utm_") | keys(p).isin(TRACKING)))
     value = lambda p: F.when(F.instr(p, "=") > 0, F.regexp_replace(p, "^[^=]*=", "")).otherwise("")
     coded = F.array_join(F.transform(kept, lambda p: F.concat(_recode(F.substring_index(p, "=", 1)), F.lit("="), _recode(value(p)))), "&")

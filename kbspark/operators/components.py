@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kbspark.session import materialise
 
+HEAVY_NODES = 1000
+
+
+def _with_least(e: DataFrame, n: int, extra) -> DataFrame:
+    """Edges (u, v) with m, the least of v over the u's edges; extra names what else m is held against.
+
+    A node with more than 1 / HEAVY_NODES of the n edges would put them all in one task of a
+    join, so the at most HEAVY_NODES of these are sent to where the edges are, and only the
+    other nodes' edges are shuffled. Least neighbours are combined before their shuffle.
+    """
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", extra.alias("m"), "degree")
+    if n <= HEAVY_NODES:
+        return e.join(least.select("u", "m"), "u")
+    most = max(1000, n // HEAVY_NODES)
+    heavy = F.broadcast(least.where(F.col("degree") > most).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))
+    marked = e.join(heavy, F.col("u") == F.col("hub"), "left")
+    at_hub = marked.where("hub is not null").select("u", "v", F.col("hub_m").alias("m"))
+    return at_hub.unionByName(marked.where("hub is null").select("u", "v").join(least.select("u", "m"), "u"))
+
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (a, b); a component is named by its least node.
@@ -14,29 +33,31 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     A large-star step hangs every larger neighbour of a node on its least neighbour, a
     small-star step the smaller ones and the node itself; the number of edges never grows and
     the rounds grow with the logarithm of the longest path. Every round is one table in the
-    shared folder, so lineage stays short. Self loops keep their node; no edges give no rows.
+    shared folder, so lineage stays short, and what tells that nothing moved is counted as the
+    table is written. Self loops keep their node; no edges give no rows.
     """
-    loops = edges.where(F.col("a") == F.col("b")).select(F.col("a").alias("node"))
-    e = materialise(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    nodes = e.select(F.col("u").alias("node")).unionByName(e.select(F.col("v").alias("node"))).unionByName(loops).distinct()
 
-    def mark(x: DataFrame) -> tuple:
+    def kept(x: DataFrame) -> tuple[DataFrame, tuple]:
         # Exact sums of 32-bit halves do not overflow; equal marks of two rounds mean nothing moved.
-        h = F.xxhash64("u", "v")
-        r = x.agg(F.count("*"), F.sum(h.bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftrightunsigned(h, 32))).first()
-        return tuple(r)
+        h, seen = F.xxhash64("u", "v"), Observation()
+        x = x.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high"))
+        out = materialise(x)
+        mark = seen.get
+        return out, (mark["n"], mark["low"], mark["high"])
 
-    seen = mark(e)
+    both = F.inline(F.array(F.struct(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
+    e, seen = kept(edges.select(both).distinct())
+    nodes = e.select(F.col("u").alias("node")).unionByName(e.where("u <> v").select(F.col("v").alias("node"))).distinct()
+    e = e.where("u <> v")
     for _ in range(most_rounds):
         if not seen[0]:
             break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        if (now := mark(e)) == seen:
+        ways = F.inline(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = _with_least(e.select(ways), 2 * seen[0], F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _with_least(large, seen[0], F.col("m"))
+        # A node's least neighbour takes its other ones, and the node itself.
+        e, now = kept(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
+        if now == seen:
             break
         seen = now
     else:

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as t
 from kbspark.operators.components import components
-from kbspark.session import materialise
-
-MOST_IN_COMPONENT = 100_000
 
 
 def forms(rows: DataFrame, id_col: str, identifiers: str = "identifiers") -> DataFrame:
@@ -40,80 +39,135 @@ def ordered_candidates(pairs: DataFrame, stories: DataFrame, extra: DataFrame |
     return out.withColumn("place", F.row_number().over(Window.partitionBy("digest").orderBy(*order)))
 
 
-def blocks(summaries: DataFrame, by_slug: bool = True) -> DataFrame:
+def blocks(summaries: DataFrame, by_slug: bool = True, near: DataFrame | None = None) -> DataFrame:
     """(digest, component) of summaries (digest, identifiers, slug): those that can influence one another.
 
-    Edges join a digest to its forms and, as names settle ties, to its slug.
+    Edges join a digest to its forms, to what `near` (digest, other) names and, as names settle
+    ties, to its slug.
     """
     node = lambda tag, *c: F.concat_ws("\x01", F.lit(tag), *c)
     edges = forms(summaries, "digest").select(node("d", "digest").alias("a"), node("f", "key", "norm").alias("b"))
     if by_slug:
         edges = edges.unionByName(summaries.select(node("d", "digest").alias("a"), node("s", "slug").alias("b")))
+    if near is not None:
+        edges = edges.unionByName(near.select(node("d", "digest").alias("a"), node("d", "other").alias("b")))
     found = components(edges).where(F.col("node").startswith("d\x01"))
     found = found.select(F.substring("node", 3, 1 << 20).alias("digest"), "component")
+    found = found.join(summaries.select("digest").distinct(), "digest", "left_semi") if near is not None else found
     alone = summaries.select("digest").join(found, "digest", "left_anti").withColumn("component", node("d", "digest"))
     return found.unionByName(alone)
 
 
-def first_candidate(digest: str, names: list[str]) -> str | None:
-    return names[0] if names else None
-
-
-def _fold(judge: Callable[[str, list[str]], str | None]):
-    def fold(component: pd.DataFrame) -> pd.DataFrame:
-        """Each summary in (fetched, digest) order joins the candidate the judge names or starts a story."""
-        stories: dict[str, dict] = {}
-        by_form: dict[tuple, set[str]] = {}
-        out = []
-
-        def admit(name: str, fetched: str, found: list) -> None:
-            story = stories.setdefault(name, {"first": fetched, "forms": set()})
-            story["first"] = min(story["first"], fetched)
-            for f in found:
-                story["forms"].add(f)
-                by_form.setdefault(f, set()).add(name)
-
-        rows = component.sort_values(["seeded", "fetched", "digest"], ascending=[False, True, True], kind="stable")
-        for r in rows.itertuples():
-            found = sorted({(f["key"], f["norm"]) for f in r.forms})
-            if r.seeded:
-                admit(r.story, r.fetched, found)
-                continue
-            shared: dict[str, int] = {}
-            for f in found:
-                for name in by_form.get(f, ()):
-                    shared[name] = shared.get(name, 0) + 1
-            names = sorted(shared, key=lambda n: (-shared[n], stories[n]["first"], n))
-            name = judge(r.digest, names) if names else None
-            action = "joined" if name else "started"
-            if not name:
-                name = r.slug if r.slug not in stories else f"{r.slug}-{r.digest[:8]}"
-            admit(name, r.fetched, found)
-            out.append((r.digest, name, action, len(out)))
-        return pd.DataFrame(out, columns=["digest", "story", "action", "seq"])
-
-    return fold
-
-
-def place(summaries: DataFrame, existing: DataFrame | None = None, judge: Callable = first_candidate, most: int = MOST_IN_COMPONENT) -> DataFrame:
-    """(digest, story, action, seq) of every summary (digest, fetched, slug, identifiers).
-
-    `existing` stories (story, first_seen, identifiers) are seeded before. The order of
-    placement matters only inside a component, so components are folded one beside the
-    other. A component over `most` rows is refused by name: its identifiers tell nothing apart.
+class Page(NamedTuple):
+    """A summary as the judge sees it."""
+
+    digest: str
+    title: str
+    text: str
+
+
+class Story(NamedTuple):
+    """A candidate as the judge sees it: the texts are those of its members so far."""
+
+    name: str
+    title: str
+    texts: list[str]
+
+
+Judge = Callable[[Page, list[Story]], str | None]
+
+
+def first_candidate(page: Page, candidates: list[Story]) -> str | None:
+    return candidates[0].name if candidates else None
+
+
+class _Shelf:
+    """The stories of one component while its summaries come in."""
+
+    def __init__(self) -> None:
+        self.first: dict[str, str] = {}
+        self.title: dict[str, str] = {}
+        self.texts: dict[str, list[str]] = {}
+        self.holding: dict[tuple, set[str]] = {}
+        self.home: dict[str, str] = {}
+        self.seq = 0
+
+    def admit(self, name: str, row: dict) -> None:
+        if name not in self.first:
+            self.first[name], self.title[name], self.texts[name] = row["fetched"], row["title"], []
+        self.first[name] = min(self.first[name], row["fetched"])
+        if row["body"]:
+            self.texts[name].append(row["body"])
+        for f in row["forms"]:
+            self.holding.setdefault((f["key"], f["norm"]), set()).add(name)
+        self.home[row["digest"]] = name
+
+    def candidates(self, row: dict) -> list[str]:
+        shared: Counter = Counter(name for f in row["forms"] for name in self.holding.get((f["key"], f["norm"]), ()))
+        near: dict[str, int] = {}
+        for x in sorted(row["near"], key=lambda x: x["rank"]):
+            if (name := self.home.get(x["other"])) is not None:
+                near.setdefault(name, len(near))
+        return sorted({*shared, *near}, key=lambda n: (-shared[n], near.get(n, len(near)), self.first[n], n))
+
+    def place(self, row: dict, judge: Judge) -> tuple[str, str, str, int]:
+        found = [Story(n, self.title[n], self.texts[n]) for n in self.candidates(row)]
+        name = judge(Page(row["digest"], row["title"], row["body"]), found) if found else None
+        action = "joined" if name else "started"
+        if not name:
+            name = row["slug"] if row["slug"] not in self.first else f"{row['slug']}-{row['digest'][:8]}"
+        self.admit(name, row)
+        self.seq += 1
+        return row["digest"], name, action, self.seq - 1
+
+
+PLACED = "digest string, story string, action string, seq int"
+
+
+def _fold(judge: Judge):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come ordered by component, existing stories first, then (fetched, digest)."""
+        component, shelf = None, _Shelf()
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["component"] != component:
+                    component, shelf = row["component"], _Shelf()
+                if row["story"]:
+                    shelf.admit(row["story"], row)
+                else:
+                    out.append(shelf.place(row, judge))
+            columns = zip(*out) if out else [[]] * 4
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["digest", "story", "action", "seq"])
+
+    return run
+
+
+def place(summaries: DataFrame, existing: DataFrame | None = None, judge: Judge = first_candidate, near: DataFrame | None = None) -> DataFrame:
+    """(digest, story, action, seq) of every summary (digest, fetched, slug, identifiers; title and body if a judge reads them).
+
+    Each joins the candidate that the judge names or starts a story. Candidates share a form
+    with it, or hold what `near` (digest, other, rank) names: the digest of another summary or
+    "story:" and the name of one of the `existing` stories (story, first_seen, identifiers,
+    perhaps title), which are seeded before. The order of placement matters only inside a
+    component, so components are dealt out and each is read as one sorted stream: many small
+    ones share a batch, and of a large one only its stories' forms are held, not its rows.
     """
-    new = summaries.select("digest", F.coalesce("fetched", F.lit("")).alias("fetched"), "slug", "identifiers", F.lit("").alias("story"), F.lit(False).alias("seeded"))
+    text = lambda df, c: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
+    new = summaries.select("digest", F.coalesce("fetched", F.lit("")).alias("fetched"), "slug", "identifiers", F.lit("").alias("story"), text(summaries, "title").alias("title"), text(summaries, "body").alias("body"))
     if existing is not None:
-        old = existing.select(F.concat(F.lit("story:"), "story").alias("digest"), F.col("first_seen").alias("fetched"), F.col("story").alias("slug"), "identifiers", "story", F.lit(True).alias("seeded"))
+        old = existing.select(F.concat(F.lit("story:"), "story").alias("digest"), F.col("first_seen").alias("fetched"), F.col("story").alias("slug"), "identifiers", "story", text(existing, "title").alias("title"), F.lit("").alias("body"))
         new = new.unionByName(old)
-    rows = new.join(materialise(blocks(new)), "digest")
+    rows = new.join(blocks(new, near=near), "digest")
     form = forms(new, "digest").groupBy("digest").agg(F.collect_list(F.struct("key", "norm")).alias("forms"))
     rows = rows.drop("identifiers").join(form, "digest", "left").withColumn("forms", F.coalesce("forms", F.array().cast("array<struct<key:string,norm:string>>")))
-    rows = materialise(rows)
-    large = rows.groupBy("component").count().where(F.col("count") > most).first()
-    if large:
-        raise ValueError(f"component {large['component']!r} holds {large['count']} summaries, over {most}: its identifiers are not discriminating")
-    return rows.groupBy("component").applyInPandas(_fold(judge), "digest string, story string, action string, seq int")
+    nearest = F.array().cast("array<struct<other:string,rank:int>>")
+    if near is not None:
+        lists = near.groupBy("digest").agg(F.collect_list(F.struct("other", F.col("rank").cast("int").alias("rank"))).alias("near"))
+        rows, nearest = rows.join(lists, "digest", "left"), F.coalesce("near", nearest)
+    rows = rows.withColumn("near", nearest).repartition("component").sortWithinPartitions("component", F.col("story") == "", "fetched", "digest")
+    return rows.mapInArrow(_fold(judge), PLACED)
 
 
 def union_identifiers(members: DataFrame, summaries: DataFrame) -> DataFrame:

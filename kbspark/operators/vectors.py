@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FLOOR = 0.35
-QUERY_BLOCK = 2048
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
 DIM = 32
 
 
@@ -56,28 +56,47 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return _unit(flat.reshape(len(column), -1)) if len(column) else np.empty((0, 0))
 
 
-def _nearest(ids: list, kinds: list, block: np.ndarray, k: int):
+BLOCK = "ids array<string>, kinds array<string>, matrix binary, width int"
+
+
+def _packed(rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of up to `rows` unit vectors as one row each."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                x = _matrix(part.column("embedding"))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part.column("id").to_pylist()], pa.list_(pa.string())), pa.array([part.column("kind").to_pylist()], pa.list_(pa.string())), pa.array([x.tobytes()], pa.binary()), pa.array([x.shape[1]], pa.int32())],
+                    ["ids", "kinds", "matrix", "width"],
+                )
+
+    return run
+
+
+def _unpacked(row: dict, side: str) -> tuple[list, np.ndarray, np.ndarray]:
+    return row[f"{side}_ids"], np.array(row[f"{side}_kinds"], object), np.frombuffer(row[f"{side}_matrix"]).reshape(-1, row[f"{side}_width"])
+
+
+def _nearest(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each block of queries beside a block of vectors: the k nearest a query, and ties with the last of them."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            scores = block @ _matrix(batch.column("embedding")).T
-            kind, names = np.array(batch.column("kind").to_pylist(), object), batch.column("name")
-            out_q, out_r, out_s = [], [], []
-            for wanted in set(kinds):
-                rows = np.arange(len(kind)) if wanted is None else np.flatnonzero(kind == wanted)
-                if not len(rows):
-                    continue
-                for q in (i for i, x in enumerate(kinds) if x == wanted):
-                    s = scores[q, rows]
+            for row in batch.to_pylist():
+                asked, wanted, q = _unpacked(row, "q")
+                names, kinds, x = _unpacked(row, "v")
+                scores = q @ x.T
+                for kind in set(wanted):
+                    rows = np.arange(len(names)) if kind is None else np.flatnonzero(kinds == kind)
+                    at = np.flatnonzero(np.array([w == kind for w in wanted]))
+                    if not len(rows):
+                        continue
+                    part = scores[np.ix_(at, rows)]
                     # All ties with the k-th stay, so that the order by name can settle them later.
-                    top = rows[s >= np.partition(s, len(s) - k)[len(s) - k]] if len(s) > k else rows
-                    out_q += [ids[q]] * len(top)
-                    out_r.append(top)
-                    out_s.append(scores[q, top])
-            if out_q:
-                rows = np.concatenate(out_r)
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.string()), names.take(pa.array(rows)), pa.array(np.concatenate(out_s))], ["query", "name", "score"])
+                    least = np.partition(part, len(rows) - k, 1)[:, len(rows) - k] if len(rows) > k else np.full(len(at), -np.inf)
+                    i, j = np.nonzero(part >= least[:, None])
+                    found = [pa.array(asked, pa.string()).take(pa.array(at[i])), pa.array(names, pa.string()).take(pa.array(rows[j])), pa.array(part[i, j])]
+                    yield pa.RecordBatch.from_arrays(found, ["query", "name", "score"])
 
     return run
 
@@ -85,18 +104,16 @@ def _nearest(ids: list, kinds: list, block: np.ndarray, k: int):
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query, name, score, rank): the k vectors nearest each query, of the query's kind if it has one.
 
-    Queries (query string, kind string or null, embedding) go out in hashed blocks of about
-    QUERY_BLOCK, whatever their number, and a task multiplies its batches by a block and keeps k rows a query (and
-    ties) before anything is shuffled. The kind is a filter before k. Ties go by name.
+    Queries (query string, kind string or null, embedding) and vectors are packed on the
+    executors into blocks of at most QUERY_BLOCK and VECTOR_BLOCK rows; the blocks meet in
+    pairs, a task multiplies the two and keeps k rows a query (and ties) before anything is
+    shuffled. Nothing passes through the driver. The kind is a filter before k. Ties go by name.
     """
-    found = None
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    for block in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block)
-        rows = part.select("query", "kind", "embedding").collect()
-        matrix = _unit(np.array([r.embedding for r in rows], np.float64).reshape(len(rows), -1))
-        near = vectors.select("name", "kind", "embedding").mapInArrow(_nearest([r.query for r in rows], [r.kind for r in rows], matrix, k), "query string, name string, score double")
-        found = near if found is None else found.unionByName(near)
+    pack = lambda df, name, rows: df.select(F.col(name).alias("id"), "kind", "embedding").mapInArrow(_packed(rows), BLOCK)
+    named = lambda df, side: df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
+    # Pairs of blocks, not of rows: a stated query set against all vectors.
+    pairs = named(pack(vectors, "name", VECTOR_BLOCK), "v").crossJoin(named(pack(queries, "query", QUERY_BLOCK), "q"))
+    found = pairs.mapInArrow(_nearest(k), "query string, name string, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "name"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

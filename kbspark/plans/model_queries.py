@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def embed_fn(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("name", F.size("x").alias("dim"), (~F.exists("x", lambda e: e != 0)).alias("is_zero"))
 
 
-@query(with_views(r""", f as (select digest, data, trim(regexp_replace(data, '[ \t\r\n]+', ' ', 'g')) as flat, list_sort(list_distinct(regexp_extract_all(data, '[A-Za-z]{14,17}')))[1:5] as terms from sources)
+@query(with_views(r""", f as (select digest, data, trim(regexp_replace(data, '[ \t\r\n]+', ' ', 'g')) as flat, list_sort(list_distinct(regexp_extract_all(data, '[A-Za-z]{14,17}'))) as terms from sources)
 select digest, '---' || chr(10) || 'title: ' || trim(regexp_replace(flat[1:40], '[^A-Za-z0-9 .,]', '', 'g')) || chr(10) || 'identifiers:' || case when len(terms) = 0 then ' []' else array_to_string(list_transform(terms, lambda w: chr(10) || '  - term:' || w), '') end
  || chr(10) || '---' || chr(10) || chr(10) || array_to_string(string_split(flat, '. ')[1:2], '. ') as reply from f""", "sources"))
 def summarize_fn(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,16 +43,19 @@ def summarize_fn(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sq.SQL["judge"])
 def judge_fn(spark: SparkSession, sf: str) -> DataFrame:
-    """The candidates in order, handed to the judge's callable row by row of a digest's small list."""
-    kb = sq.stories(spark, sf)
-    placed = st.ordered_candidates(st.candidate_pairs(sq.summaries(spark, sf), kb), kb)
-    lists = placed.where("place <= 10").groupBy("digest").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "story"))), lambda s: s["story"]).alias("names"))
+    """All candidates in order with their titles, handed to the judge's callable beside the summary."""
+    kb, s = sq.stories(spark, sf), sq.summaries(spark, sf)
+    titled = v.stories(spark, sf).select(F.col("stem").alias("story"), "title")
+    placed = st.ordered_candidates(st.candidate_pairs(s, kb), kb).join(titled, "story")
+    lists = placed.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("place", "story", "title"))).alias("found"))
 
     def ask(batches):
-        for pdf in batches:
-            yield pdf.assign(story=[models.first_candidate(d, list(n)) for d, n in zip(pdf["digest"], pdf["names"])])[["digest", "story"]]
+        for batch in batches:
+            rows = batch.to_pylist()
+            chosen = [models.first_candidate(st.Page(r["digest"], r["title"] or "", r["body"] or ""), [st.Story(x["story"], x["title"], []) for x in r["found"]]) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(chosen, pa.string())], ["digest", "story"])
 
-    return lists.mapInPandas(ask, "digest string, story string")
+    return lists.join(s.select("digest", "title", "body"), "digest").mapInArrow(ask, "digest string, story string")
 
 
 @query("""with c as (select conv_id, list(role order by turn) as roles from conversations group by conv_id) select conv_id, list_filter(roles, lambda r: r = 'user') as labels from c""")

@@ -58,12 +58,12 @@ def slugify(spark: SparkSession, sf: str) -> DataFrame:
     return v.summaries(spark, sf).select("name", t.slugify(F.col("title")).alias("slug"))
 
 
-ASCII = "regexp_replace(coalesce(text, '')[1:200], '[^\\x00-\\x7f]', '', 'g')"
+ASCII = "regexp_replace(coalesce(text, ''), '[^\\x00-\\x7f]', '', 'g')"
 
 
 @query(f"select doc_id, trim(regexp_replace(lower({ASCII}), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) as norm from documents")
 def normalise_value(spark: SparkSession, sf: str) -> DataFrame:
-    ascii_text = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 200), r"[^\x00-\x7f]", "")
+    ascii_text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7f]", "")
     return table(spark, sf, "documents").select("doc_id", t.normalise_value(ascii_text).alias("norm"))
 
 

@@ -67,14 +67,14 @@ def judge(spark: SparkSession, sf: str) -> DataFrame:
     return st.ordered_candidates(st.candidate_pairs(summaries(spark, sf), kb), kb).where("place = 1").select("digest", "story")
 
 
-EXTRA = "x as (select s.source as digest, t.stem as story, s.arrival % 3 as vector_rank from summaries s join stories t on t.stem = 'story-src' || (s.arrival % 5) where s.arrival % 4 = 0)"
+EXTRA = "x as (select s.source as digest, t.stem as story, s.arrival % 3 as vector_rank from summaries s join stories t on t.stem = 'story-src' || (s.arrival % 5) || '-' || (s.arrival // 1440))"
 
 
 @query(with_views(BASE + ", " + EXTRA + " select digest, story, coalesce(p.shared, 0) as shared from pairs p full join x using (digest, story)", "stories", "summaries"))
 def union_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Stories that share a form and those a vector search proposed, each once."""
     s, kb = summaries(spark, sf), stories(spark, sf)
-    near = s.where("arrival % 4 = 0").select("digest", F.concat(F.lit("story-src"), F.col("arrival") % 5).alias("story"), (F.col("arrival") % 3).alias("vector_rank"))
+    near = s.select("digest", F.concat(F.lit("story-src"), F.col("arrival") % 5, F.lit("-"), F.expr("arrival div 1440")).alias("story"), (F.col("arrival") % 3).alias("vector_rank"))
     near = near.join(kb.select("story"), "story", "left_semi")
     return st.candidate_pairs(s, kb, near.unionByName(near))
 
@@ -130,16 +130,16 @@ def missing_summary(spark: SparkSession, sf: str) -> DataFrame:
     return asked.join(have, "digest", "left_anti").unionByName(asked.join(placed, "digest", "left_semi")).distinct()
 
 
-@query(with_views(BASE + """, old as (select s.source as digest, s.arrival, case when s.arrival % 2 = 0 then 'story-' || s.source[1:2] else null end as none_, case when s.arrival % 2 = 0 then 'story-src' || (s.arrival % 20) end as target, 'Story of src' || case when s.arrival % 10 = 0 then 'x' else '' || (s.arrival % 20) end as target_title from summaries s),
+@query(with_views(BASE + """, old as (select s.source as digest, s.arrival, case when s.arrival % 2 = 0 then 'story-' || s.source[1:2] else null end as none_, case when s.arrival % 2 = 0 then 'story-src' || (s.arrival % 20) || '-' || (s.arrival // 1440) end as target, 'Story of src' || case when s.arrival % 10 = 0 then 'x' else '' || (s.arrival % 20) end as target_title from summaries s),
 fresh as (select digest, list(story) as c from pairs group by digest)
-select o.digest, case when o.target is not null then t.title is not distinct from o.target_title else len(list_filter(coalesce(f.c, []), lambda x: x <> 'story-src1')) = 0 end as holds
+select o.digest, case when o.target is not null then t.title is not distinct from o.target_title else len(list_filter(coalesce(f.c, []), lambda x: x <> 'story-src1-0')) = 0 end as holds
 from old o left join stories t on t.stem = o.target left join fresh f on f.digest = o.digest""", "stories", "summaries"))
 def placement_recheck(spark: SparkSession, sf: str) -> DataFrame:
     """An older placement table held against today's stories and candidates."""
     s, kb = summaries(spark, sf), stories(spark, sf)
     k = F.col("arrival") % 20
     title = F.concat(F.lit("Story of src"), F.when(F.col("arrival") % 10 == 0, "x").otherwise(k.cast("string")))
-    old = s.select("digest", F.when(F.col("arrival") % 2 == 0, F.concat(F.lit("story-src"), k)).alias("target"), title.alias("target_title"), F.array(F.lit("story-src1")).alias("seen"))
+    old = s.select("digest", F.when(F.col("arrival") % 2 == 0, F.concat(F.lit("story-src"), k, F.lit("-"), F.expr("arrival div 1440"))).alias("target"), title.alias("target_title"), F.array(F.lit("story-src1-0")).alias("seen"))
     fresh = st.candidate_pairs(s, kb).groupBy("digest").agg(F.collect_list("story").alias("candidates"))
     titles = v.stories(spark, sf).select(F.col("stem").alias("story"), "title")
     return st.recheck(old, titles, fresh).select("digest", "holds")
@@ -172,13 +172,14 @@ def kb_components(spark: SparkSession, sf: str) -> DataFrame:
 def story_rebuild(spark: SparkSession, sf: str) -> DataFrame:
     """All stories made anew from all summaries, with the columns their members give."""
     s = materialise(summaries(spark, sf))
-    placed = materialise(st.place(s))
+    placed = materialise(st.place(s.drop("body")))
     pos = F.row_number().over(Window.partitionBy("story").orderBy(F.coalesce("fetched", F.lit("")), "digest")) - 1
-    m = placed.join(s.select("digest", "fetched"), "digest").select("story", "digest", pos.alias("pos"))
+    m = materialise(placed.join(s.select("digest", "fetched"), "digest").select("story", "digest", pos.alias("pos")))
     first = m.where("pos = 0").join(s.select("digest", "title"), "digest").select("story", "title")
-    sizes = m.groupBy("story").agg(F.count("*").alias("n_members"))
-    out = first.join(sizes, "story").join(st.seen_range(m, s), "story").join(st.union_identifiers(m, s), "story", "left")
-    return out.select("story", "title", "n_members", "first_seen", "last_seen", F.coalesce("identifiers", F.array().cast("array<string>")).alias("identifiers"), F.lit("none").alias("model"))
+    lists = m.groupBy("story").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "digest"))), lambda x: x["digest"]).alias("members"))
+    out = first.join(lists, "story").join(st.seen_range(m, s), "story").join(st.union_identifiers(m, s), "story", "left").join(st.story_body(m, s), "story", "left")
+    ids = F.coalesce("identifiers", F.array().cast("array<string>")).alias("identifiers")
+    return out.select("story", "title", "members", F.size("members").alias("n_members"), "first_seen", "last_seen", ids, "body", F.lit("none").alias("model"))
 
 
 @query(None)
@@ -186,7 +187,7 @@ def story_place(spark: SparkSession, sf: str) -> DataFrame:
     """Summaries that no story holds are placed against the stories there are."""
     s, m = summaries(spark, sf), members(spark, sf)
     loose = s.join(m.select("digest"), "digest", "left_anti")
-    return st.place(loose, stories(spark, sf)).select("digest", "story", "action")
+    return st.place(loose.drop("body"), stories(spark, sf)).select("digest", "story", "action")
 
 
 @query(with_views("""select source as digest from summaries where not exists (select 1 from (select unnest(identifiers) as i) where split_part(i, ':', 1) = 'term' and not regexp_full_match(i[6:], '[A-Za-z]{14,17}'))""", "summaries"))

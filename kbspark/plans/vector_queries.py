@@ -117,17 +117,17 @@ def search_gate(spark: SparkSession, sf: str) -> DataFrame:
     return vec.gate(_embedded(spark, sf), _stored(spark, sf), _behind(spark, sf), "default")
 
 
-ASK = "q as (select name as query, kind, embedding from vectors where vec_id % 25 = 0)"
+ASK = "q as (select name as query, kind, embedding from vectors where vec_id % 20 = 0)"
 SCORED = "s as (select q.query, v.name, v.title, v.kind, v.vec_id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as score from q join vectors v on {on}), r as (select *, row_number() over (partition by query order by score desc, name) as rank from s)"
 
 
 def _ask(spark: SparkSession, sf: str, kind: bool = True) -> DataFrame:
-    q = v.vectors(spark, sf).where("vec_id % 25 = 0")
+    q = v.vectors(spark, sf).where("vec_id % 20 = 0")
     return q.select(F.col("name").alias("query"), (F.col("kind") if kind else F.lit(None).cast("string")).alias("kind"), "embedding")
 
 
 def _search(spark: SparkSession, sf: str, kind: bool = True, k: int = 10) -> DataFrame:
-    """Nearest vectors of every 25th vector, joined to the pages that still exist (each 30th is gone)."""
+    """Nearest vectors of every 20th vector, joined to the pages that still exist (each 30th is gone)."""
     vectors = v.vectors(spark, sf)
     titles = vectors.where("vec_id % 30 <> 7").select("name", "title", "vec_id")
     return vec.search(vectors, _ask(spark, sf, kind), k).join(titles, "name")

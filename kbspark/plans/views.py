@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.session import configure, table
@@ -37,7 +37,7 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def summaries(spark: SparkSession, sf: str) -> DataFrame:
-    """A summary page for each source: title of its first ASCII text, long words and addresses as identifiers."""
+    """A summary page for each source: its first line's ASCII text as title, long words and addresses as identifiers, the whole text as body."""
     text = F.col("data")
     terms = F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z]{14,})"), F.lit(1)), lambda w: F.concat(F.lit("term:"), w))
     mails = F.transform(F.regexp_extract_all(text, F.lit(r"([a-z]+\.[0-9]{2}@mail[0-9]\.example\.com)"), F.lit(1)), lambda m: F.concat(F.lit("email:"), m))
@@ -46,13 +46,13 @@ def summaries(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(stem, F.lit(".md")).alias("name"),
         stem.alias("stem"),
         F.lit("summary").alias("kind"),
-        F.trim(F.regexp_replace(F.substring(text, 1, 40), "[^A-Za-z0-9 .,]", "")).alias("title"),
+        F.trim(F.regexp_replace(F.substring_index(text, "\n", 1), "[^A-Za-z0-9 .,]", "")).alias("title"),
         F.array_sort(F.array_distinct(F.concat(terms, mails))).alias("identifiers"),
         F.col("digest").alias("source"),
         F.col("url").alias("source_url"),
         "fetched",
         F.concat(F.lit("fp"), F.col("arrival") % 3).alias("prompt_fingerprint"),
-        F.substring(text, 1, 400).alias("body"),
+        text.alias("body"),
         "arrival",
     )
 
@@ -77,14 +77,17 @@ def notes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stories(spark: SparkSession, sf: str) -> DataFrame:
-    """A story for each job: its three earliest sources, and for every third job a member that has no summary."""
-    w = Window.partitionBy("job").orderBy("arrival")
-    first = sources(spark, sf).withColumn("nth", F.row_number().over(w)).where("nth <= 3")
-    grouped = first.groupBy("job").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "digest"))), lambda s: s["digest"]).alias("members"))
+    """A story for each job and day: all sources that the job fetched in hours of placing, every second hour.
+
+    Every third job has a member without summary; what came in the other hours is not placed
+    yet. A story holds no more than a job fetches in a day, however long the table.
+    """
+    placed = sources(spark, sf).where("arrival div 60 % 2 = 0").select("job", F.expr("arrival div 1440").alias("day"), "arrival", "digest")
+    grouped = placed.groupBy("job", "day").agg(F.transform(F.array_sort(F.collect_list(F.struct("arrival", "digest"))), lambda s: s["digest"]).alias("members"))
     lost = F.when(F.length("job") % 3 == 2, F.array(F.sha2(F.col("job").cast("binary"), 256))).otherwise(F.array().cast("array<string>"))
     return grouped.select(
-        F.concat(F.lit("story-"), F.col("job"), F.lit(".md")).alias("name"),
-        F.concat(F.lit("story-"), F.col("job")).alias("stem"),
+        F.concat(F.lit("story-"), F.col("job"), F.lit("-"), F.col("day"), F.lit(".md")).alias("name"),
+        F.concat(F.lit("story-"), F.col("job"), F.lit("-"), F.col("day")).alias("stem"),
         F.lit("story").alias("kind"),
         F.concat(F.lit("Story of "), F.col("job")).alias("title"),
         F.concat("members", lost).alias("members"),
@@ -139,18 +142,18 @@ CTE = {
     "stored": """stored as (select *, case when data = '' then 'failed' when row_number() over (partition by digest order by arrival) > 1 then 'exists' else 'new' end as status from raw)""",
     "sources": """sources as (select * exclude (status) from stored where status = 'new')""",
     "summaries": r"""summaries as (select 's-' || digest[1:12] || '.md' as name, 's-' || digest[1:12] as stem, 'summary' as kind,
-  trim(regexp_replace(data[1:40], '[^A-Za-z0-9 .,]', '', 'g')) as title,
+  trim(regexp_replace(split_part(data, chr(10), 1), '[^A-Za-z0-9 .,]', '', 'g')) as title,
   list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(data, '[A-Za-z]{14,}'), lambda w: 'term:' || w),
     list_transform(regexp_extract_all(data, '[a-z]+\.[0-9]{2}@mail[0-9]\.example\.com'), lambda m: 'email:' || m)))) as identifiers,
-  digest as source, url as source_url, fetched, 'fp' || (arrival % 3) as prompt_fingerprint, data[1:400] as body, arrival from sources)""",
+  digest as source, url as source_url, fetched, 'fp' || (arrival % 3) as prompt_fingerprint, data as body, arrival from sources)""",
     "notes": """notes as (select 'note-' || t.conv_id || '.md' as name, 'note-' || t.conv_id as stem, 'note' as kind, 'Note ' || (t.conv_id % 50) as title,
   ['conv:' || t.conv_id, 'term:'] as identifiers,
   'See [[' || coalesce(case t.conv_id % 4 when 0 then s.stem when 1 then s.title when 2 then 'note-1' else 'nowhere' end, 'gone') || '#part|that]].' || chr(10) || said as body, t.conv_id
   from (select conv_id, string_agg(coalesce(text, ''), chr(10) order by turn, role, coalesce(text, '')) as said from conversations group by conv_id) t
   left join summaries s on s.arrival = t.conv_id)""",
-    "stories": """stories as (select 'story-' || job || '.md' as name, 'story-' || job as stem, 'story' as kind, 'Story of ' || job as title,
-  list_concat(list(digest order by nth), case when length(job) % 3 = 2 then [sha256(job)] else [] end) as members
-  from (select job, digest, row_number() over (partition by job order by arrival) as nth from sources) where nth <= 3 group by job)""",
+    "stories": """stories as (select 'story-' || job || '-' || day || '.md' as name, 'story-' || job || '-' || day as stem, 'story' as kind, 'Story of ' || job as title,
+  list_concat(list(digest order by arrival), case when length(job) % 3 = 2 then [sha256(job)] else [] end) as members
+  from (select job, digest, arrival, arrival // 1440 as day from sources where (arrival // 60) % 2 = 0) group by job, day)""",
     "pages": """kb_pages as (select name, stem, kind, title, identifiers, source, []::varchar[] as members, body, true as parsed_ok from summaries
   union all select name, stem, kind, title, identifiers, '', []::varchar[], body, conv_id % 11 <> 0 from notes
   union all select name, stem, kind, title, []::varchar[], '', members, '', true from stories)""",

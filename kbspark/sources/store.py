@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.functions.text import clean_url, is_url, media_type
@@ -16,16 +16,21 @@ def store_sources(batch: DataFrame, stored: DataFrame | None = None) -> DataFram
     """Every row of batch (data, url, fetched, content_type, job, arrival) with digest and status.
 
     Empty data fails. The first arrival of a digest not yet stored is `new` and its provenance
-    is the one to append; every other row `exists`. Type and url never change identity.
+    is the one to append; every other row `exists`. Type and url never change identity; arrival
+    is unique. First arrivals come from light, pre-aggregated rows, and a digest that many rows
+    share is one row on that side of the join, so that its copies can be split.
     """
     rows = batch.withColumn("digest", F.sha2(F.col("data").cast("binary"), 256)).withColumn("empty", F.coalesce(F.octet_length("data"), F.lit(0)) == 0)
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("digest").orderBy("arrival")))
+    first = rows.where("not empty").groupBy(F.col("digest").alias("key")).agg(F.min("arrival").alias("first"))
+    # Empty rows fail wherever they are; by arrival they are dealt out.
+    key = F.when(F.col("empty"), F.col("arrival").cast("string")).otherwise(F.col("digest"))
+    rows = rows.join(first, key == F.col("key"), "left").drop("key")
     known = F.lit(False)
     if stored is not None:
         rows = rows.join(stored.select(F.col("digest").alias("had")).distinct(), F.col("digest") == F.col("had"), "left")
         known = F.col("had").isNotNull()
-    status = F.when(F.col("empty"), "failed").when(known | (F.col("nth") > 1), "exists").otherwise("new")
-    return rows.withColumn("status", status).drop("nth", "empty", "had")
+    status = F.when(F.col("empty"), "failed").when(known | (F.col("arrival") > F.col("first")), "exists").otherwise("new")
+    return rows.withColumn("status", status).drop("first", "empty", "had")
 
 
 def plan_jobs(jobs: DataFrame, feed_items: DataFrame, seen: DataFrame) -> DataFrame:
