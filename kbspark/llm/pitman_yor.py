@@ -10,7 +10,6 @@ of the others through shards by the context's hash.
 
 from __future__ import annotations
 
-import io
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -27,9 +26,12 @@ from kbspark.llm.shingles import word_hashes
 from kbspark.session import materialise, scratch
 
 CONTEXTS = 1024
-BUCKET_BYTES = 20 << 20
-SLICE_BYTES = 3 << 20
+BUCKET_BYTES = 10 << 20
+SLICE_BYTES = 5 << 20
+BUCKETS_PER_SHARD = 4
 END = np.uint64(0)  # the end token; word hashes are mixed, 0 is as unlikely as any other value
+# Words are known by 48 bits: of a thousand million words a few in a million share theirs.
+WORD_BITS = np.uint64((1 << 48) - 1)
 BURN, SAMPLES = 3, 4
 EXACT = 48
 STRENGTH = 0.5
@@ -55,14 +57,24 @@ class Totals:
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return zstandard.compress(out.getbuffer(), 3)
+    """Arrays byte plane by byte plane, so that the high bytes of small numbers cost next to nothing."""
+    head = ";".join(f"{k} {x.dtype.str} {' '.join(map(str, x.shape))}" for k, x in arrays.items()).encode()
+    planes = [np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(x.size, x.itemsize).T.tobytes() for x in arrays.values()]
+    return zstandard.compress(b"".join([len(head).to_bytes(2, "little"), head, *planes]), 3)
 
 
 def _unpack(data: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(zstandard.decompress(data))) as f:
-        return {k: f[k] for k in f.files}
+    data, out = zstandard.decompress(data), {}
+    at = 2 + int.from_bytes(data[:2], "little")
+    for part in data[2:at].decode().split(";"):
+        name, kind, *shape = part.split()
+        size, shape = np.dtype(kind).itemsize, tuple(map(int, shape))
+        count = int(np.prod(shape, dtype=np.int64))
+        end = at + size * count
+        planes = np.frombuffer(data[at:end], np.uint8).reshape(size, count)
+        out[name] = np.ascontiguousarray(planes.T).view(kind).reshape(shape)
+        at = end
+    return out
 
 
 def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +86,7 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out[last] = END
     inner = np.ones(len(text), bool)
     inner[last] = False
-    out[inner] = words
+    out[inner] = words & WORD_BITS
     before = np.r_[END, out[:-1]]
     return out, before, text
 
@@ -151,8 +163,8 @@ def _deal(heavy: np.ndarray, buckets: int):
                     codes, rare = u[m].astype(np.int64), u[m] < 0
                     hashes, at = np.unique(before[m][rare], return_inverse=True)
                     codes[rare] = len(heavy) + 1 + at
-                    codes = codes.astype(np.uint16 if len(heavy) + 1 + len(hashes) <= 65536 else np.uint32)
-                    out.append((int(b), _pack(kind=np.array(1), w=values, index=np.diff(index, prepend=0).astype(np.uint8 if len(values) < 2 else np.uint32), u=codes, ctx=hashes, doc=doc.astype(np.uint16 if len(docs) <= 65536 else np.uint32), slice=np.array(slice_id), docs=np.diff(docs, prepend=0).astype(np.uint32), train=train[start:end][docs])))
+                    steps = {"w": np.diff(values, prepend=END), "ctx": np.diff(hashes, prepend=END), "index": np.diff(index, prepend=0).astype(np.uint32), "docs": np.diff(docs, prepend=0).astype(np.uint32)}
+                    out.append((int(b), _pack(kind=np.array(1), u=codes.astype(np.uint32), doc=doc.astype(np.uint32), slice=np.array(slice_id), train=train[start:end][docs], **steps)))
                 if out:
                     b, blobs = zip(*out)
                     yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
@@ -187,12 +199,12 @@ def _batch(schema: str, rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kinds[k]) for c, k in columns], [c for c, _ in columns])
 
 
-def _merge(heavy: np.ndarray, buckets: int):
+def _merge(heavy: np.ndarray, buckets: int, shards: int):
     """Blobs come ordered by bucket. Out: one row a bucket with its pairs, their texts and first sums."""
     contexts = len(heavy) + 1
 
     def one(bucket: int, blobs: list[list]) -> dict:
-        w, u, n, doc, places, slices, cuts, heavy_w, heavy_u, heavy_n, keys, key_slices, ctx, ctx_n = [], [], [], [], [], [], [0], [], [], [], [], [], [], 0
+        w, u, n, doc, places, slices, ends, cuts, heavy_w, heavy_u, heavy_n, keys, key_slices, ctx, ctx_n = [], [], [], [], [], [], [0], [0], [], [], [], [], [], [], 0
         while blobs:
             x = _unpack(*blobs.pop())
             if x["kind"] == 0:
@@ -203,11 +215,12 @@ def _merge(heavy: np.ndarray, buckets: int):
                 keys.append(x["keys"])
                 key_slices.append(np.full(len(x["keys"]), x["slice"]))
             else:
-                w.append(x["w"][np.cumsum(x["index"], dtype=np.int64)])
+                w.append(np.cumsum(x["w"])[np.cumsum(x["index"], dtype=np.int64)])
+                ends.append(ends[-1] + len(w[-1]))
                 codes = x["u"].astype(np.int32)
                 codes[codes >= contexts] += ctx_n
                 u.append(codes)
-                ctx.append(x["ctx"])
+                ctx.append(np.cumsum(x["ctx"]))
                 ctx_n += len(x["ctx"])
                 n.append(x["train"][x["doc"]].astype(np.int64))
                 doc.append(x["doc"].astype(np.int32) + cuts[-1])
@@ -221,7 +234,7 @@ def _merge(heavy: np.ndarray, buckets: int):
         del w, u, heavy_w, heavy_u, heavy_n
         # Contexts of this bucket by shard and hash, numbered after the heavy ones.
         ctx, at = np.unique(join(ctx, np.uint64), return_inverse=True)
-        order = np.lexsort((ctx, ctx % np.uint64(buckets)))
+        order = np.lexsort((ctx, ctx % np.uint64(shards)))
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         ctx, rare = ctx[order], every_u >= contexts
@@ -237,7 +250,12 @@ def _merge(heavy: np.ndarray, buckets: int):
         pw, pu = sw[new], su[new]
         del sw, su, new
         c = np.bincount(pair, n, len(pw)).astype(np.int64)
-        pair = pair[:one_each].copy()
+        # Occurrences of a slice come by pair, so that their steps are small.
+        held = pair[:one_each].astype(np.uint64) << np.uint64(32) | doc.astype(np.uint64)
+        for i, j in zip(ends[:-1], ends[1:]):
+            held[i:j].sort()
+        pair, doc = np.diff((held >> np.uint64(32)).astype(np.int32), prepend=np.int32(0)), held.astype(np.uint32)
+        del held
         seen = _pack(pair=pair, doc=doc, places=join(places, np.uint32), slices=np.array(slices, np.int64), cuts=np.array(cuts), keys=np.concatenate([*keys, np.empty((0, 2), np.int64)]), key_slices=join(key_slices, np.int64))
         del pair, doc, n, keys, key_slices, places
         # A heavy word is among the words of its own bucket even if all its seats are in others.
@@ -258,20 +276,20 @@ def _merge(heavy: np.ndarray, buckets: int):
     return run
 
 
-def _by_shard(bucket: int, buckets: int, contexts: int, data: dict[str, np.ndarray], t: np.ndarray) -> list[dict]:
+def _by_shard(bucket: int, shards: int, contexts: int, data: dict[str, np.ndarray], t: np.ndarray) -> list[dict]:
     """A bucket's customers and tables in its lighter contexts, a row for every shard of contexts."""
     rare = data["u"] >= contexts
     c, t = (np.bincount(data["u"][rare] - contexts, x[rare], len(data["ctx"])).astype(np.uint32) for x in (data["c"], t))
-    cuts = np.searchsorted(data["ctx"] % np.uint64(buckets), np.arange(buckets + 1))
+    cuts = np.searchsorted(data["ctx"] % np.uint64(shards), np.arange(shards + 1))
     return [{"bucket": bucket, "shard": k, "blob": _pack(ctx=data["ctx"][i:j], c=c[i:j], t=t[i:j])} for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
 
 
-def _first_sums(buckets: int, contexts: int):
+def _first_sums(shards: int, contexts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data")):
                 a = _unpack(data.as_py())
-                yield _batch(SENT, _by_shard(bucket, buckets, contexts, a, a["c"] > 0))
+                yield _batch(SENT, _by_shard(bucket, shards, contexts, a, a["c"] > 0))
 
     return run
 
@@ -414,7 +432,7 @@ class _Bucket:
         return np.where(self.own & (total > 0), own, p[self.word]), p
 
 
-def _settle(totals: Totals, buckets: int):
+def _settle(totals: Totals, buckets: int, shards: int):
     """Burn in, and report the seats and the sums this ends with."""
     contexts = len(totals.heavy) + 1
 
@@ -430,7 +448,7 @@ def _settle(totals: Totals, buckets: int):
                 for k, x in (("heavy_c", own_c), ("heavy_t", np.where(b.home, b.root_t, 0))):
                     sums[k] = np.bincount(b.place[heavy], x[heavy], len(totals.heavy)).astype(np.int64)
                 state = {"bucket": bucket, "shard": -1, "blob": _pack(state_t=b.t.astype(np.uint32), state_root=b.root_t.astype(np.uint32))}
-                yield _batch(SETTLED, [state | sums, *_by_shard(bucket, buckets, contexts, a, b.t)])
+                yield _batch(SETTLED, [state | sums, *_by_shard(bucket, shards, contexts, a, b.t)])
 
     return run
 
@@ -461,10 +479,11 @@ def _score(totals: Totals, buckets: int):
                     words += q / SAMPLES
                 count = np.where(b.place < 0, np.bincount(b.word, a["c"], len(a["w"])), totals.heavy_n[b.place])
                 base = np.log10(count + 1)
-                doc, w, k = a["doc"], b.word[a["pair"]], len(a["places"])
-                sums = {"n": np.bincount(doc, minlength=k).astype(np.uint32), "known": np.bincount(doc, count[w] > 0, k).astype(np.uint32), "base": np.bincount(doc, base[w], k), "score": np.bincount(doc, np.log10(pairs)[a["pair"]], k)}
+                doc, pair, k = a["doc"].astype(np.int64), np.cumsum(a["pair"], dtype=np.int64), len(a["places"])
+                w = b.word[pair]
+                sums = {"n": np.bincount(doc, minlength=k).astype(np.uint32), "known": np.bincount(doc, count[w] > 0, k).astype(np.uint32), "base": np.bincount(doc, base[w], k), "score": np.bincount(doc, np.log10(pairs)[pair], k)}
                 cuts = a["cuts"]
-                blobs = [_pack(places=a["places"][i:j], **{c: x[i:j].astype(np.float32) if c == "score" else x[i:j] for c, x in sums.items()}) for i, j in zip(cuts[:-1], cuts[1:])]
+                blobs = [_pack(places=a["places"][i:j], **{c: x[i:j] for c, x in sums.items()}) for i, j in zip(cuts[:-1], cuts[1:])]
                 if blobs:
                     yield rows(slice=a["slices"], blob=blobs)
                 ends = np.flatnonzero(np.r_[np.diff(a["key_slices"]) != 0, True])[: len(a["keys"])]
@@ -547,12 +566,12 @@ def _discount(once: float, twice: float) -> float:
 
 
 def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_tokens, n_known, train_tokens, base_score, score (log10).
+    """One row per input row: id, n_tokens, n_known, train_tokens, base_score, score (log10), perplexity.
 
     The model learns from the rows where `training` holds (null: not). Words are runs of
     non-blanks, A-Z lower-cased; a text's end is its last token. base_score adds one to the
     training counts of the V words and of one unknown. score sums the log10 of probabilities
-    averaged over SAMPLES seatings, so perplexity is 10 ** (-score / n_tokens). Null text is
+    averaged over SAMPLES seatings; perplexity is 10 ** (-score / n_tokens). Null text is
     empty, which is one end. Rows that repeat id and text share sums and get the same score.
     Without training rows every token has probability 1. No rows give no rows.
 
@@ -564,10 +583,12 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    key = F.coalesce(F.col(id_col).cast("long") if whole else F.xxhash64(id_col), F.lit(-(1 << 63)))
     rows = docs.select(key.alias("id"), F.xxhash64(body).alias("text_hash"), body.alias("body"), F.coalesce(training, F.lit(False)).alias("train"), F.col(id_col).alias("own"))
     size = rows.agg(F.sum(F.octet_length("body")).alias("n")).first().n or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
+    shards = -(-buckets // BUCKETS_PER_SHARD)
     often = rows.where("train").select("body").mapInArrow(_frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     often = often.orderBy(F.desc("n"), "word").limit(CONTEXTS + 1).collect()  # no more than CONTEXTS words reach the share
     total = next((r.n for r in often if r.word == 0), 0)
@@ -575,7 +596,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     contexts = len(heavy) + 1
     blobs = rows.mapInArrow(_deal(heavy, buckets), "bucket int, blob binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
-    merged = blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge(heavy, buckets), MERGED)
+    merged = blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge(heavy, buckets, shards), MERGED)
     merged = _kept_by_bucket(merged, parts)
 
     def told(sent: DataFrame, *more: DataFrame) -> DataFrame:
@@ -592,8 +613,8 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     words = int(stats[2] + (heavy_c > 0).sum())
     root_discount = _discount(*(stats[2 + k] + (heavy_c == k).sum() for k in (1, 2)))
     first = Totals(heavy, int(stats[0]), words, c, t, stats[1], words, _discount(*stats[5:7]), root_discount, heavy_n, heavy_c, np.minimum(heavy_c, 1))
-    sent = merged.select("bucket", "data").mapInArrow(_first_sums(buckets, contexts), SENT)
-    state = materialise(told(sent).select("bucket", "data", "told").mapInArrow(_settle(first, buckets), SETTLED))
+    sent = merged.select("bucket", "data").mapInArrow(_first_sums(shards, contexts), SENT)
+    state = materialise(told(sent).select("bucket", "data", "told").mapInArrow(_settle(first, buckets, shards), SETTLED))
     root, t, heavy_c, heavy_t = _sum_lists(state, "stats", "t", "heavy_c", "heavy_t")
     settled = replace(first, t=t, root_c=root[0], root_t=root[1], heavy_c=heavy_c, heavy_t=heavy_t) if len(root) else first
     seats = told(state.where("shard >= 0").select("bucket", "shard", "blob"), state.where("shard < 0").select("bucket", "blob"))
@@ -624,7 +645,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
         F.lit(first.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce(F.col("b"), F.lit(0.0)) * share - F.col("n") * F.lit(norm)).alias("base_score"),
         (F.col("score") + F.coalesce(F.col("s"), F.lit(0.0)) * share).alias("score"),
-    )
+    ).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
 def held_out(key: Column, mod: int = 7) -> Column:
