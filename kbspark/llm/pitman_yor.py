@@ -25,9 +25,9 @@ from kbspark.llm.quality import remainder
 from kbspark.llm.shingles import word_hashes
 from kbspark.session import materialise, scratch
 
-CONTEXTS = 1024
-BUCKET_BYTES = 10 << 20
-SLICE_BYTES = 5 << 20
+CONTEXTS = 2048
+BUCKET_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 BUCKETS_PER_SHARD = 4
 END = np.uint64(0)  # the end token; word hashes are mixed, 0 is as unlikely as any other value
 # Words are known by 48 bits: of a thousand million words a few in a million share theirs.
@@ -277,11 +277,19 @@ def _merge(heavy: np.ndarray, buckets: int, shards: int):
 
 
 def _by_shard(bucket: int, shards: int, contexts: int, data: dict[str, np.ndarray], t: np.ndarray) -> list[dict]:
-    """A bucket's customers and tables in its lighter contexts, a row for every shard of contexts."""
+    """A bucket's sums in its lighter contexts, a row for every shard of contexts.
+
+    At first customers and tables of all; later, when it is known which contexts no other
+    bucket has and that customers stay, only the tables of those that others have as well.
+    """
     rare = data["u"] >= contexts
-    c, t = (np.bincount(data["u"][rare] - contexts, x[rare], len(data["ctx"])).astype(np.uint32) for x in (data["c"], t))
-    cuts = np.searchsorted(data["ctx"] % np.uint64(shards), np.arange(shards + 1))
-    return [{"bucket": bucket, "shard": k, "blob": _pack(ctx=data["ctx"][i:j], c=c[i:j], t=t[i:j])} for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+    first = "shared" not in data
+    sums = {k: np.bincount(data["u"][rare] - contexts, x[rare], len(data["ctx"])).astype(np.uint32) for k, x in (("c", data["c"]), ("t", t)) if first or k == "t"}
+    ctx = data["ctx"]
+    if not first:
+        ctx, sums = ctx[data["shared"]], {k: x[data["shared"]] for k, x in sums.items()}
+    cuts = np.searchsorted(ctx % np.uint64(shards), np.arange(shards + 1))
+    return [{"bucket": bucket, "shard": k, "blob": _pack(ctx=np.diff(ctx[i:j], prepend=END), **{n: x[i:j] for n, x in sums.items()})} for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
 
 
 def _first_sums(shards: int, contexts: int):
@@ -298,16 +306,18 @@ def _sum_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come ordered by shard. Out: for every row its contexts' sums over all buckets, in its order."""
     for shard, rows in _groups(batches, "shard", "bucket", "blob"):
         rows = [(bucket, _unpack(x)) for bucket, x in rows]
-        at = np.unique(np.concatenate([x["ctx"] for _, x in rows]), return_inverse=True)[1]
-        c, t = (np.bincount(at, np.concatenate([x[k] for _, x in rows])).astype(np.uint32)[at] for k in ("c", "t"))
+        at = np.unique(np.concatenate([np.cumsum(x["ctx"]) for _, x in rows]), return_inverse=True)[1]
+        sums = {k: np.bincount(at, np.concatenate([x[k] for _, x in rows])).astype(np.uint32)[at] for k in ("c", "t") if k in rows[0][1]}
+        if "c" in sums:
+            sums["shared"] = np.bincount(at)[at] > 1
         end = 0
         for bucket, x in rows:
             start, end = end, end + len(x["ctx"])
-            yield _batch(SENT, [{"bucket": bucket, "shard": shard, "blob": _pack(shard=np.array(shard), c=c[start:end], t=t[start:end])}])
+            yield _batch(SENT, [{"bucket": bucket, "shard": shard, "blob": _pack(shard=np.array(shard), **{k: x[start:end] for k, x in sums.items()})}])
 
 
 def _told(data: dict[str, np.ndarray], blobs: list[bytes]) -> dict[str, np.ndarray]:
-    """A bucket's arrays with what was sent to it: sums of its contexts (ctx_c, ctx_t) and its state."""
+    """A bucket's arrays with what was sent to it: sums of its contexts (ctx_c, ctx_t), which are shared, and its state."""
     told, shards = dict(data), []
     for x in map(_unpack, blobs):
         if "shard" in x:
@@ -315,7 +325,12 @@ def _told(data: dict[str, np.ndarray], blobs: list[bytes]) -> dict[str, np.ndarr
         else:
             told |= x
     shards.sort(key=lambda x: int(x["shard"]))
-    return told | {f"ctx_{k}": np.concatenate([*(x[k] for x in shards), np.empty(0, np.uint32)]).astype(np.int64) for k in ("c", "t")}
+    join = lambda k, kind: np.concatenate([*(x[k] for x in shards), np.empty(0, kind)])
+    if "shared" not in told:
+        return told | {"ctx_c": join("c", np.int64), "ctx_t": join("t", np.int64), "shared": join("shared", bool)}
+    told["ctx_t"] = told["ctx_t"].astype(np.int64)  # as the bucket left them; those of shared contexts are the sums of all
+    told["ctx_t"][told["shared"]] = join("t", np.int64)
+    return told
 
 
 def _stirling(discount: float, most: int) -> np.ndarray:
@@ -447,7 +462,8 @@ def _settle(totals: Totals, buckets: int, shards: int):
                 sums = {"stats": [int(own_c.sum()), int(b.root_t[b.home].sum())], "t": b._by_context(b.t)[:contexts].astype(np.int64)}
                 for k, x in (("heavy_c", own_c), ("heavy_t", np.where(b.home, b.root_t, 0))):
                     sums[k] = np.bincount(b.place[heavy], x[heavy], len(totals.heavy)).astype(np.int64)
-                state = {"bucket": bucket, "shard": -1, "blob": _pack(state_t=b.t.astype(np.uint32), state_root=b.root_t.astype(np.uint32))}
+                own_t = b._by_context(b.t)[contexts:].astype(np.uint32)
+                state = {"bucket": bucket, "shard": -1, "blob": _pack(state_t=b.t.astype(np.uint32), state_root=b.root_t.astype(np.uint32), ctx_c=a["ctx_c"].astype(np.uint32), ctx_t=own_t, shared=a["shared"])}
                 yield _batch(SETTLED, [state | sums, *_by_shard(bucket, shards, contexts, a, b.t)])
 
     return run
@@ -619,17 +635,14 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     settled = replace(first, t=t, root_c=root[0], root_t=root[1], heavy_c=heavy_c, heavy_t=heavy_t) if len(root) else first
     seats = told(state.where("shard >= 0").select("bucket", "shard", "blob"), state.where("shard < 0").select("bucket", "blob"))
     sums = materialise(seats.mapInArrow(_score(settled, buckets), SCORES))
-    table = sums.where("word is not null").select("word", "context", "score").collect()  # at most CONTEXTS * (CONTEXTS + 3) rows
+    # At most CONTEXTS * (CONTEXTS + 3) rows of 16 bytes.
+    word, context, value = (x.to_numpy() for x in sums.where("word is not null").select("word", "context", "score").toArrow().columns)
     p = np.full(len(heavy), 1.0 / (first.words + 1))
-    for r in table:
-        if r.context == -2:
-            p[r.word] = r.score
+    p[word[context == -2]] = value[context == -2]
     base = np.log10(heavy_n + 1)
     back = np.where(c > 0, (STRENGTH + first.discount * settled.t) / (STRENGTH + c), 1.0)
     prob = back[:, None] * p[None, :]
-    for r in table:
-        if r.context != -2:
-            prob[r.context, r.word] = r.score
+    prob[context[context != -2], word[context != -2]] = value[context != -2]
     kind = docs.schema[id_col].dataType.simpleString()
     light = rows.select(F.struct("own", "id", "text_hash").alias("row"), "body")
     light = light.mapInArrow(_heavy_part(heavy, np.log10(prob), base, (heavy_n > 0).astype(float)), f"row struct<own:{kind},id:long,text_hash:long>, n long, rare long, known long, base double, score double")
