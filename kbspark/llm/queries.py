@@ -37,7 +37,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), ["doc_id"])
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), ["doc_id"])
     return packing.pack(pieces, ["doc_id"])
 
 

@@ -9,6 +9,7 @@ import zipfile
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,7 +74,19 @@ def test_sniffing_corrects_and_carves(spark):
 
 
 def test_two_libraries_give_the_same_ids():
-    slow, fast = packing.byte_bpe(tokenizer("byte_bpe_50k.json")), packing.byte_bpe(tokenizer("byte_bpe_50k.tiktoken"))
+    import sys
+
+    from tokenizers import Tokenizer
+
+    model, fast = Tokenizer.from_file(tokenizer("byte_bpe_50k.json")), packing.byte_bpe(tokenizer("byte_bpe_50k.json"))
+    slow = lambda text: np.array(model.encode(text, add_special_tokens=False).ids)
+    every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 4096):
+        # Each character beside letters, digits, blanks and marks.
+        text = "".join(f"a{c}1{c} {c}{c}. {c}s" for c in every[at : at + 4096])
+        assert slow(text).tolist() == fast(text).tolist(), hex(at)
+    for text in (" " * 1_000_000, "\n" * 1_000_000, "7" * 1_000_000, "漢" * 300_000, " x" * 300_000 + " " * 800_000 + "y"):
+        assert slow(text).tolist() == fast(text).tolist(), text[:3]
     rng = random.Random(4)
     pool = list("abz AZ09'.,\n\t\r   éßñ漢🙂́_-") + ["'ll", "  ", "<|endoftext|>", "\x1c", "\x85", "ǅ", "٣", "²"]
     for _ in range(3000):
@@ -84,7 +97,7 @@ def test_two_libraries_give_the_same_ids():
 def test_packing(spark):
     words = random.Random(1)
     texts = ODD + [" ".join(words.choice(["alpha", "of", "zeta9"]) for _ in range(words.randint(0, 3000))) for _ in range(60)] + ["same text"] * 40
-    pieces = packing.token_pieces(docs_of(spark, texts), tokenizer("byte_bpe_50k.tiktoken"), ["doc_id"])
+    pieces = packing.token_pieces(docs_of(spark, texts), tokenizer("byte_bpe_50k.json"), ["doc_id"])
     got = packing.pack(pieces, ["doc_id"], rows_per_rank=10).collect()
     bins, by_doc = defaultdict(list), defaultdict(list)
     for r in got:
@@ -100,8 +113,10 @@ def test_packing(spark):
         assert [p.start for p in parts] == [sum(p.length for p in parts[:k]) for k in range(len(parts))] and sum(p.length for p in parts) == len(ids)
         assert all(p.length == 1024 for p in parts[1:])
         assert all(p.ids_crc32 == zlib.crc32(struct.pack(f"<{p.length}I", *ids[p.start : p.start + p.length])) for p in parts)
+    with pytest.raises(ValueError, match="piece"):
+        packing.token_pieces(docs_of(spark, texts).withColumnRenamed("row", "piece"), tokenizer("byte_bpe_50k.json"), ["doc_id", "piece"])
     assert len(bins) <= 1.05 * math.ceil(sum(r.length for r in got) / 1024) + 1
-    assert packing.pack(packing.token_pieces(docs_of(spark, []), tokenizer("byte_bpe_50k.tiktoken"), ["doc_id"]), ["doc_id"]).count() == 0
+    assert packing.pack(packing.token_pieces(docs_of(spark, []), tokenizer("byte_bpe_50k.json"), ["doc_id"]), ["doc_id"]).count() == 0
 
 
 @pytest.mark.parametrize("capacity", [10, 100, 1024])
@@ -186,8 +201,6 @@ def test_pitman_yor(spark):
 
 def test_predictive_probabilities_sum_to_one():
     """Over a whole vocabulary in one bucket, with the unknown word's share."""
-    import numpy as np
-
     w = np.arange(1, 6, dtype=np.uint64)
     u = np.array([0, 1, -1, 0, 0, 1, 0, 1, 0, 1, 2], np.int16)
     start = np.array([0, 3, 4, 6, 8], np.int32)
