@@ -36,7 +36,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces placed in sequences of 1024; a document taken twice has each piece twice."""
-    pieces = packing.token_pieces(docs, tokenizer("byte_bpe_50k.tiktoken"), ["doc_id", "source"])
+    pieces = packing.token_pieces(docs, tokenizer("byte_bpe_50k.json"), ["doc_id", "source"])
     return packing.pack(pieces, ["doc_id", "source"])
 
 
