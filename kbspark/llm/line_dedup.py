@@ -16,6 +16,7 @@ from kbspark.session import materialise
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NULL_ID = -(1 << 63)
+SECOND = "\x01"
 GAMMA = 2.0
 
 
@@ -114,10 +115,42 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
 
 
-def _key_hash(line: Column) -> Column:
-    """128 bits as two longs: two seeds, so the halves are independent."""
-    key = line_key(line)
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"))
+def _key_hash(key: Column) -> Column:
+    """128 bits as two longs; the second hash sees a byte before the key, so the halves are independent."""
+    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.concat(F.lit(SECOND), key)).alias("h2"))
+
+
+def _cut(min_length: int):
+    """Bodies without the lines whose key hashes are in `gone`; a set look-up a line, and only where something goes."""
+    import xxhash
+
+    low = str.maketrans(UPPER, LOWER)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, lines_of, dropped = [], [], []
+            for body, gone in zip(batch.column("body"), batch.column("gone")):
+                text = body.as_py()
+                n, cut = text.count("\n") + 1, 0
+                if gone.is_valid:
+                    pairs = gone.values
+                    drop = set(zip(pairs.field("h1").to_pylist(), pairs.field("h2").to_pylist()))
+                    stay = []
+                    for line in text.split("\n"):
+                        bare = line.strip(BLANKS)
+                        if len(bare) >= min_length:
+                            raw = bare.translate(low).encode()
+                            if (signed(xxhash.xxh64_intdigest(raw, 42)), signed(xxhash.xxh64_intdigest(SECOND.encode() + raw, 42))) in drop:
+                                continue
+                        stay.append(line)
+                    text, cut = "\n".join(stay), n - len(stay)
+                kept.append(text)
+                lines_of.append(n)
+                dropped.append(cut)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lines_of, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], ["id", "n_lines", "n_dropped", "kept_text"])
+
+    return run
 
 
 def dedup_lines(
@@ -135,23 +168,29 @@ def dedup_lines(
     min_length code points that at least min_docs (<= 255) different ids hold lose all their
     lines but those of the largest such id. Null or empty text is one empty line. Rows that
     repeat an id are one document for the counts and each loses its lines; a null id counts
-    as one id below all others. No rows give no rows; other columns are not read.
+    as one id below all others. Ids that are no integers are compared as they are and known by
+    a hash elsewhere. Lines are the same when 128 bits of their keys are. No rows give no rows;
+    other columns are not read. A text of any length is cut in one pass over its lines.
 
     Distinct key hashes go to shards of about keys_per_shard; each shard's task builds the
     arrays. Holdings (key, id) are dealt to (shard, salt), a shard with more than
     probes_per_task of them being repeated for several salts, and stream past the arrays.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key")
+    kind = docs.schema[id_col].dataType
+    whole = kind.typeName() in ("byte", "short", "integer", "long")
+    key = F.coalesce(F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)), F.lit(NULL_ID)).alias("key")
     rows = docs.select(F.col(id_col).alias("id"), key, F.coalesce(F.col(text_col), F.lit("")).alias("body"))
 
     def long_enough(line: Column) -> Column:
         return F.char_length(F.btrim(line, F.lit(BLANKS))) >= min_length
 
-    lines = F.split("body", "\n")
-    held = rows.select("key", F.explode(F.array_distinct(F.transform(F.filter(lines, long_enough), _key_hash))).alias("h"))
-    held = materialise(held.select("h.h1", "h.h2", "key"))
-    counts = materialise(held.groupBy("h1", "h2").agg(F.count_distinct("key").alias("n"), F.max("key").alias("stay")))
+    # Distinct as texts, which Spark finds by hashing; structs it would compare pair by pair.
+    keys = F.array_distinct(F.transform(F.filter(F.split("body", "\n"), long_enough), line_key))
+    held = rows.select("key", *([] if whole else ["id"]), F.explode(F.transform(keys, _key_hash)).alias("h"))
+    held = materialise(held.select("h.h1", "h.h2", *([] if whole else ["id"]), "key"))
+    stay = F.max("key") if whole else F.coalesce(F.when(F.max("id").isNotNull(), F.xxhash64(F.max("id"))), F.lit(NULL_ID))
+    counts = materialise(held.groupBy("h1", "h2").agg(F.count_distinct("key").alias("n"), stay.alias("stay")))
     shards = max(1, -(-counts.count() // keys_per_shard))
     shard = F.pmod(F.xxhash64(F.lit(11), "h1", "h2"), F.lit(shards)).cast("int").alias("shard")
     index = materialise(counts.select(shard, "h1", "h2", "n", "stay").groupBy("shard").applyInPandas(_index, "shard int, probes long, arrays binary"))
@@ -166,14 +205,5 @@ def dedup_lines(
     drop = dealt.mapInArrow(_probe(min_docs), "key long, h1 long, h2 long")
     drop = drop.groupBy("key").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
 
-    def stays(line: Column) -> Column:
-        return ~(long_enough(line) & F.array_contains(F.col("gone"), _key_hash(line)))
-
-    out = rows.join(drop, "key", "left").withColumn("lines", lines)
-    out = out.withColumn("kept", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)))
-    return out.select(
-        F.col("id").alias(id_col),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
-        F.array_join("kept", "\n").alias("kept_text"),
-    )
+    out = rows.join(drop, "key", "left").select("id", "body", "gone")
+    return out.mapInArrow(_cut(min_length), f"id {kind.simpleString()}, n_lines long, n_dropped long, kept_text string").withColumnRenamed("id", id_col)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -73,6 +74,20 @@ def test_line_dedup_against_brute_force(spark):
     got = line_dedup.dedup_lines(docs_of(spark, rows), keys_per_shard=16, probes_per_task=40).collect()
     assert Counter(map(tuple, got)) == brute_lines(rows)
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
+    text = [(f"id{i % 90:03d}", t) for i, (_, t) in enumerate(rows)] + [(None, rows[0][1])]
+    order = {k: i for i, k in enumerate(sorted({i for i, _ in text if i}))}
+    got = line_dedup.dedup_lines(spark.createDataFrame(text, "doc_id string, text string"), keys_per_shard=64).collect()
+    names = {v: k for k, v in order.items()}
+    want = brute_lines([(order.get(i), t) for i, t in text])
+    assert Counter(map(tuple, got)) == Counter({(names.get(i), *rest): n for (i, *rest), n in want.items()})
+
+
+def test_line_dedup_of_a_long_document_is_linear(spark):
+    lines = [f"a line of text that every one has, number {i}" for i in range(60_000)]
+    docs = spark.createDataFrame([(i, "\n".join(lines)) for i in range(3)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {0: (60_000, 60_000), 1: (60_000, 60_000), 2: (60_000, 0)} and time.time() - began < 60
 
 
 def brute_jaccard(rows):
