@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVEL = 3
@@ -16,6 +16,8 @@ DICT_BYTES = 112_640
 # Labelled rows fetched at most, for each label: so many for its dictionary and so many to calibrate.
 DICT_ROWS = 1500
 FIT_ROWS = 2500
+# And bytes fetched at most for each label: rows beyond them are left out, but never the first two.
+FIT_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -26,6 +28,7 @@ class Model:
     scale: tuple[float, ...]
     weights: tuple[float, ...]
     prior: float
+    size_weights: tuple[float, ...] = ()
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -33,6 +36,7 @@ def _dictionary(texts: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICT_BYTES, texts, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
+        # Too few or too like one another for a trained one: what fits of the samples' end.
         return b"\n".join(texts)[-DICT_BYTES:]
 
 
@@ -79,8 +83,8 @@ def _fit(rows: list[tuple[str, int, int]]) -> Model:
     rest = [(t, k) for k, v in by_label.items() for t in v[cut[k] :]]
     x = features(_compressor(good), _compressor(bad), [t for t, _ in rest])
     mean, scale = x.mean(0), x.std(0) + 1e-9
-    w = _logistic((x - mean) / scale, np.array([k for _, k in rest], float))
-    return Model(good, bad, tuple(mean), tuple(scale), tuple(w), prior)
+    z, y = (x - mean) / scale, np.array([k for _, k in rest], float)
+    return Model(good, bad, tuple(mean), tuple(scale), tuple(_logistic(z, y)), prior, tuple(_logistic(z[:, :2], y)))
 
 
 def remainder(key: Column, mod: int) -> Column:
@@ -91,7 +95,8 @@ def remainder(key: Column, mod: int) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fit on a bounded sample: of each label (0 and 1) the DICT_ROWS + FIT_ROWS rows whose ids hash lowest.
 
-    At most 2 * (DICT_ROWS + FIT_ROWS) ids are broadcast and as many texts fetched. Rows with
+    At most 2 * (DICT_ROWS + FIT_ROWS) ids are broadcast and as many texts fetched, in that
+    order and while they are within FIT_BYTES for each label. Rows with
     another or no label are passed over; of repeated ids one row counts. Without two rows of
     each label the model gives everyone the smoothed share of label 1.
     """
@@ -107,7 +112,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = picked.withColumn("place", F.xxhash64("key"))
     texts = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     rows = texts.join(F.broadcast(picked), "key").groupBy("key").agg(F.min("body").alias("body"), F.first("label").alias("label"), F.first("place").alias("place"))
-    return _fit([(r.body, r.label, r.place) for r in rows.limit(2 * most).collect()])
+    so_far = F.sum(F.octet_length("body")).over(Window.partitionBy("label").orderBy("place", "key"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("place", "key"))
+    rows = rows.withColumn("so_far", so_far).withColumn("nth", nth).where((F.col("so_far") <= FIT_BYTES) | (F.col("nth") <= 2))
+    return _fit([(r.body, r.label, r.place) for r in rows.select("body", "label", "place").collect()])
 
 
 def _scorer(model: Model):
@@ -117,29 +125,32 @@ def _scorer(model: Model):
             texts = [t or "" for t in batch.column("body").to_pylist()]
             if tools and texts:
                 x = (features(*tools, texts) - np.array(model.mean)) / np.array(model.scale)
-                score = 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(x)), x] @ np.array(model.weights), -30, 30)))
+                one = np.ones(len(x))
+                score, by_size = (1 / (1 + np.exp(-np.clip(np.c_[one, part] @ np.array(w), -30, 30))) for part, w in ((x, model.weights), (x[:, :2], model.size_weights)))
             else:
-                score = np.full(len(texts), model.prior)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score)], ["row", "score"])
+                score = by_size = np.full(len(texts), model.prior)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score), pa.array(by_size)], ["row", "score", "size_score"])
 
     return run
 
 
 def _scored(docs: DataFrame, model: Model, columns: list[str], text_col: str) -> DataFrame:
-    """row (a struct of the columns as c0, c1, ...) and score."""
+    """row (a struct of the columns as c0, c1, ...), score and size_score."""
     row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
     rows = docs.select(row.alias("row"), F.col(text_col).alias("body"))
-    return rows.mapInArrow(_scorer(model), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(_scorer(model), f"row {rows.schema['row'].dataType.simpleString()}, score double, size_score double")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score in [0, 1] of every row, higher for likelier label 1.
+    """id, score and size_score in [0, 1] of every row, higher for likelier label 1.
 
-    A text's whole bytes are compressed with either dictionary; the size differences, by
-    length and by compressed size, go through the calibration. Null and empty texts have a
+    A text's whole bytes are compressed with either dictionary. size_score calibrates the
+    normalised size differences alone, by length and by compressed size; score calibrates them
+    beside the text's compression rate and length, which tell how far a difference is to be
+    trusted: short texts differ little whatever they are. Null and empty texts have a
     score like any other, equal texts equal scores, no rows give no rows. No shuffle.
     """
-    return _scored(docs, model, [id_col], text_col).select(F.col("row.c0").alias(id_col), "score")
+    return _scored(docs, model, [id_col], text_col).select(F.col("row.c0").alias(id_col), "score", "size_score")
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.7, text_col: str = "text") -> DataFrame:
