@@ -171,12 +171,17 @@ def _shape(draw: _Stream, text: str) -> str:
 
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
-    """The replacement of a normal form: the same for every mention, another for every attempt."""
-    draw = _Stream(key, kind, value, str(attempt))
+    """The replacement of a normal form: the same for every mention, another for every attempt.
+
+    Every eight attempts the space it is drawn from is widened, so that however many entities
+    share a short form, such as the addresses a@b.co or 192.168.x.y, there are others left.
+    """
+    draw, wider = _Stream(key, kind, value, str(attempt)), attempt // 8
     if kind == "email":
         local, domain = value.split("@")
         host, top = domain.rsplit(".", 1)
-        return f"{_shape(draw, local)}@{_shape(draw, host)}.{top}"
+        more = "".join(chr(97 + draw.below(26)) for _ in range(wider))
+        return f"{_shape(draw, local)}{more}@{_shape(draw, host)}.{top}"
     if kind == "key":
         return "AKIA" + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[draw.below(32)] for _ in value[4:])
     if kind == "secret":
@@ -190,15 +195,19 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         keep = 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] or (parts[0] == "172" and 16 <= int(parts[1]) <= 31) else 0
         # A public address stays public: first places from 11 to 99 other than 10 and 127.
         new = [str(11 + draw.below(89)) if i == 0 else str(1 + draw.below(254)) for i in range(4)]
+        if wider and keep == 2:
+            keep, parts = 1, ["10"]  # as private, and 65,536 times as many
+        elif wider > 1:
+            keep, new[0] = 0, str(11 + draw.below(213))
         return ".".join(parts[:keep] + new[keep:])
     if kind == "card":
         new = value[0] + "".join(str(draw.below(10)) for _ in value[1:-1])
         return new + next(d for d in "0123456789" if (luhn(new + d) == 0) == (luhn(value) == 0))
     if kind == "phone":
         keep = (2 if value[1] in "17" else 3) if value[0] == "+" else 0
-        return value[:keep] + "".join(str(2 + draw.below(8)) if i in (0, 3) else str(draw.below(10)) for i in range(len(value) - keep))
+        return value[:keep] + "".join(str(2 + draw.below(8)) if i in (0, 3) else str(draw.below(10)) for i in range(len(value) - keep + wider))
     if kind == "ssn":
-        return str(1 + draw.below(8)) + "".join(str(draw.below(10)) for _ in value[1:])
+        return str(draw.below(10) if wider else 1 + draw.below(8)) + "".join(str(draw.below(10)) for _ in value[1:])
     part, script, *sex = kind.split("-")
     if part == "given":
         names = GIVEN.get((script, sex[0])) or " ".join(GIVEN[script, s] for s in "fm")
@@ -214,12 +223,15 @@ def written(mention: str, kind: str, new: str) -> str:
     """A surrogate in the form of a mention: its separators and upper-case letters."""
     if kind in ("phone", "card", "ssn"):
         digits = iter(new.lstrip("+"))
-        return "".join(next(digits) if c.isdigit() else c for c in mention)
+        return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)
     if kind == "iban":
         letters = iter(new)
         return "".join(c if c == " " else next(letters) for c in mention)
     if kind == "email":
-        return "".join(n.upper() if c.isupper() else n for c, n in zip(mention, new))
+        local, at, domain = mention.partition("@")
+        mine, _, host = new.partition("@")
+        upper = lambda like, text: "".join(n.upper() if c.isupper() else n for c, n in zip(like, text)) + text[len(like) :]
+        return upper(local, mine) + at + upper(domain, host)
     return new
 
 
@@ -252,18 +264,19 @@ def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], ["row", "text", "n"])
 
 
-def assign(entities: DataFrame, key: bytes, most_rounds: int = 32) -> DataFrame:
+def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, surrogate) for distinct entities (kind, value), no two of a kind sharing one.
 
     A surrogate that another entity of its kind has, or that is itself found as an entity, is
     drawn again; of several with one surrogate the least value keeps it. The checks group by
-    surrogate, so groups are as small as collisions are rare.
+    surrogate, so groups are as small as collisions are rare. Only entities drawn again are
+    drawn and written anew, and as spaces widen with the attempts the rounds come to an end.
     """
     now = materialise(entities.select("kind", "value", F.lit(0).alias("attempt")).mapInArrow(_named(key), "kind string, value string, attempt int, surrogate string"))
     # Given names of either gender are drawn from lists that may be asked for together.
     pool = F.regexp_replace("kind", "^(given-[a-z]+)-.*$", "$1").alias("pool")
     real = entities.select(pool, F.col("value").alias("surrogate"), F.lit(True).alias("real")).distinct()
-    for _ in range(most_rounds):
+    while True:
         nth = F.row_number().over(Window.partitionBy("pool", "surrogate").orderBy("attempt", "value", "kind"))
         checked = now.withColumn("pool", pool).withColumn("nth", nth).join(real, ["pool", "surrogate"], "left")
         checked = materialise(checked.select("kind", "value", "attempt", "surrogate", ((F.col("nth") > 1) | F.coalesce("real", F.lit(False))).alias("again")))
@@ -271,7 +284,6 @@ def assign(entities: DataFrame, key: bytes, most_rounds: int = 32) -> DataFrame:
             return checked.select("kind", "value", "surrogate")
         anew = checked.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(_named(key), "kind string, value string, attempt int, surrogate string")
         now = materialise(checked.where("not again").select("kind", "value", "attempt", "surrogate").unionByName(anew))
-    raise RuntimeError(f"surrogates still collide after {most_rounds} rounds")
 
 
 def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
