@@ -45,7 +45,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(quality.remainder(F.col("doc_id"), 4) != 2))
     scored = quality.score(docs, model)
-    return scored.select("doc_id", (quality.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", (quality.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "size_score")
 
 
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,9 +43,16 @@ def test_media_round_trip(spark):
         r, raw = got[i if i != 3 else None], (t or "").encode()
         payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
-        assert r.tail_crc32 == zlib.crc32(payload[-64:]) and r.media_bytes == len(payload) + 44
+        kind = media.STORED[zlib.crc32(raw) % 3]
+        stored = media.WRITE[kind](payload)
+        assert r.tail_crc32 == zlib.crc32(payload[-64:]) and (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert media.READ[kind](stored) == payload and [x[0] for x in media.sniff(stored)][:1] == [kind] and f"media={kind} samples={len(payload)} sum={sum(payload)} " in r.feature
+        own, said = "application/zip" if zlib.crc32(raw) // 3 % 4 == 0 else kind, media.DECLARED[zlib.crc32(raw) // 12 % 5]
+        assert r.feature.startswith(f"type={own} corrected={str(own != said).lower()} ")
     assert got[2].media_sha256 == got[6].media_sha256
     assert media.document_media(docs_of(spark, [])).count() == 0
+    many = media.document_media(docs_of(spark, [f"text {i}" for i in range(60)])).collect()
+    assert len({r.feature.split(" samples")[0] for r in many}) > 7 and sum("type=application/zip" in r.feature for r in many) > 5
 
 
 def samples():
@@ -146,6 +153,9 @@ def test_quality(spark):
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)] + [(5, 1), (None, 1), (7, None)], "doc_id long, quality int")
     model = quality.fit(docs, labels)
     got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert quality.score(docs, model).columns == ["doc_id", "score", "size_score"]
+    alone_by_size = {r.doc_id: r.size_score for r in quality.score(docs, model).collect()}
+    assert sum((alone_by_size[i] >= 0.5) == (i % 3 > 0) for i in range(200, 400)) >= 190
     assert len(got) == 403 and all(0 <= s <= 1 for s in got.values()) and got[400] == got[401]
     assert sum((got[i] >= 0.7) == (i % 3 > 0) for i in range(200, 400)) >= 195
     left = quality.keep_good(docs, model)
@@ -175,6 +185,14 @@ def test_pii(spark):
     assert len(set(out)) == 500 and pii.replace_pii(docs.limit(0), b"k").count() == 0
 
 
+def test_small_surrogate_spaces_do_not_end_the_job(spark):
+    values = [("email", f"{a}@{b}.co") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"] + [("ip", f"192.168.{i}.{j}") for i in range(12) for j in range(250)]
+    got = pii.assign(spark.createDataFrame(values, "kind string, value string"), b"k").collect()
+    assert len({(r.kind, r.surrogate) for r in got}) == len(values) and not {(r.kind, r.surrogate) for r in got} & set(values)
+    assert all(r.surrogate.startswith(("192.168.", "10.")) for r in got if r.kind == "ip") and all(r.surrogate.endswith(".co") for r in got if r.kind == "email")
+    assert pii.written("+33 1 23-45", "phone", "+336789012") == "+33 6 78-9012" and pii.written("A@B.co", "email", "xyz@q.co") == "Xyz@Q.co"
+
+
 def test_surrogates_that_collide_are_drawn_again(spark):
     names = spark.createDataFrame([("given-latin-f", f"N{i}") for i in range(90)] + [("given-latin-", "Alice"), ("given-latin-f", "Alice")], "kind string, value string")
     got = pii.assign(names, b"k").collect()
@@ -249,7 +267,14 @@ def test_sniffing_inside_media_and_whole_lengths(spark):
     page = lambda flag: b"OggS\0" + bytes([flag]) + bytes(20) + b"\1\4abcd"
     assert media.sniff(page(2) + page(0) + page(4)) == [("audio/ogg", 0, 3 * len(page(0)))]
     rows = media.document_media(docs_of(spark, ["plain", first.decode()])).collect()
-    assert sorted(r.feature.split()[-1] for r in rows) == ["embedded=0", "embedded=1"]
+    assert sorted(r.feature.split()[-2] for r in rows) == ["embedded=0", "embedded=1"]
+    again = spark.createDataFrame([("a", gif, "image/gif")] * 3, "id string, data binary, declared string")
+    assert [(r.type, r.corrected, len(r.carved)) for r in media.sniff_media(again).collect()] == [("image/gif", False, 1)] * 3
+    assert media.sniff_media(again.limit(0)).count() == 0
+    bmp, jpeg = media._as_bmp(bytes(128)), b"\xff\xd8\xff\xe0\0\x04ab\xff\xda\0\x03c12\xff\0\xff\xd9"
+    flac, ogg = b"fLaC\x80\0\0\x22" + bytes(34), page(6)
+    for data, kind in ((bmp, "image/bmp"), (jpeg, "image/jpeg"), (flac, "audio/flac"), (ogg, "audio/ogg")):
+        assert media.sniff(data) == [(kind, 0, len(data))] and not media.sniff(data[: len(data) - 9] if kind != "audio/flac" else data[:20])
 
 
 def test_pii_long_secrets_short_phone_groups_and_bare_surnames(spark):
