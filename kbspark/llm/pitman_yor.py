@@ -34,6 +34,8 @@ END = np.uint64(0)  # the end token; word hashes are mixed, 0 is as unlikely as
 WORD_BITS = np.uint64((1 << 48) - 1)
 BURN, SAMPLES = 3, 4
 EXACT = 48
+# Sums of logarithms travel as whole numbers of this part of one, so their order changes nothing.
+UNIT = 1 << 30
 STRENGTH = 0.5
 
 
@@ -497,7 +499,8 @@ def _score(totals: Totals, buckets: int):
                 base = np.log10(count + 1)
                 doc, pair, k = a["doc"].astype(np.int64), np.cumsum(a["pair"], dtype=np.int64), len(a["places"])
                 w = b.word[pair]
-                sums = {"n": np.bincount(doc, minlength=k).astype(np.uint32), "known": np.bincount(doc, count[w] > 0, k).astype(np.uint32), "base": np.bincount(doc, base[w], k), "score": np.bincount(doc, np.log10(pairs)[pair], k)}
+                sums = {"n": np.bincount(doc, minlength=k).astype(np.uint32), "known": np.bincount(doc, count[w] > 0, k).astype(np.uint32), "base": np.bincount(doc, base[w], k), "score": -np.bincount(doc, np.log10(pairs)[pair], k)}
+                sums |= {c: np.rint(sums[c] * UNIT).astype(np.int64) for c in ("base", "score")}
                 cuts = a["cuts"]
                 blobs = [_pack(places=a["places"][i:j], **{c: x[i:j] for c, x in sums.items()}) for i, j in zip(cuts[:-1], cuts[1:])]
                 if blobs:
@@ -524,11 +527,12 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(blobs: list[dict]) -> pa.RecordBatch:
         keys = next(x["keys"] for x in blobs if "keys" in x)
-        sums = {c: np.zeros(len(keys)) for c in names}
+        sums = {c: np.zeros(len(keys), np.int64) for c in names}
         for x in blobs:
             for c in names if "keys" not in x else ():
-                sums[c][x["places"]] += x[c]
-        return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), *(pa.array(sums[c] if c in ("base", "score") else sums[c].astype(np.int64)) for c in names)], ["id", "text_hash", *names])
+                sums[c][x["places"]] += x[c].astype(np.int64)
+        logs = [pa.array(sums["base"] / UNIT), pa.array(-sums["score"] / UNIT)]
+        return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sums["n"]), pa.array(sums["known"]), *logs], ["id", "text_hash", *names])
 
     now, held = None, []
     for batch in batches:
