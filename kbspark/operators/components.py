@@ -8,26 +8,28 @@ from pyspark.sql import functions as F
 from kbspark.session import materialise
 
 HEAVY_NODES = 1000
+# With fewer edges all those of one node are light work for one task.
+HEAVY_FROM = 1_000_000
 
 
-def _with_least(e: DataFrame, n: int, extra) -> DataFrame:
+def _with_least(e: DataFrame, n: int, extra, heavy_from: int) -> DataFrame:
     """Edges (u, v) with m, the least of v over the u's edges; extra names what else m is held against.
 
     A node with more than 1 / HEAVY_NODES of the n edges would put them all in one task of a
-    join, so the at most HEAVY_NODES of these are sent to where the edges are, and only the
+    join; from heavy_from edges on, the at most HEAVY_NODES of these are sent to where the edges are, and only the
     other nodes' edges are shuffled. Least neighbours are combined before their shuffle.
     """
     least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", extra.alias("m"), "degree")
-    if n <= HEAVY_NODES:
+    if n < heavy_from:
         return e.join(least.select("u", "m"), "u")
-    most = max(1000, n // HEAVY_NODES)
+    most = n // HEAVY_NODES
     heavy = F.broadcast(least.where(F.col("degree") > most).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))
     marked = e.join(heavy, F.col("u") == F.col("hub"), "left")
     at_hub = marked.where("hub is not null").select("u", "v", F.col("hub_m").alias("m"))
     return at_hub.unionByName(marked.where("hub is null").select("u", "v").join(least.select("u", "m"), "u"))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, heavy_from: int = HEAVY_FROM) -> DataFrame:
     """(node, component) for every node of the edges (a, b); a component is named by its least node.
 
     A large-star step hangs every larger neighbour of a node on its least neighbour, a
@@ -53,8 +55,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         ways = F.inline(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
-        large = _with_least(e.select(ways), 2 * seen[0], F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _with_least(large, seen[0], F.col("m"))
+        large = _with_least(e.select(ways), 2 * seen[0], F.least("u", "m"), heavy_from).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _with_least(large, seen[0], F.col("m"), heavy_from)
         # A node's least neighbour takes its other ones, and the node itself.
         e, now = kept(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
         if now == seen:

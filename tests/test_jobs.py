@@ -78,7 +78,7 @@ def test_extract_keeps_bytes_and_nulls(spark):
 
 def test_components_of_a_hub(spark):
     edges = [(0, i) for i in range(1, 4000)] + [(i, 10_000 + i) for i in range(1, 3000)] + [(20_000, 20_001)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(8), heavy_from=1000).collect()}
     assert got == {x: 0 if x < 20_000 else 20_000 for e in edges for x in e}
 
 
