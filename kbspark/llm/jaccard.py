@@ -17,6 +17,7 @@ from kbspark.session import materialise
 BANDS, ROWS = 40, 6
 STEP = 24
 BLOCK_SHINGLES, BLOCK_SETS = 1 << 15, 256
+DEALT_BY = ("component", "key", "i", "j")
 
 
 def least_matches(threshold: float, tolerance: float, step: int, total: int) -> list[tuple[int, int]]:
@@ -65,8 +66,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         assert done == len(texts)
 
 
-def _links(sets: list[np.ndarray], own: np.ndarray, threshold: float, needed: list[tuple[int, int]], same: bool) -> np.ndarray:
-    """Matrix of links among the sets: all pairs of one block, or the pairs across two (own: which)."""
+def _links(sets: list[np.ndarray], own: np.ndarray, threshold: float, needed: list[tuple[int, int]], same: bool, key: int | None = None, keys: list | None = None) -> np.ndarray:
+    """Matrix of links among the sets: all pairs of one block, or the pairs across two (own: which).
+
+    In a bucket (key) only the pairs whose first common band it is, by the sets' keys: no pair counts twice.
+    """
     minhash = MinHash(BANDS * ROWS)
     sizes = np.array([len(s) for s in sets])
     signature = minhash(np.concatenate(sets) if sets else np.empty(0, np.uint64), sizes)
@@ -74,6 +78,13 @@ def _links(sets: list[np.ndarray], own: np.ndarray, threshold: float, needed: li
     if not same:
         across = own[left] != own[right]
         left, right = left[across], right[across]
+    if key is not None:
+        held, mine = np.array(keys, np.int64), np.zeros(len(left), bool)
+        for at in range(0, len(left), 1 << 14):
+            some = slice(at, at + (1 << 14))
+            first = (held[left[some]] == held[right[some]]).argmax(1)
+            mine[some] = held[left[some], first] == key
+        left, right = left[mine], right[mine]
     matches, before = np.zeros(len(left), np.int32), 0
     for n, least in needed:
         part = signature[:, before:n]
@@ -118,16 +129,18 @@ def _verify(threshold: float, tolerance: float):
     needed = least_matches(threshold, tolerance, STEP, BANDS * ROWS)
 
     def one(group: list[tuple]) -> list[tuple]:
-        words, counts = word_hashes([g[5] for g in group])
+        _, key, i, j, *_ = group[0]
+        own, nodes, bodies, keys = zip(*(g[4:] for g in group))
+        words, counts = word_hashes(bodies)
         flat, sizes = shingle_hashes(words, counts)
         cut = np.cumsum(sizes)[:-1]
         sets = [np.unique(s) for s in np.split(flat, cut)]
-        linked = _links(sets, np.array([g[3] for g in group]), threshold, needed, group[0][1] == group[0][2])
+        linked = _links(sets, np.array(own), threshold, needed, i == j, key, keys)
         n, root = linked.sum(1), _roots(linked)
-        return [(g[4], int(k), group[r][4]) for g, k, r in zip(group, n, root) if k]
+        return [(a, int(k), nodes[r]) for a, k, r in zip(nodes, n, root) if k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come ordered by (component, i, j); each such block pair is small by construction."""
+        """Rows come ordered by (component, key, i, j); each such block pair is small by construction."""
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             a, n, b = zip(*rows)
@@ -136,10 +149,10 @@ def _verify(threshold: float, tolerance: float):
         key, group = None, []
         for batch in batches:
             found = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j", "block", "node", "body"))):
-                if row[:3] != key:
+            for row in zip(*(batch.column(c).to_pylist() for c in (*DEALT_BY, "block", "node", "body", "keys"))):
+                if row[:4] != key:
                     found += one(group) if len(group) > 1 else []
-                    key, group = row[:3], []
+                    key, group = row[:4], []
                 group.append(row)
             if found:
                 yield batch_of(found)
@@ -165,6 +178,36 @@ def _sieve(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return out.where(F.expr("shiftright(bits, cast(p % 64 as int)) & 1 = 1")).select(*rows.columns)
 
 
+def _in_blocks(members: DataFrame, *by: str) -> DataFrame:
+    """by, sets, blocks: the sets of each group, and the hashed blocks that keep them small."""
+    sizes = members.groupBy(*by).agg(F.sum("shingles").alias("shingles"), F.count("*").alias("sets"))
+    blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int")
+    return sizes.select(*by, "sets", blocks.alias("blocks"))
+
+
+def _dealt(member: DataFrame, nodes: DataFrame) -> DataFrame:
+    """component, key, blocks, keys, node, text_hash: where each set is compared.
+
+    A component of b blocks carries each of its texts b times. Texts alike in part, none of
+    them copies, chain into components that grow with the corpus while their buckets stay
+    small: where the sets times the blocks of a component's buckets come to less than those of
+    the component itself, it is dealt by bucket (key), with the sets' keys. Both ways compare
+    every pair that shares a bucket.
+    """
+    whole = materialise(_in_blocks(member, "component"))
+    many = member.join(whole.where("blocks > 1").select("component"), "component", "left_semi").join(nodes.select("node", "keys"), "node")
+    buckets = _in_blocks(many.select("component", "shingles", F.explode("keys").alias("key")), "component", "key").where("sets > 1")
+    buckets = materialise(buckets)
+    cost = buckets.groupBy("component").agg(F.sum(F.col("sets") * F.col("blocks")).alias("cost"))
+    apart = cost.join(whole, "component").where(F.col("cost") < F.col("sets") * F.col("blocks")).select("component")
+    columns = ["component", "key", "blocks", "keys", "node", "text_hash"]
+    together = member.join(whole.join(apart, "component", "left_anti").select("component", "blocks"), "component")
+    together = together.withColumn("key", F.lit(None).cast("long")).withColumn("keys", F.lit(None).cast("array<long>"))
+    parted = many.join(apart, "component", "left_semi").withColumn("key", F.explode("keys"))
+    parted = parted.join(buckets.select("component", "key", "blocks"), ["component", "key"])
+    return together.select(*columns).unionByName(parted.select(*columns))
+
+
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, class_id, n_links, n_copies, class_size, text_hash, stays.
 
@@ -179,9 +222,9 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-
 
     Candidates: 240 MinHash values in 40 bands of 6 miss a pair at 0.8 with probability 5e-6.
     Each bucket hangs its members on its least one, which is linear in its size, and the
-    components of these stars hold every candidate pair. Components are dealt as pairs of
-    hashed blocks of about BLOCK_SETS sets and BLOCK_SHINGLES shingles at most; inside a pair
-    of blocks, all pairs are compared value by value, dropped once the posterior probability
+    components of these stars hold every candidate pair. Components, or their buckets where that
+    carries fewer texts, are dealt as pairs of hashed blocks of about BLOCK_SETS sets and
+    BLOCK_SHINGLES shingles; inside a pair of blocks, all pairs are compared value by value, dropped once the posterior probability
     of reaching the threshold is under the tolerance, and the rest checked exactly. Only
     counts and stars leave a block, so a large group of near copies never becomes pair rows.
     """
@@ -195,17 +238,14 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-
     stars = _sieve(keys, "key", hubs.select("key")).join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     member = components(stars).join(nodes.select("node", "text_hash", "shingles"), "node")
     member = materialise(member)
-    sizes = member.groupBy("component").agg(F.sum("shingles").alias("shingles"), F.count("*").alias("sets"))
-    blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int")
-    member = member.drop("shingles").join(sizes.select("component", blocks.alias("blocks")), "component")
-    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = _dealt(member, nodes).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     short = F.xxhash64("text_hash")
     wanted = _sieve(texts.select("text_hash", "body", short.alias("short")), "short", member.select(short)).select("text_hash", "body")
     # Not a semi join, which the optimiser would move before the sieve; the join below is exact.
     wanted = wanted.dropDuplicates(["text_hash"])
-    placed = member.join(wanted, "text_hash").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "body")
-    dealt = placed.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    placed = dealt.join(wanted, "text_hash").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("component", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "body", "keys")
+    dealt = placed.repartition(*DEALT_BY).sortWithinPartitions(*DEALT_BY)
     links = materialise(dealt.mapInArrow(_verify(threshold, tolerance), "a binary, links long, b binary"))
     classes = components(links.select("a", "b")).select("node", F.col("component").alias("class"))
     linked = classes.join(links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links")), "node", "left")

@@ -138,6 +138,28 @@ def test_jaccard_join_against_brute_force(spark):
     assert jaccard.jaccard_join(docs_of(spark, [])).count() == 0
 
 
+def test_components_of_texts_alike_in_part_are_dealt_by_bucket(spark, monkeypatch):
+    # A chain: neighbours have a similarity of 0.7, so that they are no links but make long components.
+    rng = random.Random(4)
+    part = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(246)]
+    rows = [(i, " ".join(part[i : i + 6])) for i in range(240)]
+    rows += [(1000 + i, t + f" end{i}") for i, (_, t) in enumerate(rows[::7])] + [(2000, rows[0][1] + " another end"), (None, rows[9][1].upper())]
+    dealt = []
+    kept = jaccard._dealt
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
+    monkeypatch.setattr(jaccard, "_dealt", lambda *a: dealt.append(kept(*a)) or dealt[-1])
+    got = jaccard.jaccard_join(docs_of(spark, rows)).select("doc_id", "class_id", "n_links", "n_copies", "class_size").collect()
+    assert Counter(map(tuple, got)) == brute_jaccard(rows)
+    ways = dealt[0].groupBy("component").agg(F.count("key").alias("keyed"), F.max("blocks").alias("blocks"), F.countDistinct("node").alias("sets")).collect()
+    assert any(r.keyed for r in ways) and all(r.blocks == 1 for r in ways if r.keyed)
+    # Near copies of one text: their buckets would carry more than their component does.
+    base = [f"v{i}" for i in range(150)]
+    rows = [(i, " ".join([*base, f"own{i}"])) for i in range(60)]
+    got = jaccard.jaccard_join(docs_of(spark, rows)).select("doc_id", "class_id", "n_links", "n_copies", "class_size").collect()
+    assert Counter(map(tuple, got)) == brute_jaccard(rows)
+    assert dealt[1].where("key is not null").count() == 0 and dealt[1].agg(F.max("blocks")).first()[0] == 8
+
+
 def test_pruning_keeps_what_reaches_the_threshold():
     needed = jaccard.least_matches(0.8, 1e-6, 24, 240)
     rng = np.random.default_rng(2)
