@@ -72,14 +72,15 @@ def count_tokens(
     The content digest is the SHA-256 of the text's bytes (null counts as empty), the other
     half of the key is tokenizer_version(). Texts are combined to one a digest before they
     are shuffled, those in the cache drop out, the rest are encoded whole and appended to
-    the cache, a Parquet table at cache_path; a second run finds all of them there. Without
+    the cache, a Parquet table at cache_path with a folder for each tokenizer version, so that
+    only this version's counts are read; a second run finds all of them there. Without
     cache_path the cache is a new one in the session's shared folder. Rows that repeat are
     all returned; no rows give no rows; other columns are not read.
     """
     spark = docs.sparkSession
     path = cache_path or scratch(spark)
     version = tokenizer_version(tokenizer_path)
-    spark.createDataFrame([], CACHE).write.mode("append").parquet(path)
+    spark.createDataFrame([], CACHE).write.partitionBy("tokenizer").mode("append").parquet(path)
     body = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), body.alias("body"))
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("body").cast("binary"), 256)))
@@ -90,6 +91,6 @@ def count_tokens(
 
     missing = rows.select("digest", "body").dropDuplicates(["digest"]).join(known().select("digest"), "digest", "left_anti")
     counted = missing.mapInArrow(_encode(tokenizer_path), "digest binary, n_tokens long")
-    counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(path)
+    counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.partitionBy("tokenizer").mode("append").parquet(path)
     out = rows.select("id", "digest", F.octet_length("body").cast("long").alias("n_bytes")).join(known(), "digest")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
