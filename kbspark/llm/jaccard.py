@@ -195,7 +195,9 @@ def _dealt(member: DataFrame, nodes: DataFrame) -> DataFrame:
     every pair that shares a bucket.
     """
     whole = materialise(_in_blocks(member, "component"))
-    many = member.join(whole.where("blocks > 1").select("component"), "component", "left_semi").join(nodes.select("node", "keys"), "node")
+    # A table of its own, so that Spark knows its size before it would shuffle all nodes' keys.
+    many = materialise(member.join(whole.where("blocks > 1").select("component"), "component", "left_semi"))
+    many = many.join(nodes.select("node", "keys"), "node")
     buckets = _in_blocks(many.select("component", "shingles", F.explode("keys").alias("key")), "component", "key").where("sets > 1")
     buckets = materialise(buckets)
     cost = buckets.groupBy("component").agg(F.sum(F.col("sets") * F.col("blocks")).alias("cost"))
