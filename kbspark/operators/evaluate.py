@@ -40,6 +40,12 @@ def retrieval_metrics(ranked: DataFrame, cutoff: float = 0.5) -> DataFrame:
     )
 
 
+def recall_at(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """One row (recall, queries) over the queries of relevant (query, n, above 0): what share of the n is among the first k."""
+    hits = ranked.where((F.col("rank") <= k) & F.col("relevant")).groupBy("query").agg(F.count("*").alias("hits"))
+    return relevant.join(hits, "query", "left").agg(F.avg(F.coalesce("hits", F.lit(0)) / F.col("n")).alias("recall"), F.count("*").alias("queries"))
+
+
 def label_agreement(labels: DataFrame) -> DataFrame:
     """labels (q, hand, judge) with Jaccard (both empty: 1), what only one side has, and exact."""
     both = F.size(F.array_intersect("hand", "judge"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 FLOOR = 0.35
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+SCORE_BINS = 1_000_000
 DIM = 32
 
 
@@ -101,6 +102,18 @@ def _nearest(k: int):
     return run
 
 
+def _met(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """Packed blocks of vectors beside packed blocks of queries: a stated query set against all rows."""
+    pack = lambda df, name, rows: df.select(F.col(name).alias("id"), "kind", "embedding").mapInArrow(_packed(rows), BLOCK)
+    named = lambda df, side: df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
+    return named(pack(vectors, "name", VECTOR_BLOCK), "v").crossJoin(named(pack(queries, "query", QUERY_BLOCK), "q"))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query, name, score): the k nearest of each query in every block, and ties with the last of them, not ranked."""
+    return _met(vectors, queries).mapInArrow(_nearest(k), "query string, name string, score double")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query, name, score, rank): the k vectors nearest each query, of the query's kind if it has one.
 
@@ -109,13 +122,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     pairs, a task multiplies the two and keeps k rows a query (and ties) before anything is
     shuffled. Nothing passes through the driver. The kind is a filter before k. Ties go by name.
     """
-    pack = lambda df, name, rows: df.select(F.col(name).alias("id"), "kind", "embedding").mapInArrow(_packed(rows), BLOCK)
-    named = lambda df, side: df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
-    # Pairs of blocks, not of rows: a stated query set against all vectors.
-    pairs = named(pack(vectors, "name", VECTOR_BLOCK), "v").crossJoin(named(pack(queries, "query", QUERY_BLOCK), "q"))
-    found = pairs.mapInArrow(_nearest(k), "query string, name string, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "name"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return nearest(vectors, queries, k).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a task's scores at six digits: three arrays of 2 * SCORE_BINS + 1 places, whatever it meets."""
+    seen = np.zeros((3, 2 * SCORE_BINS + 1), np.int64)
+    for batch in batches:
+        for row in batch.to_pylist():
+            asked, wanted, q = _unpacked(row, "q")
+            names, kinds, x = _unpacked(row, "v")
+            place = np.clip(np.rint(q @ x.T * SCORE_BINS), -SCORE_BINS, SCORE_BINS).astype(np.int64) + SCORE_BINS
+            name, kind = pd.factorize(np.array([*asked, *names], object))[0], pd.factorize(np.concatenate([wanted, kinds]))[0]
+            other = name[: len(asked), None] != name[None, len(asked) :]
+            left, right = kind[: len(asked), None], kind[None, len(asked) :]
+            same = np.where((left < 0) | (right < 0), 2, (left == right).astype(np.int64))
+            for i in range(3):
+                seen[i] += np.bincount(place[other & (same == i)], minlength=seen.shape[1])
+    for i, value in enumerate((False, True, None)):
+        at = np.flatnonzero(seen[i])
+        for some in np.split(at, range(1 << 16, len(at), 1 << 16)):
+            yield pa.RecordBatch.from_arrays([pa.array([value] * len(some), pa.bool_()), pa.array((some - SCORE_BINS) / SCORE_BINS), pa.array(seen[i][some])], ["same", "score", "n"])
+
+
+def score_counts(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(same, score, n): how many pairs of a query and a row of another name have a score, rounded to six digits.
+
+    same tells whether their kinds are equal, null where either has none. Each task adds up
+    all its blocks before anything leaves it, so no pair ever becomes a row.
+    """
+    counts = _met(vectors, queries).mapInArrow(_counted, "same boolean, score double, n long")
+    return counts.groupBy("same", "score").agg(F.sum("n").alias("n"))
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, floor: float = FLOOR) -> DataFrame:

@@ -31,11 +31,11 @@ ASK = "q as (select name as query, kind, embedding from vectors where vec_id % 2
 RANKED = ASK + ", s as (select q.query, v.name, v.vec_id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as score, v.kind = q.kind as relevant, v.vec_id % 3 = 0 as short_stub from q join vectors v on v.name <> q.query), r as (select *, row_number() over (partition by query order by score desc, vec_id) as rank from s)"
 
 
-def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Every vector's score for every 20th vector, itself left out: a stated query set against all rows."""
+def _scores(spark: SparkSession, sf: str, k: int = 1 << 30) -> DataFrame:
+    """Scores for every 20th vector, itself left out: those of all vectors, or at least of the k nearest and ties."""
     vectors = v.vectors(spark, sf)
     ask = vectors.where("vec_id % 20 = 0").select(F.col("name").alias("query"), F.lit(None).cast("string").alias("kind"), "embedding")
-    found = vec.search(vectors, ask, 1 << 30).drop("rank").where(F.col("name") != F.col("query"))
+    found = vec.nearest(vectors, ask, k + 1).where(F.col("name") != F.col("query"))
     kinds = vectors.select("name", "kind", "vec_id")
     own = kinds.select(F.col("name").alias("query"), F.col("kind").alias("query_kind"))
     out = found.join(kinds, "name").join(own, "query")
@@ -55,9 +55,12 @@ def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_views(", " + RANKED + ", " + METRICS + " select 'all' as model, 64 as dims, 256 as bytes_per_page, round(avg(a5 / n), 9) as recall_at_5, count(*) as queries from m where n > 0 union all select 'none', 0, 0, 0.0, 0", "vectors"))
 def model_table(spark: SparkSession, sf: str) -> DataFrame:
     """Models by recall, with dimensions and bytes a page; one that was never run has none."""
-    dims = v.vectors(spark, sf).agg(F.max(F.size("embedding")).alias("dims"))
-    metrics = ev.retrieval_metrics(ev.rankings(_scores(spark, sf)))
-    runs = metrics.crossJoin(dims).select(F.lit("all").alias("model"), "dims", (F.col("dims") * 4).alias("bytes_per_page"), F.round("recall_at_5", 9).alias("recall_at_5"), "queries")
+    vectors = v.vectors(spark, sf)
+    dims = vectors.agg(F.max(F.size("embedding")).alias("dims"))
+    relevant = vectors.groupBy("kind").agg((F.count("*") - 1).alias("n"))
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("name").alias("query"), "kind").join(relevant.where("n > 0"), "kind")
+    recall = ev.recall_at(ev.rankings(_scores(spark, sf, 5)), asked.select("query", "n"), 5)
+    runs = recall.crossJoin(dims).select(F.lit("all").alias("model"), "dims", (F.col("dims") * 4).alias("bytes_per_page"), F.round("recall", 9).alias("recall_at_5"), "queries")
     none = spark.createDataFrame([("none", 0, 0, 0.0, 0)], "model string, dims int, bytes_per_page int, recall_at_5 double, queries long")
     return runs.unionByName(none).orderBy(F.desc("recall_at_5"))
 
@@ -90,15 +93,11 @@ select same, count(*) as pairs, round(quantile_cont(score, 0.5), 6) as p50, roun
 def similarity_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Cosines of every 20th vector with all others, within and across kinds.
 
-    Scores are counted at six digits before the percentiles are taken, so the last step sees
-    two million values at most, however many pairs there are.
+    Scores are counted at six digits where the blocks meet, so the last step sees two million
+    values at most, however many pairs there are.
     """
     vectors = v.vectors(spark, sf)
-    ask = vectors.where("vec_id % 20 = 0").select(F.col("name").alias("query"), F.lit(None).cast("string").alias("kind"), "embedding")
-    pairs = vec.search(vectors, ask, 1 << 30).where(F.col("query") != F.col("name"))
-    kinds = vectors.select("name", "kind")
-    pairs = pairs.join(kinds, "name").join(kinds.select(F.col("name").alias("query"), F.col("kind").alias("other")), "query")
-    counted = pairs.groupBy((F.col("kind") == F.col("other")).alias("same"), F.round("score", 6).alias("score")).agg(F.count("*").alias("n"))
+    counted = vec.score_counts(vectors, vectors.where("vec_id % 20 = 0").select(F.col("name").alias("query"), "kind", "embedding"))
     cuts = F.percentile("score", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)), F.col("n"))
     out = counted.groupBy("same").agg(F.sum("n").alias("pairs"), cuts.alias("cuts"), F.max("score").alias("most"))
     return out.select("same", "pairs", *[F.round(F.col("cuts")[i], 6).alias(n) for i, n in enumerate(("p50", "p90", "p99"))], F.round("most", 6).alias("most"))
@@ -106,7 +105,7 @@ def similarity_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_views(", " + RANKED + " select relevant, count(*) as hits, round(min(score), 6) as least, round(quantile_cont(score, 0.5), 6) as median, round(max(score), 6) as most, count(*) filter (where score >= 0.1) as kept from r where rank <= 10 group by relevant", "vectors"))
 def band_profile(spark: SparkSession, sf: str) -> DataFrame:
-    top = ev.rankings(_scores(spark, sf)).where("rank <= 10")
+    top = ev.rankings(_scores(spark, sf, 10)).where("rank <= 10")
     out = top.groupBy("relevant").agg(F.count("*").alias("hits"), F.min("score").alias("least"), F.percentile("score", 0.5).alias("median"), F.max("score").alias("most"), F.count_if(F.col("score") >= 0.1).alias("kept"))
     return out.select("relevant", "hits", *[F.round(c, 6).alias(c) for c in ("least", "median", "most")], "kept")
 
@@ -148,13 +147,27 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("user_id").cast("long").alias("client"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), F.col("event_id").alias("id")).withColumn("ts", F.col("us") / 1e6)
 
 
-@query(None)
+CALLS = "with recursive e as (select user_id as client, epoch_us(ts) / 1e6::double as ts, event_id as id, row_number() over (partition by user_id order by ts, event_id) as n from events)"
+
+
+@query(CALLS + """, f as (
+ select *, ts as started, 1 as held, true as admitted, 0::bigint as retry_after from e where n = 1
+ union all
+ select e.*, case when e.ts - started >= 86400 then e.ts else started end, case when e.ts - started >= 86400 then 1 else least(held + 1, 3) end, held < 3 or e.ts - started >= 86400,
+  case when held < 3 or e.ts - started >= 86400 then 0 else greatest(1, ceil(86400 - (e.ts - started)))::bigint end
+ from f join e on e.client is not distinct from f.client and e.n = f.n + 1)
+select client, ts, id, admitted, retry_after from f""")
 def fixed_window_limit(spark: SparkSession, sf: str) -> DataFrame:
     """Three calls a day and user, the day starting at the first."""
     return limits.limit_log(_log(spark, sf), limits.FixedWindow, 3, 86400.0)
 
 
-@query(None)
+@query(CALLS + """, f as (
+ select *, [ts] as times, true as admitted, 0::bigint as retry_after from e where n = 1
+ union all
+ select client, ts, id, n, case when len(live) < 3 then list_append(live, ts) else live end, len(live) < 3, case when len(live) < 3 then 0 else greatest(1, ceil(86400 - (ts - live[1])))::bigint end
+ from (select e.*, list_filter(times, lambda x: e.ts - x < 86400) as live from f join e on e.client is not distinct from f.client and e.n = f.n + 1))
+select client, ts, id, admitted, retry_after from f""")
 def sliding_window_limit(spark: SparkSession, sf: str) -> DataFrame:
     """Three admitted calls in any 24 hours and user."""
     return limits.limit_log(_log(spark, sf), limits.SlidingWindow, 3, 86400.0)
