@@ -43,7 +43,7 @@ def python_clean(url):
 
 
 def test_clean_url(spark):
-    urls = ["https://x.org/a?utm_source=b&c=d#e", "https://x.org/?REF=1&a", "http://x.org/p?a=1&&b=&UTM_x=2", "https://x.org/a?q=x%20y+z~*é&ref=", "https://x.org", "https://x.org/a#b?c=d", "https://x.org/?a=b=c&fbclid=1&gclid", "http://a/?x=100%", "http://a/?x=%zz%20%4"https://x.org/?a=b=c&fbclid=1&gclid"]%=1"]
+    urls = ["https://x.org/a?utm_source=b&c=d#e", "https://x.org/?REF=1&a", "http://x.org/p?a=1&&b=&UTM_x=2", "https://x.org/a?q=x%20y+z~*é&ref=", "https://x.org", "https://x.org/a#b?c=d", "https://x.org/?a=b=c&fbclid=1&gclid", "http://a/?x=100%", "http://a/?x=%zz%20%4&%=1"]
     assert column(spark, urls, t.clean_url) == [python_clean(u) for u in urls]
     assert column(spark, ["HTTPS://a", "ftp://a", None, "http:"], t.is_url) == [True, False, False, True]
 
