@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import exact_dedup, jaccard, line_dedup, media, mixing, packing, pii, pitman_yor, quality, sql, token_counts
+from kbspark.llm import exact_dedup, hard_negatives, jaccard, line_dedup, media, mixing, packing, pii, pitman_yor, quality, sql, token_counts
 from kbspark.session import table
 
 
@@ -63,6 +63,12 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", held_out)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

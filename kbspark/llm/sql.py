@@ -53,4 +53,23 @@ select doc_id, size::bigint as size, source_size, target, source,
 from c
 """
 
-SQL = {"op2_line_dedup": OP2, "op4_exact_dedup": OP4, "op9_mix_sources": OP9}
+OP11 = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * x::double) for x in embedding] as q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), s as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_dot_product(a.q, b.q)::bigint as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+), p as (
+  select anchor_id, other_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+)
+select p.anchor_id, positive_id, (row_number() over w)::int as rank, other_id as negative_id, positive_score, score as negative_score
+from p join s on p.anchor_id = s.anchor_id and not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+window w as (partition by p.anchor_id, positive_id order by score desc, other_id)
+qualify rank <= 5
+"""
+
+SQL = {"op11_hard_negatives": OP11, "op2_line_dedup": OP2, "op4_exact_dedup": OP4, "op9_mix_sources": OP9}
