@@ -277,7 +277,7 @@ class _Search:
                     inside = others[(others >= a[w]) & (others <= b[w])]
                     if len(inside) >= self.negatives:
                         a[w] = int(np.partition(inside, -self.negatives)[-self.negatives])
-                    low[i, w], high[i, w] = a[w], b[w]
+                    low[i, w], high[i, w] = a[w], np.inf if b[w] == MOST_SCORE else b[w]
             kind = pa.list_(pa.int64())
             return low, high, {"least": pa.array(least, kind), "most": pa.array(most, kind)}
 

@@ -36,7 +36,7 @@ def least_matches(threshold: float, tolerance: float, step: int, total: int) ->
     return out
 
 
-def _slices(texts: list[str], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     start, size = 0, 0
     for i, text in enumerate(texts):
         size += len(text)
@@ -51,7 +51,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     minhash = MinHash(BANDS * ROWS)
     for batch in batches:
         texts, done = batch.column("body").to_pylist(), 0
-        for start, end in _slices(texts):
+        for start, end in slices(texts):
             words, counts = word_hashes(texts[start:end])
             node = fingerprints(words, counts)
             flat, sizes = shingle_hashes(words, counts)
@@ -114,7 +114,7 @@ def _links(sets: list[np.ndarray], own: np.ndarray, threshold: float, needed: li
     return out
 
 
-def _roots(linked: np.ndarray) -> np.ndarray:
+def roots(linked: np.ndarray) -> np.ndarray:
     """For each set the least place that links lead to."""
     root = np.arange(len(linked))
     while True:
@@ -136,7 +136,7 @@ def _verify(threshold: float, tolerance: float):
         cut = np.cumsum(sizes)[:-1]
         sets = [np.unique(s) for s in np.split(flat, cut)]
         linked = _links(sets, np.array(own), threshold, needed, i == j, key, keys)
-        n, root = linked.sum(1), _roots(linked)
+        n, root = linked.sum(1), roots(linked)
         return [(a, int(k), nodes[r]) for a, k, r in zip(nodes, n, root) if k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def _verify(threshold: float, tolerance: float):
 SIEVE_BITS = 25
 
 
-def _sieve(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+def sieve(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """rows whose long `key` may be among `wanted` (one long column): one hash, 2 ** SIEVE_BITS bits.
 
     What is broadcast is at most 2 ** (SIEVE_BITS - 6) words, 8 MB, whatever the data. More
@@ -237,12 +237,12 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-
     nodes = materialise(sketch.where("shingles > 0").groupBy("node").agg(F.min(F.struct("text_hash", "shingles", "keys")).alias("s")).select("node", "s.*"))
     keys = nodes.select("node", F.explode("keys").alias("key"))
     hubs = materialise(keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
-    stars = _sieve(keys, "key", hubs.select("key")).join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = sieve(keys, "key", hubs.select("key")).join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     member = components(stars).join(nodes.select("node", "text_hash", "shingles"), "node")
     member = materialise(member)
     dealt = _dealt(member, nodes).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     short = F.xxhash64("text_hash")
-    wanted = _sieve(texts.select("text_hash", "body", short.alias("short")), "short", member.select(short)).select("text_hash", "body")
+    wanted = sieve(texts.select("text_hash", "body", short.alias("short")), "short", member.select(short)).select("text_hash", "body")
     # Not a semi join, which the optimiser would move before the sieve; the join below is exact.
     wanted = wanted.dropDuplicates(["text_hash"])
     placed = dealt.join(wanted, "text_hash").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import conversations, exact_dedup, hard_negatives, jaccard, line_dedup, media, mixing, packing, pii, pitman_yor, quality, sql, token_counts
+from kbspark.llm import conversations, exact_dedup, hard_negatives, jaccard, line_dedup, media, minmax, mixing, packing, pii, pitman_yor, quality, sql, token_counts
 from kbspark.session import table
 
 
@@ -69,6 +69,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine_hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op12_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.minmax_dedup(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversations.damaged(table(spark, sf_dir, "conversations"))
     return conversations.report(conversations.repair_conversations(rows, gone=F.col("gone"))).withColumnRenamed("conv", "conv_id")

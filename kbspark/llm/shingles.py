@@ -52,19 +52,19 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.diff(np.searchsorted(start, np.r_[0, ends]))
 
 
-def shingle_hashes(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every run of WIDTH words, and their number a text; a shorter text is one shingle."""
+def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every run of `width` (at most WIDTH) words, and their number a text; a shorter text is one shingle."""
     first = np.r_[0, np.cumsum(counts)]
-    padded = np.r_[words, np.zeros(WIDTH, np.uint64)]
+    padded = np.r_[words, np.zeros(width, np.uint64)]
     left = np.repeat(first[1:], counts) - np.arange(len(words))  # words of the text from here on
     run = np.zeros(len(words), np.uint64)
-    for k in range(WIDTH):
+    for k in range(width):
         run += np.where(left > k, padded[k : len(words) + k], np.uint64(0)) * _PLACE[k]
-    run = mix(run + np.minimum(left, WIDTH).astype(np.uint64))
-    here = left >= WIDTH
-    short = (counts > 0) & (counts < WIDTH)
+    run = mix(run + np.minimum(left, width).astype(np.uint64))
+    here = left >= width
+    short = (counts > 0) & (counts < width)
     here[first[:-1][short]] = True
-    return run[here], np.where(short, 1, np.maximum(counts - WIDTH + 1, 0))
+    return run[here], np.where(short, 1, np.maximum(counts - width + 1, 0))
 
 
 def fingerprints(words: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -72,4 +72,28 @@ window w as (partition by p.anchor_id, positive_id order by score desc, other_id
 qualify rank <= 5
 """
 
-SQL = {"op11_hard_negatives": OP11, "op2_line_dedup": OP2, "op4_exact_dedup": OP4, "op9_mix_sources": OP9}
+OP12 = r"""
+with recursive d as materialized (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), s as materialized (
+  select distinct r, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+                                 else [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] end) as shingle from d
+), n as materialized (
+  select r, count(*) as n from s group by r
+), c as (
+  select a.r as a, b.r as b, count(*) as c from s a join s b on a.shingle = b.shingle and a.r <> b.r group by all
+), l as materialized (
+  select a, b from c join n x on x.r = a join n y on y.r = b where 100 * c >= 85 * (x.n + y.n - c)
+), t(a, b) as (
+  select a, b from l union select t.a, l.b from t join l on t.b = l.a
+), m as (
+  select t.a as r, min(d.doc_id) as least from t join d on d.r = t.b group by t.a
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(least(d.doc_id, m.least), d.doc_id) as component_id,
+       d.doc_id = coalesce(least(d.doc_id, m.least), d.doc_id) as kept
+from d left join n using (r) left join m using (r)
+"""
+
+SQL = {"op12_minmax_dedup": OP12, "op11_hard_negatives": OP11, "op2_line_dedup": OP2, "op4_exact_dedup": OP4, "op9_mix_sources": OP9}

@@ -22,6 +22,9 @@ COLUMNS = {
     "op8_pii_surrogates": {"doc_id", "text"},
     "op9_mix_sources": {"doc_id", "size", "source_size", "target", "taken"},
     "op10_pitman_yor": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
+    "op11_hard_negatives": {"anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"},
+    "op12_minmax_dedup": {"doc_id", "n_shingles", "component_id", "kept"},
+    "op13_conversation_repair": {"conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"},
 }
 
 
@@ -34,12 +37,14 @@ def test_query(spark, name):
     df = queries.queries()[name](spark, SF)
     rows, con = df.collect(), duckdb.connect()
     assert COLUMNS[name] <= set(df.columns)
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     ids = Counter(r[0] for r in con.execute("select doc_id from documents").fetchall())
     if name == "op6_pack_sequences":
         assert Counter(r.doc_id for r in rows if r.piece == 0) == ids
-    else:
+    elif name == "op13_conversation_repair":
+        assert Counter(r.conv_id for r in rows) == Counter(r[0] for r in con.execute("select distinct conv_id from conversations").fetchall())
+    elif name != "op11_hard_negatives":
         assert Counter(r.doc_id for r in rows) == ids
     if sql := queries.oracle_sql().get(name):
         found = con.execute(sql)
