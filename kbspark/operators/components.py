@@ -1,27 +1,73 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components: edges contracted where they lie, then alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kbspark.session import materialise
 
 HEAVY_NODES = 1000
-# With fewer edges all those of one node are light work for one task.
-HEAVY_FROM = 1_000_000
+# Edges that one task contracts at a time, and so many are left to one task in the end.
+LOCAL_EDGES = 500_000
+
+
+def _least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the least node it is connected to by the edges (a, b)."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        before = label.copy()
+        for side in (a, b):
+            # The root of either end is hung on the lesser root, then every node jumps to its root.
+            np.minimum.at(label, before[side], least)
+        while (label[label] != label).any():
+            label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _stars(edges: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """(u, v): every node of the edges beside the least node of its component among them."""
+    table = pa.Table.from_batches(edges)
+    both = pa.chunked_array([*table.column(0).chunks, *table.column(1).chunks]).combine_chunks()
+    coded = both.dictionary_encode()
+    order = np.asarray(pc.sort_indices(coded.dictionary))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    ends = rank[np.asarray(coded.indices)]
+    half = len(table)
+    label = _least_labels(ends[:half], ends[half:], len(order))
+    nodes = coded.dictionary.take(pa.array(order))
+    return pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(label))], ["u", "v"])
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stars of a task's edges, LOCAL_EDGES at a time: no more edges than nodes, or than came."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= LOCAL_EDGES:
+            yield _stars(held)
+            held, n = [], 0
+    if n:
+        yield _stars(held)
 
 
-def _with_least(e: DataFrame, n: int, extra, heavy_from: int) -> DataFrame:
+def _with_least(e: DataFrame, n: int, extra) -> DataFrame:
     """Edges (u, v) with m, the least of v over the u's edges; extra names what else m is held against.
 
     A node with more than 1 / HEAVY_NODES of the n edges would put them all in one task of a
-    join; from heavy_from edges on, the at most HEAVY_NODES of these are sent to where the edges are, and only the
-    other nodes' edges are shuffled. Least neighbours are combined before their shuffle.
+    join; the at most HEAVY_NODES of these are sent to where the edges are, and only the other
+    nodes' edges are shuffled. Least neighbours are combined before their shuffle.
     """
     least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", extra.alias("m"), "degree")
-    if n < heavy_from:
-        return e.join(least.select("u", "m"), "u")
     most = n // HEAVY_NODES
     heavy = F.broadcast(least.where(F.col("degree") > most).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))
     marked = e.join(heavy, F.col("u") == F.col("hub"), "left")
@@ -29,15 +75,20 @@ def _with_least(e: DataFrame, n: int, extra, heavy_from: int) -> DataFrame:
     return at_hub.unionByName(marked.where("hub is null").select("u", "v").join(least.select("u", "m"), "u"))
 
 
-def components(edges: DataFrame, most_rounds: int = 60, heavy_from: int = HEAVY_FROM) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, component) for every node of the edges (a, b); a component is named by its least node.
 
-    A large-star step hangs every larger neighbour of a node on its least neighbour, a
-    small-star step the smaller ones and the node itself; the number of edges never grows and
-    the rounds grow with the logarithm of the longest path. Every round is one table in the
-    shared folder, so lineage stays short, and what tells that nothing moved is counted as the
-    table is written. Self loops keep their node; no edges give no rows.
+    First every task contracts the edges it has: union-find over LOCAL_EDGES at a time leaves a
+    star for each component among them. As soon as what is left fits one such piece, one
+    task finishes. Until then rounds go on: a large-star step hangs every larger neighbour of a
+    node on its least neighbour, a small-star step the smaller ones and the node itself, and
+    what comes out is contracted again; the number of edges never grows and the rounds grow
+    with the logarithm of the longest path. Every round is one table in the shared folder, so
+    lineage stays short, and what tells that nothing moved is counted as the table is written.
+    Self loops keep their node; no edges give no rows.
     """
+    kind = edges.schema["a"].dataType.simpleString()
+    pair = f"u {kind}, v {kind}"
 
     def kept(x: DataFrame) -> tuple[DataFrame, tuple]:
         # Exact sums of 32-bit halves do not overflow; equal marks of two rounds mean nothing moved.
@@ -47,22 +98,28 @@ def components(edges: DataFrame, most_rounds: int = 60, heavy_from: int = HEAVY_
         mark = seen.get
         return out, (mark["n"], mark["low"], mark["high"])
 
-    both = F.inline(F.array(F.struct(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
-    e, seen = kept(edges.select(both).distinct())
-    nodes = e.select(F.col("u").alias("node")).unionByName(e.where("u <> v").select(F.col("v").alias("node"))).distinct()
-    e = e.where("u <> v")
+    e, seen = kept(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(_contracted, pair))
+    e0 = e
     for _ in range(most_rounds):
-        if not seen[0]:
+        if seen[0] <= local_edges:
+            # A bounded number of edges: one task sees all of them.
+            whole = e.repartition(1).mapInArrow(_contracted, pair) if seen[0] else e
+            hung = whole.select("u", F.col("v").alias("component"))
             break
+        own = e.where("u <> v")
         ways = F.inline(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
-        large = _with_least(e.select(ways), 2 * seen[0], F.least("u", "m"), heavy_from).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _with_least(large, seen[0], F.col("m"), heavy_from)
+        large = _with_least(own.select(ways), 2 * seen[0], F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _with_least(large, seen[0], F.col("m"))
         # A node's least neighbour takes its other ones, and the node itself.
-        e, now = kept(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
+        turned = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+        e, now = kept(turned.mapInArrow(_contracted, pair))
         if now == seen:
+            hung = e.groupBy("u").agg(F.min("v").alias("component"))
             break
         seen = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    hung = e.groupBy("u").agg(F.min("v").alias("component"))
+    if e is e0 and seen[0] <= local_edges:
+        return hung.select(F.col("u").alias("node"), "component")
+    nodes = e0.select(F.col("u").alias("node")).distinct()
     return nodes.join(hung, F.col("node") == F.col("u"), "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -78,7 +78,7 @@ def test_extract_keeps_bytes_and_nulls(spark):
 
 def test_components_of_a_hub(spark):
     edges = [(0, i) for i in range(1, 4000)] + [(i, 10_000 + i) for i in range(1, 3000)] + [(20_000, 20_001)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(8), heavy_from=1000).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(8), local_edges=1000).collect()}
     assert got == {x: 0 if x < 20_000 else 20_000 for e in edges for x in e}
 
 
@@ -111,6 +111,9 @@ def test_components_like_union_find(spark):
         root[max(a, b)] = min(a, b)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
+    # The same with rounds: one task may finish ten edges at most.
+    again = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(6), local_edges=10).collect()}
+    assert again == got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
