@@ -28,9 +28,6 @@ def parse_pages(texts: DataFrame, id_col: str = "name", text_col: str = "text")
     list; a repeated key's last value wins. All in array expressions: no shuffle, no Python.
     """
     configure(texts.sparkSession)  # a map's repeated key: the last wins
-    lines = F.split(F.col(text_col), "\n")
-    end = F.array_position(F.slice(F.col("lines"), 2, F.greatest(F.size("lines") - 1, F.lit(0))), "---")
-    step = F.col("lines")[0] == "---"
     item = lambda x: x.startswith("  - ")
     head = lambda x: F.instr(x, ":") > 0
     entry = "struct<key:string,scalar:string,list:array<string>,open:boolean>"
@@ -58,19 +55,22 @@ def parse_pages(texts: DataFrame, id_col: str = "name", text_col: str = "text")
             .otherwise(state(done, F.lit(False), F.lit(False)))
         )
 
-    pages = texts.select(F.col(id_col).alias("name"), F.col(text_col).alias("text"), lines.alias("lines")).withColumn("end", F.when(step, end).otherwise(0))
-    block = F.slice("lines", 2, F.greatest(F.col("end") - 1, F.lit(0)).cast("int"))
+    # Only the frontmatter is cut into lines; the body stays one piece of the text.
+    pages = texts.select(F.col(id_col).alias("name"), F.col(text_col).alias("text"))
+    close = F.locate("\n---\n", F.concat("text", F.lit("\n")), 4)  # of the newline before the end, from that of the first line on
+    pages = pages.withColumn("end", F.when(F.concat("text", F.lit("\n")).startswith("---\n"), close).otherwise(0))
+    block = F.when(F.col("end") > 4, F.split(F.substr("text", F.lit(5), F.col("end") - 5), "\n")).otherwise(F.array().cast("array<string>"))
     pages = pages.withColumn("read", F.aggregate(block, start, add))
     ok = (F.col("end") > 0) & F.col("read.ok")
-    after = F.slice(F.col("lines"), (F.col("end") + 2).cast("int"), F.greatest(F.size("lines") - F.col("end") - 1, F.lit(0)).cast("int"))
-    after = F.when(F.element_at(F.concat(after, F.array(F.lit("."))), 1) == "", F.slice(after, 2, F.greatest(F.size(after) - 1, F.lit(0)))).otherwise(after)
+    rest = F.substr("text", F.col("end") + 5)
+    after = F.when(rest.startswith("\n"), F.substr(rest, F.lit(2))).otherwise(rest)
     pairs = F.transform("read.done", lambda e: F.struct(e["key"].alias("key"), F.struct(e["scalar"].alias("scalar"), e["list"].alias("list")).alias("value")))
     return pages.select(
         F.col("name").alias(id_col),
         F.coalesce(ok, F.lit(False)).alias("parsed_ok"),
         F.when(ok, F.array_distinct(F.transform("read.done", lambda e: e["key"]))).alias("keys"),
         F.when(ok, F.map_from_entries(pairs)).alias("fields"),
-        F.when(ok, F.array_join(after, "\n")).otherwise(F.col("text")).alias("body"),
+        F.when(ok, after).otherwise(F.col("text")).alias("body"),
     )
 
 

@@ -12,20 +12,18 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import text as t
 from kbspark.operators.components import components
+from kbspark.operators.forms import forms, shared
 
 
-def forms(rows: DataFrame, id_col: str, identifiers: str = "identifiers") -> DataFrame:
-    """Distinct (id, key, norm) of every row's identifiers."""
-    out = rows.select(F.col(id_col), F.explode(identifiers).alias("identifier")).withColumn("f", t.join_form(F.col("identifier")))
-    return out.select(id_col, "f.key", "f.norm").distinct()
+def candidate_pairs(summary_forms: DataFrame, story_forms: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """(digest, story, shared): stories that share a form with a summary, or that `extra` names.
 
-
-def candidate_pairs(summaries: DataFrame, stories: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """(digest, story, shared): stories that share a form with a summary, or that `extra` names."""
-    shared = forms(summaries, "digest").join(forms(stories, "story"), ["key", "norm"]).groupBy("digest", "story").agg(F.count("*").alias("shared"))
+    summary_forms (digest, key, norm) and story_forms (story, key, norm) come from forms() or a stored index.
+    """
+    found = shared(summary_forms, story_forms)
     if extra is None:
-        return shared
-    return extra.select("digest", "story").distinct().join(shared, ["digest", "story"], "full_outer").select("digest", "story", F.coalesce("shared", F.lit(0)).cast("long").alias("shared"))
+        return found
+    return extra.select("digest", "story").distinct().join(found, ["digest", "story"], "full_outer").select("digest", "story", F.coalesce("shared", F.lit(0)).cast("long").alias("shared"))
 
 
 def ordered_candidates(pairs: DataFrame, stories: DataFrame, extra: DataFrame | None = None) -> DataFrame:
@@ -113,6 +111,8 @@ class _Shelf:
     def place(self, row: dict, judge: Judge) -> tuple[str, str, str, int]:
         found = [Story(n, self.title[n], self.texts[n]) for n in self.candidates(row)]
         name = judge(Page(row["digest"], row["title"], row["body"]), found) if found else None
+        if name not in self.first or all(name != c.name for c in found):
+            name = None  # a reply that names no candidate is no join
         action = "joined" if name else "started"
         if not name:
             name = row["slug"] if row["slug"] not in self.first else f"{row['slug']}-{row['digest'][:8]}"
@@ -144,16 +144,18 @@ def _fold(judge: Judge):
     return run
 
 
-def place(summaries: DataFrame, existing: DataFrame | None = None, judge: Judge = first_candidate, near: DataFrame | None = None) -> DataFrame:
+def place(summaries: DataFrame, existing: DataFrame | None = None, judge: Judge | None = None, near: DataFrame | None = None) -> DataFrame:
     """(digest, story, action, seq) of every summary (digest, fetched, slug, identifiers; title and body if a judge reads them).
 
-    Each joins the candidate that the judge names or starts a story. Candidates share a form
-    with it, or hold what `near` (digest, other, rank) names: the digest of another summary or
+    Each joins the candidate that the judge names or starts a story; a name that is no candidate
+    counts as none. Without a judge the first candidate is taken, and `near` is not looked at:
+    nearness alone is no reason to join. Candidates share a form with it, or hold what `near` (digest, other, rank) names: the digest of another summary or
     "story:" and the name of one of the `existing` stories (story, first_seen, identifiers,
     perhaps title), which are seeded before. The order of placement matters only inside a
     component, so components are dealt out and each is read as one sorted stream: many small
     ones share a batch, and of a large one only its stories' forms are held, not its rows.
     """
+    judge, near = (first_candidate, None) if judge is None else (judge, near)
     text = lambda df, c: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
     new = summaries.select("digest", F.coalesce("fetched", F.lit("")).alias("fetched"), "slug", "identifiers", F.lit("").alias("story"), text(summaries, "title").alias("title"), text(summaries, "body").alias("body"))
     if existing is not None:
@@ -195,9 +197,12 @@ def story_body(members: DataFrame, summaries: DataFrame) -> DataFrame:
 
 def push_matches(summaries: DataFrame, agents: DataFrame) -> DataFrame:
     """(digest, name, shared): agent pages with a form of a summary, and the summary's spellings, sorted."""
-    left = summaries.select("digest", F.explode("identifiers").alias("raw")).withColumn("f", t.join_form(F.col("raw"))).select("digest", "raw", "f.key", "f.norm")
-    pairs = left.join(forms(agents, "name"), ["key", "norm"])
-    return pairs.groupBy("digest", "name").agg(F.array_sort(F.collect_set("raw")).alias("shared"))
+    spelled = summaries.select("digest", F.explode("identifiers").alias("raw")).withColumn("f", t.join_form(F.col("raw")))
+    spelled = spelled.groupBy("digest").agg(F.collect_set(F.struct("f", "raw")).alias("spelled"))
+    pairs = shared(forms(summaries, "digest"), forms(agents, "name").withColumnRenamed("name", "story"), lists=True)
+    said = F.filter("spelled", lambda s: F.array_contains("shared", s["f"]))
+    found = pairs.join(spelled, "digest").select("digest", F.col("story").alias("name"), F.array_sort(F.array_distinct(F.transform(said, lambda s: s["raw"]))).alias("shared"))
+    return found
 
 
 def recheck(placements: DataFrame, stories: DataFrame, fresh: DataFrame) -> DataFrame:

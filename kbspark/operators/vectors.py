@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FLOOR = 0.35
@@ -30,6 +30,26 @@ def default_embed(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+def embedded(text: Column, embed: Callable[[pd.Series], pd.Series] = default_embed) -> Column:
+    """A vector for each text by the caller's function, which must give as many as texts, all of one dimension."""
+
+    def checked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        width = None
+        for texts in batches:
+            found = pd.Series(list(embed(texts)), index=texts.index, dtype=object)
+            if len(found) != len(texts):
+                raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+            sizes = set(map(len, found))
+            width = next(iter(sizes), None) if width is None else width
+            if sizes - {width}:
+                raise ValueError(f"vectors of {sorted(sizes | {width})} dimensions")
+            yield found
+
+    # The iterator form is told by its type hints, which must be real types here.
+    checked.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(checked, "array<float>")(text)
+
+
 def embed_plan(pages: DataFrame, vectors: DataFrame) -> DataFrame:
     """name and state of each page or row: stale (no row, or another hash), delete (no page), current."""
     have = vectors.select("name", F.col("embed_hash").alias("had"))
@@ -42,7 +62,7 @@ def sweep(pages: DataFrame, vectors: DataFrame, embed: Callable[[pd.Series], pd.
     """The vector table after deleting vanished rows and embedding stale pages, and those alone."""
     plan = embed_plan(pages, vectors)
     stale = pages.join(plan.where("state = 'stale'").select("name"), "name", "left_semi")
-    fresh = stale.withColumn("embedding", F.pandas_udf(embed, "array<float>")(F.col("text"))).select("name", "kind", "title", "embed_hash", "embedding")
+    fresh = stale.withColumn("embedding", embedded(F.col("text"), embed)).select("name", "kind", "title", "embed_hash", "embedding")
     kept = vectors.join(plan.where("state = 'current'").select("name"), "name", "left_semi").select("name", "kind", "title", "embed_hash", "embedding")
     return kept.unionByName(fresh)
 

@@ -11,7 +11,7 @@ from kbspark.plans import views as v
 from kbspark.plans.views import with_views
 from kbspark.session import configure, table
 from kbspark.streaming import limits
-from kbspark.streaming.ingest import ingest_all
+from kbspark.streaming.ingest import Tables, ingest_all
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -134,12 +134,42 @@ def eval_load(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams -------------------------------------------------------------------------------------
 
 
-@query(with_views("select arrival, digest, job, status from stored", "stored"))
-def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """documents as a file stream through storing; outcomes of all batches."""
+def _ingested(spark: SparkSession, sf: str) -> Tables:
+    """documents as a file stream through all steps: stored, summarised, embedded, placed."""
     schema = table(spark, sf, "documents").schema
     docs = spark.readStream.schema(schema).parquet(f"{sf}/documents.parquet*")
-    return ingest_all(spark, v.raw_of(docs)).select("arrival", "digest", "job", "status")
+    return ingest_all(spark, v.raw_of(docs))
+
+
+@query(with_views("select arrival, digest, job, status from stored", "stored"))
+def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes of all batches of the stream."""
+    return _ingested(spark, sf).read("results").select("arrival", "digest", "job", "status")
+
+
+INGESTED = r""", k as (select *, coalesce(lower(trim(split_part(content_type, ';', 1))), 'text/plain') as m from sources),
+ro as (select *, case when m = 'image/png' then 'attachment' when m = 'application/pdf' then 'actionable: pdf disabled' when strlen(data) > 1000000 then 'actionable: too large' else 'text' end as route, trim(regexp_replace(data, '[ \t\r\n]+', ' ', 'g')) as flat from k),
+rt as (select *, trim(regexp_replace(flat[1:40], '[^A-Za-z0-9 .,]', '', 'g')) as title, list_transform(list_sort(list_distinct(regexp_extract_all(data, '[A-Za-z]{14,17}'))), lambda w: 'term:' || w) as ids, array_to_string(string_split(flat, '. ')[1:2], '. ') as lead from ro),
+good as (select *, SLUG as slug from rt where route = 'text' and title <> ''),
+named as (select *, slug || case when row_number() over (partition by slug order by fetched, digest) > 1 then '-' || digest[1:12] else '' end || '.md' as name from good)"""
+
+
+@query(with_views(INGESTED.replace("SLUG", v.SLUG.format("title")).replace("\\\\", "\\") + """ select 'page' as what, name as id, digest || chr(10) || title || chr(10) || array_to_string(ids, ',') as detail from named
+union all select 'vector', name, sha256('summary' || chr(0) || title || chr(0) || title || chr(10) || array_to_string(ids, chr(10)) || chr(10) || lead[1:2000]) from named
+union all select 'dropped', digest, case when route <> 'text' then route else 'blank title' end from rt where route <> 'text' or title = ''""", "sources"))
+def ingest_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages, vectors and drops that the stream left."""
+    out = _ingested(spark, sf)
+    page = F.concat_ws("\n", "digest", "title", F.array_join("identifiers", ",")).alias("detail")
+    rows = out.read("pages").select(F.lit("page").alias("what"), F.col("name").alias("id"), page)
+    rows = rows.unionByName(out.read("vectors").select(F.lit("vector").alias("what"), F.col("name").alias("id"), F.col("embed_hash").alias("detail")))
+    return rows.unionByName(out.read("dropped").select(F.lit("dropped").alias("what"), F.col("digest").alias("id"), F.col("reason").alias("detail")))
+
+
+@query(None)
+def ingest_stories(spark: SparkSession, sf: str) -> DataFrame:
+    """Stories that the stream left; tests hold them against one run over all sources."""
+    return _ingested(spark, sf).stories()
 
 
 def _log(spark: SparkSession, sf: str) -> DataFrame:

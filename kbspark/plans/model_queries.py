@@ -44,9 +44,9 @@ def summarize_fn(spark: SparkSession, sf: str) -> DataFrame:
 @query(sq.SQL["judge"])
 def judge_fn(spark: SparkSession, sf: str) -> DataFrame:
     """All candidates in order with their titles, handed to the judge's callable beside the summary."""
-    kb, s = sq.stories(spark, sf), sq.summaries(spark, sf)
+    s = sq.summaries(spark, sf)
     titled = v.stories(spark, sf).select(F.col("stem").alias("story"), "title")
-    placed = st.ordered_candidates(st.candidate_pairs(s, kb), kb).join(titled, "story")
+    placed = st.ordered_candidates(sq.pairs(spark, sf), sq.ranges(spark, sf)).join(titled, "story")
     lists = placed.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("place", "story", "title"))).alias("found"))
 
     def ask(batches):

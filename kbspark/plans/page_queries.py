@@ -9,7 +9,7 @@ from kbspark.functions import text as t
 from kbspark.operators import pages as pg
 from kbspark.operators import quality as q
 from kbspark.plans import views as v
-from kbspark.plans.views import SLUG, with_views
+from kbspark.plans.views import SLUG, kept_once, with_views
 from kbspark.session import materialise, table
 
 QUERIES: dict = {}
@@ -34,12 +34,14 @@ def parsed(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_views("""select name, true as parsed_ok, title, identifiers, source, sha256(body) as body_sha256 from summaries
 union all select name, conv_id % 11 <> 0, case when conv_id % 11 <> 0 then title else '' end, case when conv_id % 11 <> 0 then identifiers else [] end, '',
  case when conv_id % 11 <> 0 then sha256(body) else sha256((select text from texts where texts.name = notes.name)) end from notes""", "texts"))
+@kept_once
 def parse_pages(spark: SparkSession, sf: str) -> DataFrame:
     ids = F.coalesce(pg.listed("identifiers"), F.array().cast("array<string>"))
     return pg.parse_pages(v.texts(spark, sf)).select("name", "parsed_ok", pg.scalar("title").alias("title"), ids.alias("identifiers"), pg.scalar("source").alias("source"), F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"))
 
 
 @query(with_views("select name, sha256(text) as text_sha256 from texts where name not in (select name from notes where conv_id % 11 = 0)", "texts"))
+@kept_once
 def render_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Parsed pages rendered again: the same text."""
     text = pg.render(F.col("keys"), F.col("fields"), F.col("body"))
@@ -135,6 +137,7 @@ def wikilinks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_views("select name, title, fetched from summaries", "summaries"))
+@kept_once
 def field_projection(spark: SparkSession, sf: str) -> DataFrame:
     return parsed(spark, sf).where("parsed_ok").where(pg.scalar("kind") == "summary").select("name", pg.scalar("title").alias("title"), pg.scalar("fetched").alias("fetched"))
 
@@ -150,6 +153,7 @@ def candidate_stub(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_views("select name, title from kb_pages where kind = 'note' and parsed_ok and title like 'Note %' and regexp_matches(title, '[02468]$')", "pages"))
+@kept_once
 def field_regex(spark: SparkSession, sf: str) -> DataFrame:
     found = parsed(spark, sf).where("parsed_ok").where(pg.scalar("title").rlike(r"^Note [0-9]*[02468]$"))
     return found.select("name", pg.scalar("title").alias("title"))
@@ -163,6 +167,7 @@ def list_page(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_views("select name, n from (select name, try_cast(title[6:] as int) as n from notes where conv_id % 11 <> 0) where n is not null order by n, name limit 5", "notes"))
+@kept_once
 def numeric_top(spark: SparkSession, sf: str) -> DataFrame:
     """The five pages with the least number in a text field, in numeric order."""
     number = F.substring(pg.scalar("title"), 6, 20).try_cast("int")
@@ -185,16 +190,19 @@ def _names(spark: SparkSession, sf: str, chars: int) -> DataFrame:
 
 
 @query(with_views(NAMED + " select digest, slug || case when nth = 1 and not held then '' else '-' || digest[1:12] end || '.md' as name from n", "summaries"))
+@kept_once
 def summary_naming(spark: SparkSession, sf: str) -> DataFrame:
     return _names(spark, sf, 12).select("digest", "name")
 
 
 @query(with_views(NAMED + " select digest, slug || case when nth = 1 and not held then '' else '-' || digest[1:8] end || '.md' as name from n", "summaries"))
+@kept_once
 def story_naming(spark: SparkSession, sf: str) -> DataFrame:
     return _names(spark, sf, 8).select("digest", "name")
 
 
 @query(with_views(NAMED + " select slug, digest, nth::int as nth, nth > 1 or held as collides from n", "summaries"))
+@kept_once
 def slug_collision(spark: SparkSession, sf: str) -> DataFrame:
     s = v.summaries(spark, sf).withColumn("slug", t.slugify(F.col("title")))
     new = s.where("arrival % 7 <> 0").select("slug", F.col("source").alias("digest"), "fetched")
@@ -205,6 +213,7 @@ def slug_collision(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_views("select source as digest, case when arrival % 2 = 0 then 'story-' || (arrival % 10) end as story, prompt_fingerprint from summaries", "summaries"))
+@kept_once
 def carry_story(spark: SparkSession, sf: str) -> DataFrame:
     """New summary pages keep the story that the page before them had."""
     s = v.summaries(spark, sf)
@@ -240,6 +249,7 @@ def _known(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(_lint("frontmatter"))
+@kept_once
 def lint_frontmatter(spark: SparkSession, sf: str) -> DataFrame:
     return q.frontmatter(parsed(spark, sf).select("name", "parsed_ok"))
 
@@ -255,6 +265,7 @@ def lint_identifier_value(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(_lint("cites"))
+@kept_once
 def lint_cites_summary(spark: SparkSession, sf: str) -> DataFrame:
     return q.cites_summary(v.pages(spark, sf))
 
@@ -265,18 +276,20 @@ def lint_dangling_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(_lint("member"))
+@kept_once
 def lint_story_member(spark: SparkSession, sf: str) -> DataFrame:
     return q.story_member(v.pages(spark, sf))
 
 
 @query(_lint("title"))
+@kept_once
 def lint_duplicate_title(spark: SparkSession, sf: str) -> DataFrame:
     return q.duplicate_title(v.pages(spark, sf))
 
 
 def _all(spark: SparkSession, sf: str) -> DataFrame:
     """Findings with the e-mail key undeclared; the pages are scanned once."""
-    return q.lint_all(materialise(v.pages(spark, sf)), v.vocab(spark, "email"), _known(spark, sf))
+    return q.lint_all(v.pages(spark, sf), v.vocab(spark, "email"), _known(spark, sf))
 
 
 ALL = {**FIND, "value": FIND["value"].replace(BOTH, NO_EMAIL)}
@@ -284,11 +297,13 @@ ALL_SQL = with_views(", " + ", ".join([IDS, LINKS, STEMS, KNOWN]) + ", f as (" +
 
 
 @query(ALL_SQL + " select name, \"check\", detail, seq, check_order from f")
+@kept_once
 def lint_all(spark: SparkSession, sf: str) -> DataFrame:
     return _all(spark, sf).orderBy("name", "check_order", "seq")
 
 
 @query(ALL_SQL + ' select "check", count(*) as findings, count(distinct name) as pages from f group by "check"')
+@kept_once
 def finding_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _all(spark, sf).groupBy("check").agg(F.count("*").alias("findings"), F.count_distinct("name").alias("pages"))
 
@@ -321,6 +336,7 @@ def valid_hit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_views(f"""select source as digest, case when bad is null then 'new' else 'old' end as version, bad as reason from (select s.source, (select min(i) from (select unnest(s.identifiers) as i) where not (split_part(i, ':', 1) = 'term' and regexp_full_match(i[6:], '[A-Za-z]{{14,17}}'))) as bad from summaries s)""", "summaries"))
+@kept_once
 def summary_lint_drop(spark: SparkSession, sf: str) -> DataFrame:
     """A new summary page with a finding is dropped and the page before it kept; the finding is logged."""
     new = v.pages(spark, sf).where("kind = 'summary'")

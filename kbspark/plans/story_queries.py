@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as t
+from kbspark.operators import forms as fm
 from kbspark.operators import quality as q
 from kbspark.operators import stories as st
 from kbspark.plans import views as v
-from kbspark.plans.views import with_views
-from kbspark.session import materialise
+from kbspark.plans.views import kept_once, with_views
+from kbspark.session import materialise, scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -42,6 +43,28 @@ def stories(spark: SparkSession, sf: str) -> DataFrame:
     return st.seen_range(m, s).join(ids, "story", "left").withColumn("identifiers", F.coalesce("identifiers", F.array().cast("array<string>")))
 
 
+@v.once
+def summary_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """(digest, key, norm), stored as an index and read back: bodies are read for it once."""
+    path = scratch(spark)
+    fm.write_index(fm.forms(v.summaries(spark, sf).select(F.col("source").alias("digest"), "identifiers"), "digest"), path)
+    return fm.read_index(spark, path, "digest")
+
+
+@v.once
+def story_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """(story, key, norm): what the members' forms come to."""
+    return members(spark, sf).join(summary_forms(spark, sf), "digest").select("story", "key", "norm").distinct()
+
+
+def pairs(spark: SparkSession, sf: str, extra: DataFrame | None = None) -> DataFrame:
+    return st.candidate_pairs(summary_forms(spark, sf), story_forms(spark, sf), extra)
+
+
+def ranges(spark: SparkSession, sf: str) -> DataFrame:
+    return st.seen_range(members(spark, sf), v.summaries(spark, sf).select(F.col("source").alias("digest"), "fetched"))
+
+
 MEM = "mem as (select stem as story, unnest(members) as digest, generate_subscripts(members, 1) - 1 as pos from stories)"
 SF = "sf as (select distinct source as digest, split_part(i, ':', 1) as key, lower(i[strpos(i, ':') + 1:]) as norm from (select source, unnest(identifiers) as i from summaries))"
 STF = "tf as (select distinct m.story, f.key, f.norm from mem m join sf f using (digest)), rng as (select story, min(coalesce(fetched, '')) as first_seen, max(coalesce(fetched, '')) as last_seen from mem left join summaries on source = digest group by story)"
@@ -50,44 +73,47 @@ BASE = ", " + ", ".join([MEM, SF, STF, PAIRS])
 
 
 @query(with_views(BASE + " select digest, story, shared from pairs", "stories", "summaries"))
+@kept_once
 def candidate_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return st.candidate_pairs(summaries(spark, sf), stories(spark, sf))
+    return pairs(spark, sf)
 
 
 @query(with_views(BASE + " select digest, story, shared, (row_number() over (partition by digest order by shared desc, first_seen, story))::int as place from pairs join rng using (story)", "stories", "summaries"))
+@kept_once
 def candidate_order(spark: SparkSession, sf: str) -> DataFrame:
-    kb = stories(spark, sf)
-    return st.ordered_candidates(st.candidate_pairs(summaries(spark, sf), kb), kb).select("digest", "story", "shared", "place")
+    return st.ordered_candidates(pairs(spark, sf), ranges(spark, sf)).select("digest", "story", "shared", "place")
 
 
 @query(with_views(BASE + " select digest, story from (select digest, story, row_number() over (partition by digest order by shared desc, first_seen, story) as place from pairs join rng using (story)) where place = 1", "stories", "summaries"))
+@kept_once
 def judge(spark: SparkSession, sf: str) -> DataFrame:
     """The default judge's choice: the first candidate."""
-    kb = stories(spark, sf)
-    return st.ordered_candidates(st.candidate_pairs(summaries(spark, sf), kb), kb).where("place = 1").select("digest", "story")
+    return st.ordered_candidates(pairs(spark, sf), ranges(spark, sf)).where("place = 1").select("digest", "story")
 
 
 EXTRA = "x as (select s.source as digest, t.stem as story, s.arrival % 3 as vector_rank from summaries s join stories t on t.stem = 'story-src' || (s.arrival % 5) || '-' || (s.arrival // 1440))"
 
 
 @query(with_views(BASE + ", " + EXTRA + " select digest, story, coalesce(p.shared, 0) as shared from pairs p full join x using (digest, story)", "stories", "summaries"))
+@kept_once
 def union_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Stories that share a form and those a vector search proposed, each once."""
-    s, kb = summaries(spark, sf), stories(spark, sf)
-    near = s.select("digest", F.concat(F.lit("story-src"), F.col("arrival") % 5, F.lit("-"), F.expr("arrival div 1440")).alias("story"), (F.col("arrival") % 3).alias("vector_rank"))
-    near = near.join(kb.select("story"), "story", "left_semi")
-    return st.candidate_pairs(s, kb, near.unionByName(near))
+    near = summaries(spark, sf).select("digest", F.concat(F.lit("story-src"), F.col("arrival") % 5, F.lit("-"), F.expr("arrival div 1440")).alias("story"), (F.col("arrival") % 3).alias("vector_rank"))
+    near = near.join(members(spark, sf).select("story"), "story", "left_semi")
+    return pairs(spark, sf, near.unionByName(near))
 
 
 @query(with_views(BASE + " select digest, story, list_sort(list(key || ':' || norm)) as forms from sf join tf using (key, norm) group by digest, story", "stories", "summaries"))
+@kept_once
 def intersect_forms(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = st.forms(summaries(spark, sf), "digest").join(st.forms(stories(spark, sf), "story"), ["key", "norm"])
-    return pairs.groupBy("digest", "story").agg(F.array_sort(F.collect_list(F.concat("key", F.lit(":"), "norm"))).alias("forms"))
+    found = fm.shared(summary_forms(spark, sf), story_forms(spark, sf), lists=True)
+    return found.select("digest", "story", F.array_sort(F.transform("shared", lambda x: F.concat(x["key"], F.lit(":"), x["norm"]))).alias("forms"))
 
 
 @query(with_views(", " + SF + """, n as (select name, ['term:' || upper(i[6:]) ] as ids from (select name, identifiers[1] as i from summaries where arrival % 3 = 0 and len(identifiers) > 0 and identifiers[1] like 'term:%')),
 a as (select distinct 'agent-' || name as name, 'term' as key, lower(ids[1][6:]) as norm from n)
 select s.source as digest, a.name, list_sort(list(distinct i)) as shared from (select source, unnest(identifiers) as i from summaries) s join a on split_part(i, ':', 1) = a.key and lower(i[strpos(i, ':') + 1:]) = a.norm group by s.source, a.name""", "summaries"))
+@kept_once
 def push_matches(spark: SparkSession, sf: str) -> DataFrame:
     s = v.summaries(spark, sf)
     lead = F.get("identifiers", 0)
@@ -99,6 +125,7 @@ def push_matches(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_views(", " + MEM + """, i as (select m.story, m.pos, unnest(s.identifiers) as i, generate_subscripts(s.identifiers, 1) as nr from mem m join summaries s on s.source = m.digest),
 f as (select *, row_number() over (partition by story, split_part(i, ':', 1), lower(i[strpos(i, ':') + 1:]) order by pos, nr) as n from i)
 select story, list(i order by pos, nr) as identifiers from f where n = 1 group by story""", "stories", "summaries"))
+@kept_once
 def union_identifiers(spark: SparkSession, sf: str) -> DataFrame:
     return st.union_identifiers(members(spark, sf), summaries(spark, sf))
 
@@ -121,6 +148,7 @@ def story_backref(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_views(", " + MEM + " select digest from (select digest from sources union select digest from mem) where digest not in (select source from summaries where arrival % 6 <> 0) or digest in (select digest from mem where digest in (select source from summaries))", "stories", "summaries"))
+@kept_once
 def missing_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Requested digests that no placement can take: without a summary, or in a story already."""
     m = members(spark, sf).select("digest")
@@ -134,13 +162,14 @@ def missing_summary(spark: SparkSession, sf: str) -> DataFrame:
 fresh as (select digest, list(story) as c from pairs group by digest)
 select o.digest, case when o.target is not null then t.title is not distinct from o.target_title else len(list_filter(coalesce(f.c, []), lambda x: x <> 'story-src1-0')) = 0 end as holds
 from old o left join stories t on t.stem = o.target left join fresh f on f.digest = o.digest""", "stories", "summaries"))
+@kept_once
 def placement_recheck(spark: SparkSession, sf: str) -> DataFrame:
     """An older placement table held against today's stories and candidates."""
-    s, kb = summaries(spark, sf), stories(spark, sf)
+    s = summaries(spark, sf)
     k = F.col("arrival") % 20
     title = F.concat(F.lit("Story of src"), F.when(F.col("arrival") % 10 == 0, "x").otherwise(k.cast("string")))
     old = s.select("digest", F.when(F.col("arrival") % 2 == 0, F.concat(F.lit("story-src"), k, F.lit("-"), F.expr("arrival div 1440"))).alias("target"), title.alias("target_title"), F.array(F.lit("story-src1-0")).alias("seen"))
-    fresh = st.candidate_pairs(s, kb).groupBy("digest").agg(F.collect_list("story").alias("candidates"))
+    fresh = pairs(spark, sf).groupBy("digest").agg(F.collect_list("story").alias("candidates"))
     titles = v.stories(spark, sf).select(F.col("stem").alias("story"), "title")
     return st.recheck(old, titles, fresh).select("digest", "holds")
 
@@ -183,6 +212,7 @@ def story_rebuild(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(None)
+@kept_once
 def story_place(spark: SparkSession, sf: str) -> DataFrame:
     """Summaries that no story holds are placed against the stories there are."""
     s, m = summaries(spark, sf), members(spark, sf)
@@ -191,6 +221,7 @@ def story_place(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_views("""select source as digest from summaries where not exists (select 1 from (select unnest(identifiers) as i) where split_part(i, ':', 1) = 'term' and not regexp_full_match(i[6:], '[A-Za-z]{14,17}'))""", "summaries"))
+@kept_once
 def placement_lint_drop(spark: SparkSession, sf: str) -> DataFrame:
     """Summaries without a finding, the only ones a placement may take."""
     pages = v.pages(spark, sf).where("kind = 'summary'")

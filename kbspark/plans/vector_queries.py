@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kbspark.functions import text as t
 from kbspark.operators import vectors as vec
 from kbspark.plans import views as v
-from kbspark.plans.views import with_views
+from kbspark.plans.views import kept_once, with_views
 from kbspark.session import scratch, table
 
 QUERIES: dict = {}
@@ -29,9 +29,10 @@ READ = "case when parsed_ok then title || chr(10) || array_to_string(identifiers
 E = f"e as (select name, case when parsed_ok then kind else '' end as kind, case when parsed_ok then title else name end as title, {READ} as text from kb_pages), h as (select *, sha256(concat(kind, chr(0), title, chr(0), text)) as embed_hash, hash_bucket(name) as b from e)".replace("hash_bucket(name)", "('0x' || md5(name)[1:6])::bigint % 10")
 
 
+@v.once
 def _embedded(spark: SparkSession, sf: str) -> DataFrame:
     """Pages with what they are embedded by and its hash; b deals them to states for the examples."""
-    p = v.pages(spark, sf)
+    p = v.pages.__wrapped__(spark, sf)  # this view is kept itself
     text = t.embed_text(F.col("parsed_ok"), F.col("name"), F.col("title"), F.col("identifiers"), F.lit(""), F.col("body"))
     ok = F.col("parsed_ok")
     p = p.select("name", F.when(ok, F.col("kind")).otherwise("").alias("kind"), F.when(ok, F.col("title")).otherwise(F.col("name")).alias("title"), text.alias("text"))
@@ -77,16 +78,19 @@ def _stored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_views(", " + ", ".join([E, OLD, PLAN]) + " select name, state from plan", "pages"))
+@kept_once
 def embed_plan(spark: SparkSession, sf: str) -> DataFrame:
     return vec.embed_plan(_embedded(spark, sf), _stored(spark, sf))
 
 
 @query(with_views(", " + E + " select name, kind, title, embed_hash, 32 as dim from h", "pages"))
+@kept_once
 def sweep(spark: SparkSession, sf: str) -> DataFrame:
     return vec.sweep(_embedded(spark, sf), _stored(spark, sf)).select("name", "kind", "title", "embed_hash", F.size("embedding").alias("dim"))
 
 
 @query(with_views(", " + E + " select name, kind, embed_hash from h", "pages"))
+@kept_once
 def vector_sink(spark: SparkSession, sf: str) -> DataFrame:
     """The swept table written as a new version beside the one it was made from, and read back."""
     path = scratch(spark)
@@ -96,6 +100,7 @@ def vector_sink(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_views(", " + ", ".join([E, OLD, PLAN]) + " select count(*) filter (where state = 'stale') as n_embed, count(*) filter (where state = 'delete') as n_delete from plan", "pages"))
+@kept_once
 def planned_counts(spark: SparkSession, sf: str) -> DataFrame:
     plan = vec.embed_plan(_embedded(spark, sf), _stored(spark, sf))
     return plan.agg(F.count_if(F.col("state") == "stale").alias("n_embed"), F.count_if(F.col("state") == "delete").alias("n_delete"))
@@ -107,12 +112,14 @@ def _behind(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_views(", " + ", ".join([E, OLD, PLAN]) + " select 'page, no vector' as state, name as what from plan where state = 'stale' union all select 'digest, no summary', digest from sources where arrival % 4 = 0", "pages"))
+@kept_once
 def status_report(spark: SparkSession, sf: str) -> DataFrame:
     plan = vec.embed_plan(_embedded(spark, sf), _stored(spark, sf)).where("state = 'stale'")
     return plan.select(F.lit("page, no vector").alias("state"), F.col("name").alias("what")).unionByName(_behind(spark, sf).select(F.lit("digest, no summary").alias("state"), F.col("digest").alias("what")))
 
 
 @query(with_views(", " + ", ".join([E, OLD, PLAN]) + " select case when s > 0 then 'stale vectors' else 'ok' end as status, s as stale, (select count(*) from sources where arrival % 4 = 0) as unsummarized from (select count(*) filter (where state = 'stale') as s from plan)", "pages"))
+@kept_once
 def search_gate(spark: SparkSession, sf: str) -> DataFrame:
     return vec.gate(_embedded(spark, sf), _stored(spark, sf), _behind(spark, sf), "default")
 
