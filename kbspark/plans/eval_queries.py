@@ -9,7 +9,7 @@ from kbspark.operators import evaluate as ev
 from kbspark.operators import vectors as vec
 from kbspark.plans import views as v
 from kbspark.plans.views import with_views
-from kbspark.session import configure, table
+from kbspark.session import configure, materialise, scratch, table
 from kbspark.streaming import limits
 from kbspark.streaming.ingest import Tables, ingest_all
 
@@ -177,27 +177,57 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("user_id").cast("long").alias("client"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), F.col("event_id").alias("id")).withColumn("ts", F.col("us") / 1e6)
 
 
+def _streamed(spark: SparkSession, sf: str, kind: type) -> DataFrame:
+    """The log as a stream of eight batches, each call up to an hour late: dealt out by a moved time."""
+    path = scratch(spark)
+    log = materialise(_log(spark, sf).select("client", F.col("us").cast("long").alias("us"), "id"))
+    span = log.agg(F.min("us").alias("low"), F.max("us").alias("high"))
+    late = F.col("us") + F.pmod(F.xxhash64("id"), F.lit(3_600_000_000))
+    dealt = log.crossJoin(F.broadcast(span)).withColumn("batch", F.floor(8 * (late - F.col("low")) / (F.col("high") - F.col("low") + 3_600_000_001)))
+    dealt = materialise(dealt.select("client", "us", "id", "batch"))
+    for batch in range(8):
+        dealt.where(F.col("batch") == batch).drop("batch").coalesce(1).write.parquet(f"{path}/{batch}")
+    return limits.limit_files(spark, path, kind, 3, 86400.0, "61 minutes").select("client", (F.col("us") / 1e6).alias("ts"), "id", "admitted", "retry_after")
+
+
 CALLS = "with recursive e as (select user_id as client, epoch_us(ts) / 1e6::double as ts, event_id as id, row_number() over (partition by user_id order by ts, event_id) as n from events)"
 
 
-@query(CALLS + """, f as (
+FIXED = CALLS + """, f as (
  select *, ts as started, 1 as held, true as admitted, 0::bigint as retry_after from e where n = 1
  union all
  select e.*, case when e.ts - started >= 86400 then e.ts else started end, case when e.ts - started >= 86400 then 1 else least(held + 1, 3) end, held < 3 or e.ts - started >= 86400,
   case when held < 3 or e.ts - started >= 86400 then 0 else greatest(1, ceil(86400 - (e.ts - started)))::bigint end
  from f join e on e.client is not distinct from f.client and e.n = f.n + 1)
-select client, ts, id, admitted, retry_after from f""")
+select client, ts, id, admitted, retry_after from f"""
+
+
+@query(FIXED)
 def fixed_window_limit(spark: SparkSession, sf: str) -> DataFrame:
     """Three calls a day and user, the day starting at the first."""
     return limits.limit_log(_log(spark, sf), limits.FixedWindow, 3, 86400.0)
 
 
-@query(CALLS + """, f as (
+SLIDING = CALLS + """, f as (
  select *, [ts] as times, true as admitted, 0::bigint as retry_after from e where n = 1
  union all
  select client, ts, id, n, case when len(live) < 3 then list_append(live, ts) else live end, len(live) < 3, case when len(live) < 3 then 0 else greatest(1, ceil(86400 - (ts - live[1])))::bigint end
  from (select e.*, list_filter(times, lambda x: e.ts - x < 86400) as live from f join e on e.client is not distinct from f.client and e.n = f.n + 1))
-select client, ts, id, admitted, retry_after from f""")
+select client, ts, id, admitted, retry_after from f"""
+
+
+@query(SLIDING)
 def sliding_window_limit(spark: SparkSession, sf: str) -> DataFrame:
     """Three admitted calls in any 24 hours and user."""
     return limits.limit_log(_log(spark, sf), limits.SlidingWindow, 3, 86400.0)
+
+
+@query(FIXED)
+def fixed_window_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """fixed_window_limit as a stream whose calls come late: the same decisions."""
+    return _streamed(spark, sf, limits.FixedWindow)
+
+
+@query(SLIDING)
+def sliding_window_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return _streamed(spark, sf, limits.SlidingWindow)

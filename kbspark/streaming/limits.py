@@ -9,11 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUT = "client long, ts double, admitted boolean, retry_after long"
+from kbspark.session import scratch
 
 
 class FixedWindow:
@@ -88,34 +88,99 @@ def limit_log(log: DataFrame, kind: type, limit: int, window: float) -> DataFram
 
 
 class LimitProcessor(StatefulProcessor):
-    """The same for streams: one row of state a client, kept for good or until it has been idle for `ttl_ms`."""
+    """The same for streams: calls wait until the watermark has passed them, then are decided in order.
 
-    def __init__(self, kind: type, limit: int, window: float, ttl_ms: int | None) -> None:
-        self.make, self.ttl_ms = (lambda: kind(limit, window)), ttl_ms
+    State of a client: what its limit holds, and the calls that wait, no more than come within
+    the watermark's delay. A timer stands at the first of them. Once the watermark is there, no
+    earlier call can come any more, so order across batches is settled. A client without
+    waiting calls keeps no timer until `idle` seconds after its last call, when its state goes.
+    """
+
+    def __init__(self, kind: type, limit: int, window: float) -> None:
+        self.make, self.idle_ms = (lambda: kind(limit, window)), math.ceil(window * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("limit", "started double, held array<double>", self.ttl_ms)  # None: no expiry
+        self.handle = handle
+        self.limit = handle.getValueState("limit", "started double, held array<double>, last long")
+        self.waiting = handle.getListState("waiting", "us long, id long")
+
+    def _wake(self, at_ms: int, kept: list[int]) -> None:
+        for old in kept:
+            if old != at_ms:
+                self.handle.deleteTimer(old)
+        if at_ms not in kept:
+            self.handle.registerTimer(at_ms)
+
+    def _timers(self) -> list[int]:
+        return [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        limit = self.make()
-        if self.state.exists():
-            started, held = self.state.get()
+        came = [(int(us), int(i)) for frame in rows for us, i in zip(frame["us"], frame["id"])]
+        self.waiting.appendList(came)
+        timers = self._timers()
+        first = -(-min(us for us, _ in came) // 1000)
+        # A timer that stands for waiting calls may be earlier; one for an idle client is later.
+        self._wake(min([first, *timers]), timers)
+        yield pd.DataFrame({"client": pd.Series(dtype="int64"), "us": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "admitted": pd.Series(dtype="bool"), "retry_after": pd.Series(dtype="int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        now = timerValues.getCurrentWatermarkInMs()
+        calls = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        due, later = [c for c in calls if c[0] <= now * 1000], [c for c in calls if c[0] > now * 1000]
+        limit, last = self.make(), None
+        if self.limit.exists():
+            started, held, last = self.limit.get()
             limit.load(None if started is None or np.isnan(started) else started, list(held))
-        calls = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        out = [(key[0], ts, *limit.step(ts)) for ts in calls["ts"]]
-        started, held = limit.dump()
-        self.state.update((float("nan") if started is None else started, [float(x) for x in held]))
-        yield pd.DataFrame(out, columns=["client", "ts", "admitted", "retry_after"])
+        out = [(key[0], us, i, *limit.step(us / 1e6)) for us, i in due]
+        last = due[-1][0] if due else last
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        forget = None if last is None else -(-last // 1000) + self.idle_ms
+        if due or (forget is not None and forget > now):
+            started, held = limit.dump()
+            self.limit.update((float("nan") if started is None else started, [float(x) for x in held], last))
+            self.handle.registerTimer(max(now + 1, -(-later[0][0] // 1000) if later else forget))
+        else:
+            self.limit.clear()
+            if later:
+                self.handle.registerTimer(-(-later[0][0] // 1000))
+        if out:
+            yield pd.DataFrame(out, columns=["client", "us", "id", "admitted", "retry_after"])
 
     def close(self) -> None:
         pass
 
 
-def limit_stream(log: DataFrame, kind: type, limit: int, window: float, ttl_ms: int | None = 86_400_000) -> DataFrame:
-    """A streaming log (client long, ts seconds): each micro-batch is put in time order per client.
+DECIDED = "client long, us long, id long, admitted boolean, retry_after long"
+
+
+def limit_stream(log: DataFrame, kind: type, limit: int, window: float, delay: str) -> DataFrame:
+    """Decisions over a streaming log (client long, us microseconds, id), each client in (us, id) order.
+
+    Calls may come late by `delay`, in any order and batch; later ones are dropped by the
+    watermark. A call is decided once the watermark has passed it. Needs a state store that
+    keeps lists (RocksDB).
+    """
+    timed = log.select("client", "us", "id", F.timestamp_micros("us").alias("at")).withWatermark("at", delay)
+    return timed.groupBy("client").transformWithStateInPandas(LimitProcessor(kind, limit, window), DECIDED, "Append", "EventTime")
+
+
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def limit_files(spark: SparkSession, path: str, kind: type, limit: int, window: float, delay: str) -> DataFrame:
+    """Run limit_stream over Parquet files of (client, us, id) below path, one a batch in the order written, and return what was decided.
 
-    Idle clients are forgotten after ttl_ms of processing time. Expiry keeps a query running
-    batches without input, so a run that should end (availableNow) passes None.
+    What waits when the files end is decided too: a last row of no client moves the watermark past everything.
     """
-    mode = "None" if ttl_ms is None else "ProcessingTime"
-    return log.groupBy("client").transformWithStateInPandas(LimitProcessor(kind, limit, window, ttl_ms), OUT, "Append", mode)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    log = spark.read.schema("client long, us long, id long").parquet(f"{path}/*")
+    end = log.agg(F.max("us").alias("us")).select(F.lit(None).cast("long").alias("client"), (F.coalesce("us", F.lit(0)) + 10**13).alias("us"), F.lit(-1).cast("long").alias("id"))
+    end.coalesce(1).write.parquet(f"{path}/end")
+    stream = spark.readStream.schema("client long, us long, id long").option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    out = scratch(spark)
+    found = limit_stream(stream, kind, limit, window, delay).where("id >= 0")
+    found.writeStream.format("parquet").option("path", f"{out}/decided").option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(DECIDED).parquet(f"{out}/decided")

@@ -178,11 +178,23 @@ def test_limit_stream_equals_batch(spark, tmp_path, kind):
         one = kind(3, 60.0)
         want |= {(c, t): one.step(t) for _, t, _ in sorted((r for r in rows if r[0] == c), key=lambda r: r[1])}
     assert batch == want
-    log.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = limits.limit_stream(spark.readStream.schema(log.schema).parquet(str(tmp_path / "in")).select("client", "ts"), kind, 3, 60.0, None)
-    q = stream.writeStream.format("memory").queryName(f"out_{kind.__name__}").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {(r.client, r.ts): (r.admitted, r.retry_after) for r in spark.table(f"out_{kind.__name__}").collect()} == want
+    # Calls come up to a minute late: dealt to batches by a time that is moved, and shuffled inside each.
+    late = [(c, int(round(t * 1e6)), i, int((t + rng.random() * 60) // 120)) for c, t, i in rows]
+    rng.shuffle(late)
+    for batch in range(6):
+        some = [r[:3] for r in late if r[3] == batch]
+        if some:
+            spark.createDataFrame(some, "client long, us long, id long").coalesce(1).write.parquet(str(tmp_path / f"in/{batch}"))
+    got = {(r.client, r.us / 1e6): (r.admitted, r.retry_after) for r in limits.limit_files(spark, str(tmp_path / "in"), kind, 3, 60.0, "61 seconds").collect()}
+    assert got == want
+
+
+def test_limit_stream_drops_what_is_too_late(spark, tmp_path):
+    calls = [[(1, 100_000_000, 0)], [(1, 500_000_000, 1)], [(1, 90_000_000, 2), (1, 501_000_000, 3)]]
+    for i, some in enumerate(calls):
+        spark.createDataFrame(some, "client long, us long, id long").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    got = {r.id: r.admitted for r in limits.limit_files(spark, str(tmp_path / "in"), limits.SlidingWindow, 1, 60.0, "10 seconds").collect()}
+    assert got == {0: True, 1: True, 3: False}
 
 
 def test_parse_labels(spark):
