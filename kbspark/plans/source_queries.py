@@ -10,7 +10,7 @@ from kbspark.operators import pages as pg
 from kbspark.plans import views as v
 from kbspark.plans.views import with_views
 from kbspark.session import scratch, table
-from kbspark.sources import store
+from kbspark.sources import files, store
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -26,16 +26,29 @@ def query(sql: str | None = None):
     return add
 
 
+def _source_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The sources as files named by digest with their sidecars, scanned."""
+    path = scratch(spark)
+    files.store_files(v.sources(spark, sf), path)
+    return files.scan_sources(spark, path)
+
+
 @query(with_views("select digest, arrival, strlen(data) as size from sources", "sources"))
 def source_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return v.sources(spark, sf).select("digest", "arrival", F.octet_length("data").cast("long").alias("size"))
+    """Every stored file: its stem is the digest, which its bytes must have."""
+    found = _source_files(spark, sf)
+    intact = F.sha2("content", 256) == F.col("digest")
+    return found.where(intact).select("digest", F.col("provenance")["arrival"].cast("long").alias("arrival"), "size")
 
 
 @query("select page_id, url, sha256(html) as html_sha256, length(html) as n_chars from pages")
 def page_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Page files as bytes, decoded with invalid sequences replaced."""
-    html = pg.decode(F.col("html").cast("binary"))
-    return table(spark, sf, "pages").select("page_id", "url", F.sha2(html.cast("binary"), 256).alias("html_sha256"), F.length(html).cast("long").alias("n_chars"))
+    path, pages = scratch(spark), table(spark, sf, "pages")
+    files.write_files(pages.select(F.concat("page_id", F.lit(".md")).alias("name"), F.col("html").cast("binary").alias("data")), path)
+    found = files.scan_pages(spark, path).where("fault is null")
+    found = found.select(F.substring_index("name", ".", 1).cast("long").alias("page_id"), F.sha2(F.col("text").cast("binary"), 256).alias("html_sha256"), F.length("text").cast("long").alias("n_chars"))
+    return found.join(pages.select("page_id", "url"), "page_id").select("page_id", "url", "html_sha256", "n_chars")
 
 
 @query(with_views("select arrival, digest, job, url, status from stored", "stored"))
@@ -45,7 +58,9 @@ def store_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_views("select digest, url, fetched, content_type, job from sources", "sources"))
 def provenance_read(spark: SparkSession, sf: str) -> DataFrame:
-    return v.sources(spark, sf).select("digest", "url", "fetched", "content_type", "job")
+    """Sidecars as records."""
+    p = F.col("provenance")
+    return _source_files(spark, sf).select("digest", *[p[c].alias(c) for c in ("url", "fetched", "content_type", "job")])
 
 
 @query(with_views(r""", used as (select distinct split_part(i, ':', 1) as key from (select unnest(identifiers) as i from summaries))
