@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from kbspark.llm import media, packing, pii, pitman_yor, quality, token_counts
@@ -153,9 +154,7 @@ def test_quality(spark):
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)] + [(5, 1), (None, 1), (7, None)], "doc_id long, quality int")
     model = quality.fit(docs, labels)
     got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
-    assert quality.score(docs, model).columns == ["doc_id", "score", "size_score"]
-    alone_by_size = {r.doc_id: r.size_score for r in quality.score(docs, model).collect()}
-    assert sum((alone_by_size[i] >= 0.5) == (i % 3 > 0) for i in range(200, 400)) >= 190
+    assert quality.score(docs, model).columns == ["doc_id", "score"]
     assert len(got) == 403 and all(0 <= s <= 1 for s in got.values()) and got[400] == got[401]
     assert sum((got[i] >= 0.7) == (i % 3 > 0) for i in range(200, 400)) >= 195
     left = quality.keep_good(docs, model)
@@ -165,6 +164,50 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), quality.fit(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def test_quality_is_the_calibrated_size_difference():
+    """The score from zstandard itself, step by step; equal sizes under both dictionaries give the same score to all."""
+    rng = random.Random(4)
+    rows = [(" ".join(rng.choice(["the", "cat", "Sat", "on", "mats"]) for _ in range(60)), 1, i) for i in range(60)]
+    rows += [("x1 ## " * rng.randrange(20, 90) + str(i), 0, i) for i in range(60)]
+    model = quality._fit(rows, {0: 60, 1: 60})
+    texts = [t for t, _, _ in rows[::7]] + ["", "ÀÉ 12", "y" * 50_000]
+    views = [lambda t: t, lambda t: "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c if c < "\x80" else "~" for c in t), None]
+    want = []
+    for text in texts:
+        d = []
+        for view, pair in zip(views, model.dictionaries):
+            if view is None:
+                words = re.findall("[^\x20\x09-\x0d]+", text)
+                raw = "".join("n" if w not in words[:i] else chr(48 + min(20, (words[:i][::-1].index(w) + 1).bit_length())) for i, w in enumerate(words)).encode()
+            else:
+                raw = view(text).encode()
+            g, b = (len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw)) for x in pair)
+            d += [(b - g) / (len(raw) + 1), (b - g) / max(g, b)]
+        size = np.log(len(text) + 1)
+        x = [*d, *(v * size for v in d), *(v * v for v in d), d[2] * d[0], d[4] * d[0], d[4] * d[2]]
+        want.append(1 / (1 + np.exp(-(model.weights[0] + sum(w * v / s for w, v, s in zip(model.weights[1:], x, model.scale))))))
+    tools = quality._tools(model.dictionaries)
+    got = 1 / (1 + np.exp(-(np.c_[np.ones(len(texts)), quality.features(tools, texts) / np.array(model.scale)] @ np.array(model.weights))))
+    assert np.allclose(got, want, atol=1e-9)
+
+
+def test_quality_passes_over_a_text_that_does_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FIT_BYTES", 40_000)
+    monkeypatch.setattr(quality, "SHARE", 8)
+    rng = random.Random(3)
+    good = lambda: " ".join(rng.choice(["the", "cat", "sat", "and", "ran", "home"]) for _ in range(40))
+    bad = lambda: " ".join(rng.choice(["BUY!!", "$$$", "###", "now***"]) for _ in range(40))
+    rows = [(i, good() if i % 2 else bad()) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 200)], "doc_id long, quality int")
+    for long in (0, 30_000, 80_000):  # none, one beyond its share, one beyond all
+        docs = spark.createDataFrame([(i, t * (1 + long // len(t)) if i in (4, 5, 6, 7) else t) for i, t in rows], "doc_id long, text string")
+        model = quality.fit(docs, labels)
+        got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+        assert sum((got[i] >= 0.5) == i % 2 for i in range(200, 300)) >= 97 and 0.4 < model.prior < 0.6
+    # Only long texts: those that fit are taken all the same.
+    assert quality._within([(1, 90_000), (2, 15_000), (3, 30_000), (4, 15_000)]) == [2, 4]
+
+
 def test_pii(spark):
     mail = "ana.b7@mail.example.com"
     rows = [(1, f"write {mail} or {mail.upper()} or +1 (726) 555-7857."), (2, f"again {mail}; 20.118.157.107 and 192.168.1.7, card 4325404893167225, 4325 4048 9316 7225"), (3, "nothing here: 12 apples, 3.14"), (4, None), (5, ""), (5, ""), (6, "Mrs. Mary Walker and John; token = \"15369567102e9c36a9ac562f793ab1b6090d216a\""), (None, "Mr. Walker " + "x " * 100_000)]
