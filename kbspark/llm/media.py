@@ -8,8 +8,9 @@ import re
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,175 +45,291 @@ def _automaton():
     return found
 
 
-def _wav(b: memoryview) -> int:
-    if len(b) < 12 or b[8:12] != b"WAVE":
-        return 0
-    end, at, seen = 8 + struct.unpack_from("<I", b, 4)[0], 12, set()
-    if end > len(b):
-        return 0
-    while at + 8 <= end:
-        size = struct.unpack_from("<I", b, at + 4)[0]
-        seen.add(bytes(b[at : at + 4]))
-        at += 8 + size + (size & 1)
-    return end if at in (end, end + 1) and {b"fmt ", b"data"} <= seen else 0
+# Bounds on what one signature may cost; what lies beyond them is not carved.
+MOST_CHUNKS = 128  # of a RIFF file
+FAR_MARKS = 64  # end marks of a PDF behind another PDF's header that are looked at, from either end
+MOST_NAME = 4096  # bytes of a name inside a gzip header
+MOST_DEPTH = 8  # media inside media inside media
+_ENDMARK = re.compile(rb"startxref\s+([0-9]{1,15})\s+%%EOF")
+_XREF = re.compile(rb"xref\b|[0-9]{1,10}\s{1,10}[0-9]{1,10}\s{1,10}obj\b")
+_STEP = 1 << 14
 
 
-def _png(b: memoryview) -> int:
-    at, first = 8, True
-    while at + 12 <= len(b):
-        size = struct.unpack_from(">I", b, at)[0]
-        kind = bytes(b[at + 4 : at + 8])
-        if at + 12 + size > len(b) or (first and kind != b"IHDR"):
-            return 0
-        if zlib.crc32(b[at + 4 : at + 8 + size]) != struct.unpack_from(">I", b, at + 8 + size)[0]:
-            return 0
-        at, first = at + 12 + size, False
-        if kind == b"IEND":
-            return at
-    return 0
+def _squared(m: list[int]) -> list[int]:
+    return [_times(m, x) for x in m]
 
 
-def _gif(b: memoryview) -> int:
-    def blocks(at: int) -> int:
-        while at < len(b) and b[at]:
-            at += 1 + b[at]
-        return at + 1
+def _times(m: list[int], x: int) -> int:
+    out, i = 0, 0
+    while x:
+        if x & 1:
+            out ^= m[i]
+        x, i = x >> 1, i + 1
+    return out
 
-    if len(b) < 14:
-        return 0
-    at = 13 + (3 << (b[10] & 7) + 1 if b[10] & 0x80 else 0)
-    while at < len(b):
-        if b[at] == 0x3B:
-            return at + 1
-        if b[at] == 0x21:
-            at = blocks(at + 2)
-        elif b[at] == 0x2C and at + 10 <= len(b):
-            at = blocks(at + 11 + (3 << (b[at + 9] & 7) + 1 if b[at + 9] & 0x80 else 0))
-        else:
-            return 0
-    return 0
-
-
-def _jpeg(b: memoryview) -> int:
-    at, scans = 2, 0
-    while at + 4 <= len(b) and b[at] == 0xFF:
-        kind = b[at + 1]
-        if kind == 0xD9:
-            return at + 2 if scans else 0
-        at += 2 + struct.unpack_from(">H", b, at + 2)[0]
-        if kind == 0xDA:
-            scans += 1
-            data = bytes(b[at:])
-            skip = 0
-            while (skip := data.find(b"\xff", skip)) >= 0 and (skip + 1 >= len(data) or data[skip + 1] == 0 or 0xD0 <= data[skip + 1] <= 0xD7):
-                skip += 2
-            if skip < 0:
-                return 0
-            at += skip
-    return at + 2 if scans and bytes(b[at : at + 2]) == b"\xff\xd9" else 0
 
+@lru_cache(maxsize=1)
+def _zero_bytes() -> list[list[int]]:
+    """What 1, 2, 4, ... zero bytes do to a CRC-32, as matrices over its bits."""
+    m = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit
+    for _ in range(3):
+        m = _squared(m)
+    out = [m]
+    while len(out) < 32:
+        out.append(_squared(out[-1]))
+    return out
+
+
+class _Bytes:
+    """Stored bytes with what validators have learned of them.
+
+    Each validator takes where a media starts and the end it must keep to, and gives its own
+    end, or 0. Walks from different starts that come to the same place share the rest of the
+    way, and end marks are found once, so that many signatures cost no more than few.
+    """
 
-def _bmp(b: memoryview) -> int:
-    if len(b) < 26:
-        return 0
-    size, _, start, header = struct.unpack_from("<IIII", b, 2)
-    return size if header in (12, 40, 108, 124) and 14 + header <= start <= size <= len(b) else 0
+    def __init__(self, data: bytes) -> None:
+        self.data, self.n = data, len(data)
+        self.memo: dict[tuple, int] = {}
+
+    @cached_property
+    def _pdf_marks(self) -> tuple[list[int], list[int], list[int]]:
+        """Starts, ends and said places of the marks that end a save."""
+        found = [(m.start(), m.end(), int(m[1])) for m in _ENDMARK.finditer(self.data)]
+        return [m[0] for m in found], [m[1] for m in found], [m[2] for m in found]
+
+    @cached_property
+    def _pdf_heads(self) -> list[int]:
+        return [m.start() for m in re.finditer(rb"%PDF-", self.data)]
+
+    @cached_property
+    def zip_ends(self) -> dict[int, list[tuple[int, int]]]:
+        """By the start that an end record says: where its directory stands (none: -1), and the archive's end."""
+        out: dict[int, list[tuple[int, int]]] = {}
+        for m in re.finditer(rb"PK\x05\x06", self.data):
+            if m.start() + 22 <= self.n:
+                size, start, note = struct.unpack_from("<IIH", self.data, m.start() + 12)
+                out.setdefault(m.start() - size - start, []).append((m.start() - size if size else -1, m.start() + 22 + note))
+        return out
+
+    @cached_property
+    def _jpeg_markers(self) -> np.ndarray:
+        """Places of FF that is neither stuffed nor a restart."""
+        b = np.frombuffer(self.data, np.uint8)
+        at = np.flatnonzero(b[:-1] == 0xFF) if len(b) else np.empty(0, int)
+        follow = b[at + 1]
+        return at[(follow != 0) & ~((follow >= 0xD0) & (follow <= 0xD7))]
+
+    @cached_property
+    def _crc_before(self) -> list[int]:
+        out = [0]
+        for at in range(0, self.n, _STEP):
+            out.append(zlib.crc32(self.data[at : at + _STEP], out[-1]))
+        return out
+
+    def _crc(self, start: int, end: int) -> int:
+        if end - start <= 2 * _STEP:
+            return zlib.crc32(self.data[start:end])
+        # From the checksums of all that comes before either end.
+        front, whole = (zlib.crc32(self.data[at // _STEP * _STEP : at], self._crc_before[at // _STEP]) for at in (start, end))
+        size, k = end - start, 0
+        while size:
+            if size & 1:
+                front = _times(_zero_bytes()[k], front)
+            size, k = size >> 1, k + 1
+        return front ^ whole
+
+    def _walk(self, kind: str, at: int, step: Callable[[int], tuple[bool, int]]) -> int:
+        """Where a chain of steps (done, place) ends; every place on the way is remembered with it."""
+        path = []
+        while (out := self.memo.get((kind, at))) is None:
+            path.append(at)
+            done, at = step(at)
+            if done:
+                out = at
+                break
+        for place in path:
+            self.memo[kind, place] = out
+        return out
+
+    def wav(self, start: int, limit: int) -> int:
+        b = self.data
+        if limit - start < 12 or b[start + 8 : start + 12] != b"WAVE":
+            return 0
+        end, at, seen = start + 8 + struct.unpack_from("<I", b, start + 4)[0], start + 12, set()
+        if end > limit:
+            return 0
+        for _ in range(MOST_CHUNKS):
+            if at + 8 > end:
+                break
+            size = struct.unpack_from("<I", b, at + 4)[0]
+            seen.add(b[at : at + 4])
+            at += 8 + size + (size & 1)
+        return end if at in (end, end + 1) and {b"fmt ", b"data"} <= seen else 0
+
+    def png(self, start: int, limit: int) -> int:
+        b = self.data
+
+        def step(at: int) -> tuple[bool, int]:
+            if at + 12 > self.n:
+                return True, 0
+            size, kind = struct.unpack_from(">I", b, at)[0], b[at + 4 : at + 8]
+            if at + 12 + size > self.n or not kind.isalpha() or self._crc(at + 4, at + 8 + size) != struct.unpack_from(">I", b, at + 8 + size)[0]:
+                return True, 0
+            return kind == b"IEND", at + 12 + size
+
+        first = b[start + 8 : start + 16]
+        return self._walk("png", start + 8, step) if first == b"\0\0\0\x0dIHDR" else 0
+
+    def gif(self, start: int, limit: int) -> int:
+        b = self.data
+        if limit - start < 14:
+            return 0
 
+        def block(at: int) -> tuple[bool, int]:
+            return (True, at + 1) if at >= self.n or not b[at] else (False, at + 1 + b[at])
+
+        def step(at: int) -> tuple[bool, int]:
+            if at >= self.n:
+                return True, 0
+            if b[at] == 0x3B:
+                return True, at + 1
+            if b[at] == 0x21:
+                return False, self._walk("gif block", at + 2, block)
+            if b[at] == 0x2C and at + 10 <= self.n:
+                return False, self._walk("gif block", at + 11 + (3 << (b[at + 9] & 7) + 1 if b[at + 9] & 0x80 else 0), block)
+            return True, 0
+
+        return self._walk("gif", start + 13 + (3 << (b[start + 10] & 7) + 1 if b[start + 10] & 0x80 else 0), step)
+
+    def jpeg(self, start: int, limit: int) -> int:
+        b = self.data
+
+        def step(at: int, scans: bool) -> tuple[bool, int]:
+            if scans and b[at : at + 2] == b"\xff\xd9":
+                return True, at + 2
+            if at + 4 > self.n or b[at] != 0xFF or b[at + 1] == 0xD9:
+                return True, 0
+            to = at + 2 + struct.unpack_from(">H", b, at + 2)[0]
+            if b[at + 1] != 0xDA:
+                return False, to
+            k = int(np.searchsorted(self._jpeg_markers, to))
+            return (True, 0) if k == len(self._jpeg_markers) else (False, int(self._jpeg_markers[k]))
+
+        def before(at: int) -> tuple[bool, int]:
+            if at + 4 <= self.n and b[at] == 0xFF and b[at + 1] == 0xDA:
+                done, to = step(at, False)
+                return True, 0 if done else self._walk("jpeg scans", to, lambda p: step(p, True))
+            return step(at, False)
+
+        return self._walk("jpeg", start + 2, before)
+
+    def bmp(self, start: int, limit: int) -> int:
+        if limit - start < 26:
+            return 0
+        size, _, pixels, header = struct.unpack_from("<IIII", self.data, start + 2)
+        return start + size if header in (12, 40, 108, 124) and 14 + header <= pixels <= size <= limit - start else 0
+
+    def zip(self, start: int, limit: int) -> int:
+        # Stored archives have end records of their own; the right one counts from this start.
+        for directory, end in self.zip_ends.get(start, ()):
+            if end <= limit and (directory < 0 or self.data[directory : directory + 4] == b"PK\x01\x02"):
+                return end
+        return 0
 
-def _zip_ends(b: memoryview) -> Iterator[tuple[int, int, int]]:
-    """Where each end record says that its archive starts, where its directory stands (none: -1), and the archive's end."""
-    for m in re.finditer(rb"PK\x05\x06", b):
-        if m.start() + 22 <= len(b):
-            size, start, note = struct.unpack_from("<IIH", b, m.start() + 12)
-            yield m.start() - size - start, m.start() - size if size else -1, m.start() + 22 + note
+    def pdf(self, start: int, limit: int) -> int:
+        # Each save adds a section that ends in the place of its cross-references, from this file's start.
+        starts, ends, places = self._pdf_marks
+        k = bisect_right(self._pdf_heads, start)
+        header = min(self._pdf_heads[k], limit) if k < len(self._pdf_heads) else limit
+        first, until = bisect_left(starts, start), bisect_right(ends, limit)
+        if first >= until:
+            return 0
+        own = min(until, max(first, bisect_right(ends, header)))
+        # Behind another file's header only a place behind it too is this file's own.
+        far = range(own, until) if until - own <= 2 * FAR_MARKS else [*range(own, own + FAR_MARKS), *range(until - FAR_MARKS, until)]
+        for i in reversed(far):
+            if header < start + places[i] < limit and _XREF.match(self.data, start + places[i]):
+                return ends[i]
+        for i in range(own - 1, first - 1, -1):
+            if _XREF.match(self.data, min(start + places[i], limit)):
+                return ends[i]
+        # Where no place holds: the last end before another file's header, or else the first one.
+        return ends[own - 1] if own > first else ends[first]
+
+    def gzip(self, start: int, limit: int) -> int:
+        b, at = self.data, start + 10
+        if limit - start < 18 or (flags := b[start + 3]) & 0xE0:
+            return 0
+        if flags & 4:
+            at += 2 + int.from_bytes(b[at : at + 2], "little")
+        for bit in (8, 16):  # a name and a comment, each to its zero byte
+            if flags & bit and (at := b.find(b"\0", at, min(limit, at + MOST_NAME)) + 1) == 0:
+                return 0
+        d, view = zlib.decompressobj(31), memoryview(b)
+        try:
+            for at in range(start, limit, _STEP):
+                rest = view[at : min(limit, at + _STEP)]
+                while rest and not d.eof:
+                    d.decompress(rest, 1 << 16)
+                    rest = d.unconsumed_tail
+                if d.eof:
+                    return min(limit, at + _STEP) - len(d.unused_data)
+        except zlib.error:
+            pass
+        return 0
 
+    def flac(self, start: int, limit: int) -> int:
+        b, at = self.data, start + 4
+        if b[at : at + 4] not in (b"\0\0\0\x22", b"\x80\0\0\x22"):
+            return 0
 
-def _zip(b: memoryview) -> int:
-    # Stored archives have end records of their own; the right one counts from this start.
-    for start, directory, end in _zip_ends(b):
-        if start == 0 and end <= len(b) and (directory < 0 or b[directory : directory + 4] == b"PK\x01\x02"):
-            return end
-    return 0
+        def step(at: int) -> tuple[bool, int]:
+            if at + 4 > self.n:
+                return True, 0
+            to = at + 4 + int.from_bytes(b[at + 1 : at + 4], "big")
+            return (True, 0) if to > self.n else (b[at] >> 7 == 1, to)
 
+        # Frames have no length of their own; they run to the end.
+        return limit if 0 < self._walk("flac", at, step) <= limit else 0
 
-def _pdf(b: memoryview) -> int:
-    # Each save adds a section that ends in the place of its cross-references, from this file's start.
-    last = first = before = 0
-    header = next((m.start() for m in re.finditer(rb"%PDF-", b) if m.start()), len(b))
-    for m in re.finditer(rb"startxref\s+([0-9]{1,15})\s+%%EOF", b):
-        # Behind another file's header only a place behind it too is this file's own.
-        place = int(m[1])
-        if (m.end() <= header or header < place < len(b)) and re.compile(rb"xref\b|[0-9]+\s+[0-9]+\s+obj\b").match(b, min(place, len(b))):
-            last = m.end()
-        first = first or m.end()
-        before = m.end() if m.end() <= header else before
-    # Where no place holds: the last end before another file's header, or else the first one.
-    return last or before or first
-
-
-def _gzip(b: memoryview) -> int:
-    d = zlib.decompressobj(31)
-    try:
-        rest = d.decompress(b, 1 << 16)
-        while rest and not d.eof:
-            rest = d.decompress(d.unconsumed_tail, 1 << 16)
-    except zlib.error:
-        return 0
-    return len(b) - len(d.unused_data) if d.eof else 0
+    def ogg(self, start: int, limit: int) -> int:
+        b = self.data
 
+        def step(at: int) -> tuple[bool, int]:
+            if at + 27 > self.n or b[at : at + 4] != b"OggS" or b[at + 4] != 0:
+                return True, 0
+            to = at + 27 + b[at + 26] + sum(b[at + 27 : at + 27 + b[at + 26]])
+            return (True, 0) if to > self.n else (b[at + 5] & 4 != 0, to)
 
-def _flac(b: memoryview) -> int:
-    at, first = 4, True
-    while at + 4 <= len(b):
-        last, kind, size = b[at] >> 7, b[at] & 127, int.from_bytes(b[at + 1 : at + 4], "big")
-        if (first and (kind, size) != (0, 34)) or at + 4 + size > len(b):
-            return 0
-        at, first = at + 4 + size, False
-        if last:
-            return len(b)  # frames have no length of their own; they run to the end
-    return 0
-
-
-def _ogg(b: memoryview) -> int:
-    at = 0
-    while at + 27 <= len(b) and b[at : at + 4] == b"OggS" and b[at + 4] == 0:
-        n = b[at + 26]
-        size = 27 + n + sum(b[at + 27 : at + 27 + n])
-        if at + size > len(b):
-            return 0
-        last, at = b[at + 5] & 4, at + size
-        if last:
-            return at
-    return 0
+        return self._walk("ogg", start, step)
 
 
 VALIDATORS = {
-    "audio/wav": _wav, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "application/zip": _zip,
-    "application/pdf": _pdf, "application/gzip": _gzip, "audio/flac": _flac, "audio/ogg": _ogg,
+    "audio/wav": _Bytes.wav, "image/png": _Bytes.png, "image/gif": _Bytes.gif, "image/jpeg": _Bytes.jpeg, "image/bmp": _Bytes.bmp, "application/zip": _Bytes.zip,
+    "application/pdf": _Bytes.pdf, "application/gzip": _Bytes.gzip, "audio/flac": _Bytes.flac, "audio/ogg": _Bytes.ogg,
 }
+# Members of an archive and pages of a stream have its signature; they are no media of their own.
+STREAMS = ("audio/ogg", "audio/flac")
 
 
 def sniff(data: bytes) -> list[tuple[str, int, int]]:
     """(type, offset, length) of every media in data whose structure and length hold, by offset; those inside others too."""
-    found, around, archives = [], [], None
-    view = memoryview(data)
+    found, around, stored = [], [], _Bytes(data)
     for end, (back, kind) in _automaton().iter(data.decode("latin-1")):
         at = end + 1 - back
         if at < 0:
             continue
         while around and around[-1][1] <= at:
             around.pop()
-        # Members of an archive and pages of a stream have its signature; they are no media of their own.
-        if kind == "application/zip":
-            archives = {start for start, _, _ in _zip_ends(view)} if archives is None else archives
-            if at not in archives:
-                continue
-        if kind == "audio/ogg" and around and around[-1][0] == kind:
+        if len(around) >= MOST_DEPTH or (kind in STREAMS and around and around[-1][0] == kind):
             continue
         # What lies inside another media ends there at the latest.
-        if length := VALIDATORS[kind](view[at : around[-1][1]] if around else view[at:]):
-            found.append((kind, at, length))
-            around.append((kind, at + length))
+        limit = around[-1][1] if around else len(data)
+        to = VALIDATORS[kind](stored, at, limit)
+        if at < to <= limit:
+            found.append((kind, at, to - at))
+            around.append((kind, to))
     return found
 
 

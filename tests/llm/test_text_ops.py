@@ -1,9 +1,11 @@
+import gzip
 import hashlib
 import io
 import math
 import random
 import re
 import struct
+import time
 import wave
 import zipfile
 import zlib
@@ -339,3 +341,78 @@ def test_pii_long_secrets_short_phone_groups_and_bare_surnames(spark):
     assert "Walker" not in got[3].text and "mail.example" not in got[3].text and got[3].text.endswith(name)
     assert "Abcdefgh" not in got[4].text and got[4].n_entities == 1
     assert "555 7857" not in got[5].text
+
+
+def test_sniffing_many_signatures_is_linear():
+    """A megabyte of each signature, and of what begins media and does not end them."""
+    bits = [magic for magic, _, _ in media.SIGNATURES] + [b"startxref 1 %%EOF %PDF-", b"GIF89a!!!!!!!!", b"OggS" + b"\0" * 23, b"PK\x03\x04PK\x05\x06" + b"\0" * 18, b"\xff\xd8\xff\xda\x00\x02", b"RIFF\x10\0\0\0WAVE", b"fLaC\0\0\0\x22" + b"\0" * 34 + b"\x80\0\0\0"]
+    ihdr = b"IHDR" + bytes(13)
+    bits.append(b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + ihdr + struct.pack(">I", zlib.crc32(ihdr)) + struct.pack(">I", 900_000) + b"IDAT")
+    bits += [b"%%PDF-1 0 obj startxref %d %%%%EOF" % i for i in range(3)]
+    for bit in bits:
+        began = time.time()
+        media.sniff(bit * ((1 << 20) // len(bit)))
+        assert time.time() - began < 15, bit  # a second or two; minutes if each signature walked to the end
+
+
+def test_crc_of_a_part_from_those_before():
+    data = random.Random(5).randbytes(300_000)
+    held = media._Bytes(data)
+    for a, b in [(0, 300_000), (1, 299_999), (16384, 100_000), (5, 40_000), (7, 7), (120_000, 120_050)]:
+        assert held._crc(a, b) == zlib.crc32(data[a:b])
+
+
+def carved_by_brute_force(data):
+    """Every start and signature, lengths found by libraries or by trying all ends; nesting as sniff() says."""
+    spans = []
+    for at in range(len(data)):
+        for magic, kind in ((b"GIF89a", "image/gif"), (b"\x89PNG\r\n\x1a\n", "image/png"), (b"RIFF", "audio/wav"), (b"\x1f\x8b\x08", "application/gzip")):
+            if data[at:].startswith(magic):
+                spans += [(kind, at, end - at) for end in range(at + 14, len(data) + 1) if WHOLE[kind](data[at:end])][:1]
+    return spans
+
+
+def whole_png(b):
+    at, kinds = 8, []
+    while at + 12 <= len(b):
+        size = int.from_bytes(b[at : at + 4], "big")
+        kinds.append(b[at + 4 : at + 8])
+        if at + 12 + size > len(b) or zlib.crc32(b[at + 4 : at + 8 + size]) != int.from_bytes(b[at + 8 + size : at + 12 + size], "big"):
+            return False
+        at += 12 + size
+    return at == len(b) and kinds[:1] == [b"IHDR"] and kinds[-1:] == [b"IEND"] and kinds.count(b"IEND") == 1
+
+
+def whole_wav(b):
+    try:
+        with wave.open(io.BytesIO(b)) as w:
+            return len(b) == 44 + w.getnframes() * w.getsampwidth()
+    except (wave.Error, EOFError, RuntimeError):
+        return False
+
+
+def whole_gzip(b):
+    d = zlib.decompressobj(31)
+    try:
+        d.decompress(b)
+    except zlib.error:
+        return False
+    return d.eof and not d.unused_data
+
+
+WHOLE = {"image/png": whole_png, "audio/wav": whole_wav, "application/gzip": whole_gzip, "image/gif": lambda b: b in GIFS}
+GIFS = [b"GIF89a\1\0\1\0\0\0\0,\0\0\0\0\1\0\1\0\0\2\2\x44\1\0;", b"GIF89a\1\0\1\0\0\0\0!\xfe\3abc\0;"]
+
+
+def test_carving_against_brute_force():
+    rng = random.Random(8)
+    chunk = lambda kind, x: struct.pack(">I", len(x)) + kind + x + struct.pack(">I", zlib.crc32(kind + x))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\7")) + chunk(b"IEND", b"")
+    sound = io.BytesIO()
+    with wave.open(sound, "wb") as w:
+        w.setnchannels(1), w.setsampwidth(1), w.setframerate(8000), w.writeframes(b"abcdef")
+    parts = [png, sound.getvalue(), gzip.compress(b"hello there", mtime=0), *GIFS]
+    for _ in range(12):
+        junk = lambda: bytes(rng.choice(b"xyz ;,!\0") for _ in range(rng.randrange(20)))
+        data = b"".join(junk() + (p[: rng.randrange(4, len(p))] if rng.random() < 0.3 else p) for p in rng.sample(parts, len(parts))) + junk()
+        assert media.sniff(data) == carved_by_brute_force(data)
