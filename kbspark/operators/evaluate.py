@@ -11,35 +11,60 @@ def rankings(scores: DataFrame) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "pos")))
 
 
-def retrieval_metrics(ranked: DataFrame, cutoff: float = 0.5) -> DataFrame:
-    """One row over ranked (query, rank, score, relevant, short_stub); queries without a relevant page do not count.
+def retrieval_metrics(relevant: DataFrame, top: DataFrame, cutoff: float = 0.5, by: list[str] | None = None) -> DataFrame:
+    """One row (or one for each value of `by`); queries without a relevant page do not count.
 
-    recall@5, recall@10 over all relevant pages, MRR of the first relevant page at any rank,
-    hits of the top ten under the cutoff, mean rank of short and of long relevant pages.
+    relevant (query, rank, short_stub) has every relevant page with its rank among all, top
+    (query, rank, score) at least the ten nearest of each query. recall@5, recall@10 over all
+    relevant pages, MRR of the first relevant page at any rank, hits of the top ten under the
+    cutoff, mean rank of short and of long relevant pages.
     """
-    hit = F.col("relevant")
-    per_query = ranked.groupBy("query").agg(
-        F.count_if(hit).alias("n"),
-        F.count_if(hit & (F.col("rank") <= 5)).alias("at5"),
-        F.count_if(hit & (F.col("rank") <= 10)).alias("at10"),
-        F.min(F.when(hit, F.col("rank"))).alias("first"),
-        F.count_if((F.col("rank") <= 10) & (F.col("score") < cutoff)).alias("under"),
-        F.sum(F.when(hit & F.col("short_stub"), F.col("rank"))).alias("short_sum"),
-        F.count_if(hit & F.col("short_stub")).alias("short_n"),
-        F.sum(F.when(hit & ~F.col("short_stub"), F.col("rank"))).alias("long_sum"),
-        F.count_if(hit & ~F.col("short_stub")).alias("long_n"),
+    by = by or []
+    per_query = relevant.groupBy(*by, "query").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("rank") <= 5).alias("at5"),
+        F.count_if(F.col("rank") <= 10).alias("at10"),
+        F.min("rank").alias("first"),
+        F.sum(F.when(F.col("short_stub"), F.col("rank"))).alias("short_sum"),
+        F.count_if(F.col("short_stub")).alias("short_n"),
+        F.sum(F.when(~F.col("short_stub"), F.col("rank"))).alias("long_sum"),
+        F.count_if(~F.col("short_stub")).alias("long_n"),
     )
-    return per_query.where("n > 0").agg(
+    under = top.where((F.col("rank") <= 10) & (F.col("score") < cutoff)).groupBy(*by, "query").agg(F.count("*").alias("under"))
+    return per_query.join(under, [*by, "query"], "left").groupBy(*by).agg(
         F.count("*").alias("queries"),
         F.avg(F.col("at5") / F.col("n")).alias("recall_at_5"),
         F.avg(F.col("at10") / F.col("n")).alias("recall_at_10"),
         F.avg(1 / F.col("first")).alias("mrr"),
-        F.sum("under").alias("under_cutoff"),
+        F.coalesce(F.sum("under"), F.lit(0)).alias("under_cutoff"),
         (F.sum("short_sum") / F.sum("short_n")).alias("mean_rank_short"),
         (F.sum("long_sum") / F.sum("long_n")).alias("mean_rank_long"),
     )
 
 
+def model_table(metrics: DataFrame, runs: DataFrame) -> DataFrame:
+    """Models side by side, best recall@5 first: metrics (by model) and what a run of each took.
+
+    runs (model, kind, dims, pages, cost_usd, wall_seconds). Bytes are four a dimension; cost
+    and wall time are for a thousand pages, cost only where a model is hosted; a model without
+    metrics was run on no query and has zeros.
+    """
+    out = runs.join(metrics, "model", "left")
+    thousand = lambda c: F.round(F.col(c) / F.col("pages") * 1000, 4)
+    hosted = F.col("kind") == "hosted"
+    return out.select(
+        "model",
+        "kind",
+        "dims",
+        (F.col("dims") * 4).alias("bytes_per_page"),
+        *[F.coalesce(F.round(c, 9), F.lit(0.0)).alias(c) for c in ("recall_at_5", "recall_at_10", "mrr")],
+        F.coalesce("queries", F.lit(0)).alias("queries"),
+        F.when(hosted, thousand("cost_usd")).alias("cost_per_1k"),
+        thousand("wall_seconds").alias("wall_per_1k"),
+        F.when(hosted, "wall time network-bound").otherwise("-").alias("notes"),
+    ).orderBy(F.desc("recall_at_5"), "model")
+
+
 def recall_at(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """One row (recall, queries) over the queries of relevant (query, n, above 0): what share of the n is among the first k."""
     hits = ranked.where((F.col("rank") <= k) & F.col("relevant")).groupBy("query").agg(F.count("*").alias("hits"))

@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kbspark.session import materialise
+
 FLOOR = 0.35
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
 SCORE_BINS = 1_000_000
@@ -73,11 +76,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    sizes = set(pc.list_value_length(column).to_pylist())
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of {sorted(sizes, key=str)} dimensions in one block")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return _unit(flat.reshape(len(column), -1)) if len(column) else np.empty((0, 0))
 
 
-BLOCK = "ids array<string>, kinds array<string>, matrix binary, width int"
+MARK = pa.struct([("down", pa.float64()), ("pos", pa.int64())])
+BLOCK = "ids array<string>, kinds array<string>, places array<long>, marks array<array<struct<down:double,pos:long>>>, matrix binary, width int"
+MARKED = 64  # queries in a block that carry marks
 
 
 def _packed(rows: int):
@@ -88,8 +96,15 @@ def _packed(rows: int):
                 part = batch.slice(at, rows)
                 x = _matrix(part.column("embedding"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.column("id").to_pylist()], pa.list_(pa.string())), pa.array([part.column("kind").to_pylist()], pa.list_(pa.string())), pa.array([x.tobytes()], pa.binary()), pa.array([x.shape[1]], pa.int32())],
-                    ["ids", "kinds", "matrix", "width"],
+                    [
+                        pa.array([part.column("id").to_pylist()], pa.list_(pa.string())),
+                        pa.array([part.column("kind").to_pylist()], pa.list_(pa.string())),
+                        pa.array([part.column("pos").to_pylist()], pa.list_(pa.int64())),
+                        pa.array([part.column("marks").to_pylist()], pa.list_(pa.list_(MARK))),
+                        pa.array([x.tobytes()], pa.binary()),
+                        pa.array([x.shape[1]], pa.int32()),
+                    ],
+                    ["ids", "kinds", "places", "marks", "matrix", "width"],
                 )
 
     return run
@@ -122,11 +137,13 @@ def _nearest(k: int):
     return run
 
 
-def _met(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+def _met(vectors: DataFrame, queries: DataFrame, query_rows: int = QUERY_BLOCK) -> DataFrame:
     """Packed blocks of vectors beside packed blocks of queries: a stated query set against all rows."""
-    pack = lambda df, name, rows: df.select(F.col(name).alias("id"), "kind", "embedding").mapInArrow(_packed(rows), BLOCK)
+    none = F.lit(None).cast("array<struct<down:double,pos:long>>")
+    given = lambda df, c, other: F.col(c) if c in df.columns else other.alias(c)
+    pack = lambda df, name, rows: df.select(F.col(name).alias("id"), "kind", given(df, "pos", F.lit(0).cast("long")), given(df, "marks", none), "embedding").mapInArrow(_packed(rows), BLOCK)
     named = lambda df, side: df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
-    return named(pack(vectors, "name", VECTOR_BLOCK), "v").crossJoin(named(pack(queries, "query", QUERY_BLOCK), "q"))
+    return named(pack(vectors, "name", VECTOR_BLOCK), "v").crossJoin(named(pack(queries, "query", query_rows), "q"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -176,6 +193,64 @@ def score_counts(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return counts.groupBy("same", "score").agg(F.sum("n").alias("n"))
 
 
+SCORE_DIGITS = 12
+
+
+def _relevant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores of the pages that are of a query's kind and not the query itself."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            asked, wanted, q = _unpacked(row, "q")
+            names, kinds, x = _unpacked(row, "v")
+            scores, places = np.round(q @ x.T, SCORE_DIGITS), np.array(row["v_places"], np.int64)
+            i, j = np.nonzero((wanted[:, None] == kinds[None, :]) & (np.array(asked, object)[:, None] != np.array(names, object)[None, :]))
+            found = [pa.array(asked, pa.string()).take(pa.array(i)), pa.array(names, pa.string()).take(pa.array(j)), pa.array(places[j]), pa.array(scores[i, j])]
+            yield pa.RecordBatch.from_arrays(found, ["query", "name", "pos", "score"])
+
+
+def _above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each query's marks (score, pos) in order: how many of a task's pages come before each."""
+    seen: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            asked, whose, q = _unpacked(row, "q")  # pieces of queries, and the query of each
+            names, _, x = _unpacked(row, "v")
+            places, own = np.array(row["v_places"], np.int64), np.array(names, object)
+            scores = np.round(q @ x.T, SCORE_DIGITS)
+            for i, query in enumerate(asked):
+                others = np.flatnonzero(own != whose[i])
+                order = others[np.lexsort((places[others], -scores[i, others]))]
+                down, at = -scores[i, order], places[order]
+                marks = np.array([m["down"] for m in row["q_marks"][i]]), np.array([m["pos"] for m in row["q_marks"][i]], np.int64)
+                before, ties = np.searchsorted(down, marks[0], "left"), np.searchsorted(down, marks[0], "right")
+                for k in np.flatnonzero(ties > before):
+                    before[k] += np.searchsorted(at[before[k] : ties[k]], marks[1][k], "left")
+                seen[query] = seen[query] + before if query in seen else before
+    for query, counts in seen.items():
+        yield pa.RecordBatch.from_arrays([pa.array([query]), pa.array([counts.tolist()], pa.list_(pa.int64()))], ["query", "before"])
+
+
+def relevant_ranks(vectors: DataFrame, queries: DataFrame, most_marks: int = 64) -> DataFrame:
+    """(query, name, score, rank) of every page of a query's kind, the query itself left out, among all pages.
+
+    vectors (name, kind, pos, embedding), queries (query, kind, embedding). Equal scores (to
+    SCORE_DIGITS) go by pos. Two passes where blocks of queries meet blocks of pages: the
+    first gives the scores of relevant pages alone; in the second, each block counts how many
+    of its pages come before each of them, and a task adds its blocks up before anything
+    leaves it. So what is shuffled grows with the relevant pages, not with all pairs.
+    """
+    found = materialise(_met(vectors, queries).mapInArrow(_relevant, "query string, name string, pos long, score double"))
+    # A query with many relevant pages is asked in pieces of most_marks.
+    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "pos")) - 1
+    found = materialise(found.withColumn("nth", nth).withColumn("piece", F.concat_ws("\x01", "query", F.floor(F.col("nth") / most_marks))))
+    marks = found.groupBy("query", "piece").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "pos"))).alias("marks"))
+    asking = marks.join(queries.select("query", "embedding"), "query").select("piece", "query", "marks", "embedding")
+    counts = _met(vectors, asking.withColumnRenamed("query", "kind").withColumnRenamed("piece", "query"), MARKED).mapInArrow(_above, "query string, before array<long>")
+    counts = counts.select("query", F.posexplode("before").alias("k", "n")).groupBy("query", "k").agg(F.sum("n").alias("before"))
+    out = found.withColumn("k", (F.col("nth") % most_marks).cast("int")).join(counts.withColumnRenamed("query", "piece"), ["piece", "k"])
+    return out.select("query", "name", "score", (F.col("before") + 1).cast("int").alias("rank"))
+
+
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, floor: float = FLOOR) -> DataFrame:
     """Up to k rows nearest each page's own vector, itself left out, none under the floor."""
     near = search(vectors, queries, k + 1).where((F.col("name") != F.col("query")) & (F.col("score") >= floor))

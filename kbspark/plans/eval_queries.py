@@ -48,21 +48,44 @@ METRICS = """m as (select query, count(*) filter (where relevant) as n, count(*)
 
 @query(with_views(", " + RANKED + ", " + METRICS + " select count(*) as queries, round(avg(a5 / n), 9) as recall_at_5, round(avg(a10 / n), 9) as recall_at_10, round(avg(1 / first), 9) as mrr, sum(under)::bigint as under_cutoff, round(sum(ss) / sum(sn), 9) as mean_rank_short, round(sum(ls) / sum(ln), 9) as mean_rank_long from m where n > 0", "vectors"))
 def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    out = ev.retrieval_metrics(ev.rankings(_scores(spark, sf)))
+    out = ev.retrieval_metrics(*_evaluated(v.vectors(spark, sf)))
     return out.select(*[F.round(c, 9).alias(c) if c not in ("queries", "under_cutoff") else F.col(c) for c in out.columns])
 
 
-@query(with_views(", " + RANKED + ", " + METRICS + " select 'all' as model, 64 as dims, 256 as bytes_per_page, round(avg(a5 / n), 9) as recall_at_5, count(*) as queries from m where n > 0 union all select 'none', 0, 0, 0.0, 0", "vectors"))
+def _evaluated(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranks of relevant pages and the nearest ten, for every 20th vector as a query."""
+    vectors = vectors.withColumn("pos", F.col("vec_id"))
+    ask = vectors.where("vec_id % 20 = 0").select(F.col("name").alias("query"), "kind", "embedding")
+    stubs = vectors.select("name", "pos", (F.col("vec_id") % 3 == 0).alias("short_stub"))
+    near = vec.nearest(vectors, ask.withColumn("kind", F.lit(None).cast("string")), 11).where(F.col("name") != F.col("query"))
+    return vec.relevant_ranks(vectors, ask).join(stubs, "name"), ev.rankings(near.join(stubs, "name"))
+
+
+# Each model sees its own dimensions of the vectors; a run's cost and time go by its pages.
+MODELS = [("full", "local", 1, 64), ("front", "hosted", 1, 32), ("back", "hosted", 33, 32)]
+MODEL_SQL = " union all ".join(
+    f"select '{m}' as model, '{kind}' as kind, {n} as dims, q.query, v.vec_id, list_cosine_similarity(q.embedding[{at}:{at + n - 1}]::double[], v.embedding[{at}:{at + n - 1}]::double[]) as score, v.kind = q.kind as relevant from q join vectors v on v.name <> q.query"
+    for m, kind, at, n in MODELS
+)
+
+
+@query(with_views(", " + ASK + ", s as (" + MODEL_SQL + """), r as (select *, row_number() over (partition by model, query order by score desc, vec_id) as rank from s),
+m as (select model, query, count(*) filter (where relevant) as n, count(*) filter (where relevant and rank <= 5) as a5, count(*) filter (where relevant and rank <= 10) as a10, min(rank) filter (where relevant) as first from r group by model, query),
+t as (select model, round(avg(a5 / n), 9) as recall_at_5, round(avg(a10 / n), 9) as recall_at_10, round(avg(1 / first), 9) as mrr, count(*) as queries from m where n > 0 group by model),
+u as (select model, kind, dims, (select count(*) from vectors) as pages from (values ('full', 'local', 64), ('front', 'hosted', 32), ('back', 'hosted', 32), ('none', 'hosted', 0)) w(model, kind, dims))
+select u.model, u.kind, u.dims, u.dims * 4 as bytes_per_page, coalesce(recall_at_5, 0.0) as recall_at_5, coalesce(recall_at_10, 0.0) as recall_at_10, coalesce(mrr, 0.0) as mrr, coalesce(queries, 0) as queries,
+ case when u.kind = 'hosted' then round(u.dims * pages * 0.000001 / pages * 1000, 4) end as cost_per_1k, round((10 + pages * 0.002) / pages * 1000, 4) as wall_per_1k, case when u.kind = 'hosted' then 'wall time network-bound' else '-' end as notes
+from u left join t using (model)""", "vectors"))
 def model_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Models by recall, with dimensions and bytes a page; one that was never run has none."""
-    vectors = v.vectors(spark, sf)
-    dims = vectors.agg(F.max(F.size("embedding")).alias("dims"))
-    relevant = vectors.groupBy("kind").agg((F.count("*") - 1).alias("n"))
-    asked = vectors.where("vec_id % 20 = 0").select(F.col("name").alias("query"), "kind").join(relevant.where("n > 0"), "kind")
-    recall = ev.recall_at(ev.rankings(_scores(spark, sf, 5)), asked.select("query", "n"), 5)
-    runs = recall.crossJoin(dims).select(F.lit("all").alias("model"), "dims", (F.col("dims") * 4).alias("bytes_per_page"), F.round("recall", 9).alias("recall_at_5"), "queries")
-    none = spark.createDataFrame([("none", 0, 0, 0.0, 0)], "model string, dims int, bytes_per_page int, recall_at_5 double, queries long")
-    return runs.unionByName(none).orderBy(F.desc("recall_at_5"))
+    """Models by recall, with dimensions, bytes, cost and wall time; one that was never asked has zeros."""
+    vectors, metrics = v.vectors(spark, sf), None
+    for model, _, at, n in MODELS:
+        found = ev.retrieval_metrics(*_evaluated(vectors.withColumn("embedding", F.slice("embedding", at, n)))).withColumn("model", F.lit(model))
+        metrics = found if metrics is None else metrics.unionByName(found)
+    runs = spark.createDataFrame([(m, kind, n) for m, kind, _, n in MODELS] + [("none", "hosted", 0)], "model string, kind string, dims int")
+    pages = vectors.agg(F.count("*").alias("pages"))  # one row
+    runs = runs.crossJoin(pages).withColumn("cost_usd", F.col("dims") * F.col("pages") * 0.000001).withColumn("wall_seconds", 10 + F.col("pages") * 0.002)
+    return ev.model_table(metrics, runs)
 
 
 LABELS = "l as (select conv_id as q, list_sort(list(distinct role)) as hand, list_sort(list(distinct case when turn % 2 = 0 then role else 'r' || (turn % 3) end)) as judge from conversations group by conv_id)"

@@ -63,6 +63,8 @@ def test_extract(spark):
         ("<main>aa<article>bb</article></main><article>aa\nbb</article>", "text/html", "aa\nbb"),
         ("<article>one</article><main>two</main>", "text/html", "one"),
         ("<article> </article><p>page", "text/html", "page"),
+        ("<main>A</article>B", "text/html", "A"),
+        ("<article>A<main>B</article>C</main>", "text/html", "A\nB\nC"),
     ]
     df = spark.createDataFrame([(i, c, h.encode()) for i, (h, c, _) in enumerate(pages)], "id int, content_type string, data binary")
     got = {r.id: r for r in extract.extract_text(df, "id").collect()}
