@@ -79,6 +79,12 @@ def first_candidate(page: Page, candidates: list[Story]) -> str | None:
     return candidates[0].name if candidates else None
 
 
+def chosen(judge: Judge, page: Page, candidates: list[Story]) -> str | None:
+    """What the judge answers, if it names a candidate; nothing else is a join."""
+    name = judge(page, candidates) if candidates else None
+    return name if any(name == c.name for c in candidates) else None
+
+
 class _Shelf:
     """The stories of one component while its summaries come in."""
 
@@ -110,9 +116,7 @@ class _Shelf:
 
     def place(self, row: dict, judge: Judge) -> tuple[str, str, str, int]:
         found = [Story(n, self.title[n], self.texts[n]) for n in self.candidates(row)]
-        name = judge(Page(row["digest"], row["title"], row["body"]), found) if found else None
-        if name not in self.first or all(name != c.name for c in found):
-            name = None  # a reply that names no candidate is no join
+        name = chosen(judge, Page(row["digest"], row["title"], row["body"]), found)
         action = "joined" if name else "started"
         if not name:
             name = row["slug"] if row["slug"] not in self.first else f"{row['slug']}-{row['digest'][:8]}"

@@ -39,14 +39,14 @@ def embedded(text: Column, embed: Callable[[pd.Series], pd.Series] = default_emb
     def checked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         width = None
         for texts in batches:
-            found = pd.Series(list(embed(texts)), index=texts.index, dtype=object)
+            found = list(embed(texts))
             if len(found) != len(texts):
                 raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
             sizes = set(map(len, found))
             width = next(iter(sizes), None) if width is None else width
             if sizes - {width}:
                 raise ValueError(f"vectors of {sorted(sizes | {width})} dimensions")
-            yield found
+            yield pd.Series(found, index=texts.index, dtype=object)
 
     # The iterator form is told by its type hints, which must be real types here.
     checked.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}

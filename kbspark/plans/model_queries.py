@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import models
 from kbspark.operators import stories as st
+from kbspark.operators import vectors as vec
 from kbspark.plans import story_queries as sq
 from kbspark.plans import views as v
-from kbspark.plans.views import with_views
+from kbspark.plans.views import kept_once, with_views
 from kbspark.session import configure, table
 
 QUERIES: dict = {}
@@ -29,8 +30,7 @@ def query(sql: str | None = None):
 
 @query(with_views("select name, 32 as dim, body = '' as is_zero from summaries", "summaries"))
 def embed_fn(spark: SparkSession, sf: str) -> DataFrame:
-    vector = F.pandas_udf(models.default_embed, "array<float>")(F.col("body"))
-    out = v.summaries(spark, sf).select("name", vector.alias("x"))
+    out = v.summaries(spark, sf).select("name", vec.embedded(F.col("body"), models.default_embed).alias("x"))
     return out.select("name", F.size("x").alias("dim"), (~F.exists("x", lambda e: e != 0)).alias("is_zero"))
 
 
@@ -42,6 +42,7 @@ def summarize_fn(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(sq.SQL["judge"])
+@kept_once
 def judge_fn(spark: SparkSession, sf: str) -> DataFrame:
     """All candidates in order with their titles, handed to the judge's callable beside the summary."""
     s = sq.summaries(spark, sf)
@@ -52,7 +53,7 @@ def judge_fn(spark: SparkSession, sf: str) -> DataFrame:
     def ask(batches):
         for batch in batches:
             rows = batch.to_pylist()
-            chosen = [models.first_candidate(st.Page(r["digest"], r["title"] or "", r["body"] or ""), [st.Story(x["story"], x["title"], []) for x in r["found"]]) for r in rows]
+            chosen = [st.chosen(models.first_candidate, st.Page(r["digest"], r["title"] or "", r["body"] or ""), [st.Story(x["story"], x["title"], []) for x in r["found"]]) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(chosen, pa.string())], ["digest", "story"])
 
     return lists.join(s.select("digest", "title", "body"), "digest").mapInArrow(ask, "digest string, story string")

@@ -163,9 +163,9 @@ def empty_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select doc_id, strlen(coalesce(text, '')) * 2048 > 10485760 as refused from documents")
 def attachment_cap(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts blown up 2048 times as image bytes: those over the cap are refused."""
-    blown = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") * 2048
-    return table(spark, sf, "documents").select("doc_id", (blown > store.ATTACHMENT_CAP).alias("refused"))
+    """Texts as image attachments under a cap 2048 times less: those over it are refused."""
+    sent = store.route(F.coalesce("text", F.lit("")).cast("binary"), F.lit("image/png"), F.lit("u"), attachment_cap=store.ATTACHMENT_CAP // 2048)
+    return table(spark, sf, "documents").select("doc_id", (sent == "actionable: too large").alias("refused"))
 
 
 @query(with_views("select job, count(*) filter (where status = 'new') as n_new, count(*) filter (where status = 'exists') as n_exists, count(*) filter (where status = 'failed') as n_failed from stored group by job", "stored"))

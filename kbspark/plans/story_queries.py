@@ -220,6 +220,27 @@ def story_place(spark: SparkSession, sf: str) -> DataFrame:
     return st.place(loose.drop("body"), stories(spark, sf)).select("digest", "story", "action")
 
 
+@query(with_views(f""", s as (select source as digest, fetched, {v.SLUG.format('title')} as slug from summaries)
+select digest, slug || case when row_number() over (partition by slug order by coalesce(fetched, ''), digest) > 1 then '-' || digest[1:8] else '' end as story, 'started' as action from s""", "summaries"))
+@kept_once
+def story_place_plain(spark: SparkSession, sf: str) -> DataFrame:
+    """Summaries without identifiers: each starts a story of its own, named by its slug."""
+    s = summaries(spark, sf).withColumn("identifiers", F.array().cast("array<string>")).drop("body")
+    return st.place(s).select("digest", "story", "action")
+
+
+@query(with_views(""", s as (select source as digest, arrival, list_transform(identifiers, lambda x: lower(x)) as ids from summaries)
+select b.digest, coalesce(a.digest, b.digest) as story, case when a.digest is null then 'started' else 'joined' end as action
+from s b left join s a on a.arrival // 2 = b.arrival // 2 and a.arrival < b.arrival and len(list_intersect(a.ids, b.ids)) > 0""", "summaries"))
+@kept_once
+def story_place_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Identifiers that only neighbours can share: the second joins the first where they share one."""
+    pair = F.expr("arrival div 2")
+    own = F.transform("identifiers", lambda x: F.concat(F.lit("p"), pair.cast("string"), F.lit(":"), x))
+    s = summaries(spark, sf).select("digest", "fetched", F.col("digest").alias("slug"), own.alias("identifiers"))
+    return st.place(s).select("digest", "story", "action")
+
+
 @query(with_views("""select source as digest from summaries where not exists (select 1 from (select unnest(identifiers) as i) where split_part(i, ':', 1) = 'term' and not regexp_full_match(i[6:], '[A-Za-z]{14,17}'))""", "summaries"))
 @kept_once
 def placement_lint_drop(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import text as t
 from kbspark.operators import vectors as vec
+from kbspark.operators.vector_table import VectorTable
+from kbspark.plans import source_queries
 from kbspark.plans import views as v
 from kbspark.plans.views import kept_once, with_views
 from kbspark.session import scratch, table
@@ -92,18 +94,25 @@ def sweep(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_views(", " + E + " select name, kind, embed_hash from h", "pages"))
 @kept_once
 def vector_sink(spark: SparkSession, sf: str) -> DataFrame:
-    """The swept table written as a new version beside the one it was made from, and read back."""
-    path = scratch(spark)
-    _stored(spark, sf).write.parquet(f"{path}/version=1")
-    vec.sweep(_embedded(spark, sf), spark.read.parquet(f"{path}/version=1")).write.parquet(f"{path}/version=2")
-    return spark.read.parquet(f"{path}/version=2").select("name", "kind", "embed_hash")
+    """The stored table swept: touched buckets as a new version, then read by its manifest."""
+    table = VectorTable(spark, scratch(spark))
+    table.create(_stored(spark, sf))
+    table.sweep(_embedded(spark, sf))
+    return table.read().select("name", "kind", "embed_hash")
 
 
-@query(with_views(", " + ", ".join([E, OLD, PLAN]) + " select count(*) filter (where state = 'stale') as n_embed, count(*) filter (where state = 'delete') as n_delete from plan", "pages"))
+@query(with_views(", " + ", ".join([E, OLD, PLAN]) + """ select count(*) filter (where state = 'stale') as n_embed, count(*) filter (where state = 'delete') as n_delete,
+(select count(*) from sources o left join (select source, prompt_fingerprint from summaries where arrival % 4 <> 0) s on s.source = o.digest where s.prompt_fingerprint is distinct from 'fp1') as n_summarize,
+(select count(*) from summaries where source not in (select unnest(members) from stories)) as n_place from plan""", "pages"))
 @kept_once
 def planned_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What each step would ask a model for, before it is asked: texts to embed, sources to summarise, summaries to place."""
     plan = vec.embed_plan(_embedded(spark, sf), _stored(spark, sf))
-    return plan.agg(F.count_if(F.col("state") == "stale").alias("n_embed"), F.count_if(F.col("state") == "delete").alias("n_delete"))
+    embed = plan.agg(F.count_if(F.col("state") == "stale").alias("n_embed"), F.count_if(F.col("state") == "delete").alias("n_delete"))
+    todo = source_queries.summarize_plan(spark, sf).agg(F.count("*").alias("n_summarize"))
+    placed = v.stories(spark, sf).select(F.explode("members").alias("source"))
+    loose = v.summaries(spark, sf).join(placed, "source", "left_anti").agg(F.count("*").alias("n_place"))
+    return embed.crossJoin(todo).crossJoin(loose)  # one row each
 
 
 def _behind(spark: SparkSession, sf: str) -> DataFrame:

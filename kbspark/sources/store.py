@@ -54,15 +54,15 @@ def plan_jobs(jobs: DataFrame, feed_items: DataFrame, seen: DataFrame) -> DataFr
     return fetch.unionByName(jobs.where("fault is not null").select("job", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("clean_url"), "fault"))
 
 
-def route(data: Column, content_type: Column, url: Column, pdf: bool = False) -> Column:
+def route(data: Column, content_type: Column, url: Column, pdf: bool = False, attachment_cap: int = ATTACHMENT_CAP) -> Column:
     """What summarising does with a source: text or attachment, else why it can not."""
     size, kind = F.octet_length(data), media_type(content_type, url)
     return (
         F.when(data.isNull(), F.lit("actionable: missing"))
-        .when(kind.isin(VISUAL) & (size > ATTACHMENT_CAP), F.lit("actionable: too large"))
+        .when(kind.isin(VISUAL) & (size > attachment_cap), F.lit("actionable: too large"))
         .when(kind.isin(VISUAL), F.lit("attachment"))
         .when((kind == "application/pdf") & F.lit(not pdf), F.lit("actionable: pdf disabled"))
-        .when((kind == "application/pdf") & (size > ATTACHMENT_CAP), F.lit("actionable: too large"))
+        .when((kind == "application/pdf") & (size > attachment_cap), F.lit("actionable: too large"))
         .when(kind == "application/pdf", F.lit("attachment"))
         .when(~F.is_valid_utf8(data), F.lit("inert: not text"))
         .when(size > TEXT_CAP, F.lit("actionable: too large"))
