@@ -81,7 +81,7 @@ def _index(shard: pd.DataFrame) -> pd.DataFrame:
     out = io.BytesIO()
     parts = {f"{k}{i}": v for i, x in enumerate(levels) for k, v in zip(("bits", "words", "rank"), x)}
     np.savez(out, levels=len(levels), fingerprint=fingerprint, count=count, stay=stay, **parts)
-    return pd.DataFrame({"shard": [int(shard["shard"].iloc[0])], "probes": [int(n.sum())], "arrays": [out.getvalue()]})
+    return pd.DataFrame({"shard": [int(shard["shard"].iloc[0])], "probes": [int(shard["held"].sum())], "arrays": [out.getvalue()]})
 
 
 def _probe(least: int):
@@ -105,7 +105,7 @@ def _probe(least: int):
                         raise ValueError("a line is missing from the index of its shard")
                     drop.append(rows[(arrays["count"][at] >= least) & (arrays["stay"][at] != key[rows])])
             rows = np.concatenate(drop) if drop else np.empty(0, np.int64)
-            names = ["key", "h1", "h2"]
+            names = ["key", "t", "h1", "h2"]
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(rows)) for c in names], names)
 
     return run
@@ -167,8 +167,8 @@ def dedup_lines(
     A line's key is the line without blanks at both ends, A-Z lower-cased. Keys of at least
     min_length code points that at least min_docs (<= 255) different ids hold lose all their
     lines but those of the largest such id. Null or empty text is one empty line. Rows that
-    repeat an id are one document for the counts and each loses its lines; a null id counts
-    as one id below all others. Ids that are no integers are compared as they are and known by
+    repeat an id are one document for the counts and each loses its lines, known by its id and
+    text; a null id counts as one id below all others. Ids that are no integers are compared as they are and known by
     a hash elsewhere. Lines are the same when 128 bits of their keys are. No rows give no rows;
     other columns are not read. A text of any length is cut in one pass over its lines.
 
@@ -180,30 +180,32 @@ def dedup_lines(
     kind = docs.schema[id_col].dataType
     whole = kind.typeName() in ("byte", "short", "integer", "long")
     key = F.coalesce(F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)), F.lit(NULL_ID)).alias("key")
-    rows = docs.select(F.col(id_col).alias("id"), key, F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    # What a row loses is known by its id and text, so that rows of one id, or of none, share no set.
+    rows = docs.select(F.col(id_col).alias("id"), key, F.xxhash64(body).alias("t"), body.alias("body"))
 
     def long_enough(line: Column) -> Column:
         return F.char_length(F.btrim(line, F.lit(BLANKS))) >= min_length
 
     # Distinct as texts, which Spark finds by hashing; structs it would compare pair by pair.
     keys = F.array_distinct(F.transform(F.filter(F.split("body", "\n"), long_enough), line_key))
-    held = rows.select("key", *([] if whole else ["id"]), F.explode(F.transform(keys, _key_hash)).alias("h"))
-    held = materialise(held.select("h.h1", "h.h2", *([] if whole else ["id"]), "key"))
+    held = rows.select("key", "t", *([] if whole else ["id"]), F.explode(F.transform(keys, _key_hash)).alias("h"))
+    held = materialise(held.select("h.h1", "h.h2", *([] if whole else ["id"]), "key", "t"))
     stay = F.max("key") if whole else F.coalesce(F.when(F.max("id").isNotNull(), F.xxhash64(F.max("id"))), F.lit(NULL_ID))
-    counts = materialise(held.groupBy("h1", "h2").agg(F.count_distinct("key").alias("n"), stay.alias("stay")))
+    counts = materialise(held.groupBy("h1", "h2").agg(F.count_distinct("key").alias("n"), F.count("*").alias("held"), stay.alias("stay")))
     shards = max(1, -(-counts.count() // keys_per_shard))
     shard = F.pmod(F.xxhash64(F.lit(11), "h1", "h2"), F.lit(shards)).cast("int").alias("shard")
-    index = materialise(counts.select(shard, "h1", "h2", "n", "stay").groupBy("shard").applyInPandas(_index, "shard int, probes long, arrays binary"))
+    index = materialise(counts.select(shard, "h1", "h2", "n", "held", "stay").groupBy("shard").applyInPandas(_index, "shard int, probes long, arrays binary"))
     salts = index.select("shard", F.ceil(F.col("probes") / probes_per_task).cast("int").alias("salts"))
     none = F.lit(None).cast("binary")
-    probes = held.select(shard, "h1", "h2", "key").join(salts, "shard")
-    probes = probes.select("shard", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "h1", "h2", "key", none.alias("arrays"))
+    probes = held.select(shard, "h1", "h2", "key", "t").join(salts, "shard")
+    probes = probes.select("shard", F.pmod(F.xxhash64("key", "t"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "h1", "h2", "key", "t", none.alias("arrays"))
     zero = F.lit(0).cast("long")
-    copies = index.select("shard", F.explode(F.sequence(F.lit(0), F.ceil(F.col("probes") / probes_per_task).cast("int") - 1)).alias("salt"), F.lit(0).alias("kind"), zero.alias("h1"), zero.alias("h2"), zero.alias("key"), "arrays")
+    copies = index.select("shard", F.explode(F.sequence(F.lit(0), F.ceil(F.col("probes") / probes_per_task).cast("int") - 1)).alias("salt"), F.lit(0).alias("kind"), zero.alias("h1"), zero.alias("h2"), zero.alias("key"), zero.alias("t"), "arrays")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = copies.unionByName(probes).repartition(max(parts, shards), "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    drop = dealt.mapInArrow(_probe(min_docs), "key long, h1 long, h2 long")
-    drop = drop.groupBy("key").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    drop = dealt.mapInArrow(_probe(min_docs), "key long, t long, h1 long, h2 long")
+    drop = drop.groupBy("key", "t").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
 
-    out = rows.join(drop, "key", "left").select("id", "body", "gone")
+    out = rows.join(drop, ["key", "t"], "left").select("id", "body", "gone")
     return out.mapInArrow(_cut(min_length), f"id {kind.simpleString()}, n_lines long, n_dropped long, kept_text string").withColumnRenamed("id", id_col)
