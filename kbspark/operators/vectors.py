@@ -163,6 +163,144 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return nearest(vectors, queries, k).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+# Blocks by cluster: at most so many centres, planted from at most so many rows.
+CENTRES, SAMPLE_ROWS = 64, 4096
+
+
+def _centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """Unit centres of unit rows, by a few rounds of spherical k-means from rows spread over x."""
+    centres = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)]
+    for _ in range(rounds):
+        mine = (x @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, mine, x)
+        centres = np.where((mine == np.arange(len(centres))[:, None]).any(1)[:, None], _unit(sums), centres)
+    return centres
+
+
+def _assigned(centres: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("embedding"))
+            mine = (x @ centres.T).argmax(1) if len(x) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mine, pa.int32())], [*batch.schema.names, "centre"])
+
+    return run
+
+
+ROUND_BLOCK = "ids array<string>, kinds array<string>, matrix binary, width int, middle binary, radius double, zero boolean"
+
+
+def _rounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (centre, slot) as one block each, with its middle and the widest angle from it."""
+
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids, kinds = ([v for p in parts for v in p.column(c).to_pylist()] for c in ("id", "kind"))
+        x = np.concatenate([_matrix(p.column("embedding")) for p in parts])
+        zero = ~x.any(1)
+        middle = _unit(x.sum(0, keepdims=True))[0]
+        apart = np.arccos(np.clip(x[~zero] @ middle, -1, 1)).max(initial=0.0) if middle.any() else np.pi
+        values = [[ids], [kinds], [x.tobytes()], [x.shape[1]], [middle.tobytes()], [float(apart)], [bool(zero.any())]]
+        kinds_of = [pa.list_(pa.string()), pa.list_(pa.string()), pa.binary(), pa.int32(), pa.binary(), pa.float64(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds_of)], [c.split()[0] for c in ROUND_BLOCK.split(", ")])
+
+    now, held = None, []
+    for batch in batches:
+        keys = list(zip(batch.column("centre").to_pylist(), batch.column("slot").to_pylist()))
+        cuts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+        for at, to in zip(cuts, [*cuts[1:], len(keys)]):
+            if keys[at] != now:
+                if held:
+                    yield block(held)
+                now, held = keys[at], []
+            held.append(batch.slice(at, to - at))
+    if held:
+        yield block(held)
+
+
+class Clusters:
+    """Vectors stored as blocks that lie together, each with its middle and radius, for any number of searches.
+
+    At most CENTRES centres from a sample of at most 2 * SAMPLE_ROWS rows; every row goes to
+    its nearest one, and a centre's rows are dealt by hash over blocks of about VECTOR_BLOCK.
+    The sample goes to all tasks: what it holds of near vectors is a bound to begin with.
+    """
+
+    def __init__(self, vectors: DataFrame) -> None:
+        rows = vectors.select(F.col("name").alias("id"), "kind", "embedding")
+        n = max(1, rows.count())
+        some = rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) < SAMPLE_ROWS).limit(2 * SAMPLE_ROWS).toArrow()
+        some = some if len(some) else rows.limit(1).toArrow()
+        self.kinds, self.sample = np.array(some.column("kind").to_pylist(), object), _matrix(some.column("embedding").combine_chunks())
+        self.blocks = None
+        if len(some):
+            centres = _centres(self.sample, max(1, min(CENTRES, -(-n // VECTOR_BLOCK) * 4)))
+            kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+            dealt = materialise(rows.mapInArrow(_assigned(centres), f"{kind}, centre int"))
+            size = dealt.groupBy("centre").agg(F.ceil(F.count("*") / VECTOR_BLOCK).alias("parts"))
+            dealt = dealt.join(F.broadcast(size), "centre").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+            dealt = dealt.drop("parts").repartition("centre", "slot").sortWithinPartitions("centre", "slot")
+            self.blocks = materialise(dealt.mapInArrow(_rounded, ROUND_BLOCK))
+
+
+def _pruned(k: int, sample: np.ndarray, sample_kinds: np.ndarray):
+    def kth(scores: np.ndarray) -> np.ndarray:
+        return np.partition(scores, scores.shape[1] - k, 1)[:, scores.shape[1] - k] if scores.shape[1] >= k else np.full(len(scores), -np.inf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """As _nearest(), but of a block only the queries that its best possible cosine still lets in; then two rows of counts."""
+        bounds: dict[tuple, np.ndarray] = {}
+        met = skipped = 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                asked, wanted, q = _unpacked(row, "q")
+                names, kinds, x = _unpacked(row, "v")
+                of = [(at, kind, np.flatnonzero(np.array([w == kind for w in wanted]))) for at, kind in enumerate(sorted(set(wanted), key=str))]
+                key = (asked[0], asked[-1], len(asked))
+                if key not in bounds:
+                    s, bounds[key] = q @ sample.T, np.full(len(asked), -np.inf)
+                    for _, kind, at in of:
+                        bounds[key][at] = kth(s[at] if kind is None else s[np.ix_(at, np.flatnonzero(sample_kinds == kind))])
+                least = bounds[key]
+                # No vector of the block is nearer than its middle less its radius allows.
+                angle = np.arccos(np.clip(q @ np.frombuffer(row["v_middle"]), -1, 1)) - row["v_radius"]
+                best = np.maximum(np.cos(np.clip(angle, 0, np.pi)), 0.0 if row["v_zero"] else -1.0)
+                alive = best >= least - 1e-9
+                met, skipped = met + len(asked), skipped + int((~alive).sum())
+                for _, kind, at in of:
+                    at, rows = at[alive[at]], np.arange(len(names)) if kind is None else np.flatnonzero(kinds == kind)
+                    if not len(at) or not len(rows):
+                        continue
+                    part = q[at] @ x[rows].T
+                    least[at] = np.maximum(least[at], kth(part))
+                    i, j = np.nonzero(part >= least[at][:, None] - 1e-9)
+                    found = [pa.array(asked, pa.string()).take(pa.array(at[i])), pa.array(names, pa.string()).take(pa.array(rows[j])), pa.array(part[i, j])]
+                    yield pa.RecordBatch.from_arrays(found, ["query", "name", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array([None, None], pa.string()), pa.array(["met", "skipped"]), pa.array([met, skipped], pa.float64())], ["query", "name", "score"])
+
+    return run
+
+
+def search_clusters(clusters: Clusters, queries: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The rows of search(), and (met, skipped): pairs of a query and a block, and those not looked into.
+
+    A query looks into a block only if the cosine that the block's middle and radius allow can
+    still reach its k-th best so far: exact, whatever the clusters are. In many dimensions
+    without structure little is skipped.
+    """
+    spark = queries.sparkSession
+    if clusters.blocks is None:
+        return spark.createDataFrame([], "query string, name string, score double, rank int"), spark.createDataFrame([(0, 0)], "met long, skipped long")
+    asked = queries.select(F.col("query").alias("id"), "kind", F.lit(0).cast("long").alias("pos"), F.lit(None).cast("array<struct<down:double,pos:long>>").alias("marks"), "embedding").mapInArrow(_packed(QUERY_BLOCK), BLOCK)
+    named = lambda df, side: df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
+    met = named(clusters.blocks, "v").crossJoin(named(asked.select("ids", "kinds", "matrix", "width"), "q"))
+    found = materialise(met.mapInArrow(_pruned(k, clusters.sample, clusters.kinds), "query string, name string, score double"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "name"))
+    count = lambda name: F.coalesce(F.sum(F.when(F.col("name") == name, F.col("score"))), F.lit(0)).cast("long").alias(name)
+    report = found.where("query is null").agg(count("met"), count("skipped"))
+    return found.where("query is not null").withColumn("rank", rank).where(F.col("rank") <= k), report
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a task's scores at six digits: three arrays of 2 * SCORE_BINS + 1 places, whatever it meets."""
     seen = np.zeros((3, 2 * SCORE_BINS + 1), np.int64)

@@ -165,6 +165,13 @@ def topk_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return vec.search(v.vectors(spark, sf), _ask(spark, sf, False), 10).select("query", "name", F.round("score", 6).alias("score"), "rank")
 
 
+@query(SQL["topk_similarity"])
+def topk_clustered(spark: SparkSession, sf: str) -> DataFrame:
+    """topk_similarity over blocks that lie together, those out of reach not looked into."""
+    found, _ = vec.search_clusters(vec.Clusters(v.vectors(spark, sf)), _ask(spark, sf, False), 10)
+    return found.select("query", "name", F.round("score", 6).alias("score"), "rank")
+
+
 NEAR = ", n as (select *, row_number() over (partition by query order by rank) as nth from r where rank <= 11 and name <> query and score >= 0.35)"
 
 

@@ -101,3 +101,25 @@ def test_vectors_must_fit(spark):
     for bad, said in ((lambda x: x.map(lambda v: [0.0] * len(v)), "dimensions"), (lambda x: pd.Series([[1.0]]), "vectors for")):
         with pytest.raises(Exception, match=said):
             df.select(vec.embedded(F.col("t"), bad)).collect()
+
+
+def test_clustered_search_is_exact_and_skips(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vec, "VECTOR_BLOCK", 32)
+    monkeypatch.setattr(vec, "SAMPLE_ROWS", 150)
+    rng = np.random.default_rng(9)
+    middles = rng.normal(size=(12, 6))
+    rows = [(f"v{i:03d}", "ab"[i % 2], (middles[i % 12] + rng.normal(size=6) * 0.03).tolist()) for i in range(600)]
+    rows += [("zero", "a", [0.0] * 6), ("zero2", "b", [0.0] * 6), ("v000x", "a", rows[0][2]), ("v000y", "a", rows[0][2])]
+    vectors = spark.createDataFrame(rows, "name string, kind string, embedding array<double>")
+    asked = vectors.where("name like 'v0%5' or name in ('zero', 'v000')").select(F.col("name").alias("query"), F.when(F.col("name") > "v05", F.col("kind")).alias("kind"), "embedding")
+    clusters = vec.Clusters(vectors)
+    for k in (1, 5, 60):
+        got, report = vec.search_clusters(clusters, asked, k)
+        want = {(r.query, r.rank): r.name for r in vec.search(vectors, asked, k).collect()}
+        assert {(r.query, r.rank): r.name for r in got.collect()} == want
+        counts = report.first()
+        assert counts.met > 100 and (counts.skipped > counts.met / 2 or k == 60)
+    none = vec.Clusters(vectors.limit(0))
+    assert vec.search_clusters(none, asked, 3)[0].count() == 0
