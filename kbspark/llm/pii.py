@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,20 +17,29 @@ from kbspark.session import materialise
 
 # Given names by script and gender, and what precedes a person's name.
 GIVEN = {
-    ("latin", "f"): "Alice Amelia Beatrice Caroline Catherine Charlotte Clara Dorothy Elizabeth Emily Emma Florence Hannah Helen Isabella Jennifer Jessica Julia Laura Linda Louise Margaret Maria Martha Mary Natalie Olivia Patricia Rebecca Sarah Sophia Susan Teresa Victoria Virginia Yvonne",
-    ("latin", "m"): "Albert Alexander Andrew Anthony Benjamin Charles Christopher Daniel David Dominic Edward Frederick George Gregory Henry James Jonathan Joseph Kenneth Lawrence Leonard Martin Matthew Michael Nicholas Oliver Patrick Peter Philip Richard Robert Samuel Stephen Thomas Timothy Walter William",
+    ("latin", "f"): "Aisha Alice Amelia Ana Anna Beatrice Caroline Catherine Charlotte Clara Dorothy Elizabeth Emily Emma Florence Hannah Helen Ingrid Isabella Jane Jennifer Jessica Julia Laura Linda Louise Margaret Maria Martha Mary Natalie Olivia Patricia Rebecca Sarah Sophia Susan Teresa Victoria Virginia Yvonne",
+    ("latin", "m"): "Ahmed Albert Alexander Ali Andrew Anthony Benjamin Charles Carlos Christopher Daniel David Dominic Edward Frederick George Gregory Henry Ibrahim Jan James Javier John Jonathan José Juan Joseph Kenneth Lawrence Leonard Martin Matthew Michael Mohammed Muhammad Nicholas Omar Oliver Patrick Peter Philip Richard Robert Samuel Stephen Thomas Timothy Walter William",
     ("cyrillic", "f"): "Анастасия Валентина Вера Галина Дарья Екатерина Елена Жанна Зинаида Ирина Ксения Людмила Марина Наталья Ольга Полина Светлана Татьяна",
     ("cyrillic", "m"): "Александр Борис Василий Виктор Владимир Георгий Дмитрий Евгений Иван Константин Максим Михаил Николай Павел Роман Сергей Степан Юрий",
     ("greek", "f"): "Αικατερίνη Βασιλική Δήμητρα Ελένη Ευαγγελία Ιωάννα Κωνσταντίνα Μαρία Παρασκευή Σοφία",
     ("greek", "m"): "Αθανάσιος Γεώργιος Δημήτριος Ευάγγελος Ιωάννης Κωνσταντίνος Νικόλαος Παναγιώτης Σπυρίδων Χρήστος",
 }
-TITLES = {"f": "Mrs. Mrs Ms. Ms Miss Frau Madame Mme Señora Sra. г-жа Κυρία", "m": "Mr. Mr Herr Monsieur Señor Sr. г-н Κύριος"}
+TITLES = {"f": "Mrs. Mrs Ms. Ms Miss Frau Madame Mme Señora Sra. г-жа Κυρία", "m": "Mr. Mr Herr Monsieur Señor Sr. г-н Κύριος", "": "Dr. Dr Prof. Prof Professor Doctor Rev."}
 # Syllables of surnames, by script: consonant beginnings and vowel-bearing ends.
 SYLLABLES = {
     "latin": ("B C D F G H K L M N P R S T V W".split(), "al an ar el en er il in on or ul um".split()),
     "cyrillic": ("Б В Г Д З К Л М Н П Р С Т Ф".split(), "ал ан ар ел ен ер ил ин ол он ор ун".split()),
     "greek": ("Β Γ Δ Ζ Κ Λ Μ Ν Π Ρ Σ Τ Φ".split(), "αλ αν αρ ελ εν ερ ιλ ιν ολ ον ορ".split()),
 }
+# Endings that make a given name of either gender of a syllable or more.
+ENDINGS = {
+    ("latin", "f"): "a ia ina elle ette".split(),
+    ("latin", "m"): "o us en ard win".split(),
+    ("cyrillic", "f"): "а ия ина".split(),
+    ("cyrillic", "m"): "ор ий им".split(),
+    ("greek", "f"): "α ία η".split(),
+    ("greek", "m"): "ος ιος ης".split(),
+}
 
 KIND = {name: key for key, names in GIVEN.items() for name in names.split()}
 GENDER = {title: g for g, titles in TITLES.items() for title in titles.split()}
@@ -38,6 +48,7 @@ NUMBERED = re.compile(
     "|".join(
         [
             r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24})",
+            r"(?P<ipv6>(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]*[0-9A-Fa-f])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:]))",
             r"(?P<key>\bAKIA[0-9A-Z]{16}\b)",
             r"(?:\b(?i:token|secret|password|passwd|api_?key|access_?key)\b\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9_/+-]{16,})",
             r"(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
@@ -53,7 +64,7 @@ PERSON = re.compile(
     rf"|(?P<named>\b(?:{'|'.join(KIND)})(?:[ -]{_CAPITAL}){{1,2}})"
 )
 # Quick looks that most texts fail, before the patterns above.
-_DIGIT = re.compile("[0-9@]")
+_DIGIT = re.compile("[0-9@]|::")
 _WORDS = ("akia", "token", "secret", "passw", "key")
 _ALONE = re.compile(rf"(?<!\w){_CAPITAL}(?!\w)")
 
@@ -83,6 +94,18 @@ def luhn(digits: str) -> int:
     return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10
 
 
+def _account(value: str) -> bool:
+    """The check of an account number: read as base 36 from its fifth place on, it is 1 mod 97."""
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
+
+
+def _address(value: str) -> str | None:
+    try:
+        return ipaddress.IPv6Address(value).compressed
+    except ValueError:
+        return None
+
+
 def _named_secret(text: str) -> bool:
     return any(w in text for w in _WORDS)
 
@@ -116,7 +139,14 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 at = start + len(value)
             if kind in ("phone", "card", "ssn"):
                 form = _digits(value)
-                if kind != "phone" or 7 <= len(form.lstrip("+")) <= 15:
+                if kind == "ssn" or (kind == "phone" and 7 <= len(form.lstrip("+")) <= 15) or (kind == "card" and luhn(form) == 0):
+                    out.append((start, at, kind, form))
+            elif kind == "iban":
+                if _account(form := value.replace(" ", "")):
+                    out.append((start, at, kind, form))
+            elif kind == "ipv6":
+                # A time such as 10:20:30 is no address: that has eight groups, or a double colon.
+                if form := _address(value):
                     out.append((start, at, kind, form))
             else:
                 out.append((start, at, kind, value.lower() if kind == "email" else value.replace(" ", "")))
@@ -200,6 +230,13 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         elif wider > 1:
             keep, new[0] = 0, str(11 + draw.below(213))
         return ".".join(parts[:keep] + new[keep:])
+    if kind == "ipv6":
+        groups = ipaddress.IPv6Address(value).exploded.split(":")
+        private = groups[0][:2] in ("fc", "fd") or groups[0] == "fe80"
+        # Private ones keep their first group, public ones stay public; zero groups stay zero but for the last four.
+        first = groups[0] if private else f"2{draw.below(4096):03x}"
+        rest = [g if g == "0000" and i < 4 and wider < 1 else f"{1 + draw.below(65535):x}" for i, g in enumerate(groups[1:], 1)]
+        return ipaddress.IPv6Address(":".join([first, *rest])).compressed
     if kind == "card":
         new = value[0] + "".join(str(draw.below(10)) for _ in value[1:-1])
         return new + next(d for d in "0123456789" if (luhn(new + d) == 0) == (luhn(value) == 0))
@@ -210,13 +247,14 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         return str(draw.below(10) if wider else 1 + draw.below(8)) + "".join(str(draw.below(10)) for _ in value[1:])
     part, script, *sex = kind.split("-")
     if part == "given":
-        names = GIVEN.get((script, sex[0])) or " ".join(GIVEN[script, s] for s in "fm")
-        names = names.split()
-        # After a few tries names are doubled, then trebled, so there is always another.
-        return "-".join(names[draw.below(len(names))] for _ in range(1 + attempt // 4))
+        ends = ENDINGS.get((script, sex[0])) or ENDINGS[script, "f"] + ENDINGS[script, "m"]
+        last = ends[draw.below(len(ends))]
+    else:
+        last = ""
     starts, ends = SYLLABLES[script]
-    parts = [starts[draw.below(len(starts))] + ends[draw.below(len(ends))] for _ in range(3 + attempt // 4)]
-    return parts[0] + "".join(parts[1:]).lower()
+    # After a few tries a syllable is added, so there is always another.
+    parts = [starts[draw.below(len(starts))] + ends[draw.below(len(ends))] for _ in range((2 if last else 3) + attempt // 4)]
+    return parts[0] + "".join(parts[1:]).lower() + last
 
 
 def written(mention: str, kind: str, new: str) -> str:
@@ -273,7 +311,7 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
     drawn and written anew, and as spaces widen with the attempts the rounds come to an end.
     """
     now = materialise(entities.select("kind", "value", F.lit(0).alias("attempt")).mapInArrow(_named(key), "kind string, value string, attempt int, surrogate string"))
-    # Given names of either gender are drawn from lists that may be asked for together.
+    # Given names of either gender may be asked for together.
     pool = F.regexp_replace("kind", "^(given-[a-z]+)-.*$", "$1").alias("pool")
     real = entities.select(pool, F.col("value").alias("surrogate"), F.lit(True).alias("real")).distinct()
     while True:
@@ -289,8 +327,8 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
 def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, text with surrogates for its entities, n_entities (mentions).
 
-    Emails, phone numbers, card, social security and account numbers, IP addresses, access
-    keys and secrets, and names of persons (after a title, or a known given name before a
+    Emails, phone numbers, card and account numbers whose checks hold, social security numbers,
+    IP addresses of both kinds, access keys and secrets, and names of persons (after a title, or a known given name before a
     surname, and that surname alone elsewhere in the text) are replaced; what no pattern finds is left as it is, byte for byte. An entity
     has one surrogate in all documents and forms of writing, and different entities have
     different ones. Surrogates keep shape, separators, letter case, country code, card
@@ -298,7 +336,8 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
     gives the same surrogates unless collisions differ. Null text stays null and has none.
     No rows give no rows; repeated rows are all returned; other columns are not read.
 
-    Only distinct entities are shuffled for the assignment. Texts without entities pass
+    Very long texts are searched whole; ties do not arise, as an entity's surrogate goes by its
+    normal form alone. Only distinct entities are shuffled for the assignment. Texts without entities pass
     through a map; texts with some are joined to their surrogates by the text's hash.
     """
     kind = docs.schema[id_col].dataType.simpleString()

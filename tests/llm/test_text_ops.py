@@ -223,7 +223,7 @@ def test_pii(spark):
     card = re.search(r"card (\d{16}), ([\d ]{19})", two)
     assert card[1] == card[2].replace(" ", "") and card[1][0] == "4" and pii.luhn(card[1]) == 0
     assert got[3].text == rows[2][1] and got[3].n_entities == 0 and got[4].text is None and got[5].text == ""
-    assert six.startswith("Mrs. ") and six.split()[1] in pii.GIVEN["latin", "f"] and six.split()[2] == last.split()[1] != "Walker"
+    assert six.startswith("Mrs. ") and six.split()[1].endswith(tuple(pii.ENDINGS["latin", "f"])) and six.split()[2] == last.split()[1] != "Walker"
     assert re.search(r'token = "[0-9a-f]{40}"', six) and "15369567" not in six
     many = [(i, f"{i % 500:03d}-55-{i % 500:04d} x") for i in range(600)]
     out = [r.text for r in pii.replace_pii(spark.createDataFrame(many, "doc_id long, text string"), b"k").collect()]
@@ -244,6 +244,46 @@ def test_surrogates_that_collide_are_drawn_again(spark):
     assert len(got) == 92 and len({r.surrogate for r in got}) == 92 and "Alice" not in {r.surrogate for r in got}
 
 
+def test_what_is_found_and_what_only_looks_like_it():
+    kinds = lambda text: [(text[a:b], k) for a, b, k, _ in pii.find(text)]
+    assert kinds("John Smith lives here") == [("John", "given-latin-m"), ("Smith", "family-latin")]
+    assert kinds("Mohammed Ali called") == [("Mohammed", "given-latin-m"), ("Ali", "family-latin")]
+    assert kinds("Dr. Wei Zhang") == [("Wei", "given-latin-"), ("Zhang", "family-latin")]
+    assert kinds("from 2001:db8::ff00:42:8329 to fe80:0:0:0:1:2:3:4, ::1 and [fd00::1]") == [(x, "ipv6") for x in ("2001:db8::ff00:42:8329", "fe80:0:0:0:1:2:3:4", "::1", "fd00::1")]
+    assert kinds("IBAN GB82 WEST 1234 5698 7654 32, card 4111 1111 1111 1111 or 4111111111111111") == [("GB82 WEST 1234 5698 7654 32", "iban"), ("4111 1111 1111 1111", "card"), ("4111111111111111", "card")]
+    for text in ("at 1700000000000", "1234567890123456", "GB00 0000 0000 0000 0000 00", "10:20:30 to 1:2:3", "a::b::c", "std::vector", "4111 1111 1111 1112", "Drone Wei"):
+        assert kinds(text) == [], text
+
+
+def test_many_names_stay_names(spark):
+    """Thousands of names: all distinct, one word each, of their gender, none of them real."""
+    values = [(f"given-latin-{g}", f"N{g}{i}") for g in "fm" for i in range(3000)] + [("ipv6", f"2001:db8::{i:x}") for i in range(300)] + [("ipv6", f"fd12::{i:x}") for i in range(300)]
+    got = pii.assign(spark.createDataFrame(values, "kind string, value string"), b"k").collect()
+    assert len({(r.kind[:7], r.surrogate) for r in got}) == len(values)
+    assert all(r.surrogate.isalpha() and len(r.surrogate) < 16 and r.surrogate.endswith(tuple(pii.ENDINGS["latin", r.kind[-1]])) for r in got if r.kind.startswith("given"))
+    assert all(r.surrogate.startswith("fd12:") for r in got if r.value.startswith("fd12")) and all(r.surrogate.startswith("2") for r in got if r.value.startswith("2001"))
+
+
+def test_coreference_and_distinctness_against_brute_force(spark):
+    """Every mention of an entity, found here by plain search, has one replacement, and no two entities share one."""
+    rng = random.Random(7)
+    people = [f"{g} {f}" for g in ("Alice", "John", "Ирина") for f in ("Walker", "Stone", "Вебер")]
+    mails, cards = [f"u{i}@mail{i % 3}.example.com" for i in range(12)], ["4111111111111111", "4000056655665556", "5555555555554444"]
+    texts = [" and ".join(rng.choice([*people, *mails, *cards, "plain words"]) for _ in range(6)) for _ in range(80)]
+    got = {r.doc_id: r.text for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), b"key").collect()}
+    seen = defaultdict(set)
+    for i, text in enumerate(texts):
+        old, new = text.split(" and "), got[i].split(" and ")
+        assert len(old) == len(new)
+        for a, b in zip(old, new):
+            for x, y in zip(a.split(" "), b.split(" ")):
+                seen[x].add(y)
+    assert all(len(v) == 1 for v in seen.values()) and seen["plain"] == {"plain"}
+    used = [next(iter(v)) for k, v in seen.items() if k not in ("plain", "words")]
+    assert len(used) == len(set(used)) and not set(used) & set(seen)
+    assert all(re.fullmatch("[A-Za-z]+" if k.isascii() else "[А-Яа-яё]+", next(iter(v))) for k, v in seen.items() if k.isalpha() and k not in ("plain", "words"))
+
+
 def test_pitman_yor(spark):
     rng = random.Random(6)
     texts = [" ".join(rng.choice(["The", "cat", "sat", "on", f"w{rng.randint(0, 400)}"]) for _ in range(rng.randint(0, 60))) for _ in range(300)] + [None, "", "the cat " * 20_000]
