@@ -41,16 +41,17 @@ with d as (
   select max(level) as level from l where ratio > level
 ), t as (
   select l.source, source_size, coalesce(least(source_size * 3.0::double, o.level * w), source_size * 3.0::double) as target from l, o
+), q as (
+  select *, case when source_size > 0 then target / source_size else 0.0::double end as rate from t
 ), c as (
-  select doc_id, size, source_size, target, t.source,
-         case when source_size > 0 then target / source_size else 0.0::double end as rate,
-         ('0x' || md5('mix-1|' || coalesce(doc_id::varchar, ''))[1:13])::bigint / 4503599627370496.0::double as draw
-  from d join t on d.source is not distinct from t.source
+  select doc_id, size, source_size, target, q.source, rate, k,
+         floor(rate) + (('0x' || md5('mix-1|' || k || '|' || coalesce(doc_id::varchar, ''))[1:13])::bigint / 4503599627370496.0::double < rate - floor(rate))::int as copies
+  from d join q on d.source is not distinct from q.source cross join (select unnest(range(1, 33)) as k)
+), b as (
+  select source, k from c group by source, target, k qualify row_number() over (partition by source order by abs(sum(copies * size) - target), k) = 1
 )
-select doc_id, size::bigint as size, source_size, target, source,
-       (floor(rate) + (draw < rate - floor(rate))::int)::bigint as copies,
-       ((floor(rate) + (draw < rate - floor(rate))::int) * size)::bigint as taken
-from c
+select doc_id, size::bigint as size, source_size, target, c.source, copies::bigint as copies, (copies * size)::bigint as taken
+from c join b on c.source is not distinct from b.source and c.k = b.k
 """
 
 OP11 = """
