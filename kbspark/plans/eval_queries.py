@@ -133,13 +133,13 @@ def band_profile(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("relevant", "hits", *[F.round(c, 6).alias(c) for c in ("least", "median", "most")], "kept")
 
 
-MANIFEST = "man as (select stem as slug, substr(source, 1, 1) as domain, arrival, (row_number() over (partition by substr(source, 1, 1) order by arrival) - 1) % 3 = 0 as short_stub from summaries where arrival % 5 <> 0)"
+MANIFEST = "man as (select stem as slug, substr(source, 1, 1) as domain, arrival, (row_number() over (partition by substr(source, 1, 1) order by arrival) - 1) % 3 = 0 as short_stub from summaries)"
 
 
 def _manifest(spark: SparkSession, sf: str) -> DataFrame:
     domain = F.substring("source", 1, 1)
     nth = F.row_number().over(Window.partitionBy("domain").orderBy("arrival"))
-    m = v.summaries(spark, sf).where("arrival % 5 <> 0").select(F.col("stem").alias("slug"), domain.alias("domain"), "arrival")
+    m = v.summaries(spark, sf).select(F.col("stem").alias("slug"), domain.alias("domain"), "arrival")
     return m.withColumn("short_stub", (nth - 1) % 3 == 0)
 
 

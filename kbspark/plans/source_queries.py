@@ -221,15 +221,18 @@ def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
     return diff.join(allowed, "digest", "left_anti").select(F.col("digest").alias("path"), F.when(F.col("was").isNull(), "added").otherwise("changed").alias("change"))
 
 
-@query(None)
+@query("""with d as (select doc_id, coalesce(source, 'none') || '/' || (doc_id // 20000) as feed_id, coalesce(try_cast(substr(source, 4) as int), 0) % 4 as shape,
+  trim(regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '[\\x00-\\x1f<>&"\\\\]', ' ', 'g')) as title from documents)
+select feed_id, (row_number() over (partition by feed_id order by doc_id) - 1)::int as pos, 'https://x.org/' || doc_id as url, title, null as error from d where shape < 3
+union all select distinct feed_id, null, null, null, 'json without items' from d where shape = 3""")
 def feed_items(spark: SparkSession, sf: str) -> DataFrame:
     """Feeds of three kinds made of the documents of each source, exploded to items; faults are rows."""
     from kbspark.sources.extract import feed_items as explode_feeds
 
-    docs = table(spark, sf, "documents").where("source is not null")
+    docs = table(spark, sf, "documents").withColumn("source", F.coalesce("source", F.lit("none")))
     url = F.concat(F.lit("https://x.org/"), F.col("doc_id"))
-    title = F.translate(F.substring(F.coalesce("text", F.lit("")), 1, 30), "<>&\"\\\n", "      ")
-    shape = F.crc32(F.col("source").cast("binary")) % 4
+    title = F.trim(F.regexp_replace(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), r'[\x00-\x1f<>&"\\]', " "))
+    shape = F.coalesce(F.substring("source", 4, 20).try_cast("int"), F.lit(0)) % 4
     rss = F.concat(F.lit("<item><link>"), url, F.lit("</link><title>"), title, F.lit("</title></item>"))
     atom = F.concat(F.lit('<entry><link href="'), url, F.lit('"/><title>'), title, F.lit("</title></entry>"))
     item = F.concat(F.lit('{"url":"'), url, F.lit('","title":"'), title, F.lit('"}'))
