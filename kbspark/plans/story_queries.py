@@ -43,11 +43,17 @@ def stories(spark: SparkSession, sf: str) -> DataFrame:
     return st.seen_range(m, s).join(ids, "story", "left").withColumn("identifiers", F.coalesce("identifiers", F.array().cast("array<string>")))
 
 
+@v.once
+def light(spark: SparkSession, sf: str) -> DataFrame:
+    """Summaries without their bodies, which are read for the identifiers once."""
+    return v.summaries.__wrapped__(spark, sf).select(F.col("source").alias("digest"), "fetched", "title", "identifiers", "arrival")
+
+
 @v.once
 def summary_forms(spark: SparkSession, sf: str) -> DataFrame:
-    """(digest, key, norm), stored as an index and read back: bodies are read for it once."""
+    """(digest, key, norm), stored as an index and read back."""
     path = scratch(spark)
-    fm.write_index(fm.forms(v.summaries(spark, sf).select(F.col("source").alias("digest"), "identifiers"), "digest"), path)
+    fm.write_index(fm.forms(light(spark, sf), "digest"), path)
     return fm.read_index(spark, path, "digest")
 
 
@@ -62,7 +68,7 @@ def pairs(spark: SparkSession, sf: str, extra: DataFrame | None = None) -> DataF
 
 
 def ranges(spark: SparkSession, sf: str) -> DataFrame:
-    return st.seen_range(members(spark, sf), v.summaries(spark, sf).select(F.col("source").alias("digest"), "fetched"))
+    return st.seen_range(members(spark, sf), light(spark, sf))
 
 
 MEM = "mem as (select stem as story, unnest(members) as digest, generate_subscripts(members, 1) - 1 as pos from stories)"
