@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 def _source_files(spark: SparkSession, sf: str) -> DataFrame:
     """The sources as files named by digest with their sidecars, scanned."""
     path = scratch(spark)
-    files.store_files(v.sources(spark, sf), path)
+    files.store_files(v.sources(spark, sf), path, files.FAN)
     return files.scan_sources(spark, path)
 
 
@@ -45,9 +45,11 @@ def source_scan(spark: SparkSession, sf: str) -> DataFrame:
 def page_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Page files as bytes, decoded with invalid sequences replaced."""
     path, pages = scratch(spark), table(spark, sf, "pages")
-    files.write_files(pages.select(F.concat("page_id", F.lit(".md")).alias("name"), F.col("html").cast("binary").alias("data")), path)
+    # Numbers begin alike, so a hash stands before them and says the folder.
+    name = F.concat(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, files.FAN), F.lit("-"), "page_id", F.lit(".md"))
+    files.write_files(pages.select(name.alias("name"), F.col("html").cast("binary").alias("data")), path, files.FAN)
     found = files.scan_pages(spark, path).where("fault is null")
-    found = found.select(F.substring_index("name", ".", 1).cast("long").alias("page_id"), F.sha2(F.col("text").cast("binary"), 256).alias("html_sha256"), F.length("text").cast("long").alias("n_chars"))
+    found = found.select(F.substring_index(F.substring_index("name", ".", 1), "-", -1).cast("long").alias("page_id"), F.sha2(F.col("text").cast("binary"), 256).alias("html_sha256"), F.length("text").cast("long").alias("n_chars"))
     return found.join(pages.select("page_id", "url"), "page_id").select("page_id", "url", "html_sha256", "n_chars")
 
 

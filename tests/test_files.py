@@ -34,3 +34,16 @@ def test_pages_that_can_not_be_read_are_rows(spark, tmp_path):
     assert got.keys() == {"keep.md", "lost.md", "bad.md", "big.md"}
     assert got["lost.md"] == (None, "unreadable") and got["big.md"] == (None, "too large") and got["keep.md"][1] is None
     assert got["bad.md"] == (b"ok \xe2\x82 \xf0\x9f end \xff".decode(errors="replace"), None)
+
+
+def test_the_driver_lists_no_files(spark, tmp_path, monkeypatch):
+    """Folders are listed and files read by tasks; a file of no bytes is a file too."""
+    path = str(tmp_path / "s")
+    rows = spark.range(300).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("name"), F.when(F.col("id") > 0, F.col("id").cast("string").cast("binary")).alias("data"))
+    assert files.write_files(rows, path, files.FAN) == 300
+    assert all(p.name.startswith(p.parent.name) and len(p.parent.name) == files.FAN for p in (tmp_path / "s").rglob("*") if p.is_file())
+    monkeypatch.setattr(files, "READ_FILES", 50)
+    found = files.scan_files(spark, path)
+    assert found.inputFiles() == [] or not any(f.startswith(f"file://{path}") for f in found.inputFiles())
+    assert found.rdd.getNumPartitions() >= 6
+    assert {r.name: bytes(r.content) for r in found.collect()} == {r.name: bytes(r.data or b"") for r in rows.collect()}
