@@ -11,27 +11,13 @@ def rankings(scores: DataFrame) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "pos")))
 
 
-def retrieval_metrics(relevant: DataFrame, top: DataFrame, cutoff: float = 0.5, by: list[str] | None = None) -> DataFrame:
-    """One row (or one for each value of `by`); queries without a relevant page do not count.
+def retrieval_metrics(counts: DataFrame) -> DataFrame:
+    """One row over the counts of each query (see vectors.relevant_counts); queries without a relevant page do not count.
 
-    relevant (query, rank, short_stub) has every relevant page with its rank among all, top
-    (query, rank, score) at least the ten nearest of each query. recall@5, recall@10 over all
-    relevant pages, MRR of the first relevant page at any rank, hits of the top ten under the
-    cutoff, mean rank of short and of long relevant pages.
+    recall@5, recall@10 over all relevant pages, MRR of the first relevant page at any rank,
+    hits of the top ten under the cutoff, mean rank of short and of long relevant pages.
     """
-    by = by or []
-    per_query = relevant.groupBy(*by, "query").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("rank") <= 5).alias("at5"),
-        F.count_if(F.col("rank") <= 10).alias("at10"),
-        F.min("rank").alias("first"),
-        F.sum(F.when(F.col("short_stub"), F.col("rank"))).alias("short_sum"),
-        F.count_if(F.col("short_stub")).alias("short_n"),
-        F.sum(F.when(~F.col("short_stub"), F.col("rank"))).alias("long_sum"),
-        F.count_if(~F.col("short_stub")).alias("long_n"),
-    )
-    under = top.where((F.col("rank") <= 10) & (F.col("score") < cutoff)).groupBy(*by, "query").agg(F.count("*").alias("under"))
-    return per_query.join(under, [*by, "query"], "left").groupBy(*by).agg(
+    return counts.agg(
         F.count("*").alias("queries"),
         F.avg(F.col("at5") / F.col("n")).alias("recall_at_5"),
         F.avg(F.col("at10") / F.col("n")).alias("recall_at_10"),

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     # What a Python worker holds at a time: rows may be long texts or whole packed buckets.
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    # Rows of a crossed side that are held outside of Spark's accounts: they may be blocks of 2 MB.
+    "spark.sql.cartesianProductExec.buffer.in.memory.threshold": "32",
 }
 
 

@@ -203,3 +203,30 @@ def test_parse_labels(spark):
     df = spark.createDataFrame([('```json\n["a","x","a"]\n```',), ('["b"]',), ("no",)], "r string")
     got = df.select(ev.parse_labels(F.col("r"), F.array(F.lit("a"), F.lit("b"))).alias("y")).collect()
     assert [r.y for r in got] == [["a", "a"], ["b"], []]
+
+
+def test_blocks_are_packed_once(spark):
+    """Where blocks meet, nothing is packed: one Python worker a task."""
+    vectors = spark.range(40).select(F.concat(F.lit("v"), "id").alias("name"), F.lit("a").alias("kind"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    found = vec.nearest(vectors, vectors.limit(5).withColumnRenamed("name", "query"), 3)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_relevant_counts_with_ties_and_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vec, "HELD_SCORES", 300)
+    monkeypatch.setattr(vec, "VECTOR_BLOCK", 16)
+    rng = np.random.default_rng(2)
+    x = rng.integers(-1, 2, size=(90, 3)).astype(float)  # most scores are tied
+    kinds = [None if i % 11 == 3 else "abc"[i % 3] for i in range(90)]
+    rows = [(f"v{i}", kinds[i], 90 - i, i % 4 == 0, x[i].tolist()) for i in range(90)]
+    vectors = spark.createDataFrame(rows, "name string, kind string, pos long, short_stub boolean, embedding array<double>")
+    got = {r["query"]: r.asDict() for r in vec.relevant_counts(vectors, vectors.where("pos % 5 = 0").withColumnRenamed("name", "query")).collect()}
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    want = {}
+    for q in (i for i in range(90) if (90 - i) % 5 == 0 and kinds[i]):
+        order = sorted((j for j in range(90) if j != q), key=lambda j: (-round(float(unit[q] @ unit[j]), 12), 90 - j))
+        ranks = [(r, j) for r, j in enumerate(order, 1) if kinds[j] == kinds[q]]
+        short, long = ([r for r, j in ranks if (j % 4 == 0) is s] for s in (True, False))
+        under = sum(float(unit[q] @ unit[j]) < 0.5 for j in order[:10])
+        want[f"v{q}"] = {"query": f"v{q}", "n": len(ranks), "at5": sum(r <= 5 for r, _ in ranks), "at10": sum(r <= 10 for r, _ in ranks), "first": ranks[0][0], "short_sum": sum(short), "short_n": len(short), "long_sum": sum(long), "long_n": len(long), "under": under}
+    assert got == want
