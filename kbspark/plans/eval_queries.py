@@ -204,7 +204,9 @@ def _streamed(spark: SparkSession, sf: str, kind: type) -> DataFrame:
     span = log.agg(F.min("us").alias("low"), F.max("us").alias("high"))
     late = F.col("us") + F.pmod(F.xxhash64("id"), F.lit(3_600_000_000))
     dealt = log.crossJoin(F.broadcast(span)).withColumn("batch", F.floor(8 * (late - F.col("low")) / (F.col("high") - F.col("low") + 3_600_000_001)))
-    dealt = materialise(dealt.select("client", "us", "id", "batch"))
+    parts = scratch(spark)
+    dealt.select("client", "us", "id", "batch").write.partitionBy("batch").parquet(parts)
+    dealt = spark.read.schema("client long, us long, id long, batch long").parquet(parts)
     for batch in range(8):
         dealt.where(F.col("batch") == batch).drop("batch").coalesce(1).write.parquet(f"{path}/{batch}")
     return limits.limit_files(spark, path, kind, 3, 86400.0, "61 minutes").select("client", (F.col("us") / 1e6).alias("ts"), "id", "admitted", "retry_after")

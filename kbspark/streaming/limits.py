@@ -87,13 +87,18 @@ def limit_log(log: DataFrame, kind: type, limit: int, window: float) -> DataFram
     return rows.mapInArrow(_scan(kind, limit, window), "client long, ts double, id long, admitted boolean, retry_after long")
 
 
+# Clients are dealt to so many groups; a group's state is read and written as a whole.
+GROUPS = 1024
+CALL = np.dtype([("known", "?"), ("client", "<i8"), ("us", "<i8"), ("id", "<i8")])
+
+
 class LimitProcessor(StatefulProcessor):
     """The same for streams: calls wait until the watermark has passed them, then are decided in order.
 
-    State of a client: what its limit holds, and the calls that wait, no more than come within
-    the watermark's delay. A timer stands at the first of them. Once the watermark is there, no
-    earlier call can come any more, so order across batches is settled. A client without
-    waiting calls keeps no timer until `idle` seconds after its last call, when its state goes.
+    State of a group of clients: what each client's limit holds, and the calls that wait, no more
+    than come within the watermark's delay. A timer stands at the first of them. Once the
+    watermark is there, no earlier call can come any more, so order across batches is settled.
+    A client without waiting calls is forgotten `idle` seconds after its last call.
     """
 
     def __init__(self, kind: type, limit: int, window: float) -> None:
@@ -101,8 +106,8 @@ class LimitProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.limit = handle.getValueState("limit", "started double, held array<double>, last long")
-        self.waiting = handle.getListState("waiting", "us long, id long")
+        self.clients = handle.getValueState("clients", "known array<boolean>, client array<long>, started array<double>, held array<array<double>>, last array<long>")
+        self.waiting = handle.getValueState("waiting", "calls binary")
 
     def _wake(self, at_ms: int, kept: list[int]) -> None:
         for old in kept:
@@ -114,40 +119,66 @@ class LimitProcessor(StatefulProcessor):
     def _timers(self) -> list[int]:
         return [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]
 
+    def _calls(self) -> np.ndarray:
+        return np.frombuffer(self.waiting.get()[0], CALL) if self.waiting.exists() else np.empty(0, CALL)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        came = [(int(us), int(i)) for frame in rows for us, i in zip(frame["us"], frame["id"])]
-        self.waiting.appendList(came)
+        came = [self._calls()]
+        for frame in rows:
+            some = np.empty(len(frame), CALL)
+            for c in CALL.names:
+                some[c] = frame[c].to_numpy()
+            came.append(some)
+        calls = np.concatenate(came)
+        self.waiting.update((calls.tobytes(),))
         timers = self._timers()
-        first = -(-min(us for us, _ in came) // 1000)
-        # A timer that stands for waiting calls may be earlier; one for an idle client is later.
+        first = -(-int(calls["us"].min()) // 1000)
+        # A timer that stands for waiting calls may be earlier; one for idle clients is later.
         self._wake(min([first, *timers]), timers)
-        yield pd.DataFrame({"client": pd.Series(dtype="int64"), "us": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "admitted": pd.Series(dtype="bool"), "retry_after": pd.Series(dtype="int64")})
+        yield pd.DataFrame({"client": pd.Series(dtype="Int64"), "us": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "admitted": pd.Series(dtype="bool"), "retry_after": pd.Series(dtype="int64")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         now = timerValues.getCurrentWatermarkInMs()
-        calls = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
-        due, later = [c for c in calls if c[0] <= now * 1000], [c for c in calls if c[0] > now * 1000]
-        limit, last = self.make(), None
-        if self.limit.exists():
-            started, held, last = self.limit.get()
-            limit.load(None if started is None or np.isnan(started) else started, list(held))
-        out = [(key[0], us, i, *limit.step(us / 1e6)) for us, i in due]
-        last = due[-1][0] if due else last
-        if later:
-            self.waiting.put(later)
-        else:
+        calls = self._calls()
+        due, later = calls[calls["us"] <= now * 1000], calls[calls["us"] > now * 1000]
+        due = due[np.lexsort((due["id"], due["us"], due["client"], due["known"]))]
+        held: dict[tuple, tuple] = {}
+        if self.clients.exists():
+            for known, client, *state in zip(*self.clients.get()):
+                held[known, client] = state
+        admitted, wait = np.empty(len(due), bool), np.empty(len(due), np.int64)
+        owner, limit, last = None, None, None
+        keep = lambda: held.__setitem__(owner, [*limit.dump(), last])
+        for i, (known, client, us, _) in enumerate(due.tolist()):
+            if (known, client) != owner:
+                if owner is not None:
+                    keep()
+                owner, limit = (known, client), self.make()
+                if owner in held:
+                    started, values, _ = held[owner]
+                    limit.load(None if started is None or np.isnan(started) else started, list(values))
+            admitted[i], wait[i] = limit.step(us / 1e6)
+            last = us
+        if owner is not None:
+            keep()
+        if len(later):
+            self.waiting.update((later.tobytes(),))
+        elif len(calls):
             self.waiting.clear()
-        forget = None if last is None else -(-last // 1000) + self.idle_ms
-        if due or (forget is not None and forget > now):
-            started, held = limit.dump()
-            self.limit.update((float("nan") if started is None else started, [float(x) for x in held], last))
-            self.handle.registerTimer(max(now + 1, -(-later[0][0] // 1000) if later else forget))
-        else:
-            self.limit.clear()
-            if later:
-                self.handle.registerTimer(-(-later[0][0] // 1000))
-        if out:
-            yield pd.DataFrame(out, columns=["client", "us", "id", "admitted", "retry_after"])
+        held = {c: x for c, x in held.items() if -(-x[2] // 1000) + self.idle_ms > now}
+        if held:
+            known, client = zip(*held)
+            started, values, lasts = zip(*held.values())
+            self.clients.update((list(known), list(client), [float("nan") if x is None else x for x in started], [[float(x) for x in v] for v in values], list(lasts)))
+        elif self.clients.exists():
+            self.clients.clear()
+        wakes = [-(-int(later["us"].min()) // 1000)] if len(later) else [min(-(-x[2] // 1000) for x in held.values()) + self.idle_ms] if held else []
+        if wakes:
+            self.handle.registerTimer(max(now + 1, *wakes))
+        if len(due):
+            client = pd.array(due["client"], dtype="Int64")
+            client[~due["known"]] = pd.NA
+            yield pd.DataFrame({"client": client, "us": due["us"], "id": due["id"], "admitted": admitted, "retry_after": wait})
 
     def close(self) -> None:
         pass
@@ -161,10 +192,11 @@ def limit_stream(log: DataFrame, kind: type, limit: int, window: float, delay: s
 
     Calls may come late by `delay`, in any order and batch; later ones are dropped by the
     watermark. A call is decided once the watermark has passed it. Needs a state store that
-    keeps lists (RocksDB).
+    keeps several values a key (RocksDB).
     """
-    timed = log.select("client", "us", "id", F.timestamp_micros("us").alias("at")).withWatermark("at", delay)
-    return timed.groupBy("client").transformWithStateInPandas(LimitProcessor(kind, limit, window), DECIDED, "Append", "EventTime")
+    group = F.pmod(F.xxhash64("client"), F.lit(GROUPS)).alias("group")
+    timed = log.select(group, F.col("client").isNotNull().alias("known"), F.coalesce("client", F.lit(0)).alias("client"), "us", "id", F.timestamp_micros("us").alias("at")).withWatermark("at", delay)
+    return timed.groupBy("group").transformWithStateInPandas(LimitProcessor(kind, limit, window), DECIDED, "Append", "EventTime")
 
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -245,3 +245,20 @@ def test_relevant_counts_with_ties_and_small_blocks(spark, monkeypatch):
         under = sum(float(unit[q] @ unit[j]) < 0.5 for j in order[:10])
         want[f"v{q}"] = {"query": f"v{q}", "n": len(ranks), "at5": sum(r <= 5 for r, _ in ranks), "at10": sum(r <= 10 for r, _ in ranks), "first": ranks[0][0], "short_sum": sum(short), "short_n": len(short), "long_sum": sum(long), "long_n": len(long), "under": under}
     assert got == want
+
+
+def test_limit_state_is_called_by_groups(spark, tmp_path, monkeypatch):
+    """Many clients cost few state calls, a client of no name is one of its own, and states outlive batches."""
+    monkeypatch.setattr(limits, "GROUPS", 3)
+    rng = random.Random(8)
+    rows = [(None if (c := rng.randint(0, 60)) == 7 else c * 10**16 + 1, rng.randint(0, 10**9), i) for i in range(900)]
+    for batch in range(3):
+        some = [r for r in rows if r[1] * 3 // (10**9 + 1) == batch]
+        spark.createDataFrame(some, "client long, us long, id long").coalesce(1).write.parquet(str(tmp_path / f"in/{batch}"))
+    asked = limits.limit_stream(spark.readStream.schema("client long, us long, id long").parquet(str(tmp_path / "in/0")), limits.SlidingWindow, 2, 90.0, "1 second")
+    assert "group" in asked._jdf.queryExecution().logical().toString()
+    got = {r.id: (r.client, r.admitted, r.retry_after) for r in limits.limit_files(spark, str(tmp_path / "in"), limits.SlidingWindow, 2, 90.0, "1 second").collect()}
+    want, state = {}, {}
+    for c, us, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        want[i] = (c, *state.setdefault(c, limits.SlidingWindow(2, 90.0)).step(us / 1e6))
+    assert got == want
