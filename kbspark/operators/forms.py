@@ -11,6 +11,8 @@ from kbspark.session import materialise
 # A form with more pairs than this goes by classes; a block of a class is so many rows.
 HEAVY_PAIRS = 1 << 20
 CLASS_BLOCK = 4096
+# Pairs that a task joins or adds up; more of them make more tasks, so that no task grows with the input.
+TASK_PAIRS, MOST_PARTS = 1 << 19, 20_000
 PARTS = 16
 
 
@@ -87,13 +89,20 @@ def shared(left: DataFrame, right: DataFrame, lists: bool = False, heavy_pairs:
     same either way.
     """
     n = [side.groupBy("key", "norm").agg(F.count("*").alias(name)) for side, name in ((left, "n_left"), (right, "n_right"))]
-    heavy = materialise(n[0].join(n[1], ["key", "norm"]).where(F.col("n_left") * F.col("n_right") > heavy_pairs).select("key", "norm"))
+    pairs = F.col("n_left") * F.col("n_right")
+    met = materialise(n[0].join(n[1], ["key", "norm"]).select("key", "norm", pairs.alias("pairs")))
+    heavy = met.where(F.col("pairs") > heavy_pairs).select("key", "norm")
+    total = met.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("all"), F.count_if(F.col("pairs") > heavy_pairs).alias("heavy")).first()
+    parts = min(MOST_PARTS, max(left.sparkSession.sparkContext.defaultParallelism, -(-total["all"] // TASK_PAIRS)))
     form = F.struct("key", "norm")
-    if heavy.isEmpty():
+    dealt = lambda df: df.repartition(parts, "key", "norm")
+    # Rows of a digest come together once; what is ordered or gathered by digest later needs no other shuffle.
+    gathered = lambda df, value: df.repartition(parts, "digest").groupBy("digest", "story").agg(value.alias("shared"))
+    if not total["heavy"]:
         value = F.array_sort(F.collect_list(form)) if lists else F.count("*")
-        return left.join(right, ["key", "norm"]).groupBy("digest", "story").agg(value.alias("shared"))
-    light = left.join(heavy, ["key", "norm"], "left_anti").join(right, ["key", "norm"])
+        return gathered(dealt(left).join(dealt(right), ["key", "norm"]), value)
+    light = dealt(left.join(heavy, ["key", "norm"], "left_anti")).join(dealt(right), ["key", "norm"])
     light = light.select("digest", "story", (F.array(form) if lists else F.lit(1).cast("long")).alias("value"))
     many = _heavy(left, right, heavy, F.collect_list("form") if lists else F.count("*"))
     value = F.array_sort(F.flatten(F.collect_list("value"))) if lists else F.sum("value")
-    return light.unionByName(many).groupBy("digest", "story").agg(value.alias("shared"))
+    return gathered(light.unionByName(many), value)

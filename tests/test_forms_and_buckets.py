@@ -123,3 +123,13 @@ def test_clustered_search_is_exact_and_skips(spark, monkeypatch):
         assert counts.met > 100 and (counts.skipped > counts.met / 2 or k == 60)
     none = vec.Clusters(vectors.limit(0))
     assert vec.search_clusters(none, asked, 3)[0].count() == 0
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    left, right = holders(200, "d", 50), holders(60, "s", 70)
+    ldf, rdf = spark.createDataFrame(left, "digest string, key string, norm string"), spark.createDataFrame(right, "story string, key string, norm string")
+    want = fm.shared(ldf, rdf).collect()
+    monkeypatch.setattr(fm, "TASK_PAIRS", 100)
+    found = fm.shared(ldf, rdf)
+    assert found.rdd.getNumPartitions() > 100 and sorted(found.collect()) == sorted(want)
+    assert sorted(fm.shared(ldf, rdf, heavy_pairs=1000).collect()) == sorted(want)
