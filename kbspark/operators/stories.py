@@ -209,14 +209,19 @@ def push_matches(summaries: DataFrame, agents: DataFrame) -> DataFrame:
     return found
 
 
-def recheck(placements: DataFrame, stories: DataFrame, fresh: DataFrame) -> DataFrame:
+def recheck(placements: DataFrame, stories: DataFrame, summary_forms: DataFrame, story_forms: DataFrame) -> DataFrame:
     """placements (digest, target, target_title, seen) with `holds`.
 
     A join holds while its story has the title it had; a start while no candidate has come
-    up that was not seen then.
+    up that was not seen then. Where the longest `seen` has k stories, one of any k + 1 is not
+    seen, so no more stories of a form are looked at, and no list of candidates is made.
     """
     now = stories.select(F.col("story").alias("target"), F.col("title").alias("now_title"))
-    out = placements.join(now, "target", "left").join(fresh.select("digest", F.col("candidates").alias("fresh")), "digest", "left")
-    empty = F.array().cast("array<string>")
-    unseen = F.size(F.array_except(F.coalesce("fresh", empty), F.coalesce("seen", empty)))
-    return out.withColumn("holds", F.when(F.col("target").isNotNull(), F.col("now_title").eqNullSafe(F.col("target_title"))).otherwise(unseen == 0))
+    seen = F.coalesce("seen", F.array().cast("array<string>"))
+    starts = placements.where("target is null").select("digest", seen.alias("was"))
+    most = starts.agg(F.coalesce(F.max(F.size("was")), F.lit(0)).alias("k")).first()["k"]
+    nth = F.row_number().over(Window.partitionBy("key", "norm").orderBy("story"))
+    some = story_forms.select("story", "key", "norm").distinct().withColumn("nth", nth).where(F.col("nth") <= most + 1).drop("nth")
+    new = starts.join(summary_forms, "digest").join(some, ["key", "norm"]).where(~F.array_contains("was", F.col("story")))
+    out = placements.join(now, "target", "left").join(new.select("digest", F.lit(True).alias("new")).distinct(), "digest", "left")
+    return out.withColumn("holds", F.when(F.col("target").isNotNull(), F.col("now_title").eqNullSafe(F.col("target_title"))).otherwise(F.col("new").isNull()))

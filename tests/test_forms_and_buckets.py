@@ -133,3 +133,13 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     found = fm.shared(ldf, rdf)
     assert found.rdd.getNumPartitions() > 100 and sorted(found.collect()) == sorted(want)
     assert sorted(fm.shared(ldf, rdf, heavy_pairs=1000).collect()) == sorted(want)
+
+
+def test_recheck_looks_at_few_stories(spark):
+    rows = [("a", None, ["s1", "s2"]), ("b", None, ["s1", "s3"]), ("c", None, []), ("d", None, ["s9"]), ("e", "t", None), ("f", None, None)]
+    old = spark.createDataFrame([(d, t, "T", seen) for d, t, seen in rows], "digest string, target string, target_title string, seen array<string>")
+    stories = spark.createDataFrame([("t", "T")], "story string, title string")
+    held = spark.createDataFrame([("a", "k", "x"), ("b", "k", "x"), ("c", "k", "none"), ("d", "k", "hot"), ("f", "k", "x")], "digest string, key string, norm string")
+    told = spark.createDataFrame([("s1", "k", "x"), ("s2", "k", "x")] + [(f"s{i}", "k", "hot") for i in range(9, 40)], "story string, key string, norm string")
+    got = {r.digest: r.holds for r in st.recheck(old, stories, held, told).collect()}
+    assert got == {"a": True, "b": False, "c": True, "d": False, "e": True, "f": False}
