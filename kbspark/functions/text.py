@@ -27,20 +27,34 @@ def as_list(scalar: Column, items: Column) -> Column:
     return F.when(items.isNotNull(), items).when(scalar != "", F.array(scalar)).otherwise(F.array().cast("array<string>"))
 
 
+def is_ascii(text: Column) -> Column:
+    return text.rlike(r"\A[\x00-\x7f]*+\z")
+
+
 def _nfkd(text: Column) -> Column:
+    """ASCII texts are their own decomposition; only others are sent to Python."""
+
     def each(t: pd.Series) -> pd.Series:
         return t.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
 
-    return F.pandas_udf(each, "string")(text)
+    return F.when(is_ascii(text), text).otherwise(F.pandas_udf(each, "string")(F.when(~is_ascii(text), text)))
+
+
+def ascii_norm(value: Column) -> Column:
+    """normalise_value() of ASCII text by built-in expressions."""
+    return F.btrim(F.regexp_replace(F.lower(value), r"[\x09-\x0d\x1c-\x20]+", " "))
 
 
 def normalise_value(value: Column) -> Column:
-    """NFKC, case folded, stripped, white space runs as one blank; Unicode rules, hence no built-in."""
+    """NFKC, case folded, stripped, white space runs as one blank.
+
+    Unicode rules, hence no built-in; only texts that are not ASCII are sent to Python.
+    """
 
     def each(v: pd.Series) -> pd.Series:
         return v.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
 
-    return F.pandas_udf(each, "string")(value)
+    return F.when(is_ascii(value), ascii_norm(value)).otherwise(F.pandas_udf(each, "string")(F.when(~is_ascii(value), value)))
 
 
 def slugify(title: Column) -> Column:
@@ -63,6 +77,21 @@ def join_form(identifier: Column) -> Column:
     return F.struct(key_of(identifier).alias("key"), normalise_value(value_of(identifier)).alias("norm"))
 
 
+def form_list(identifiers: Column) -> Column:
+    """The distinct forms of a list of identifiers as texts, key and norm with a colon between, which no key has.
+
+    Built where the row is, without a shuffle; only lists that are not all ASCII go to Python.
+    """
+    ids = F.filter(F.coalesce(identifiers, F.array().cast("array<string>")), lambda x: x.isNotNull())
+    plain = F.forall(ids, lambda x: is_ascii(x))
+
+    def each(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else [" ".join(unicodedata.normalize("NFKC", y).casefold().split()) for y in x])
+
+    norms = F.when(plain, F.transform(ids, lambda x: ascii_norm(value_of(x)))).otherwise(F.pandas_udf(each, "array<string>")(F.when(~plain, F.transform(ids, lambda x: value_of(x)))))
+    return F.array_distinct(F.zip_with(ids, norms, lambda x, n: F.concat(key_of(x), F.lit(":"), n)))
+
+
 def media_type(content_type: Column, url: Column) -> Column:
     """The type before any parameter, else by the url's extension, else text/plain."""
     said = F.lower(F.trim(F.split_part(F.coalesce(content_type, F.lit("")), F.lit(";"), F.lit(1))))
