@@ -47,17 +47,20 @@ def _stars(edges: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(label))], ["u", "v"])
 
 
-def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The stars of a task's edges, LOCAL_EDGES at a time: no more edges than nodes, or than came."""
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += len(batch)
-        if n >= LOCAL_EDGES:
+def _contracted(piece: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The stars of a task's edges, `piece` at a time: no more edges than nodes, or than came."""
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= piece:
+                yield _stars(held)
+                held, n = [], 0
+        if n:
             yield _stars(held)
-            held, n = [], 0
-    if n:
-        yield _stars(held)
+
+    return run
 
 
 def _with_least(e: DataFrame, n: int, extra) -> DataFrame:
@@ -75,12 +78,33 @@ def _with_least(e: DataFrame, n: int, extra) -> DataFrame:
     return at_hub.unionByName(marked.where("hub is null").select("u", "v").join(least.select("u", "m"), "u"))
 
 
+def _of_several(e0: DataFrame) -> DataFrame:
+    """Edges of the nodes that several pieces have: only these can join pieces."""
+    return e0.join(e0.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u"), "u", "left_semi")
+
+
+def _hung_on(e0: DataFrame, n: int, hung: DataFrame) -> DataFrame:
+    """(node, component) of all n stars (u, v), where hung (u, component) has what their roots came to.
+
+    Roots of more than 1 / HEAVY_NODES of the stars are sent to where these are.
+    """
+    roots = e0.groupBy(F.col("v").alias("root")).agg(F.count("*").alias("n")).join(hung.select(F.col("u").alias("root"), "component"), "root", "left")
+    roots = materialise(roots.select("root", "n", F.coalesce("component", "root").alias("component")))
+    most = n // HEAVY_NODES
+    heavy = F.broadcast(roots.where(F.col("n") > most).select(F.col("root").alias("hub"), F.col("component").alias("hub_component")))
+    marked = e0.join(heavy, F.col("v") == F.col("hub"), "left")
+    light = marked.where("hub is null").join(roots.where(F.col("n") <= most), F.col("v") == F.col("root")).select("u", "component")
+    every = marked.where("hub is not null").select("u", F.col("hub_component").alias("component")).unionByName(light)
+    return every.groupBy(F.col("u").alias("node")).agg(F.min("component").alias("component"))
+
+
 def components(edges: DataFrame, most_rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, component) for every node of the edges (a, b); a component is named by its least node.
 
-    First every task contracts the edges it has: union-find over LOCAL_EDGES at a time leaves a
-    star for each component among them. As soon as what is left fits one such piece, one
-    task finishes. Until then rounds go on: a large-star step hangs every larger neighbour of a
+    First every task contracts the edges it has: union-find over LOCAL_EDGES (or local_edges) at a time leaves a
+    star for each component among them. If they are more than one piece, only the nodes that
+    several pieces have go on; all others hang on the root of their star. As soon as what is left
+    fits one such piece, one task finishes. Until then rounds go on: a large-star step hangs every larger neighbour of a
     node on its least neighbour, a small-star step the smaller ones and the node itself, and
     what comes out is contracted again; the number of edges never grows and the rounds grow
     with the logarithm of the longest path. Every round is one table in the shared folder, so
@@ -98,12 +122,15 @@ def components(edges: DataFrame, most_rounds: int = 60, local_edges: int = LOCAL
         mark = seen.get
         return out, (mark["n"], mark["low"], mark["high"])
 
-    e, seen = kept(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(_contracted, pair))
-    e0 = e
+    contracted = _contracted(max(local_edges, LOCAL_EDGES))
+    e, seen = kept(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(contracted, pair))
+    e0, n0 = e, seen[0]
+    if n0 > local_edges:
+        e, seen = kept(_of_several(e0))
     for _ in range(most_rounds):
         if seen[0] <= local_edges:
             # A bounded number of edges: one task sees all of them.
-            whole = e.repartition(1).mapInArrow(_contracted, pair) if seen[0] else e
+            whole = e.repartition(1).mapInArrow(contracted, pair) if seen[0] else e
             hung = whole.select("u", F.col("v").alias("component"))
             break
         own = e.where("u <> v")
@@ -112,7 +139,7 @@ def components(edges: DataFrame, most_rounds: int = 60, local_edges: int = LOCAL
         small = _with_least(large, seen[0], F.col("m"))
         # A node's least neighbour takes its other ones, and the node itself.
         turned = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        e, now = kept(turned.mapInArrow(_contracted, pair))
+        e, now = kept(turned.mapInArrow(contracted, pair))
         if now == seen:
             hung = e.groupBy("u").agg(F.min("v").alias("component"))
             break
@@ -121,5 +148,4 @@ def components(edges: DataFrame, most_rounds: int = 60, local_edges: int = LOCAL
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     if e is e0 and seen[0] <= local_edges:
         return hung.select(F.col("u").alias("node"), "component")
-    nodes = e0.select(F.col("u").alias("node")).distinct()
-    return nodes.join(hung, F.col("node") == F.col("u"), "left").select("node", F.coalesce("component", "node").alias("component"))
+    return _hung_on(e0, n0, hung)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kbspark.functions import text as t
 from kbspark.operators.components import components
 from kbspark.operators.forms import forms, shared
+from kbspark.session import materialise
 
 
 def candidate_pairs(summary_forms: DataFrame, story_forms: DataFrame, extra: DataFrame | None = None) -> DataFrame:
@@ -92,31 +93,66 @@ class _Shelf:
         self.first: dict[str, str] = {}
         self.title: dict[str, str] = {}
         self.texts: dict[str, list[str]] = {}
-        self.holding: dict[tuple, set[str]] = {}
+        self.holding: dict[str, set[str]] = {}
+        self.best: dict[str, tuple[str, str]] = {}
+        self.seeded: dict[str, list[str]] = {}
         self.home: dict[str, str] = {}
         self.seq = 0
 
     def admit(self, name: str, row: dict) -> None:
-        if name not in self.first:
-            self.first[name], self.title[name], self.texts[name] = row["fetched"], row["title"], []
-        self.first[name] = min(self.first[name], row["fetched"])
-        if row["body"]:
-            self.texts[name].append(row["body"])
+        """A row in its story. Only stories that were there before can get an earlier first time, as rows come by time."""
+        was = self.first.get(name)
+        first = self.first[name] = row["fetched"] if was is None else min(was, row["fetched"])
+        if row["story"]:
+            self.seeded.setdefault(name, [])
+        if name in self.seeded:
+            self.seeded[name] += row["forms"]
         for f in row["forms"]:
-            self.holding.setdefault((f["key"], f["norm"]), set()).add(name)
-        self.home[row["digest"]] = name
+            self.holding.setdefault(f, set()).add(name)
+        for f in row["forms"] if was is None or first == was else self.seeded.get(name, row["forms"]):
+            self.best[f] = min(self.best.get(f, (first, name)), (first, name))
+        if "body" in row:
+            if was is None:
+                self.title[name], self.texts[name] = row["title"], []
+            if row["body"]:
+                self.texts[name].append(row["body"])
+            self.home[row["digest"]] = name
 
     def candidates(self, row: dict) -> list[str]:
-        shared: Counter = Counter(name for f in row["forms"] for name in self.holding.get((f["key"], f["norm"]), ()))
+        shared: Counter = Counter(name for f in row["forms"] for name in self.holding.get(f, ()))
         near: dict[str, int] = {}
         for x in sorted(row["near"], key=lambda x: x["rank"]):
             if (name := self.home.get(x["other"])) is not None:
                 near.setdefault(name, len(near))
         return sorted({*shared, *near}, key=lambda n: (-shared[n], near.get(n, len(near)), self.first[n], n))
 
-    def place(self, row: dict, judge: Judge) -> tuple[str, str, str, int]:
-        found = [Story(n, self.title[n], self.texts[n]) for n in self.candidates(row)]
-        name = chosen(judge, Page(row["digest"], row["title"], row["body"]), found)
+    def leading(self, row: dict) -> str | None:
+        """The first of candidates() without `near`, found without a list of them.
+
+        A story that shares two forms is in the set of another than the form that most stories
+        hold; if none does, the best of a form's stories is known.
+        """
+        forms = sorted((f for f in row["forms"] if f in self.holding), key=lambda f: len(self.holding[f]))
+        if not forms:
+            return None
+        held = [self.holding[f] for f in forms]
+        if len(held) == 2:
+            top = held[0] & held[1]
+        else:
+            shared: Counter = Counter()
+            for names in held[:-1]:
+                shared.update(names)
+            shared.update(held[-1] & shared.keys())
+            most = max(shared.values(), default=0)
+            top = [n for n, c in shared.items() if c == most] if most > 1 else ()
+        return min((self.first[n], n) for n in top)[1] if top else min(self.best[f] for f in forms)[1]
+
+    def place(self, row: dict, judge: Judge | None) -> tuple[str, str, str, int]:
+        if judge is None:
+            name = self.leading(row)
+        else:
+            found = [Story(n, self.title[n], self.texts[n]) for n in self.candidates(row)]
+            name = chosen(judge, Page(row["digest"], row["title"], row["body"]), found)
         action = "joined" if name else "started"
         if not name:
             name = row["slug"] if row["slug"] not in self.first else f"{row['slug']}-{row['digest'][:8]}"
@@ -126,9 +162,11 @@ class _Shelf:
 
 
 PLACED = "digest string, story string, action string, seq int"
+# Edges between numbers, 16 bytes each, that one task contracts at a time.
+PLACE_EDGES = 1 << 21
 
 
-def _fold(judge: Judge):
+def _fold(judge: Judge | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come ordered by component, existing stories first, then (fetched, digest)."""
         component, shelf = None, _Shelf()
@@ -158,21 +196,34 @@ def place(summaries: DataFrame, existing: DataFrame | None = None, judge: Judge
     perhaps title), which are seeded before. The order of placement matters only inside a
     component, so components are dealt out and each is read as one sorted stream: many small
     ones share a batch, and of a large one only its stories' forms are held, not its rows.
+
+    Components are those of slugs and forms as 64-bit hashes: names settle ties, so a slug joins
+    its rows as well. Two that a hash makes one are read as one stream, which changes nothing.
     """
-    judge, near = (first_candidate, None) if judge is None else (judge, near)
-    text = lambda df, c: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
-    new = summaries.select("digest", F.coalesce("fetched", F.lit("")).alias("fetched"), "slug", "identifiers", F.lit("").alias("story"), text(summaries, "title").alias("title"), text(summaries, "body").alias("body"))
+    near = None if judge is None else near
+    text = lambda df, c: F.coalesce(F.col(c), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c)
+    own = [F.coalesce("fetched", F.lit("")).alias("fetched"), "slug", "identifiers", F.lit("").alias("story")]
+    new = summaries.select("digest", *own)
     if existing is not None:
-        old = existing.select(F.concat(F.lit("story:"), "story").alias("digest"), F.col("first_seen").alias("fetched"), F.col("story").alias("slug"), "identifiers", "story", text(existing, "title").alias("title"), F.lit("").alias("body"))
-        new = new.unionByName(old)
-    rows = new.join(blocks(new, near=near), "digest")
-    form = forms(new, "digest").groupBy("digest").agg(F.collect_list(F.struct("key", "norm")).alias("forms"))
-    rows = rows.drop("identifiers").join(form, "digest", "left").withColumn("forms", F.coalesce("forms", F.array().cast("array<struct<key:string,norm:string>>")))
-    nearest = F.array().cast("array<struct<other:string,rank:int>>")
+        new = new.unionByName(existing.select(F.concat(F.lit("story:"), "story").alias("digest"), F.col("first_seen").alias("fetched"), F.col("story").alias("slug"), "identifiers", "story"))
+    rows = materialise(new.select("digest", "fetched", "slug", "story", t.form_list(F.col("identifiers")).alias("forms")))
+    node = lambda tag, c: F.xxhash64(F.lit(tag), c)
+    slug = node("s", F.col("slug"))
+    edges = rows.select(slug.alias("a"), F.explode(F.transform("forms", lambda f: node("f", f))).alias("b"))
     if near is not None:
-        lists = near.groupBy("digest").agg(F.collect_list(F.struct("other", F.col("rank").cast("int").alias("rank"))).alias("near"))
-        rows, nearest = rows.join(lists, "digest", "left"), F.coalesce("near", nearest)
-    rows = rows.withColumn("near", nearest).repartition("component").sortWithinPartitions("component", F.col("story") == "", "fetched", "digest")
+        edges = edges.unionByName(rows.select(slug.alias("a"), node("d", F.col("digest")).alias("b"))).unionByName(near.select(node("d", F.col("digest")).alias("a"), node("d", F.col("other")).alias("b")))
+    found = components(edges, local_edges=PLACE_EDGES)
+    rows = rows.withColumn("node", slug).join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+    if judge is not None:
+        said = summaries.select("digest", text(summaries, "title"), text(summaries, "body"))
+        if existing is not None:
+            said = said.unionByName(existing.select(F.concat(F.lit("story:"), "story").alias("digest"), text(existing, "title"), F.lit("").alias("body")))
+        nearest = F.array().cast("array<struct<other:string,rank:int>>")
+        if near is not None:
+            lists = near.groupBy("digest").agg(F.collect_list(F.struct("other", F.col("rank").cast("int").alias("rank"))).alias("near"))
+            rows, nearest = rows.join(lists, "digest", "left"), F.coalesce("near", nearest)
+        rows = rows.withColumn("near", nearest).join(said, "digest")
+    rows = rows.repartition("component").sortWithinPartitions("component", F.col("story") == "", "fetched", "digest")
     return rows.mapInArrow(_fold(judge), PLACED)
 
 
@@ -193,9 +244,13 @@ def seen_range(members: DataFrame, summaries: DataFrame) -> DataFrame:
 
 def story_body(members: DataFrame, summaries: DataFrame) -> DataFrame:
     """(story, body): a heading and the text of each member that has a summary, in order."""
+    return bodies(members.join(summaries.select("digest", "title", "body"), "digest"))
+
+
+def bodies(rows: DataFrame) -> DataFrame:
+    """(story, body) of rows (story, pos, title, body): story_body() where members and texts are joined."""
     part = F.concat(F.lit("## "), "title", F.lit("\n\n"), "body").alias("part")
-    parts = members.join(summaries.select("digest", "title", "body"), "digest").select("story", "pos", part)
-    found = parts.groupBy("story").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("x"))
+    found = rows.select("story", "pos", part).groupBy("story").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("x"))
     return found.select("story", F.array_join(F.transform("x", lambda s: s["part"]), "\n\n").alias("body"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from contextvars import ContextVar
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.session import configure, materialise, table
@@ -74,21 +74,27 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
     return store_sources(raw(spark, sf)).where("status = 'new'").drop("status")
 
 
-@once
-def summaries(spark: SparkSession, sf: str) -> DataFrame:
-    """A summary page for each source: its first line's ASCII text as title, long words and addresses as identifiers, the whole text as body."""
-    text = F.col("data")
+def _said(text: Column) -> tuple[Column, Column]:
+    """(title, identifiers) of a text: its first line's ASCII text, long words and addresses."""
     terms = F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z]{14,}+)"), F.lit(1)), lambda w: F.concat(F.lit("term:"), w))
     # The search for addresses is dear and few texts have one; finding "@mail" is cheap.
     found = F.when(F.contains(text, F.lit("@mail")), F.regexp_extract_all(text, F.lit(r"([a-z]+\.[0-9]{2}@mail[0-9]\.example\.com)"), F.lit(1)))
     mails = F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda m: F.concat(F.lit("email:"), m))
+    return F.trim(F.regexp_replace(F.substring_index(text, "\n", 1), "[^A-Za-z0-9 .,]", "")), F.array_sort(F.array_distinct(F.concat(terms, mails)))
+
+
+@once
+def summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """A summary page for each source: its first line's ASCII text as title, long words and addresses as identifiers, the whole text as body."""
+    text = F.col("data")
+    title, identifiers = _said(text)
     stem = F.concat(F.lit("s-"), F.substring("digest", 1, 12))
     return sources(spark, sf).select(
         F.concat(stem, F.lit(".md")).alias("name"),
         stem.alias("stem"),
         F.lit("summary").alias("kind"),
-        F.trim(F.regexp_replace(F.substring_index(text, "\n", 1), "[^A-Za-z0-9 .,]", "")).alias("title"),
-        F.array_sort(F.array_distinct(F.concat(terms, mails))).alias("identifiers"),
+        title.alias("title"),
+        identifiers.alias("identifiers"),
         F.col("digest").alias("source"),
         F.col("url").alias("source_url"),
         "fetched",
@@ -98,6 +104,17 @@ def summaries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@once
+def light(spark: SparkSession, sf: str) -> DataFrame:
+    """Summaries without their bodies, and their jobs: texts are read where they lie, once, and none is shuffled."""
+    title, identifiers = _said(F.col("data"))
+    row = F.struct("arrival", "fetched", "job", title.alias("title"), identifiers.alias("identifiers"))
+    rows = raw(spark, sf).where("data <> ''").select(F.sha2(F.col("data").cast("binary"), 256).alias("digest"), row.alias("row"))
+    # The first arrival of a digest, one without a number last; copies are combined before the shuffle.
+    first = F.struct(F.col("row.arrival").isNull(), F.col("row.arrival"))
+    return rows.groupBy("digest").agg(F.min_by("row", first).alias("row")).select("digest", "row.*")
+
+
 def notes(spark: SparkSession, sf: str) -> DataFrame:
     """An agent page for each conversation, linking the source of the same number, a title, another note and nothing."""
     talk = table(spark, sf, "conversations")
@@ -123,7 +140,9 @@ def stories(spark: SparkSession, sf: str) -> DataFrame:
     Every third job has a member without summary; what came in the other hours is not placed
     yet. A story holds no more than a job fetches in a day, however long the table.
     """
-    placed = sources(spark, sf).where("arrival div 60 % 2 = 0").select("job", F.expr("arrival div 1440").alias("day"), "arrival", "digest")
+    # A query that keeps the light rows has the sources there; in others no text is looked into.
+    known = light(spark, sf) if ("light", sf) in (_kept.get() or {}) else sources(spark, sf)
+    placed = known.where("arrival div 60 % 2 = 0").select("job", F.expr("arrival div 1440").alias("day"), "arrival", "digest")
     grouped = placed.groupBy("job", "day").agg(F.transform(F.array_sort(F.collect_list(F.struct("arrival", "digest"))), lambda s: s["digest"]).alias("members"))
     lost = F.when(F.length("job") % 3 == 2, F.array(F.sha2(F.col("job").cast("binary"), 256))).otherwise(F.array().cast("array<string>"))
     return grouped.select(

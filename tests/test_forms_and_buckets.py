@@ -143,3 +143,17 @@ def test_recheck_looks_at_few_stories(spark):
     told = spark.createDataFrame([("s1", "k", "x"), ("s2", "k", "x")] + [(f"s{i}", "k", "hot") for i in range(9, 40)], "story string, key string, norm string")
     got = {r.digest: r.holds for r in st.recheck(old, stories, held, told).collect()}
     assert got == {"a": True, "b": False, "c": True, "d": False, "e": True, "f": False}
+
+
+def test_light_summaries_are_summaries_without_a_join(spark, tmp_path):
+    from kbspark.plans import views as v
+
+    texts = ["Title one\nwith aSomewhatLongishWord", "Title one\nwith aSomewhatLongishWord", "", None, "ab.12@mail3.example.com x", "ab.12@mail3.example.com x"]
+    docs = [(i, x, "en", "src1") for i, x in enumerate(texts[:5])] + [(None, texts[5], "en", "src2")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    light = v.light(spark, str(tmp_path))
+    columns = ["title", "identifiers", "arrival", "fetched"]
+    got = [tuple(r) for r in light.select("digest", *columns).orderBy("digest").collect()]
+    want = v.summaries(spark, str(tmp_path)).where("arrival is not null").select("source", *columns).orderBy("source")
+    assert got == [tuple(r) for r in want.collect()] and {r[3] for r in got} == {0, 4}
+    assert "Join" not in light._jdf.queryExecution().optimizedPlan().toString()

@@ -262,3 +262,35 @@ def test_limit_state_is_called_by_groups(spark, tmp_path, monkeypatch):
     for c, us, i in sorted(rows, key=lambda r: (r[1], r[2])):
         want[i] = (c, *state.setdefault(c, limits.SlidingWindow(2, 90.0)).step(us / 1e6))
     assert got == want
+
+
+def test_placing_without_a_judge_takes_the_first_candidate(spark):
+    rng = random.Random(5)
+    rows = [(f"{rng.getrandbits(64):016x}", f"t{rng.randint(0, 9)}", f"s{rng.randint(0, 90)}", [f"k:{rng.randint(0, 25)}" for _ in range(rng.randint(0, 5))]) for _ in range(150)]
+    df = spark.createDataFrame(rows, "digest string, fetched string, slug string, identifiers array<string>")
+    old = [(f"s{i}", f"t{rng.randint(3, 9)}", [f"k:{rng.randint(0, 25)}" for _ in range(4)]) for i in range(0, 60, 3)]
+    old = spark.createDataFrame(old, "story string, first_seen string, identifiers array<string>")
+    got = {tuple(r) for r in st.place(df, old).select("digest", "story", "action").collect()}
+    assert got == {tuple(r) for r in st.place(df, old, st.first_candidate).select("digest", "story", "action").collect()} and len(got) == 150
+
+
+def test_the_leading_story_needs_no_list_of_candidates(monkeypatch):
+    shelf = st._Shelf()
+    monkeypatch.setattr(st._Shelf, "candidates", None)
+    for i in range(50):
+        shelf.admit(f"s{i}", {"story": f"s{i}", "digest": f"story:s{i}", "fetched": f"t{90 - i}", "forms": ["k:hot", f"k:{i % 7}"]})
+    assert shelf.place({"story": "", "digest": "d", "fetched": "t10", "slug": "n", "forms": ["k:hot", "k:3"]}, None)[1:3] == ("s45", "joined")
+    # Its first time is now the earliest of all that hold the hot form.
+    assert shelf.place({"story": "", "digest": "e", "fetched": "t11", "slug": "n", "forms": ["k:hot"]}, None)[1:3] == ("s45", "joined")
+
+
+def test_only_nodes_of_several_pieces_go_on(spark, monkeypatch):
+    from kbspark.operators import components as c
+
+    edges = [(100 * p + i, 100 * p + i + 1) for p in range(8) for i in range(50)] + [(700, 5000), (100, 5000)]
+    df = spark.createDataFrame(edges, "a long, b long").repartitionByRange(4, "a")
+    sizes = []
+    monkeypatch.setattr(c, "materialise", lambda x, real=c.materialise: sizes.append(real(x)) or sizes[-1])
+    got = {r.node: r.component for r in c.components(df, local_edges=20).collect()}
+    assert got == {x: 100 if x >= 700 or 100 <= x < 200 else x // 100 * 100 for e in edges for x in e}
+    assert sizes[0].count() > 400 and max(x.count() for x in sizes[1:]) < 50
