@@ -77,6 +77,37 @@ def _heavy(left: DataFrame, right: DataFrame, heavy: DataFrame, value: Column) -
     return a.join(b, by).select("digest", "story", "value")
 
 
+def by_class(rows: DataFrame, owner: str) -> tuple[DataFrame, DataFrame]:
+    """(class, key, norm) and (class, owner) of rows (owner, key, norm): those that hold the same forms are one class."""
+    own = rows.groupBy(owner).agg(F.array_sort(F.collect_set(F.struct("key", "norm"))).alias("held"))
+    own = materialise(own.withColumn("class", F.md5(F.to_json("held").cast("binary"))))
+    kinds = own.groupBy("class").agg(F.first("held").alias("held")).select("class", F.explode("held").alias("f"))
+    return kinds.select("class", "f.key", "f.norm"), own.select("class", owner)
+
+
+def expanded(pairs: DataFrame, members: DataFrame, owner: str) -> DataFrame:
+    """pairs (digest, class, ...) with each owner of the class from members (class, owner).
+
+    A class is dealt as pairs of blocks of about TASK_PAIRS rows at most, so no task makes more of
+    it than its share; the owners of a block travel as one list and the rows made are not shuffled.
+    """
+    side = 1 << ((TASK_PAIRS.bit_length() - 1) // 2)
+    n = pairs.groupBy("class").agg(F.count("*").alias("n_left")).join(members.groupBy("class").agg(F.count("*").alias("n_right")), "class")
+    n = materialise(n.select("class", "n_left", "n_right"))
+    total = n.agg(F.coalesce(F.sum(F.col("n_left") * F.col("n_right")), F.lit(0)).alias("all")).first()["all"]
+    parts = min(MOST_PARTS, max(pairs.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_PAIRS)))
+    blocks = lambda c: F.ceil(F.col(c) / side).cast("int")
+    n = n.select("class", blocks("n_left").alias("l_blocks"), blocks("n_right").alias("r_blocks"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    block = lambda c, blocks: F.pmod(F.xxhash64(c), F.col(blocks)).cast("int")
+    by = ["class", "l_block", "r_block"]
+    left = pairs.join(n, "class").withColumn("l_block", block("digest", "l_blocks")).withColumn("r_block", every("r_blocks")).drop("l_blocks", "r_blocks")
+    lists = members.join(n, "class").withColumn("r_block", block(owner, "r_blocks")).groupBy("class", "r_block").agg(F.first("l_blocks").alias("l_blocks"), F.collect_list(owner).alias("owners"))
+    right = lists.withColumn("l_block", every("l_blocks")).drop("l_blocks")
+    met = left.repartition(parts, *by).join(right.repartition(parts, *by), by)
+    return met.withColumn(owner, F.explode("owners")).drop("owners", *by)
+
+
 def shared(left: DataFrame, right: DataFrame, lists: bool = False, heavy_pairs: int = HEAVY_PAIRS) -> DataFrame:
     """(digest, story, shared) of left (digest, key, norm) and right (story, key, norm): how many forms, or which (lists).
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import text as t
 from kbspark.operators.components import components
-from kbspark.operators.forms import forms, shared
+from kbspark.operators.forms import by_class, expanded, forms, shared
 from kbspark.session import materialise
 
 
@@ -255,13 +255,18 @@ def bodies(rows: DataFrame) -> DataFrame:
 
 
 def push_matches(summaries: DataFrame, agents: DataFrame) -> DataFrame:
-    """(digest, name, shared): agent pages with a form of a summary, and the summary's spellings, sorted."""
-    spelled = summaries.select("digest", F.explode("identifiers").alias("raw")).withColumn("f", t.join_form(F.col("raw")))
-    spelled = spelled.groupBy("digest").agg(F.collect_set(F.struct("f", "raw")).alias("spelled"))
-    pairs = shared(forms(summaries, "digest"), forms(agents, "name").withColumnRenamed("name", "story"), lists=True)
+    """(digest, name, shared): agent pages with a form of a summary, and the summary's spellings, sorted.
+
+    Agent pages that hold the same forms share them with the same summaries, so matches are found
+    for one of them; the rows of all are made last and not shuffled.
+    """
+    spelled = materialise(summaries.select("digest", F.explode("identifiers").alias("raw")).where("raw is not null").withColumn("f", t.join_form(F.col("raw"))).distinct())
+    kinds, members = by_class(forms(agents, "name"), "name")
+    pairs = shared(spelled.select("digest", "f.key", "f.norm").distinct(), kinds.withColumnRenamed("class", "story"), lists=True)
+    lists = spelled.groupBy("digest").agg(F.collect_list(F.struct("f", "raw")).alias("spelled"))
     said = F.filter("spelled", lambda s: F.array_contains("shared", s["f"]))
-    found = pairs.join(spelled, "digest").select("digest", F.col("story").alias("name"), F.array_sort(F.array_distinct(F.transform(said, lambda s: s["raw"]))).alias("shared"))
-    return found
+    found = pairs.join(lists, "digest").select("digest", F.col("story").alias("class"), F.array_sort(F.array_distinct(F.transform(said, lambda s: s["raw"]))).alias("shared"))
+    return expanded(materialise(found), members, "name").select("digest", "name", "shared")
 
 
 def recheck(placements: DataFrame, stories: DataFrame, summary_forms: DataFrame, story_forms: DataFrame) -> DataFrame:

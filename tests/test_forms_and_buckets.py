@@ -157,3 +157,22 @@ def test_light_summaries_are_summaries_without_a_join(spark, tmp_path):
     want = v.summaries(spark, str(tmp_path)).where("arrival is not null").select("source", *columns).orderBy("source")
     assert got == [tuple(r) for r in want.collect()] and {r[3] for r in got} == {0, 4}
     assert "Join" not in light._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pushes_are_matched_once_a_class(spark, monkeypatch):
+    """Agents of the same forms: the rows of all, in blocks, from one match each."""
+    summaries = [(f"d{i}", [f"k:{i % 3}", f"K:{i % 3}", "k:Hot", "k:hot"][: 1 + i % 4]) for i in range(90)]
+    agents = [(f"a{i}", ["k:HOT"] if i % 2 else ["k:1", "k:hot"]) for i in range(60)]
+    want = Counter()
+    for d, ids in summaries:
+        for a, held in agents:
+            said = sorted({x for x in ids if (x.split(":")[0], x.lower().split(":")[1]) in {("k", y.lower().split(":")[1]) for y in held}})
+            want.update([(d, a, tuple(said))] if said else [])
+    sdf = spark.createDataFrame(summaries, "digest string, identifiers array<string>")
+    adf = spark.createDataFrame(agents, "name string, identifiers array<string>")
+    monkeypatch.setattr(fm, "TASK_PAIRS", 64)
+    sizes = []
+    monkeypatch.setattr(st, "shared", lambda *x, real=st.shared, **y: sizes.append(real(*x, **y)) or sizes[-1])
+    got = st.push_matches(sdf, adf)
+    assert Counter((r.digest, r.name, tuple(r.shared)) for r in got.collect()) == want
+    assert sizes[0].select("story").distinct().count() == 2
