@@ -19,10 +19,13 @@ __all__ = ["default_embed", "default_summarize", "first_candidate", "parse_label
 
 def default_summarize(text: Column, sentences: int = 2) -> Column:
     """An extract as a reply: the first words as title, long words as identifiers, the first sentences as body."""
-    flat = F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
-    title = F.trim(F.regexp_replace(F.substring(flat, 1, 40), "[^A-Za-z0-9 .,]", ""))
+    # Each regular expression goes over the whole text once at most: title and sentences need its start only.
+    text = F.btrim(text, F.lit(" \t\r\n"))
+    flat = lambda x: F.regexp_replace(x, r"[ \t\r\n]+", " ")
+    start = F.regexp_extract(text, r"\A(?:[^ \t\r\n]|[ \t\r\n]++){0,40}+", 0)
+    title = F.trim(F.regexp_replace(flat(start), "[^A-Za-z0-9 .,]", ""))
     terms = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("([A-Za-z]{14,17})"), F.lit(1))))
     listed = F.array_join(F.transform(terms, lambda w: F.concat(F.lit("\n  - term:"), w)), "")
-    ids = F.when(F.size(terms) == 0, " []").otherwise(listed)
-    lead = F.array_join(F.slice(F.split(flat, r"\. "), 1, sentences), ". ")
+    ids = F.regexp_replace(listed, r"\A\z", " []")
+    lead = flat(F.array_join(F.slice(F.split(text, r"\.[ \t\r\n]+", sentences + 1), 1, sentences), ". "))
     return F.concat(F.lit("---\ntitle: "), title, F.lit("\nidentifiers:"), ids, F.lit("\n---\n\n"), lead)

@@ -101,9 +101,12 @@ def _store(tables: Tables, rows: DataFrame, batch: int) -> DataFrame:
 def _summarise(tables: Tables, stored: DataFrame, batch: int, ask: Models) -> DataFrame:
     """A page for every text whose reply makes one; of the others the reason."""
     stored = stored.withColumn("route", route(F.col("data").cast("binary"), F.col("content_type"), F.col("url")))
-    replies = stored.where("route = 'text'").select("digest", pg.unwrap_reply(ask.summarize(F.col("data"))).alias("text"))
+    # A reply is a column of its own: what unwraps it names it many times, and each would ask again.
+    replies = stored.where("route = 'text'").select("digest", ask.summarize(F.col("data")).alias("reply"))
+    replies = replies.select("digest", pg.unwrap_reply(F.col("reply")).alias("text"))
     parsed = materialise(pg.parse_pages(replies, "digest").withColumn("reason", pg.drop_reason()))
-    lost = stored.where("route <> 'text'").select("digest", F.col("route").alias("reason"))
+    # Why others are none is known since they were stored; no body is read for it.
+    lost = tables.read("results").where((F.col("batch") == batch) & (F.col("status") == "new") & (F.col("route") != "text")).select("digest", F.col("route").alias("reason"))
     tables.write("dropped", batch, lost.unionByName(parsed.where("reason is not null").select("digest", "reason")))
     good = parsed.where("reason is null").select("digest", F.trim(pg.scalar("title")).alias("title"), pg.listed("identifiers").alias("identifiers"), "body")
     good = good.join(stored.select("digest", F.col("url").alias("source_url"), "fetched"), "digest").withColumn("slug", t.slugify(F.col("title")))

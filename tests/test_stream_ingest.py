@@ -1,9 +1,11 @@
 import random
+import re
 from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from kbspark.functions.models import default_summarize
 from kbspark.operators import seen
 from kbspark.operators import stories as st
 from kbspark.streaming.ingest import Models, Tables, ingest_batch
@@ -97,3 +99,28 @@ def test_filter_has_no_false_negatives(spark):
     held = seen.words(keys.where("k % 2 = 0")).unionByName(seen.words(keys.where("k % 3 = 0")))
     out = {int(r.k): r.maybe for r in seen.flagged(keys, "k", held).collect()}
     assert all(out[k] for k in out if k % 2 == 0 or k % 3 == 0) and sum(out[k] for k in out if k % 2 and k % 3) < 10
+
+
+ODD = [
+    "", " ", "\n", ". ", " . ", "A. ", "A. B. ", "A. B. C", "Hello . World . Foo", "a.\tb.\r\nc. d", ". . . .", ".. ..", "abc.  ", "\x0b. a", "A.  . B. C",
+    "one. two. three", "é" * 50, "\U0001f600" * 45 + " a", " \n\t" * 50 + "a" + " " * 90 + "b" * 60, "a b " * 30, "--- \n```\nx. y",
+    "a" * 13, "1" + "a" * 14 + "1", "x" * 32 + "é" + "y" * 13, "a" * 31 + " " + "b" * 18, None,
+]
+
+
+def extract(text):
+    """default_summarize() in plain Python."""
+    flat = re.sub(r"[ \t\r\n]+", " ", text).strip(" ")
+    title = re.sub("[^A-Za-z0-9 .,]", "", flat[:40]).strip(" ")
+    terms = sorted(set(re.findall("[A-Za-z]{14,17}", text)))
+    ids = "".join(f"\n  - term:{w}" for w in terms) or " []"
+    return f"---\ntitle: {title}\nidentifiers:{ids}\n---\n\n" + ". ".join(flat.split(". ")[:2])
+
+
+def test_extract_reads_a_text_once(spark, capsys):
+    """The extract of odd texts is that of plain Python, and long words are looked for once."""
+    rows = spark.createDataFrame(list(enumerate(ODD)), "n int, data string")
+    got = {r.n: r.reply for r in rows.select("n", default_summarize(F.col("data")).alias("reply")).collect()}
+    assert got == {n: x if x is None else extract(x) for n, x in enumerate(ODD)}
+    rows.select(default_summarize(F.col("data")).alias("reply")).explain()
+    assert capsys.readouterr().out.count("regexp_extract_all") == 1
