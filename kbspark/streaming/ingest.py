@@ -69,6 +69,27 @@ class Tables:
         return df.groupBy("story").agg(F.max_by(row, "batch").alias("row")).select("row.*")
 
 
+# Numbers of arrivals, 8 bytes each, that are sent to where the bodies are.
+SENT_ARRIVALS = 1 << 20
+
+
+def _new_rows(rows: DataFrame, results: DataFrame, n_new: int, n_other: int) -> DataFrame:
+    """The rows that are new by results, found by the new arrivals or the others, whichever are fewer.
+
+    Up to SENT_ARRIVALS are sent to the rows. Of more, only rows that a filter of them does not
+    rule out are joined; of all others the body is not shuffled.
+    """
+    if not n_new or not n_other:
+        return rows if n_new else rows.limit(0)
+    few = results.where("status = 'new'" if n_new <= n_other else "status <> 'new'").select("arrival")
+    how = "left_semi" if n_new <= n_other else "left_anti"
+    if min(n_new, n_other) <= SENT_ARRIVALS:
+        return rows.join(F.broadcast(few), "arrival", how)
+    marked = seen.flagged(rows, "arrival", materialise(seen.words(few)))
+    joined = marked.where("maybe").drop("maybe").join(few, "arrival", how)
+    return joined if how == "left_semi" else marked.where("not maybe").drop("maybe").unionByName(joined)
+
+
 def _store(tables: Tables, rows: DataFrame, batch: int) -> DataFrame:
     """Outcomes first, from rows without bodies; then the bodies of new rows, and what is seen from now on."""
     rows = rows.withColumn("digest", F.sha2(F.col("data").cast("binary"), 256))
@@ -85,15 +106,7 @@ def _store(tables: Tables, rows: DataFrame, batch: int) -> DataFrame:
     out = out.withColumn("status", status).withColumn("reason", F.when(F.col("size") == 0, "empty"))
     results = tables.write("results", batch, out)
     counts = {r.is_new: r.n for r in results.groupBy((F.col("status") == "new").alias("is_new")).agg(F.count("*").alias("n")).collect()}
-    if not counts.get(True):
-        new = rows.limit(0)
-    elif not counts.get(False):
-        new = rows
-    elif counts[True] <= counts[False]:
-        new = rows.join(results.where("status = 'new'").select("arrival"), "arrival", "left_semi")
-    else:
-        new = rows.join(results.where("status <> 'new'").select("arrival"), "arrival", "left_anti")
-    stored = tables.write("sources", batch, new)
+    stored = tables.write("sources", batch, _new_rows(rows, results, counts.get(True, 0), counts.get(False, 0)))
     tables.write("seen", batch, seen.words(results.where("status = 'new'").select("digest")))
     return stored
 
@@ -102,14 +115,15 @@ def _summarise(tables: Tables, stored: DataFrame, batch: int, ask: Models) -> Da
     """A page for every text whose reply makes one; of the others the reason."""
     stored = stored.withColumn("route", route(F.col("data").cast("binary"), F.col("content_type"), F.col("url")))
     # A reply is a column of its own: what unwraps it names it many times, and each would ask again.
-    replies = stored.where("route = 'text'").select("digest", ask.summarize(F.col("data")).alias("reply"))
-    replies = replies.select("digest", pg.unwrap_reply(F.col("reply")).alias("text"))
-    parsed = materialise(pg.parse_pages(replies, "digest").withColumn("reason", pg.drop_reason()))
+    # Where a text is from goes along, so that no page is joined with its source.
+    replies = stored.where("route = 'text'").select(F.struct("digest", F.col("url").alias("source_url"), "fetched").alias("of"), ask.summarize(F.col("data")).alias("reply"))
+    replies = replies.select("of", pg.unwrap_reply(F.col("reply")).alias("text"))
+    parsed = materialise(pg.parse_pages(replies, "of").withColumn("reason", pg.drop_reason()).select("of.*", "reason", "fields", "body"))
     # Why others are none is known since they were stored; no body is read for it.
     lost = tables.read("results").where((F.col("batch") == batch) & (F.col("status") == "new") & (F.col("route") != "text")).select("digest", F.col("route").alias("reason"))
     tables.write("dropped", batch, lost.unionByName(parsed.where("reason is not null").select("digest", "reason")))
-    good = parsed.where("reason is null").select("digest", F.trim(pg.scalar("title")).alias("title"), pg.listed("identifiers").alias("identifiers"), "body")
-    good = good.join(stored.select("digest", F.col("url").alias("source_url"), "fetched"), "digest").withColumn("slug", t.slugify(F.col("title")))
+    good = parsed.where("reason is null").select("digest", "source_url", "fetched", F.trim(pg.scalar("title")).alias("title"), pg.listed("identifiers").alias("identifiers"), "body")
+    good = good.withColumn("slug", t.slugify(F.col("title")))
     return tables.write("pages", batch, pg.page_names(good, tables.read("pages", batch), 12, ["fetched", "digest"]))
 
 
