@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from kbspark.functions import text as t
 from kbspark.session import materialise
 
-# A form with more pairs than this goes by classes; a block of a class is so many rows.
+# A form with more pairs than this goes by classes; a block of a class is about so many rows.
 HEAVY_PAIRS = 1 << 20
 CLASS_BLOCK = 4096
-# Pairs that a task joins or adds up; more of them make more tasks, so that no task grows with the input.
+# Pairs that a task makes and adds up; more of them make more tasks, so that no task grows with the input.
 TASK_PAIRS, MOST_PARTS = 1 << 19, 20_000
 PARTS = 16
 
@@ -48,33 +48,38 @@ def read_index(spark: SparkSession, path: str, id_col: str, before: int | None =
     return found.select(id_col, "key", "norm").distinct()
 
 
+def _block(owner: str, blocks: Column) -> Column:
+    """The block of an owner among so many; the blocks of one number cut those of another only at its ends."""
+    return F.shiftright(F.pmod(F.xxhash64(owner), F.lit(1 << 20)) * blocks.cast("long"), 20).cast("int")
+
+
 def _classes(held: DataFrame, heavy: DataFrame, owner: str) -> DataFrame:
-    """(owner, class, held, n, blocks, block): rows by the set of heavy forms they hold."""
+    """(owner, class, held): rows by the set of heavy forms they hold."""
     own = held.join(heavy, ["key", "norm"], "left_semi").groupBy(owner).agg(F.array_sort(F.collect_list(F.struct("key", "norm"))).alias("held"))
-    own = materialise(own.withColumn("class", F.md5(F.to_json("held").cast("binary"))))
-    size = own.groupBy("class").agg(F.count("*").alias("n")).select("class", F.ceil(F.col("n") / CLASS_BLOCK).cast("int").alias("blocks"))
-    return own.join(size, "class").withColumn("block", F.pmod(F.xxhash64(owner), F.col("blocks")).cast("int"))
+    return materialise(own.withColumn("class", F.md5(F.to_json("held").cast("binary"))))
 
 
-def _heavy(left: DataFrame, right: DataFrame, heavy: DataFrame, value: Column) -> DataFrame:
-    """Pairs of rows that share heavy forms, by way of pairs of classes.
+def _heavy(left: DataFrame, right: DataFrame, heavy: DataFrame, value: Column, deal: Column) -> DataFrame:
+    """Boxes (deal, value, digests, stories) of rows that share heavy forms, by way of classes.
 
-    Rows that hold the same heavy forms are one class; what two classes share is counted once,
-    and a pair of classes is dealt as pairs of blocks of about CLASS_BLOCK rows each: no key of
-    a join has more.
+    Rows that hold the same heavy forms are one class; what two classes share is counted once.
+    Digests of a class, and stories that share the same with it, are cut into blocks of about
+    CLASS_BLOCK rows each: no list is longer.
     """
-    sides = []
-    for held, owner, tag in ((left, "digest", "l"), (right, "story", "r")):
-        own = _classes(held, heavy, owner)
-        sides.append(own.select(owner, *[F.col(c).alias(f"{tag}_{c}") for c in ("class", "held", "blocks", "block")]))
-    kinds = [s.groupBy(f"{tag}_class").agg(F.first(f"{tag}_held").alias("held"), F.first(f"{tag}_blocks").alias(f"{tag}_blocks")).withColumn("form", F.explode("held")).drop("held") for s, tag in zip(sides, "lr")]
-    met = kinds[0].join(kinds[1], "form").groupBy("l_class", "r_class", "l_blocks", "r_blocks").agg(value.alias("value"))
-    met = met.withColumn("l_block", F.explode(F.sequence(F.lit(0), F.col("l_blocks") - 1))).withColumn("r_block", F.explode(F.sequence(F.lit(0), F.col("r_blocks") - 1)))
-    met = materialise(met.select("l_class", "r_class", "l_block", "r_block", "value"))
-    by = ["l_class", "r_class", "l_block", "r_block"]
-    a = sides[0].select("digest", "l_class", "l_block").join(met, ["l_class", "l_block"])
-    b = sides[1].select("story", "r_class", "r_block").join(met.drop("value"), ["r_class", "r_block"])
-    return a.join(b, by).select("digest", "story", "value")
+    sides = [_classes(held, heavy, owner).withColumnRenamed("class", tag) for held, owner, tag in ((left, "digest", "l_class"), (right, "story", "r_class"))]
+    blocks = F.ceil(F.col("n") / CLASS_BLOCK).cast("int")
+    sizes = [s.groupBy(tag).agg(F.first("held").alias("held"), F.count("*").alias("n")) for s, tag in zip(sides, ("l_class", "r_class"))]
+    kinds = [size.select(tag, "n", F.explode("held").alias("form")) for size, tag in zip(sizes, ("l_class", "r_class"))]
+    met = materialise(kinds[0].drop("n").join(kinds[1], "form").groupBy("l_class", "r_class", "n").agg(value.alias("value")))
+    told = met.groupBy("l_class", "value").agg(F.sum("n").alias("n")).select("l_class", "value", blocks.alias("r_blocks"))
+    told = materialise(told.join(sizes[0].select("l_class", blocks.alias("l_blocks")), "l_class"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    both = materialise(told.withColumn("l_block", every("l_blocks")).withColumn("r_block", every("r_blocks")).drop("l_blocks", "r_blocks"))
+    digests = sides[0].select("digest", "l_class").join(told.select("l_class", "l_blocks").distinct(), "l_class")
+    digests = digests.groupBy("l_class", _block("digest", F.col("l_blocks")).alias("l_block"), deal.alias("deal")).agg(F.collect_list("digest").alias("digests"))
+    stories = sides[1].select("story", "r_class").join(met.drop("n"), "r_class").join(told, ["l_class", "value"])
+    stories = stories.groupBy("l_class", "value", _block("story", F.col("r_blocks")).alias("r_block")).agg(F.collect_list("story").alias("stories"))
+    return digests.join(both, ["l_class", "l_block"]).join(stories, ["l_class", "value", "r_block"]).select("deal", "value", "digests", "stories")
 
 
 def by_class(rows: DataFrame, owner: str) -> tuple[DataFrame, DataFrame]:
@@ -108,12 +113,15 @@ def expanded(pairs: DataFrame, members: DataFrame, owner: str) -> DataFrame:
     return met.withColumn(owner, F.explode("owners")).drop("owners", *by)
 
 
-def shared(left: DataFrame, right: DataFrame, lists: bool = False, heavy_pairs: int = HEAVY_PAIRS) -> DataFrame:
+def shared(left: DataFrame, right: DataFrame, lists: bool = False, heavy_pairs: int = HEAVY_PAIRS, dealt: bool = False) -> DataFrame:
     """(digest, story, shared) of left (digest, key, norm) and right (story, key, norm): how many forms, or which (lists).
 
-    A form of up to heavy_pairs pairs is joined as it is. Others, which would make so many rows
-    out of one key, are counted once for all rows that hold the same ones. The rows are the
-    same either way.
+    Digests are dealt, and what a deal needs of a form goes to it as one box: the deal's digests and
+    the form's stories. Pairs are made and added up where the boxes are, so none is shuffled.
+    A form of up to heavy_pairs pairs is joined as it is, so its lists are no longer. Others, which
+    would make longer ones, are counted once for all rows that hold the same ones. The rows are
+    the same either way. With dealt there is a column `deal`: rows of a digest are in one deal, a deal in one
+    partition, so what is ordered by (deal, digest) needs no shuffle.
     """
     n = [side.groupBy("key", "norm").agg(F.count("*").alias(name)) for side, name in ((left, "n_left"), (right, "n_right"))]
     pairs = F.col("n_left") * F.col("n_right")
@@ -121,15 +129,15 @@ def shared(left: DataFrame, right: DataFrame, lists: bool = False, heavy_pairs:
     heavy = met.where(F.col("pairs") > heavy_pairs).select("key", "norm")
     total = met.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("all"), F.count_if(F.col("pairs") > heavy_pairs).alias("heavy")).first()
     parts = min(MOST_PARTS, max(left.sparkSession.sparkContext.defaultParallelism, -(-total["all"] // TASK_PAIRS)))
-    form = F.struct("key", "norm")
-    dealt = lambda df: df.repartition(parts, "key", "norm")
-    # Rows of a digest come together once; what is ordered or gathered by digest later needs no other shuffle.
-    gathered = lambda df, value: df.repartition(parts, "digest").groupBy("digest", "story").agg(value.alias("shared"))
-    if not total["heavy"]:
-        value = F.array_sort(F.collect_list(form)) if lists else F.count("*")
-        return gathered(dealt(left).join(dealt(right), ["key", "norm"]), value)
-    light = dealt(left.join(heavy, ["key", "norm"], "left_anti")).join(dealt(right), ["key", "norm"])
-    light = light.select("digest", "story", (F.array(form) if lists else F.lit(1).cast("long")).alias("value"))
-    many = _heavy(left, right, heavy, F.collect_list("form") if lists else F.count("*"))
+    deal = _block("digest", F.lit(parts))
+    rest = (lambda df: df.join(heavy, ["key", "norm"], "left_anti")) if total["heavy"] else (lambda df: df)
+    by_form = lambda df: rest(df).repartition("key", "norm")
+    digests = by_form(left).groupBy("key", "norm", deal.alias("deal")).agg(F.collect_list("digest").alias("digests"))
+    stories = by_form(right).groupBy("key", "norm").agg(F.collect_list("story").alias("stories"))
+    value = F.array(F.struct("key", "norm")) if lists else F.lit(1).cast("long")
+    boxes = digests.join(stories, ["key", "norm"]).select("deal", value.alias("value"), "digests", "stories")
+    if total["heavy"]:
+        boxes = boxes.unionByName(_heavy(left, right, heavy, F.array_sort(F.collect_list("form")) if lists else F.count("*"), deal))
+    made = boxes.repartitionById(parts, F.col("deal")).select("deal", "value", "stories", F.explode("digests").alias("digest")).select("deal", "value", "digest", F.explode("stories").alias("story"))
     value = F.array_sort(F.flatten(F.collect_list("value"))) if lists else F.sum("value")
-    return gathered(light.unionByName(many), value)
+    return made.groupBy("deal", "digest", "story").agg(value.alias("shared")).select(*["deal"][: int(dealt)], "digest", "story", "shared")

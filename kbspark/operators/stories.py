@@ -16,12 +16,13 @@ from kbspark.operators.forms import by_class, expanded, forms, shared
 from kbspark.session import materialise
 
 
-def candidate_pairs(summary_forms: DataFrame, story_forms: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+def candidate_pairs(summary_forms: DataFrame, story_forms: DataFrame, extra: DataFrame | None = None, dealt: bool = False) -> DataFrame:
     """(digest, story, shared): stories that share a form with a summary, or that `extra` names.
 
     summary_forms (digest, key, norm) and story_forms (story, key, norm) come from forms() or a stored index.
+    Without extra, dealt keeps the deals of the pairs, in which ordered_candidates() ranks them where they are.
     """
-    found = shared(summary_forms, story_forms)
+    found = shared(summary_forms, story_forms, dealt=dealt and extra is None)
     if extra is None:
         return found
     return extra.select("digest", "story").distinct().join(found, ["digest", "story"], "full_outer").select("digest", "story", F.coalesce("shared", F.lit(0)).cast("long").alias("shared"))
@@ -35,7 +36,7 @@ def ordered_candidates(pairs: DataFrame, stories: DataFrame, extra: DataFrame |
         out = out.join(extra.select("digest", "story", "vector_rank"), ["digest", "story"], "left")
         order.append(F.asc_nulls_last("vector_rank"))
     order += [F.coalesce("first_seen", F.lit("")), F.col("story")]
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("digest").orderBy(*order)))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(*[c for c in ("deal", "digest") if c in pairs.columns]).orderBy(*order)))
 
 
 def blocks(summaries: DataFrame, by_slug: bool = True, near: DataFrame | None = None) -> DataFrame:

@@ -135,6 +135,37 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     assert sorted(fm.shared(ldf, rdf, heavy_pairs=1000).collect()) == sorted(want)
 
 
+def shuffled(spark, since=0):
+    """(rows shuffled by stages from `since` on, the next stage's number)."""
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+    found = [stages.apply(i) for i in range(stages.size())]
+    return sum(s.shuffleWriteRecords() for s in found if s.stageId() >= since), max([s.stageId() for s in found], default=-1) + 1
+
+
+@pytest.mark.parametrize("heavy", [1 << 20, 1000])
+def test_no_pair_is_shuffled(spark, heavy):
+    """Digests and forms go to where pairs are made; the pairs stay, also when they are ranked."""
+    left, right = holders(400, "d", 50), holders(200, "s", 70)
+    ldf, rdf = spark.createDataFrame(left, "digest string, key string, norm string"), spark.createDataFrame(right, "story string, key string, norm string")
+    ranges = rdf.select("story", F.lit("").alias("first_seen")).distinct()
+    since = shuffled(spark)[1]
+    lists = fm.shared(ldf, rdf, lists=True, heavy_pairs=heavy).collect()
+    placed = st.ordered_candidates(fm.shared(ldf, rdf, heavy_pairs=heavy, dealt=True), F.broadcast(ranges)).collect()
+    assert len(lists) == len(placed) == 400 * 200
+    assert shuffled(spark, since)[0] < 400 * 200 / 4
+    assert {(r.digest, r.story): len(r.shared) for r in lists} == {(r.digest, r.story): r.shared for r in placed}
+    assert all(f.key == "k" for r in lists for f in r.shared) and all(list(r.shared) == sorted(r.shared) for r in lists)
+
+
+def test_blocks_of_few_hold_whole_blocks_of_many(spark):
+    """A story's list goes to each deal once, not to each deal for each block of digests."""
+    rows = spark.range(5000).select(F.concat(F.lit("d"), "id").alias("digest"))
+    got = rows.select(fm._block("digest", F.lit(7)).alias("few"), fm._block("digest", F.lit(40)).alias("many"))
+    assert got.distinct().count() <= 7 + 40 and {r.few for r in got.select("few").distinct().collect()} == set(range(7))
+
+
 def test_recheck_looks_at_few_stories(spark):
     rows = [("a", None, ["s1", "s2"]), ("b", None, ["s1", "s3"]), ("c", None, []), ("d", None, ["s9"]), ("e", "t", None), ("f", None, None)]
     old = spark.createDataFrame([(d, t, "T", seen) for d, t, seen in rows], "digest string, target string, target_title string, seen array<string>")
