@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,7 +115,32 @@ def expanded(pairs: DataFrame, members: DataFrame, owner: str) -> DataFrame:
     return met.withColumn(owner, F.explode("owners")).drop("owners", *by)
 
 
-def shared(left: DataFrame, right: DataFrame, lists: bool = False, heavy_pairs: int = HEAVY_PAIRS, dealt: bool = False) -> DataFrame:
+class Deals(NamedTuple):
+    """How digests are dealt: into so many parts, one a task."""
+
+    parts: int
+    met: DataFrame  # (key, norm, pairs) of the forms that both sides hold
+    heavy: DataFrame | None  # (key, norm) of those with too many pairs to be joined as they are
+
+    def of(self) -> Column:
+        return _block("digest", F.lit(self.parts)).alias("deal")
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """rows (digest, ...) with `deal`, each where the pairs of its digest are: a join by (deal, digest) shuffles neither side."""
+        return rows.withColumn("deal", self.of()).repartitionById(self.parts, F.col("deal"))
+
+
+def deal_out(left: DataFrame, right: DataFrame, heavy_pairs: int = HEAVY_PAIRS, least: int = 1) -> Deals:
+    """The deals of left (digest, key, norm) and right (story, key, norm): as many as their pairs ask for, and at least so many."""
+    n = [side.groupBy("key", "norm").agg(F.count("*").alias(name)) for side, name in ((left, "n_left"), (right, "n_right"))]
+    pairs = F.col("n_left") * F.col("n_right")
+    met = materialise(n[0].join(n[1], ["key", "norm"]).select("key", "norm", pairs.alias("pairs")))
+    total = met.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("all"), F.count_if(F.col("pairs") > heavy_pairs).alias("heavy")).first()
+    parts = min(MOST_PARTS, max(left.sparkSession.sparkContext.defaultParallelism, least, -(-total["all"] // TASK_PAIRS)))
+    return Deals(parts, met, met.where(F.col("pairs") > heavy_pairs).select("key", "norm") if total["heavy"] else None)
+
+
+def shared(left: DataFrame, right: DataFrame, lists: bool = False, heavy_pairs: int = HEAVY_PAIRS, dealt: bool = False, deals: Deals | None = None) -> DataFrame:
     """(digest, story, shared) of left (digest, key, norm) and right (story, key, norm): how many forms, or which (lists).
 
     Digests are dealt, and what a deal needs of a form goes to it as one box: the deal's digests and
@@ -121,23 +148,18 @@ def shared(left: DataFrame, right: DataFrame, lists: bool = False, heavy_pairs:
     A form of up to heavy_pairs pairs is joined as it is, so its lists are no longer. Others, which
     would make longer ones, are counted once for all rows that hold the same ones. The rows are
     the same either way. With dealt there is a column `deal`: rows of a digest are in one deal, a deal in one
-    partition, so what is ordered by (deal, digest) needs no shuffle.
+    partition, so what is ordered by (deal, digest) needs no shuffle. A story may be a struct, which
+    carries more of it than its name. `deals` are those of deal_out(), if the caller has them.
     """
-    n = [side.groupBy("key", "norm").agg(F.count("*").alias(name)) for side, name in ((left, "n_left"), (right, "n_right"))]
-    pairs = F.col("n_left") * F.col("n_right")
-    met = materialise(n[0].join(n[1], ["key", "norm"]).select("key", "norm", pairs.alias("pairs")))
-    heavy = met.where(F.col("pairs") > heavy_pairs).select("key", "norm")
-    total = met.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("all"), F.count_if(F.col("pairs") > heavy_pairs).alias("heavy")).first()
-    parts = min(MOST_PARTS, max(left.sparkSession.sparkContext.defaultParallelism, -(-total["all"] // TASK_PAIRS)))
-    deal = _block("digest", F.lit(parts))
-    rest = (lambda df: df.join(heavy, ["key", "norm"], "left_anti")) if total["heavy"] else (lambda df: df)
+    deals = deals or deal_out(left, right, heavy_pairs)
+    rest = (lambda df: df.join(deals.heavy, ["key", "norm"], "left_anti")) if deals.heavy else (lambda df: df)
     by_form = lambda df: rest(df).repartition("key", "norm")
-    digests = by_form(left).groupBy("key", "norm", deal.alias("deal")).agg(F.collect_list("digest").alias("digests"))
+    digests = by_form(left).groupBy("key", "norm", deals.of()).agg(F.collect_list("digest").alias("digests"))
     stories = by_form(right).groupBy("key", "norm").agg(F.collect_list("story").alias("stories"))
     value = F.array(F.struct("key", "norm")) if lists else F.lit(1).cast("long")
     boxes = digests.join(stories, ["key", "norm"]).select("deal", value.alias("value"), "digests", "stories")
-    if total["heavy"]:
-        boxes = boxes.unionByName(_heavy(left, right, heavy, F.array_sort(F.collect_list("form")) if lists else F.count("*"), deal))
-    made = boxes.repartitionById(parts, F.col("deal")).select("deal", "value", "stories", F.explode("digests").alias("digest")).select("deal", "value", "digest", F.explode("stories").alias("story"))
+    if deals.heavy:
+        boxes = boxes.unionByName(_heavy(left, right, deals.heavy, F.array_sort(F.collect_list("form")) if lists else F.count("*"), deals.of()))
+    made = boxes.repartitionById(deals.parts, F.col("deal")).select("deal", "value", "stories", F.explode("digests").alias("digest")).select("deal", "value", "digest", F.explode("stories").alias("story"))
     value = F.array_sort(F.flatten(F.collect_list("value"))) if lists else F.sum("value")
     return made.groupBy("deal", "digest", "story").agg(value.alias("shared")).select(*["deal"][: int(dealt)], "digest", "story", "shared")

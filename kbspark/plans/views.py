@@ -74,26 +74,30 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
     return store_sources(raw(spark, sf)).where("status = 'new'").drop("status")
 
 
+def title(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.substring_index(text, "\n", 1), "[^A-Za-z0-9 .,]", ""))
+
+
 def _said(text: Column) -> tuple[Column, Column]:
     """(title, identifiers) of a text: its first line's ASCII text, long words and addresses."""
     terms = F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z]{14,}+)"), F.lit(1)), lambda w: F.concat(F.lit("term:"), w))
     # The search for addresses is dear and few texts have one; finding "@mail" is cheap.
     found = F.when(F.contains(text, F.lit("@mail")), F.regexp_extract_all(text, F.lit(r"([a-z]+\.[0-9]{2}@mail[0-9]\.example\.com)"), F.lit(1)))
     mails = F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda m: F.concat(F.lit("email:"), m))
-    return F.trim(F.regexp_replace(F.substring_index(text, "\n", 1), "[^A-Za-z0-9 .,]", "")), F.array_sort(F.array_distinct(F.concat(terms, mails)))
+    return title(text), F.array_sort(F.array_distinct(F.concat(terms, mails)))
 
 
 @once
 def summaries(spark: SparkSession, sf: str) -> DataFrame:
     """A summary page for each source: its first line's ASCII text as title, long words and addresses as identifiers, the whole text as body."""
     text = F.col("data")
-    title, identifiers = _said(text)
+    titled, identifiers = _said(text)
     stem = F.concat(F.lit("s-"), F.substring("digest", 1, 12))
     return sources(spark, sf).select(
         F.concat(stem, F.lit(".md")).alias("name"),
         stem.alias("stem"),
         F.lit("summary").alias("kind"),
-        title.alias("title"),
+        titled.alias("title"),
         identifiers.alias("identifiers"),
         F.col("digest").alias("source"),
         F.col("url").alias("source_url"),
@@ -106,9 +110,9 @@ def summaries(spark: SparkSession, sf: str) -> DataFrame:
 
 @once
 def light(spark: SparkSession, sf: str) -> DataFrame:
-    """Summaries without their bodies, and their jobs: texts are read where they lie, once, and none is shuffled."""
-    title, identifiers = _said(F.col("data"))
-    row = F.struct("arrival", "fetched", "job", title.alias("title"), identifiers.alias("identifiers"))
+    """Summaries without their bodies, their jobs and the bytes of their bodies: texts are read where they lie, once, and none is shuffled."""
+    titled, identifiers = _said(F.col("data"))
+    row = F.struct("arrival", "fetched", "job", titled.alias("title"), identifiers.alias("identifiers"), F.octet_length("data").alias("bytes"))
     rows = raw(spark, sf).where("data <> ''").select(F.sha2(F.col("data").cast("binary"), 256).alias("digest"), row.alias("row"))
     # The first arrival of a digest, one without a number last; copies are combined before the shuffle.
     first = F.struct(F.col("row.arrival").isNull(), F.col("row.arrival"))
